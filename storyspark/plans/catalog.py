@@ -1,0 +1,316 @@
+"""The registered queries. Each takes ``(spark, sf_dir)`` and reads the tables in that folder."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from storyspark.functions import fixed_values as fixed
+from storyspark.functions import taxonomy, text
+from storyspark.operators import assign, evidence, feed, merge, scoring
+from storyspark.plans import adapters as ad
+from storyspark.plans.pipeline import StoryTables, build_story, with_lane
+from storyspark.session import stage
+
+Query = Callable[[SparkSession, str], DataFrame]
+REGISTRY: dict[str, Query] = {}
+
+
+def query(fn: Query) -> Query:
+    REGISTRY[fn.__name__] = fn
+    return fn
+
+
+def joined(array: Column | str) -> Column:
+    """Array of strings as one string, so that results compare as scalars."""
+    return F.array_join(array, "|")
+
+
+def stamp(column: Column | str) -> Column:
+    return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
+
+
+# --- shared inputs ---
+
+
+def story_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the source columns that ingest takes from the source profile."""
+    number = F.col("source_id").cast("string")
+    pdf = F.when(F.col("doc_id") % 12 == 0, F.lit(".pdf")).otherwise(F.lit(""))
+    return ad.docs(spark, sf_dir).withColumns(
+        {
+            "source_key": F.concat(F.lit("src"), number),
+            "source_domain": F.concat(F.lit("src"), number, F.lit(".example.org")),
+            "url": F.concat(F.lit("https://src"), number, F.lit(".example.org/"), F.col("doc_id"), pdf),
+            "tier": F.col("source_id") % 3 + 1,
+            "is_official": F.col("source_id") % 4 == 0,
+        }
+    )
+
+
+def story(spark: SparkSession, sf_dir: str) -> StoryTables:
+    docs = story_docs(spark, sf_dir)
+    return build_story(docs, ad.sources(spark, sf_dir), ad.latest(docs, "seen_at"))
+
+
+def staged_anchors(docs: DataFrame) -> DataFrame:
+    return stage(evidence.extract_anchors(docs), "doc-anchors")
+
+
+def assigned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, their anchors and their events."""
+    docs = story_docs(spark, sf_dir)
+    anchors = staged_anchors(docs)
+    return docs, anchors, stage(assign.assign_events(docs, anchors), "event-docs")
+
+
+# --- anchors and evidence ---
+
+
+@query
+def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.extract_anchors(ad.docs(spark, sf_dir)).select(
+        "doc_id", F.col("anchor_no").cast("bigint").alias("anchor_no"), "anchor_type", "anchor_value"
+    )
+
+
+@query
+def anchor_ptrs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.extract_anchors(ad.docs(spark, sf_dir), with_context=True).select(
+        "doc_id", F.col("anchor_no").cast("bigint").alias("anchor_no"), "anchor_value", "evidence_ptr"
+    )
+
+
+@query
+def extra_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates, government links and PDF links, over page sources and their addresses."""
+    pages = ad.table(spark, sf_dir, "pages")
+    extra = F.concat(
+        F.lit("Em 05/03/2024 veja https://www.in.gov.br/dou/"), "page_id", F.lit(" e anexo-"), "page_id", F.lit(".pdf. ")
+    )
+    docs = pages.select(F.col("page_id").alias("doc_id"), F.concat(extra, "url", F.lit(" "), "html").alias("clean_text"))
+    return (
+        evidence.extract_anchors(docs, extra_types=True)
+        .filter(F.col("anchor_type").isin(*fixed.EXTRA_ANCHOR_PATTERNS))
+        .groupBy("doc_id", "anchor_type", "anchor_value")
+        .agg(F.count("*").alias("n"))
+    )
+
+
+@query
+def evidence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = story_docs(spark, sf_dir)
+    return evidence.evidence_features(docs, evidence.extract_anchors(docs))
+
+
+# --- taxonomy ---
+
+
+@query
+def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = ad.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.sha2(text.normalize_text(F.col("text")), 256).alias("normalized_sha256"))
+
+
+@query
+def source_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ad.hosts(spark, sf_dir)
+    return rows.select(
+        "page_id", taxonomy.source_class(F.col("name"), F.col("url"), F.col("current_class")).alias("source_class")
+    )
+
+
+@query
+def media_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    group = taxonomy.media_group(text.url_host(F.col("url")))
+    return ad.hosts(spark, sf_dir).select(
+        "page_id",
+        text.url_host(F.col("url")).alias("host"),
+        group.alias("media_group"),
+        taxonomy.is_mainstream(group).alias("is_mainstream"),
+    )
+
+
+@query
+def editorial_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_lane(story_docs(spark, sf_dir)).select("doc_id", "lane")
+
+
+@query
+def editorial_lane_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules behind keywords: explicit lane, topic, editoria and scope."""
+    rows = ad.lane_hints(spark, sf_dir)
+    columns = {c: F.col(c) for c in ("explicit_lane", "topic", "editoria", "source_scope", "title")}
+    return rows.select("conv_id", "turn", taxonomy.editorial_lane(**columns).alias("lane"))
+
+
+# --- events and scores ---
+
+
+@query
+def assign_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, event_docs = assigned(spark, sf_dir)
+    return event_docs.select("event_id", "doc_id", "source_id", stamp("seen_at").alias("seen_at"), "is_primary")
+
+
+@query
+def assign_events_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = story_docs(spark, sf_dir)
+    return assign.assign_events(docs, staged_anchors(docs), match_on=("anchor_type", "anchor_value")).select(
+        "event_id", "doc_id"
+    )
+
+
+@query
+def assign_events_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = story_docs(spark, sf_dir)
+    return assign.assign_events(docs, staged_anchors(docs), lookback_seconds=4 * 3600).select("event_id", "doc_id")
+
+
+@query
+def new_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, _, event_docs = assigned(spark, sf_dir)
+    return assign.build_events(with_lane(docs), event_docs).select(
+        "event_id",
+        "status",
+        "summary",
+        "lane",
+        "breaking_score",
+        stamp("first_seen_at").alias("first_seen_at"),
+        stamp("last_seen_at").alias("last_seen_at"),
+    )
+
+
+@query
+def event_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, _, event_docs = assigned(spark, sf_dir)
+    return scoring.event_velocity(event_docs, ad.latest(docs, "seen_at"))
+
+
+@query
+def event_source_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, event_docs = assigned(spark, sf_dir)
+    return scoring.event_source_stats(event_docs, ad.sources(spark, sf_dir))
+
+
+@query
+def event_distinct_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, event_docs = assigned(spark, sf_dir)
+    return scoring.event_source_stats(event_docs, ad.sources(spark, sf_dir), distinct_sources=True).select(
+        "event_id", "source_count"
+    )
+
+
+@query
+def event_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, found, event_docs = assigned(spark, sf_dir)
+    features = evidence.evidence_features(docs, found)
+    return scoring.event_metrics(
+        event_docs, features, ad.sources(spark, sf_dir), ad.latest(docs, "seen_at")
+    ).select("event_id", "max_evidence")
+
+
+@query
+def event_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return story(spark, sf_dir).scores.select(
+        "event_id",
+        "breaking_score",
+        "gap_score",
+        joined("reasons.breaking").alias("breaking_reasons"),
+        joined("reasons.gap").alias("gap_reasons"),
+        stamp("computed_at").alias("computed_at"),
+    )
+
+
+@query
+def alert_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate with a threshold that the test data can reach."""
+    return scoring.alert_candidates(story(spark, sf_dir).scores, threshold=20.0).select(
+        "event_id", "breaking_score", "gap_score"
+    )
+
+
+# --- feed ---
+
+
+def _feed(tables: StoryTables, **filters) -> DataFrame:
+    rows = feed.event_feed(tables.scored_events(), tables.event_docs, tables.anchors, **filters)
+    label = F.transform(
+        "anchors", lambda a: F.concat_ws("=", F.concat_ws(":", a["type"], a["value"]), a["mentions"].cast("string"))
+    )
+    return rows.select(
+        "event_id",
+        "status",
+        "summary",
+        "score",
+        "lane",
+        stamp("created_at").alias("created_at"),
+        "anchor_page",
+        joined(label).alias("anchors"),
+    )
+
+
+@query
+def event_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _feed(story(spark, sf_dir))
+
+
+@query
+def event_feed_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _feed(story(spark, sf_dir), status="NEW", lane="tecnologia", limit=10)
+
+
+@query
+def dashboard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, _, event_docs = assigned(spark, sf_dir)
+    return feed.dashboard_counts(
+        ad.sources(spark, sf_dir), assign.build_events(with_lane(docs), event_docs), docs
+    )
+
+
+@query
+def dashboard_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = story(spark, sf_dir)
+    cards = feed.dashboard_cards(tables.scored_events(), tables.event_docs, tables.anchors)
+    return cards.withColumn("tags", joined("tags"))
+
+
+@query
+def gap_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = story(spark, sf_dir)
+    return feed.gap_ranking(tables.events, tables.scores).withColumn(
+        "evidence_multiplier", F.round("evidence_multiplier", 4)
+    )
+
+
+@query
+def merge_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, found, event_docs = assigned(spark, sf_dir)
+    return merge.merge_audit(event_docs, found, ad.latest(docs, "seen_at")).select(
+        "from_event_id",
+        "to_event_id",
+        "reason_code",
+        F.get_json_object("evidence_json", "$.shared_anchors").cast("bigint").alias("shared_anchors"),
+        stamp("created_at").alias("created_at"),
+    )
+
+
+@query
+def merged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, found, event_docs = assigned(spark, sf_dir)
+    audit = merge.merge_audit(event_docs, found, ad.latest(docs, "seen_at"))
+    events = assign.build_events(with_lane(docs), event_docs)
+    return merge.apply_merges(events, audit).select("event_id", "canonical_event_id", "status")
+
+
+@query
+def resolve_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long merge chains: every order was absorbed by the previous order of the same customer."""
+    orders = ad.table(spark, sf_dir, "orders")
+    half = F.floor(F.col("o_orderkey") / 2).cast("bigint")
+    audit = orders.filter("o_orderkey % 5 <> 0").select(
+        F.col("o_orderkey").alias("from_event_id"), half.alias("to_event_id")
+    )
+    return merge.resolve_redirects(audit)

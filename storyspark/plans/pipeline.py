@@ -1,0 +1,53 @@
+"""The main path: documents to anchors, events, scores and the ranked feed."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from storyspark.functions import fixed_values as fixed
+from storyspark.functions.taxonomy import editorial_lane
+from storyspark.operators.assign import assign_events, build_events
+from storyspark.operators.evidence import evidence_features, extract_anchors
+from storyspark.operators.scoring import score_events
+from storyspark.session import stage
+from storyspark.sinks.tables import mirror_scores
+
+
+@dataclass
+class StoryTables:
+    """Results of one run; every member is a DataFrame over written tables."""
+
+    anchors: DataFrame
+    features: DataFrame
+    event_docs: DataFrame
+    events: DataFrame
+    scores: DataFrame
+
+    def scored_events(self) -> DataFrame:
+        """Events with the computed score in place of the starting one."""
+        return mirror_scores(self.events, self.scores)
+
+
+def with_lane(docs: DataFrame) -> DataFrame:
+    """Lane of each document from its title and the start of its text, hinted by ``source_key``."""
+    snippet = F.substring("clean_text", 1, fixed.LANE_SNIPPET_CHARS)
+    return docs.withColumn(
+        "lane", editorial_lane(title=F.col("title"), snippet=snippet, editoria=F.col("source_key"))
+    )
+
+
+def build_story(docs: DataFrame, sources: DataFrame, as_of: Column) -> StoryTables:
+    """Run the main path over all documents.
+
+    ``docs``: ``doc_id, source_id, source_key, source_domain, tier, is_official, title, url, clean_text,
+    seen_at``. ``sources``: ``source_id, tier, is_official``.
+    """
+    anchors = stage(extract_anchors(docs), "doc-anchors")
+    features = evidence_features(docs, anchors)
+    event_docs = stage(assign_events(docs, anchors), "event-docs")
+    events = stage(build_events(with_lane(docs), event_docs), "events")
+    scores = score_events(events, event_docs, features, sources, as_of)
+    return StoryTables(anchors, features, event_docs, events, scores)
