@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from storyspark.functions import fixed_values as fixed
 from storyspark.functions import taxonomy, text
-from storyspark.operators import assign, evidence, feed, merge, scoring
+from storyspark.operators import assign, evidence, feed, merge, neardup, scoring, similar
 from storyspark.plans import adapters as ad
 from storyspark.plans.pipeline import StoryTables, build_story, with_lane
 from storyspark.session import stage
+from storyspark.sinks import tables
+from storyspark.sources import feeds, fetches, html, profiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -235,8 +237,8 @@ def alert_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- feed ---
 
 
-def _feed(tables: StoryTables, **filters) -> DataFrame:
-    rows = feed.event_feed(tables.scored_events(), tables.event_docs, tables.anchors, **filters)
+def _feed(built: StoryTables, **filters) -> DataFrame:
+    rows = feed.event_feed(built.scored_events(), built.event_docs, built.anchors, **filters)
     label = F.transform(
         "anchors", lambda a: F.concat_ws("=", F.concat_ws(":", a["type"], a["value"]), a["mentions"].cast("string"))
     )
@@ -272,15 +274,15 @@ def dashboard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dashboard_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = story(spark, sf_dir)
-    cards = feed.dashboard_cards(tables.scored_events(), tables.event_docs, tables.anchors)
+    built = story(spark, sf_dir)
+    cards = feed.dashboard_cards(built.scored_events(), built.event_docs, built.anchors)
     return cards.withColumn("tags", joined("tags"))
 
 
 @query
 def gap_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = story(spark, sf_dir)
-    return feed.gap_ranking(tables.events, tables.scores).withColumn(
+    built = story(spark, sf_dir)
+    return feed.gap_ranking(built.events, built.scores).withColumn(
         "evidence_multiplier", F.round("evidence_multiplier", 4)
     )
 
@@ -314,3 +316,302 @@ def resolve_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("from_event_id"), half.alias("to_event_id")
     )
     return merge.resolve_redirects(audit)
+
+
+# --- sources, fetches and documents ---
+
+
+@query
+def active_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = profiles.active_profiles(ad.profiles(spark, sf_dir))
+    return found.select(
+        "id",
+        "source_key",
+        "source_domain",
+        "tier",
+        "is_official",
+        "lang",
+        "pool",
+        "strategy",
+        F.col("cadence.cron").alias("cron"),
+        "rate_limit_req_per_min",
+        "concurrency_per_domain",
+        "timeout_seconds",
+        "max_bytes",
+        "starvation_window_hours",
+        "baseline_rolling",
+    )
+
+
+@query
+def rejected_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = profiles.rejected_profiles(ad.profiles(spark, sf_dir))
+    return rows.select("id", "domain", joined("errors").alias("errors"))
+
+
+@query
+def pool_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = profiles.active_profiles(ad.profiles(spark, sf_dir))
+    return rows.groupBy(profiles.fetch_queue(F.col("pool")).alias("queue")).agg(F.count("*").alias("n"))
+
+
+@query
+def endpoint_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = profiles.parse_profiles(ad.profiles(spark, sf_dir))
+    return rows.select(
+        "id",
+        profiles.fetch_url(F.col("endpoints")).alias("fetch_url"),
+        profiles.document_url(F.lit(""), F.col("endpoints")).alias("document_url"),
+    )
+
+
+def feed_bodies(spark: SparkSession, sf_dir: str, atom: bool = False) -> DataFrame:
+    """Feed documents of ten items each, made of the documents table."""
+    docs = ad.table(spark, sf_dir, "documents")
+
+    def escaped(column: Column) -> Column:
+        return F.replace(F.replace(column, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+    def tag(name: str, value: Column) -> Column:
+        return F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
+
+    title = tag("title", F.concat(F.lit("Nota "), "doc_id"))
+    link = F.concat(F.lit("https://news.example.org/"), "doc_id")
+    body = escaped(F.col("text"))
+    if atom:
+        item = tag("entry", F.concat(title, F.lit('<link href="'), link, F.lit('"/>'), tag("summary", body)))
+    else:
+        kind = F.col("doc_id") % 3
+        text_tags = (
+            F.when(kind == 0, tag("description", body))
+            .when(kind == 1, F.concat(tag("summary", body), tag("description", F.lit("short"))))
+            .otherwise(F.lit(""))
+        )
+        item = tag("item", F.concat(title, tag("link", link), text_tags))
+    feeds = docs.groupBy(F.floor(F.col("doc_id") / 10).alias("feed_id")).agg(
+        F.array_sort(F.collect_list(F.struct("doc_id", item.alias("item")))).alias("items")
+    )
+    items = F.array_join(F.transform("items", lambda i: i["item"]), "\n")
+    whole = tag("feed", items) if atom else tag("rss", tag("channel", F.concat(F.lit("<title>Feed</title>"), items)))
+    return feeds.select("feed_id", whole.alias("body"))
+
+
+def _items(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "feed_id", F.col("item_no").cast("bigint").alias("item_no"), "title", "url", F.sha2("text", 256).alias("text_sha256")
+    )
+
+
+@query
+def rss_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _items(feeds.rss_items(feed_bodies(spark, sf_dir)))
+
+
+@query
+def atom_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _items(feeds.atom_items(feed_bodies(spark, sf_dir, atom=True)))
+
+
+@query
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.page_items(ad.table(spark, sf_dir, "pages")).select(
+        "page_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_sha256")
+    )
+
+
+@query
+def table_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table cells: lines and words of the conversations stand for rows and cells."""
+    turns = ad.table(spark, sf_dir, "conversations")
+    cells = F.transform(F.split("text", "\n"), lambda line: F.split(line, " "))
+    return turns.select("conv_id", "turn", F.sha2(text.table_text(cells), 256).alias("table_sha256"))
+
+
+@query
+def body_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ad.table(spark, sf_dir, "pages").select("page_id", fetches.body_hash(F.col("html")).alias("content_hash"))
+
+
+@query
+def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = ad.table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("source_id"),
+        "url",
+        F.col("html").alias("body"),
+        F.lit(200).alias("status_code"),
+        (F.col("page_id") % 977 / 311.0).alias("elapsed_s"),
+        F.lit("FAST_POOL").alias("pool"),
+        (F.timestamp_seconds(F.lit(1704067200) + F.col("page_id"))).alias("attempted_at"),
+    )
+    rows = fetches.fetch_records(pages)
+    return rows.select("source_id", "url", "status_code", "latency_ms", "bytes", "pool", "snapshot_hash", stamp("attempted_at").alias("attempted_at"))
+
+
+@query
+def snapshot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of the second half of the day that the first half did not bring."""
+    bodies = ad.docs(spark, sf_dir).select(
+        F.col("doc_id").alias("fetch_id"),
+        F.concat(F.lit("https://news.example.org/"), "doc_id").alias("url"),
+        F.col("seen_at").alias("fetched_at"),
+    ).join(ad.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("fetch_id"), F.col("text").alias("body")), "fetch_id")
+    morning = F.hour("fetched_at") < 12
+    history = bodies.filter(morning).select(fetches.body_hash(F.col("body")).alias("snapshot_hash")).distinct()
+    return fetches.new_snapshots(bodies.filter(~morning), history).select(
+        "snapshot_hash", "url", stamp("fetched_at").alias("fetched_at"), "copies"
+    )
+
+
+@query
+def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items without title or link every few rows, so that both defaults occur."""
+    docs = story_docs(spark, sf_dir)
+    endpoints = F.create_map(F.lit("latest"), F.concat(F.lit("https://"), "source_domain", F.lit("/latest")))
+    items = docs.select(
+        "doc_id",
+        "source_id",
+        "source_domain",
+        endpoints.alias("endpoints"),
+        F.when(F.col("doc_id") % 4 > 0, F.col("title")).alias("title"),
+        F.when(F.col("doc_id") % 3 > 0, F.col("url")).otherwise(F.lit("")).alias("item_url"),
+        F.col("clean_text").alias("text"),
+        fetches.body_hash(F.col("clean_text")).alias("body_hash"),
+        "seen_at",
+    )
+    rows = fetches.document_records(items)
+    return rows.select(
+        "doc_id", "source_id", "url", "title", F.length("clean_text").cast("bigint").alias("n_chars"), "content_hash", "body_hash", "version_no"
+    )
+
+
+# --- sinks ---
+
+
+def score_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ad.table(spark, sf_dir, "events")
+    return rows.select(F.col("user_id").alias("event_id"), F.col("value").alias("breaking_score"), F.col("ts").alias("computed_at"))
+
+
+@query
+def score_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores stored up to 20 January, then later ones of some events on top."""
+    rows = score_history(spark, sf_dir)
+    early = F.col("computed_at") < F.lit("2024-01-20").cast("timestamp")
+    stored = tables.latest_scores(rows.filter(early))
+    incoming = rows.filter(~early & (F.col("breaking_score") > 60))
+    return tables.upsert_scores(stored, incoming).select(
+        "event_id", "breaking_score", F.unix_micros("computed_at").alias("computed_at_us")
+    )
+
+
+@query
+def score_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return story(spark, sf_dir).scored_events().select("event_id", "status", "breaking_score")
+
+
+@query
+def draft_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, found, event_docs = assigned(spark, sf_dir)
+    features = evidence.evidence_features(docs, found)
+    per_doc = found.groupBy("doc_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("anchor_no", "anchor_value"))), lambda a: a["anchor_value"]).alias("anchors")
+    )
+    first = event_docs.filter("is_primary").select("event_id", F.col("event_id").alias("doc_id"))
+    rows = (
+        first.join(docs, "doc_id")
+        .join(features.select("doc_id", "evidence_score"), "doc_id")
+        .join(per_doc, "doc_id", "left")
+        .select(
+            "event_id",
+            F.when(F.col("doc_id") % 5 > 0, F.col("title")).alias("title"),
+            "clean_text",
+            F.array("source_key").alias("sources"),
+            F.coalesce("anchors", F.array().cast("array<string>")).alias("anchors"),
+            "evidence_score",
+            F.array().cast("array<string>").alias("reasons"),
+            F.array(F.struct(stamp("seen_at").alias("at"), "url")).alias("timeline"),
+            F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 10 / 10.0).alias("confidence"),
+        )
+    )
+    drafts = tables.draft_articles(rows, F.lit("2024-03-01 00:00:00").cast("timestamp"))
+
+    def field(path: str) -> Column:
+        return F.get_json_object("draft_json", f"$.{path}")
+
+    return drafts.select(
+        "event_id",
+        field("title").alias("title"),
+        field("status").alias("status"),
+        F.sha2(field("body"), 256).alias("body_sha256"),
+        field("provenance[0]").alias("provenance"),
+        field("evidence.anchors[0]").alias("first_anchor"),
+        field("evidence.evidence_score").cast("double").alias("evidence_score"),
+        field("timeline[0].at").alias("timeline_at"),
+        field("created_at").alias("created_at"),
+        field("needs_review").alias("needs_review"),
+        field("review_reason").alias("review_reason"),
+    )
+
+
+@query
+def feedback_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.check_feedback(ad.events_view(spark, sf_dir, ad.FEEDBACK))
+    return rows.select("feedback_id", "event_id", "action", "actor", "is_valid")
+
+
+@query
+def feedback_ignored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, _, event_docs = assigned(spark, sf_dir)
+    events = assign.build_events(with_lane(docs), event_docs)
+    return tables.apply_feedback(events, ad.events_view(spark, sf_dir, ad.FEEDBACK)).select("event_id", "status")
+
+
+# --- fingerprints and similarity ---
+
+
+@query
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = text.tokens(F.col("text"))
+    return ad.table(spark, sf_dir, "documents").select(
+        "doc_id", F.size(found).cast("bigint").alias("n_tokens"), F.sha2(F.array_join(found, " "), 256).alias("tokens_sha256")
+    )
+
+
+@query
+def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.document_simhash(ad.table(spark, sf_dir, "documents"), "text")
+
+
+@query
+def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.duplicate_groups(neardup.document_simhash(ad.table(spark, sf_dir, "documents"), "text"))
+
+
+@query
+def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashes = stage(neardup.document_simhash(ad.table(spark, sf_dir, "documents"), "text"), "simhash")
+    return neardup.near_duplicate_pairs(hashes)
+
+
+@query
+def turn_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token-set similarity of every conversation turn and the next one."""
+    turns = ad.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.tokens(F.col("text")).alias("t"))
+    following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("next_t"))
+    return turns.join(following, ["conv_id", "turn"]).select(
+        "conv_id", "turn", F.round(text.jaccard(F.col("t"), F.col("next_t")), 9).alias("jaccard")
+    )
+
+
+@query
+def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = similar.similar_pairs(ad.table(spark, sf_dir, "documents"), 0.6, "text")
+    return rows.withColumn("jaccard", F.round("jaccard", 9))
+
+
+BM25_TERMS = ["acórdão", "portaria", "processo", "the"]
+
+
+@query
+def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.bm25_top(ad.docs(spark, sf_dir), BM25_TERMS).withColumn("length", F.col("length").cast("bigint"))

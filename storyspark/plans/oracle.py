@@ -304,3 +304,153 @@ ORACLE["resolve_redirects"] = """WITH RECURSIVE audit AS (
   SELECT o_orderkey AS a, CAST(floor(o_orderkey / 2) AS BIGINT) AS b FROM orders WHERE o_orderkey % 5 <> 0),
   chain AS (SELECT a, b FROM audit UNION ALL SELECT c.a, n.b FROM chain c JOIN audit n ON n.a = c.b)
 SELECT a AS from_event_id, min(b) AS to_event_id FROM chain GROUP BY a"""
+
+PROFILES = f"""raw AS ({_view(ad.PROFILES, pages='pages')}),
+  profiles AS (SELECT id, domain, url, enabled, CASE WHEN json_valid(fetch_policy_json) THEN fetch_policy_json::JSON END AS j FROM raw),
+  parsed AS (SELECT id, domain, enabled, j ->> '$.source_id' AS source_key, coalesce(j ->> '$.source_domain', domain) AS source_domain,
+      CAST(j ->> '$.tier' AS INT) AS tier, coalesce(CAST(j ->> '$.is_official' AS BOOLEAN), false) AS is_official,
+      coalesce(j ->> '$.lang', 'pt-BR') AS lang, j ->> '$.pool' AS pool, j ->> '$.strategy' AS strategy,
+      j -> '$.cadence' AS cadence, j ->> '$.cadence.cron' AS cron, j -> '$.endpoints' AS endpoints,
+      coalesce(CAST(j ->> '$.limits.rate_limit_req_per_min' AS INT), 10) AS rate_limit_req_per_min, 1 AS concurrency_per_domain,
+      coalesce(CAST(j ->> '$.limits.timeout_seconds' AS INT), 30) AS timeout_seconds,
+      coalesce(CAST(j ->> '$.limits.max_bytes' AS BIGINT), 5000000) AS max_bytes, 24 AS starvation_window_hours, true AS baseline_rolling
+    FROM profiles),
+  checked AS (SELECT *, concat_ws('|', CASE WHEN source_key IS NULL THEN 'source_id_missing' END,
+      CASE WHEN coalesce(tier, 0) NOT BETWEEN 1 AND 3 THEN 'tier_out_of_range' END,
+      CASE WHEN NOT coalesce({_in('pool', fixed.POOLS)}, false) THEN 'pool_unknown' END,
+      CASE WHEN NOT coalesce({_in('strategy', fixed.STRATEGIES)}, false) THEN 'strategy_unknown' END,
+      CASE WHEN endpoints IS NULL OR endpoints::VARCHAR = '{{}}' THEN 'endpoints_empty' END,
+      CASE WHEN cadence IS NULL THEN 'cadence_missing' END,
+      CASE WHEN cron <> '' AND len(string_split(cron, ' ')) <> 5 THEN 'cron_fields' END,
+      CASE WHEN timeout_seconds < 1 THEN 'timeout_seconds_too_small' END,
+      CASE WHEN max_bytes < 1024 THEN 'max_bytes_too_small' END) AS errors FROM parsed)"""
+
+ORACLE["active_profiles"] = f"""WITH {PROFILES}
+SELECT * EXCLUDE (domain, enabled, cadence, endpoints, errors) FROM checked WHERE enabled AND errors = ''"""
+
+ORACLE["rejected_profiles"] = f"WITH {PROFILES} SELECT id, domain, errors FROM checked WHERE enabled AND errors <> ''"
+
+ORACLE["pool_routing"] = f"""WITH {PROFILES}
+SELECT CASE pool WHEN 'HEAVY_RENDER_POOL' THEN 'fetch_render' WHEN 'DEEP_EXTRACT_POOL' THEN 'fetch_deep' ELSE 'fetch_fast' END AS queue,
+  count(*) AS n FROM checked WHERE enabled AND errors = '' GROUP BY 1"""
+
+ORACLE["endpoint_choice"] = f"""WITH {PROFILES}
+SELECT id, coalesce(nullif(endpoints ->> '$.feed', ''), nullif(endpoints ->> '$.latest', ''), nullif(endpoints ->> '$.api', '')) AS fetch_url,
+  coalesce(nullif(endpoints ->> '$.feed', ''), nullif(endpoints ->> '$.latest', '')) AS document_url FROM checked"""
+
+_ITEM = """SELECT CAST(floor(doc_id / 10) AS BIGINT) AS feed_id,
+  row_number() OVER (PARTITION BY CAST(floor(doc_id / 10) AS BIGINT) ORDER BY doc_id) - 1 AS item_no,
+  'Nota ' || doc_id AS title, 'https://news.example.org/' || doc_id AS url, sha256({t}) AS text_sha256 FROM documents"""
+ORACLE["rss_items"] = _ITEM.format(t="CASE WHEN doc_id % 3 = 2 THEN '' ELSE text END")
+ORACLE["atom_items"] = _ITEM.format(t="text")
+
+ORACLE["html_text"] = r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', ' ', 'g'),
+    '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<template\b.*?</template\s*>|<head\b.*?</head\s*>|<nav\b.*?</nav\s*>|<header\b.*?</header\s*>|<footer\b.*?</footer\s*>|<aside\b.*?</aside\s*>', ' ', 'g') AS body FROM pages),
+  b AS (SELECT page_id, coalesce(nullif(regexp_extract(body, '(?is)<article\b[^>]*>(.*?)</article\s*>', 1), ''),
+    nullif(regexp_extract(body, '(?is)<main\b[^>]*>(.*?)</main\s*>', 1), ''), body) AS t FROM a),
+  c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '(?is)</t[dh]\s*>\s*<t[dh]\b[^>]*>', ' | ', 'g'),
+    '(?is)</?(?:p|div|br|hr|ul|ol|li|dl|dt|dd|h[1-6]|table|thead|tbody|tfoot|tr|td|th|section|article|main|blockquote|pre|figure|figcaption|form)\b[^>]*>', E'\n', 'g'),
+    '(?s)<[^>]*>', '', 'g') AS t FROM b),
+  d AS (SELECT page_id, replace(replace(replace(replace(t, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&') AS t FROM c),
+  e AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t\r\f]+', ' ', 'g'), ' ?(?:\n ?)+', E'\n', 'g'), '^\s+|\s+$', '', 'g') AS t FROM d)
+SELECT page_id, length(t) AS n_chars, sha256(t) AS text_sha256 FROM e WHERE t <> ''"""
+
+ORACLE["table_text"] = r"""WITH lines AS (SELECT conv_id, turn, list_transform(string_split(text, E'\n'),
+    lambda l: array_to_string(list_filter(string_split(l, ' '), lambda c: c <> ''), ' | ')) AS l FROM conversations)
+SELECT conv_id, turn, sha256(E'\n[TABLE]\n' || array_to_string(list_filter(l, lambda x: x <> ''), E'\n') || E'\n[/TABLE]\n') AS table_sha256 FROM lines"""
+
+ORACLE["body_hash"] = "SELECT page_id, sha256(html) AS content_hash FROM pages"
+
+ORACLE["fetch_log"] = """SELECT page_id AS source_id, url, 200 AS status_code, CAST(trunc(page_id % 977 / 311.0::DOUBLE * 1000) AS INT) AS latency_ms,
+  CAST(length(html) AS INT) AS bytes, 'FAST_POOL' AS pool, sha256(html) AS snapshot_hash,
+  strftime(TIMESTAMP '2024-01-01 00:00:00' + page_id * INTERVAL '1' SECOND, '%Y-%m-%d %H:%M:%S') AS attempted_at FROM pages"""
+
+ORACLE["snapshot_dedup"] = f"""WITH {STORY_DOCS}, bodies AS (
+  SELECT d.doc_id, seen_at, sha256(text) AS h FROM docs d JOIN documents USING (doc_id)),
+  late AS (SELECT * FROM bodies WHERE hour(seen_at) >= 12)
+SELECT h AS snapshot_hash, 'https://news.example.org/' || arg_min(doc_id, (seen_at, doc_id)) AS url,
+  {_stamp('min(seen_at)')} AS fetched_at, count(*) AS copies
+FROM late WHERE h NOT IN (SELECT h FROM bodies WHERE hour(seen_at) < 12) GROUP BY h"""
+
+ORACLE["document_records"] = f"""WITH {STORY_DOCS}
+SELECT doc_id, source_id, CASE WHEN doc_id % 3 > 0 THEN url ELSE 'https://' || source_domain || '/latest' END AS url,
+  CASE WHEN doc_id % 4 > 0 AND title <> '' THEN title ELSE 'Sugestão de Pauta: ' || source_domain END AS title,
+  least(length(clean_text), 10000) AS n_chars, sha256(substr(clean_text, 1, 10000)) AS content_hash, sha256(clean_text) AS body_hash, 1 AS version_no
+FROM docs"""
+
+ORACLE["score_upsert"] = """WITH ranked AS (SELECT user_id AS event_id, value AS breaking_score, ts, ts >= TIMESTAMP '2024-01-20' AS late FROM events),
+  kept AS (SELECT * FROM ranked WHERE NOT late OR breaking_score > 60)
+SELECT event_id, breaking_score, epoch_us(ts) AS computed_at_us FROM kept
+QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts DESC) = 1"""
+
+ORACLE["score_mirror"] = f"{STORY} SELECT event_id, status, score AS breaking_score FROM scores"
+
+ORACLE["draft_export"] = f"""{ASSIGNED}, {FEATURES},
+  first_anchor AS (SELECT doc_id, arg_min(anchor_value, (type_no, pos)) AS a FROM anchors GROUP BY doc_id)
+SELECT event_id, CASE WHEN d.doc_id % 5 > 0 THEN title END AS title, 'DRAFT' AS status, sha256(clean_text) AS body_sha256,
+  source_key AS provenance, a AS first_anchor, evidence_score, {_stamp('d.seen_at')} AS timeline_at,
+  '2024-03-01T00:00:00Z' AS created_at,
+  CASE WHEN d.doc_id % 3 > 0 AND d.doc_id % 10 < 7 THEN 'true' END AS needs_review,
+  CASE WHEN d.doc_id % 3 > 0 AND d.doc_id % 10 < 7 THEN 'Low confidence in automated extraction' END AS review_reason
+FROM event_docs e JOIN docs d ON d.doc_id = e.doc_id JOIN features f ON f.doc_id = d.doc_id LEFT JOIN first_anchor x ON x.doc_id = d.doc_id
+WHERE is_primary"""
+
+FEEDBACK = f"feedback AS ({_view(ad.FEEDBACK, events='events')})"
+ORACLE["feedback_log"] = f"""WITH {FEEDBACK}
+SELECT feedback_id, event_id, action, coalesce(payload_json ->> '$.user_id', 'anonymous') AS actor,
+  {_in('action', fixed.FEEDBACK_ACTIONS)} AS is_valid FROM feedback"""
+
+ORACLE["feedback_ignored_events"] = f"""{ASSIGNED}, {EVENTS}, {FEEDBACK}
+SELECT event_id, CASE WHEN event_id IN (SELECT event_id FROM feedback WHERE action = 'IGNORE') THEN 'IGNORED' ELSE status END AS status
+FROM story_events"""
+
+_TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower({t}), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+'), lambda x: x <> '')"
+
+
+def _tokens(t: str) -> str:
+    return _TOKENS.replace("{t}", t)
+
+
+ORACLE["tokens"] = f"""WITH t AS (SELECT doc_id, {_tokens('text')} AS w FROM documents)
+SELECT doc_id, len(w) AS n_tokens, sha256(array_to_string(w, ' ')) AS tokens_sha256 FROM t"""
+
+_BITS = ", ".join(
+    f"sum(CASE WHEN (h >> {i}) & 1 = 1 THEN 1 ELSE -1 END) AS b{i}" for i in range(64)
+)
+_FOLD = " + ".join(f"CASE WHEN b{i} > 0 THEN {1 << i}::HUGEINT ELSE 0 END" for i in range(64))
+SIMHASH = f"""words AS (SELECT doc_id, unnest({_tokens('text')}) AS w FROM documents),
+  hashed AS (SELECT doc_id, ('0x' || substr(md5(w), 17, 16))::UBIGINT AS h FROM words),
+  votes AS (SELECT doc_id, count(*) AS n, {_BITS} FROM hashed GROUP BY doc_id),
+  folded AS (SELECT doc_id, n, {_FOLD} AS u FROM votes),
+  simhashes AS (SELECT d.doc_id, CAST(coalesce(CASE WHEN u >= {1 << 63}::HUGEINT THEN u - {1 << 64}::HUGEINT ELSE u END, 0) AS BIGINT) AS simhash,
+    coalesce(n, 0) AS token_count FROM documents d LEFT JOIN folded USING (doc_id))"""
+ORACLE["simhash"] = f"WITH {SIMHASH} SELECT * FROM simhashes"
+
+_GROUPS = "groups AS (SELECT simhash, min(doc_id) AS doc_id, count(*) AS copies FROM simhashes WHERE token_count > 0 GROUP BY simhash)"
+ORACLE["duplicate_groups"] = f"WITH {SIMHASH}, {_GROUPS} SELECT * FROM groups"
+
+ORACLE["near_dup_pairs"] = f"""WITH {SIMHASH}, {_GROUPS}
+SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, a.copies AS copies_a, b.copies AS copies_b,
+  1 - bit_count(xor(a.simhash, b.simhash)) / 64.0::DOUBLE AS similarity
+FROM groups a JOIN groups b ON a.doc_id < b.doc_id WHERE bit_count(xor(a.simhash, b.simhash)) <= 3"""
+
+ORACLE["turn_jaccard"] = f"""WITH t AS (SELECT conv_id, turn, list_distinct({_tokens('text')}) AS w FROM conversations)
+SELECT a.conv_id, a.turn, round(CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0
+  ELSE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))::DOUBLE END, 9) AS jaccard
+FROM t a JOIN t b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1"""
+
+ORACLE["jaccard_pairs"] = f"""WITH t AS (SELECT doc_id, list_sort(list_distinct({_tokens('text')})) AS w FROM documents),
+  sets AS (SELECT min(doc_id) AS id, count(*) AS copies, w FROM t WHERE len(w) > 0 GROUP BY w),
+  words AS (SELECT id, len(w) AS n, unnest(w) AS token FROM sets),
+  shared AS (SELECT a.id AS x, b.id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS common
+    FROM words a JOIN words b ON a.token = b.token AND a.id < b.id GROUP BY a.id, b.id)
+SELECT x AS doc_a, y AS doc_b, a.copies AS copies_a, b.copies AS copies_b, round(common / (nx + ny - common)::DOUBLE, 9) AS jaccard
+FROM shared JOIN sets a ON a.id = x JOIN sets b ON b.id = y WHERE common / (nx + ny - common)::DOUBLE >= 0.6"""
+
+ORACLE["bm25_top"] = f"""WITH {DOCS}, t AS (SELECT doc_id, {_tokens('clean_text')} AS w FROM docs0),
+  sizes AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t),
+  tf AS (SELECT doc_id, len(w) AS length, term, len(list_filter(w, lambda x: x = term)) AS tf
+    FROM t, (VALUES ('acórdão'), ('portaria'), ('processo'), ('the')) q(term)),
+  df AS (SELECT term, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY term)
+SELECT doc_id, length, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS bm25
+FROM tf JOIN df USING (term), sizes GROUP BY doc_id, length HAVING sum(tf) > 0 ORDER BY bm25 DESC, doc_id LIMIT 20"""
