@@ -34,12 +34,21 @@ def with_previous(
     Equal to ``lag`` over the whole key, but a key is sorted in chunks: ``lag`` runs inside each chunk and
     only one closing row per chunk crosses over. ``chunk`` must not decrease as ``order`` increases.
     """
+    return _neighbour(df, keys, order, chunk, value, name, F.lag, F.max_by)
+
+
+def with_next(df: DataFrame, keys: list[str], order: str, chunk: Column, value: Column, name: str) -> DataFrame:
+    """Like :func:`with_previous` with the following row: ``lead`` in chunks."""
+    return _neighbour(df, keys, order, chunk, value, name, F.lead, F.min_by)
+
+
+def _neighbour(df: DataFrame, keys: list[str], order: str, chunk: Column, value: Column, name: str, step, edge) -> DataFrame:
     chunked = df.withColumn("_chunk", chunk).withColumn("_value", value)
     inside = W.partitionBy(*keys, "_chunk").orderBy(order)
-    rows = chunked.withColumn("_inside", F.lag("_value").over(inside))
-    closing = chunked.groupBy(*keys, "_chunk").agg(F.max_by("_value", order).alias("_last"))
-    carried = closing.select(
-        *keys, "_chunk", F.lag("_last").over(W.partitionBy(*keys).orderBy("_chunk")).alias("_carried")
+    rows = chunked.withColumn("_inside", step("_value").over(inside))
+    edges = chunked.groupBy(*keys, "_chunk").agg(edge("_value", order).alias("_edge"))
+    carried = edges.select(
+        *keys, "_chunk", step("_edge").over(W.partitionBy(*keys).orderBy("_chunk")).alias("_carried")
     )
     return (
         rows.join(carried, [*keys, "_chunk"], "left")

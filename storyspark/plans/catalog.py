@@ -7,14 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storyspark.functions import anchors as anchor_columns
 from storyspark.functions import fixed_values as fixed
+from storyspark.functions import states as state_rules
 from storyspark.functions import taxonomy, text
-from storyspark.operators import assign, evidence, feed, merge, neardup, scoring, similar
+from storyspark.operators import (
+    alerts,
+    assign,
+    changes,
+    evidence,
+    feed,
+    health,
+    merge,
+    neardup,
+    scoring,
+    similar,
+    states,
+    versions,
+)
+from storyspark.operators.hotkeys import with_next
 from storyspark.plans import adapters as ad
 from storyspark.plans.pipeline import StoryTables, build_story, with_lane
 from storyspark.session import stage
 from storyspark.sinks import tables
 from storyspark.sources import feeds, fetches, html, profiles
+from storyspark.streaming import runner, timers, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -615,3 +632,228 @@ BM25_TERMS = ["acórdão", "portaria", "processo", "the"]
 @query
 def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.bm25_top(ad.docs(spark, sf_dir), BM25_TERMS).withColumn("length", F.col("length").cast("bigint"))
+
+
+# --- deltas and states ---
+
+
+def version_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ad.versions(spark, sf_dir)
+    values = F.transform(anchor_columns.anchor_array(F.col("clean_text")), lambda a: a["anchor_value"])
+    return rows.select("url", F.col("version_no"), values.alias("anchors"), "value", "time")
+
+
+def _deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.full_deltas(version_rows(spark, sf_dir))
+
+
+_VERSION_KEY = ("url", "from_version", "to_version")
+
+
+@query
+def anchor_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _deltas(spark, sf_dir).select(
+        *_VERSION_KEY, joined("anchors.added").alias("added"), joined("anchors.removed").alias("removed")
+    )
+
+
+@query
+def value_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _deltas(spark, sf_dir).select(
+        *_VERSION_KEY,
+        F.col("values.from").alias("from_value"),
+        F.col("values.to").alias("to_value"),
+        F.col("values.diff").alias("diff"),
+    )
+
+
+@query
+def temporal_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _deltas(spark, sf_dir).select(*_VERSION_KEY, "temporal.previous_time", "temporal.new_time", "temporal.is_postponed")
+
+
+@query
+def full_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _deltas(spark, sf_dir)
+    return rows.select(
+        *_VERSION_KEY,
+        joined("anchors.added").alias("added"),
+        F.col("values").isNotNull().alias("value_changed"),
+        F.col("temporal").isNotNull().alias("time_changed"),
+    )
+
+
+@query
+def state_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ad.events_view(spark, sf_dir, ad.STATES)
+    step = state_rules.next_status(F.col("status"), F.col("pool"), F.col("started_at"), F.col("ts"))
+    return rows.select("event_id", "status", step.alias("next_status"))
+
+
+@query
+def state_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ad.events_view(spark, sf_dir, ad.STATES)
+    moved = states.state_transitions(rows, ad.latest(ad.table(spark, sf_dir, "events"), "ts"))
+    return moved.select("event_id", "old_status", "status", "status_reason")
+
+
+@query
+def quarantine_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ad.events_view(spark, sf_dir, ad.STATES)
+    return rows.select("event_id", state_rules.is_quarantine_case(F.col("value"), F.col("source_count")).alias("is_quarantine"))
+
+
+@query
+def viral_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ad.events_view(spark, sf_dir, ad.STATES)
+    return rows.select("event_id", state_rules.is_unverified_viral(F.col("value"), F.col("source_count")).alias("is_viral"))
+
+
+@query
+def quarantine_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ad.events_view(spark, sf_dir, ad.STATES)
+    as_of = F.col("ts") + F.expr("INTERVAL 14 MINUTES")
+    return rows.select(
+        "event_id", state_rules.expire_quarantine(F.col("status"), F.col("started_at"), as_of).alias("status")
+    )
+
+
+# --- health, alerts, changes and feedback ---
+
+
+@query
+def yield_starvation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = health.yield_starvation(ad.events_view(spark, sf_dir, ad.FETCHES))
+    return rows.select("source_id", stamp("window_start").alias("window_start"), "attempts")
+
+
+@query
+def yield_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = health.yield_baseline(ad.events_view(spark, sf_dir, ad.FETCHES))
+    return rows.select(
+        "source_id",
+        stamp("slot").alias("slot"),
+        "attempts",
+        F.round("mean_yield", 6).alias("mean_yield"),
+        F.round("baseline_yield", 6).alias("baseline_yield"),
+    )
+
+
+@query
+def slo_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.latency_p95(ad.events_view(spark, sf_dir, ad.FETCHES))
+
+
+@query
+def fetch_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.error_counts(ad.events_view(spark, sf_dir, ad.FETCHES))
+
+
+@query
+def alert_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alerts.alert_transitions(ad.events_view(spark, sf_dir, ad.OBSERVATIONS))
+    return rows.select("event_id", "observation_id", "alert_hash")
+
+
+@query
+def alert_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With an hour of cooldown, so that runs of silenced candidates occur in the test data."""
+    candidates = stage(alerts.alert_transitions(ad.events_view(spark, sf_dir, ad.OBSERVATIONS)), "alert-candidates")
+    return alerts.sent_alerts(candidates, cooldown_s=3600).select(
+        "event_id", "observation_id", F.unix_micros("cooldown_until").alias("cooldown_until_us")
+    )
+
+
+@query
+def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starting events against scored and merged ones."""
+    docs, found, event_docs = assigned(spark, sf_dir)
+    features = evidence.evidence_features(docs, found)
+    as_of = ad.latest(docs, "seen_at")
+    old = stage(assign.build_events(with_lane(docs), event_docs), "events")
+    scores = scoring.score_events(old, event_docs, features, ad.sources(spark, sf_dir), as_of)
+    fresh = scores.filter("source_count > 1")
+    new = merge.apply_merges(tables.mirror_scores(old, fresh), merge.merge_audit(event_docs, found, as_of))
+    return changes.change_feed(old, new)
+
+
+@query
+def feedback_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, _, event_docs = assigned(spark, sf_dir)
+    events = assign.build_events(with_lane(docs), event_docs)
+    rows = changes.feedback_stats(ad.events_view(spark, sf_dir, ad.FEEDBACK), events, by="lane")
+    return rows.withColumn("ignored_rate", F.round("ignored_rate", 9))
+
+
+@query
+def feedback_stats_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, event_docs = assigned(spark, sf_dir)
+    first = event_docs.filter("is_primary").select("event_id", "source_id")
+    rows = changes.feedback_stats(ad.events_view(spark, sf_dir, ad.FEEDBACK), first, by="source_id")
+    return rows.withColumn("ignored_rate", F.round("ignored_rate", 9))
+
+
+# --- streams, run over all that is there ---
+
+
+def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return runner.read_files(runner.stream_session(spark), sf_dir, f"{name}.parquet")
+
+
+def stream_view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    rows = stream_of(spark, sf_dir, "events")
+    return rows.sparkSession.sql(sql.replace("{k}", "get_json_object(props, '$.k')"), events=rows)
+
+
+@query
+def stream_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stream_of(spark, sf_dir, "events")
+    docs = rows.select((F.col("user_id") % 5).alias("event_id"), F.col("ts").alias("seen_at"))
+    found = runner.run_available(windows.event_velocity(docs), spark, "velocity")
+    return found.select("event_id", stamp("start").alias("window_start"), "velocity")
+
+
+@query
+def stream_starvation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stream_view(spark, sf_dir, ad.FETCHES)
+    found = runner.run_available(windows.yield_starvation(rows), spark, "starvation")
+    return found.select("source_id", stamp("window_start").alias("window_start"), "attempts")
+
+
+@query
+def stream_first_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One fetch per body; which copy comes first is open, so only the hash is shown."""
+    rows = stream_of(spark, sf_dir, "documents").select(
+        F.col("text").alias("body"), F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("fetched_at")
+    )
+    return runner.run_available(windows.first_fetches(rows), spark, "fetches").select("snapshot_hash")
+
+
+def _state_log(rows: DataFrame) -> DataFrame:
+    return rows.select((F.col("user_id") % 20).alias("event_id"), "status", "pool", F.col("ts").alias("at"))
+
+
+@query
+def stream_state_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _state_log(stream_view(spark, sf_dir, ad.STATES.replace("event_id, ts", "event_id, user_id, ts")))
+    found = runner.run_available(timers.state_timeouts(rows), spark, "timeouts")
+    return found.select("event_id", "old_status", "status", F.unix_micros("at").alias("at_us"))
+
+
+@query
+def timed_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch form of the timeouts, over the same log."""
+    rows = _state_log(ad.events_view(spark, sf_dir, ad.STATES.replace("event_id, ts", "event_id, user_id, ts")))
+    log = with_next(rows, ["event_id"], "at", F.to_date("at"), F.struct("at"), "following").withColumn(
+        "next_at", F.col("following.at")
+    )
+    as_of = ad.latest(ad.table(spark, sf_dir, "events"), "ts") - F.expr("INTERVAL 1 HOUR")
+    found = states.timed_transitions(log, as_of)
+    return found.select("event_id", "old_status", "status", F.unix_micros("at").alias("at_us"))
+
+
+@query
+def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stream_view(spark, sf_dir, ad.OBSERVATIONS)
+    found = runner.run_available(timers.sent_alerts(rows, cooldown_s=3600), spark, "alerts")
+    return found.select("event_id", "observation_id", F.unix_micros("cooldown_until").alias("cooldown_until_us"))

@@ -454,3 +454,105 @@ ORACLE["bm25_top"] = f"""WITH {DOCS}, t AS (SELECT doc_id, {_tokens('clean_text'
   df AS (SELECT term, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY term)
 SELECT doc_id, length, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS bm25
 FROM tf JOIN df USING (term), sizes GROUP BY doc_id, length HAVING sum(tf) > 0 ORDER BY bm25 DESC, doc_id LIMIT 20"""
+
+VERSIONS = f"""{STORY_DOCS}, {ANCHORS}, held AS (SELECT doc_id, list(DISTINCT anchor_value) AS anchors FROM anchors GROUP BY doc_id),
+  versions AS (SELECT v.*, coalesce(anchors, []) AS anchors FROM ({_view(ad.VERSIONS, docs='docs0')}) v LEFT JOIN held USING (doc_id)),
+  pairs AS (SELECT url, lag(version_no) OVER w AS from_version, version_no AS to_version, lag(anchors) OVER w AS a0, anchors AS a1,
+      lag(value) OVER w AS v0, value AS v1, lag(time) OVER w AS t0, time AS t1
+    FROM versions WINDOW w AS (PARTITION BY url ORDER BY version_no) QUALIFY lag(version_no) OVER w IS NOT NULL)"""
+_ADDED = "array_to_string(list_sort(list_filter(a1, lambda x: NOT list_contains(a0, x))), '|')"
+_REMOVED = "array_to_string(list_sort(list_filter(a0, lambda x: NOT list_contains(a1, x))), '|')"
+ORACLE["anchor_delta"] = f"WITH {VERSIONS} SELECT url, from_version, to_version, {_ADDED} AS added, {_REMOVED} AS removed FROM pairs"
+ORACLE["value_delta"] = f"""WITH {VERSIONS} SELECT url, from_version, to_version, CASE WHEN v0 IS DISTINCT FROM v1 THEN v0 END AS from_value,
+  CASE WHEN v0 IS DISTINCT FROM v1 THEN v1 END AS to_value,
+  CASE WHEN v0 IS DISTINCT FROM v1 THEN coalesce(v1, 0) - coalesce(v0, 0) END AS diff FROM pairs"""
+ORACLE["temporal_delta"] = f"""WITH {VERSIONS} SELECT url, from_version, to_version,
+  CASE WHEN t0 IS DISTINCT FROM t1 THEN strftime(t0, '%Y-%m-%dT%H:%M:%SZ') END AS previous_time,
+  CASE WHEN t0 IS DISTINCT FROM t1 THEN strftime(t1, '%Y-%m-%dT%H:%M:%SZ') END AS new_time,
+  CASE WHEN t0 IS DISTINCT FROM t1 THEN t1 > t0 END AS is_postponed FROM pairs"""
+ORACLE["full_delta"] = f"""WITH {VERSIONS} SELECT url, from_version, to_version, {_ADDED} AS added,
+  v0 IS DISTINCT FROM v1 AS value_changed, t0 IS DISTINCT FROM t1 AS time_changed FROM pairs"""
+
+STATES = f"states AS ({_view(ad.STATES, events='events')})"
+_OVERDUE = "(epoch_us({now}) - epoch_us(started_at)) / 1e6 > CASE WHEN pool = 'FAST_POOL' THEN 60 ELSE 120 END"
+ORACLE["state_step"] = f"""WITH {STATES} SELECT event_id, status, CASE WHEN status = 'NEW' THEN 'HYDRATING'
+  WHEN status = 'HYDRATING' AND {_OVERDUE.format(now='ts')} THEN 'PARTIAL_ENRICH' ELSE status END AS next_status FROM states"""
+_NOW = "(SELECT max(ts) FROM events)"
+ORACLE["state_transitions"] = f"""WITH {STATES}, stepped AS (SELECT event_id, status AS old_status,
+    CASE WHEN status = 'NEW' THEN 'HYDRATING' WHEN status = 'HYDRATING' AND {_OVERDUE.format(now=_NOW)} THEN 'PARTIAL_ENRICH'
+      WHEN status = 'QUARANTINE' AND {_NOW} > started_at + INTERVAL 15 MINUTE THEN 'EXPIRED' ELSE status END AS status FROM states)
+SELECT *, CASE old_status WHEN 'NEW' THEN 'hydration started' WHEN 'HYDRATING' THEN 'hydration timeout' ELSE 'quarantine expired' END AS status_reason
+FROM stepped WHERE status <> old_status"""
+ORACLE["quarantine_flags"] = f"WITH {STATES} SELECT event_id, value < 20 AND source_count >= 2 AS is_quarantine FROM states"
+ORACLE["viral_flags"] = f"WITH {STATES} SELECT event_id, value > 50 AND source_count >= 3 AS is_viral FROM states"
+ORACLE["quarantine_expiry"] = f"""WITH {STATES} SELECT event_id,
+  CASE WHEN status = 'QUARANTINE' AND ts + INTERVAL 14 MINUTE > started_at + INTERVAL 15 MINUTE THEN 'EXPIRED' ELSE status END AS status FROM states"""
+
+FETCHES = f"fetches AS ({_view(ad.FETCHES, events='events')})"
+ORACLE["yield_starvation"] = f"""WITH {FETCHES} SELECT source_id, {_stamp("date_trunc('day', attempted_at)")} AS window_start, count(*) AS attempts
+FROM fetches GROUP BY source_id, date_trunc('day', attempted_at) HAVING bool_and(status_code = 200) AND sum(yield_count) = 0"""
+ORACLE["yield_baseline"] = f"""WITH {FETCHES}, slots AS (SELECT source_id, date_trunc('hour', attempted_at) AS slot, count(*) AS n, sum(yield_count) AS y
+    FROM fetches GROUP BY ALL)
+SELECT s.source_id, {_stamp('s.slot')} AS slot, any_value(s.n) AS attempts, round(any_value(s.y / s.n::DOUBLE), 6) AS mean_yield,
+  round(sum(p.y) / sum(p.n)::DOUBLE, 6) AS baseline_yield
+FROM slots s LEFT JOIN slots p ON p.source_id = s.source_id AND dayofweek(p.slot) = dayofweek(s.slot) AND hour(p.slot) = hour(s.slot)
+  AND p.slot < s.slot AND p.slot >= s.slot - INTERVAL 28 DAY
+GROUP BY s.source_id, s.slot"""
+ORACLE["slo_p95"] = f"""WITH {FETCHES}, p AS (SELECT pool, count(*) AS attempts, quantile_disc(latency_ms, 0.95) AS p95_ms FROM fetches GROUP BY pool)
+SELECT *, p95_ms > CASE pool WHEN 'FAST_POOL' THEN 60000 WHEN 'HEAVY_RENDER_POOL' THEN 120000 ELSE 300000 END AS is_breach FROM p"""
+ORACLE["fetch_errors"] = f"""WITH {FETCHES} SELECT source_id, pool, count(*) AS attempts, count(*) FILTER (status_code BETWEEN 400 AND 499) AS client_errors,
+  count(*) FILTER (status_code >= 500) AS server_errors FROM fetches GROUP BY ALL"""
+
+OBSERVED = f"""observations AS ({_view(ad.OBSERVATIONS, events='events')}),
+  hashed AS (SELECT *, sha256(event_id || '|' || status) AS alert_hash FROM observations),
+  candidates AS MATERIALIZED (SELECT * FROM hashed WINDOW w AS (PARTITION BY event_id ORDER BY observed_at, observation_id)
+    QUALIFY gate AND lag(alert_hash) OVER w IS DISTINCT FROM alert_hash)"""
+ORACLE["alert_transitions"] = f"WITH {OBSERVED} SELECT event_id, observation_id, alert_hash FROM candidates"
+
+
+def _sent(cooldown: str) -> str:
+    """Alerts one after the other: the first of an event, then always the next one after the cooldown."""
+    return f"""onward AS MATERIALIZED (SELECT a.event_id, a.observed_at, min(b.observed_at) AS next_at
+    FROM candidates a LEFT JOIN candidates b ON b.event_id = a.event_id AND b.observed_at >= a.observed_at + INTERVAL {cooldown}
+    GROUP BY a.event_id, a.observed_at),
+  sent AS (SELECT event_id, min(observed_at) AS sent_at FROM candidates GROUP BY event_id
+    UNION ALL SELECT s.event_id, o.next_at FROM sent s JOIN onward o ON o.event_id = s.event_id AND o.observed_at = s.sent_at WHERE o.next_at IS NOT NULL)"""
+
+
+ORACLE["alert_cooldown"] = f"""WITH RECURSIVE {OBSERVED}, {_sent('1 HOUR')}
+SELECT s.event_id, min(observation_id) AS observation_id, epoch_us(sent_at + INTERVAL 1 HOUR) AS cooldown_until_us
+FROM sent s JOIN candidates c ON c.event_id = s.event_id AND c.observed_at = s.sent_at GROUP BY s.event_id, sent_at"""
+
+ORACLE["change_feed"] = f"""{COMPONENTS}, {EVENTS}, {SCORES},
+  fresh AS (SELECT e.event_id, e.status, to_event_id, CASE WHEN source_count > 1 THEN s.score ELSE breaking_score END <> breaking_score AS touched
+    FROM story_events e JOIN scores s USING (event_id) JOIN source_part USING (event_id) LEFT JOIN audit ON from_event_id = e.event_id)
+SELECT event_id, CASE WHEN to_event_id IS NOT NULL THEN 'EVENT_MERGED' ELSE 'EVENT_UPSERT' END AS change,
+  CASE WHEN to_event_id IS NOT NULL THEN 'MERGED' ELSE status END AS status, to_event_id AS target_event_id
+FROM fresh WHERE to_event_id IS NOT NULL OR touched"""
+
+_COUNTS = ", ".join(f"count(*) FILTER (action = '{a}') AS n_{a.lower()}" for a in fixed.FEEDBACK_ACTIONS)
+_VALID = _in("action", fixed.FEEDBACK_ACTIONS)
+ORACLE["feedback_stats"] = f"""{ASSIGNED}, {EVENTS}, {FEEDBACK}
+SELECT lane, count(*) AS n_actions, {_COUNTS}, round(count(*) FILTER (action = 'IGNORE') / count(*)::DOUBLE, 9) AS ignored_rate
+FROM feedback JOIN story_events USING (event_id) WHERE {_VALID} GROUP BY lane"""
+ORACLE["feedback_stats_by_source"] = f"""{ASSIGNED}, {FEEDBACK}
+SELECT source_id, count(*) AS n_actions, {_COUNTS}, round(count(*) FILTER (action = 'IGNORE') / count(*)::DOUBLE, 9) AS ignored_rate
+FROM feedback JOIN event_docs e USING (event_id) WHERE is_primary AND {_VALID} GROUP BY source_id"""
+
+_CLOSED = "(SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
+ORACLE["stream_velocity"] = f"""WITH minutes AS (SELECT user_id % 5 AS event_id, date_trunc('minute', ts) AS m, count(*) AS n FROM events GROUP BY ALL),
+  slid AS (SELECT event_id, m - back * INTERVAL 1 MINUTE AS w, n FROM minutes, range(30) r(back))
+SELECT event_id, {_stamp('w')} AS window_start, sum(n)::BIGINT AS velocity FROM slid
+WHERE w + INTERVAL 30 MINUTE <= {_CLOSED} GROUP BY event_id, w"""
+ORACLE["stream_starvation"] = f"""WITH {FETCHES} SELECT source_id, {_stamp("date_trunc('day', attempted_at)")} AS window_start, count(*) AS attempts
+FROM fetches WHERE date_trunc('day', attempted_at) + INTERVAL 1 DAY <= {_CLOSED}
+GROUP BY source_id, date_trunc('day', attempted_at) HAVING bool_and(status_code = 200) AND sum(yield_count) = 0"""
+ORACLE["stream_first_fetches"] = "SELECT DISTINCT sha256(text) AS snapshot_hash FROM documents"
+ORACLE["timed_transitions"] = f"""WITH states AS ({_view(ad.STATES.replace("event_id, ts", "event_id, user_id, ts"), events='events')}),
+  log AS (SELECT user_id % 20 AS event_id, status, ts AS at, lead(ts) OVER (PARTITION BY user_id % 20 ORDER BY ts) AS next_at,
+      ts + CASE WHEN status = 'QUARANTINE' THEN INTERVAL 15 MINUTE WHEN pool = 'FAST_POOL' THEN INTERVAL 1 MINUTE ELSE INTERVAL 2 MINUTE END AS deadline
+    FROM states)
+SELECT event_id, status AS old_status, CASE status WHEN 'HYDRATING' THEN 'PARTIAL_ENRICH' ELSE 'EXPIRED' END AS status, epoch_us(deadline) AS at_us
+FROM log WHERE status IN ('HYDRATING', 'QUARANTINE') AND deadline < coalesce(next_at, {_CLOSED})"""
+ORACLE["stream_state_timeouts"] = ORACLE["timed_transitions"]
+ORACLE["stream_alerts"] = ORACLE["alert_cooldown"]
