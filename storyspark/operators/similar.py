@@ -15,49 +15,97 @@ def token_sets(docs: DataFrame, text_column: str = "clean_text") -> DataFrame:
     Equal sets are combined by a digest before anything is compared, so copies never meet each other.
     """
     sets = docs.select("doc_id", F.array_sort(F.array_distinct(X.tokens(F.col(text_column)))).alias("tokens"))
-    filled = sets.filter(F.size("tokens") > 0).withColumn("digest", F.sha2(F.array_join("tokens", " "), 256))
-    first = filled.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    return filled.join(first.drop("digest"), "doc_id").select(F.col("doc_id").alias("set_id"), "copies", "tokens")
+    filled = sets.filter(F.size("tokens") > 0)
+    return (
+        filled.groupBy(F.sha2(F.array_join("tokens", " "), 256).alias("digest"))
+        .agg(F.min("doc_id").alias("set_id"), F.count("*").alias("copies"), F.first("tokens").alias("tokens"))
+        .select("set_id", "copies", "tokens")
+    )
+
+
+# Words of a set signature: 16 x 64 parity bits.
+_SIGNATURE_WORDS = 16
+_SIGNATURE = [f"s{i}" for i in range(_SIGNATURE_WORDS)]
+
+
+def _signature() -> list[Column]:
+    """Aggregates over ``token``: every token flips one bit chosen by its hash."""
+    place = F.pmod(F.xxhash64("token"), F.lit(64 * _SIGNATURE_WORDS))
+    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(token), 64) AS int))")
+    word = F.floor(place / 64)
+    return [F.bit_xor(F.when(word == i, bit)).alias(name) for i, name in enumerate(_SIGNATURE)]
 
 
 def similar_pairs(docs: DataFrame, threshold: float = 0.8, text_column: str = "clean_text") -> DataFrame:
-    """All pairs of distinct token sets with Jaccard at or above ``threshold``: an exact prefix-filter join.
+    """All pairs of distinct token sets with Jaccard at or above ``threshold``, found exactly.
 
     Tokens are ordered from rare to common. Two similar sets must share one of their first
-    ``size - ceil(threshold * size) + 1`` tokens, so only those rare tokens are joined on; sizes that cannot
-    reach the threshold are cut in the join.
+    ``size - ceil(threshold * size) + 1`` tokens, so only those rare tokens are joined on. Pairs are dropped in the
+    join when their sizes, or the places of the shared token, rule the threshold out. What is left is tested on
+    parity signatures: each differing bit is a differing token. Only survivors have their tokens compared.
     """
-    sets = stage(token_sets(docs, text_column), "token-sets")
-    words = sets.select("set_id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    frequency = words.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = (
-        words.join(frequency.filter("df > 1"), "token")
+    sets = stage(token_sets(docs, text_column).withColumn("size", F.size("tokens")), "token-sets")
+    words = sets.select("set_id", "size", F.explode("tokens").alias("token"))
+    frequency = words.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = stage(
+        words.join(frequency, "token")
         .groupBy("set_id", "size")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"), F.count("*").alias("shared"))
+        .agg(
+            F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"),
+            F.count("*").cast("int").alias("shared"),
+            *_signature(),
+        ),
+        "ranked-sets",
     )
     # Tokens of a single set come first in the order and match nothing: they only use up prefix places.
-    prefix = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1 - (F.col("size") - F.col("shared"))
+    alone = F.col("size") - F.col("shared")
+    length = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1 - alone
     keys = stage(
-        ranked.filter(prefix > 0)
-        .withColumn("prefix", F.slice("ranked", F.lit(1), prefix.cast("int")))
-        .select("set_id", "size", F.explode("prefix").alias("t"))
-        .select("set_id", "size", "t.token"),
+        ranked.filter(length > 0)
+        .select("set_id", "size", alone.alias("alone"), F.posexplode(F.slice("ranked", F.lit(1), length)).alias("i", "t"))
+        .select("set_id", "size", (F.col("alone") + F.col("i")).alias("place"), "t.token"),
         "prefixes",
     )
-    a = keys.select("token", F.col("set_id").alias("doc_a"), F.col("size").alias("size_a"))
-    b = keys.select("token", F.col("set_id").alias("doc_b"), F.col("size").alias("size_b"))
-    possible = F.least("size_a", "size_b") >= F.lit(threshold) * F.greatest("size_a", "size_b")
-    candidates = a.join(b, "token").filter((F.col("doc_a") < F.col("doc_b")) & possible)
-    left = sets.select(F.col("set_id").alias("doc_a"), F.col("copies").alias("copies_a"), F.col("tokens").alias("t_a"))
-    right = sets.select(F.col("set_id").alias("doc_b"), F.col("copies").alias("copies_b"), F.col("tokens").alias("t_b"))
-    return (
-        candidates.select("doc_a", "doc_b")
+
+    def side(df: DataFrame, x: str, *columns: str) -> DataFrame:
+        return df.select(*(["token"] if "token" in df.columns else []), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+
+    # Overlap needed for the threshold, and the most a pair can have that shares the token at these places.
+    needed = F.lit(threshold / (1 + threshold)) * (F.col("size_a") + F.col("size_b")) - 1e-9
+    upto = F.least("place_a", "place_b") + 1
+    after = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) - 1
+    possible = (F.least("size_a", "size_b") >= needed) & (upto + after >= needed)
+    prefix = "set_id", "size", "place"
+    candidates = (
+        side(keys, "a", *prefix)
+        .join(side(keys, "b", *prefix), "token")
+        .filter((F.col("set_id_a") < F.col("set_id_b")) & possible)
+        .select("set_id_a", "set_id_b")
         .distinct()
-        .join(left, "doc_a")
-        .join(right, "doc_b")
-        .withColumn("jaccard", X.jaccard(F.col("t_a"), F.col("t_b")))
+    )
+    signed = "set_id", "size", "shared", *_SIGNATURE
+    zero = F.lit(0).cast("bigint")
+    different = sum(
+        (X.hamming(F.coalesce(f"{s}_a", zero), F.coalesce(f"{s}_b", zero)) for s in _SIGNATURE[1:]),
+        X.hamming(F.coalesce("s0_a", zero), F.coalesce("s0_b", zero)),
+    )
+    likely = (
+        candidates.join(side(ranked, "a", *signed), "set_id_a")
+        .join(side(ranked, "b", *signed), "set_id_b")
+        .filter((F.col("shared_a") + F.col("shared_b") - different) / 2 >= needed)
+        .select("set_id_a", "set_id_b")
+    )
+    whole = "set_id", "copies", "size", "tokens"
+    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    return (
+        likely.join(side(sets, "a", *whole), "set_id_a")
+        .join(side(sets, "b", *whole), "set_id_b")
+        .withColumn("common", common)
+        .withColumn("jaccard", F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common")))
         .filter(F.col("jaccard") >= threshold)
-        .select("doc_a", "doc_b", "copies_a", "copies_b", "jaccard")
+        .select(
+            F.col("set_id_a").alias("doc_a"), F.col("set_id_b").alias("doc_b"), "copies_a", "copies_b", "jaccard"
+        )
     )
 
 
@@ -97,10 +145,6 @@ def bm25_top(
     score = part(names[0])
     for name in names[1:]:
         score = score + part(name)
-    any_term = F.greatest(*[F.col(n) for n in names], F.lit(0)) > 0
-    return (
-        counted.filter(any_term)
-        .select("doc_id", "length", F.round(score, 6).alias("bm25"))
-        .orderBy(F.col("bm25").desc(), "doc_id")
-        .limit(limit)
-    )
+    ranked = counted.select("doc_id", "length", F.round(score, 6).alias("bm25"))
+    # Documents without any term score 0 and come last; they are dropped from the few rows that are left.
+    return ranked.orderBy(F.col("bm25").desc(), "doc_id").limit(limit).filter("bm25 > 0")

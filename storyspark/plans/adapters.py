@@ -109,8 +109,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A text table, spread over all cores when it is too small a file to be split by the scan.
+
+    A table of many files or row groups already has more scan tasks than cores and is left as it is.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(DOCS, documents=table(spark, sf_dir, "documents"))
+    return spark.sql(DOCS, documents=text_table(spark, sf_dir, "documents", "doc_id"))
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,7 +105,7 @@ def anchor_ptrs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def extra_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates, government links and PDF links, over page sources and their addresses."""
-    pages = ad.table(spark, sf_dir, "pages")
+    pages = ad.text_table(spark, sf_dir, "pages", "page_id")
     extra = F.concat(
         F.lit("Em 05/03/2024 veja https://www.in.gov.br/dou/"), "page_id", F.lit(" e anexo-"), "page_id", F.lit(".pdf. ")
     )
@@ -129,7 +129,7 @@ def evidence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = ad.table(spark, sf_dir, "documents")
+    docs = ad.text_table(spark, sf_dir, "documents", "doc_id")
     return docs.select("doc_id", F.sha2(text.normalize_text(F.col("text")), 256).alias("normalized_sha256"))
 
 
@@ -384,7 +384,7 @@ def endpoint_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feed_bodies(spark: SparkSession, sf_dir: str, atom: bool = False) -> DataFrame:
     """Feed documents of ten items each, made of the documents table."""
-    docs = ad.table(spark, sf_dir, "documents")
+    docs = ad.text_table(spark, sf_dir, "documents", "doc_id")
 
     def escaped(column: Column) -> Column:
         return F.replace(F.replace(column, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
@@ -431,7 +431,7 @@ def atom_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.page_items(ad.table(spark, sf_dir, "pages")).select(
+    return html.page_items(ad.text_table(spark, sf_dir, "pages", "page_id")).select(
         "page_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_sha256")
     )
 
@@ -446,12 +446,12 @@ def table_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def body_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ad.table(spark, sf_dir, "pages").select("page_id", fetches.body_hash(F.col("html")).alias("content_hash"))
+    return ad.text_table(spark, sf_dir, "pages", "page_id").select("page_id", fetches.body_hash(F.col("html")).alias("content_hash"))
 
 
 @query
 def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = ad.table(spark, sf_dir, "pages").select(
+    pages = ad.text_table(spark, sf_dir, "pages", "page_id").select(
         F.col("page_id").alias("source_id"),
         "url",
         F.col("html").alias("body"),
@@ -471,7 +471,7 @@ def snapshot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("fetch_id"),
         F.concat(F.lit("https://news.example.org/"), "doc_id").alias("url"),
         F.col("seen_at").alias("fetched_at"),
-    ).join(ad.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("fetch_id"), F.col("text").alias("body")), "fetch_id")
+    ).join(ad.text_table(spark, sf_dir, "documents", "doc_id").select(F.col("doc_id").alias("fetch_id"), F.col("text").alias("body")), "fetch_id")
     morning = F.hour("fetched_at") < 12
     history = bodies.filter(morning).select(fetches.body_hash(F.col("body")).alias("snapshot_hash")).distinct()
     return fetches.new_snapshots(bodies.filter(~morning), history).select(
@@ -589,24 +589,24 @@ def feedback_ignored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = text.tokens(F.col("text"))
-    return ad.table(spark, sf_dir, "documents").select(
+    return ad.text_table(spark, sf_dir, "documents", "doc_id").select(
         "doc_id", F.size(found).cast("bigint").alias("n_tokens"), F.sha2(F.array_join(found, " "), 256).alias("tokens_sha256")
     )
 
 
 @query
 def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.document_simhash(ad.table(spark, sf_dir, "documents"), "text")
+    return neardup.document_simhash(ad.text_table(spark, sf_dir, "documents", "doc_id"), "text")
 
 
 @query
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.duplicate_groups(neardup.document_simhash(ad.table(spark, sf_dir, "documents"), "text"))
+    return neardup.duplicate_groups(neardup.document_simhash(ad.text_table(spark, sf_dir, "documents", "doc_id"), "text"))
 
 
 @query
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hashes = stage(neardup.document_simhash(ad.table(spark, sf_dir, "documents"), "text"), "simhash")
+    hashes = stage(neardup.document_simhash(ad.text_table(spark, sf_dir, "documents", "doc_id"), "text"), "simhash")
     return neardup.near_duplicate_pairs(hashes)
 
 
@@ -622,7 +622,7 @@ def turn_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = similar.similar_pairs(ad.table(spark, sf_dir, "documents"), 0.6, "text")
+    rows = similar.similar_pairs(ad.text_table(spark, sf_dir, "documents", "doc_id"), 0.6, "text")
     return rows.withColumn("jaccard", F.round("jaccard", 9))
 
 

@@ -78,27 +78,36 @@ def unescape(text: Column) -> Column:
     )
 
 
-def main_text(html: Column) -> Column:
-    """Readable text of a page, or null when nothing is left.
+def with_main_text(pages: DataFrame, html: str = "html", name: str = "text") -> DataFrame:
+    """Replace the ``html`` column by the readable text of the page, which may be empty.
 
     Comments and page furniture are dropped, an article or main block is preferred, block tags become line
-    breaks and table cells of a row are joined by " | ".
+    breaks and table cells of a row are joined by " | ". Each step is a column of its own, so that Spark computes
+    it once although the next step reads it more than once.
     """
     blocks = "|".join(rf"<{tag}\b.*?</{tag}\s*>" for tag in DROPPED_BLOCKS)
     body = F.regexp_replace(F.regexp_replace(html, r"(?is)<!--.*?-->", " "), f"(?is){blocks}", " ")
-    inner = F.coalesce(
-        non_empty(F.regexp_extract(body, r"(?is)<article\b[^>]*>(.*?)</article\s*>", 1)),
-        non_empty(F.regexp_extract(body, r"(?is)<main\b[^>]*>(.*?)</main\s*>", 1)),
-        body,
+    main = F.regexp_extract("_body", r"(?is)<main\b[^>]*>(.*?)</main\s*>", 1)
+    inner = F.when(F.col("_article") != "", F.col("_article")).otherwise(
+        F.coalesce(non_empty(main), F.col("_body"))
     )
     cells = F.regexp_replace(inner, r"(?is)</t[dh]\s*>\s*<t[dh]\b[^>]*>", " | ")
     lines = F.regexp_replace(cells, rf"(?is)</?(?:{LINE_TAGS})\b[^>]*>", "\n")
-    bare = unescape(F.regexp_replace(lines, r"(?s)<[^>]*>", ""))
-    tidy = F.regexp_replace(F.regexp_replace(bare, r"[ \t\r\f]+", " "), r" ?(?:\n ?)+", "\n")
-    return non_empty(F.regexp_replace(tidy, r"^\s+|\s+$", ""))
+    tidy = F.regexp_replace(
+        F.regexp_replace(unescape(F.col("_bare")), r"[ \t\r\f]+", " "), r" ?(?:\n ?)+", "\n"
+    )
+    steps = (
+        pages.withColumn("_body", body)
+        .withColumn("_article", F.regexp_extract("_body", r"(?is)<article\b[^>]*>(.*?)</article\s*>", 1))
+        .withColumn("_bare", F.regexp_replace(lines, r"(?s)<[^>]*>", ""))
+        .withColumn(name, F.regexp_replace(tidy, r"^\s+|\s+$", ""))
+    )
+    return steps.drop(html, "_body", "_article", "_bare")
 
 
 def page_items(pages: DataFrame) -> DataFrame:
     """One item per page with text: ``page_id, url, title, text``; pages without text are dropped."""
-    title = F.lit(None).cast("string").alias("title")
-    return pages.select("page_id", "url", title, main_text(F.col("html")).alias("text")).filter("text IS NOT NULL")
+    texts = with_main_text(pages.select("page_id", "url", "html"))
+    # ``explode`` instead of a filter: a filter would move below the steps and compute them all again.
+    some = F.filter(F.array("text"), lambda t: t != "")
+    return texts.select("page_id", "url", F.lit(None).cast("string").alias("title"), F.explode(some).alias("text"))
