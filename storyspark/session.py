@@ -39,7 +39,8 @@ def stage_root(spark: SparkSession) -> str:
     temporary folder; a cluster session without it is an error, since executors share no local disk.
     """
     context = spark.sparkContext
-    configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    setting = "spark.checkpoint.dir"
+    configured = spark.conf.get(setting, None) or context.getConf().get(setting) or context.getCheckpointDir()
     if not configured:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")

@@ -3,7 +3,8 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+for folder in (Path(__file__).resolve().parent.parent, Path(__file__).resolve().parent):
+    sys.path.insert(0, str(folder))
 
 SF_DIR = "/root/testdata/sf0.001"
 
