@@ -11,8 +11,8 @@ def anchor_delta(old: Column, new: Column) -> Column:
     none = F.array().cast("array<string>")
     before, after = F.coalesce(old, none), F.coalesce(new, none)
     return F.struct(
-        F.array_sort(F.array_except(after, before)).alias("added"),
-        F.array_sort(F.array_except(before, after)).alias("removed"),
+        F.sort_array(F.array_except(after, before)).alias("added"),
+        F.sort_array(F.array_except(before, after)).alias("removed"),
     )
 
 

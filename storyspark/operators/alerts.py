@@ -84,13 +84,15 @@ def sent_alerts(candidates: DataFrame, cooldown_s: int = fixed.ALERT_COOLDOWN_S)
         "alert-links",
     )
 
+    # After k rounds ``sent`` holds the first 2^k alerts of every run, and ``links`` leads 2^k alerts on, so
+    # each round reaches alerts that are not there yet.
     sent = marked.filter("is_head").select("event_id", "t")
     while True:
         reached = sent.join(links, ["event_id", "t"]).select("event_id", F.col("next").alias("t"))
-        grown = stage(reached, "alerts-reached")
-        if grown.isEmpty():
+        reached = stage(reached, "alerts-reached")
+        if reached.isEmpty():
             break
-        sent = stage(sent.unionByName(grown).distinct(), "alerts-sent")
+        sent = sent.unionByName(reached)
         hops = links.select("event_id", F.col("t").alias("next"), F.col("next").alias("after"))
         links = stage(
             links.join(hops, ["event_id", "next"]).select("event_id", "t", F.col("after").alias("next")), "alert-links"

@@ -18,9 +18,10 @@ def assign_events(
     anchors: DataFrame,
     match_on: tuple[str, ...] = ("anchor_value",),
     lookback_seconds: int | None = None,
+    keep: tuple[str, ...] = (),
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """``(event_id, doc_id, source_id, seen_at, is_primary)`` for every document.
+    """``(event_id, doc_id, source_id, seen_at, is_primary)`` and the ``keep`` columns for every document.
 
     A document joins the event of the lowest document that shares one of its anchors; without such a document
     it opens an event of its own, named by its ``doc_id``. This equals taking documents one by one in
@@ -39,7 +40,12 @@ def assign_events(
     )
     roots = resolve_roots(parents, hot_rows).select(F.col("id").alias("doc_id"), F.col("root").alias("event_id"))
     return docs.join(roots, "doc_id").select(
-        "event_id", "doc_id", "source_id", "seen_at", (F.col("event_id") == F.col("doc_id")).alias("is_primary")
+        "event_id",
+        "doc_id",
+        "source_id",
+        "seen_at",
+        (F.col("event_id") == F.col("doc_id")).alias("is_primary"),
+        *keep,
     )
 
 
@@ -83,36 +89,34 @@ def _key(match_on: tuple[str, ...]) -> Column:
     return F.col(match_on[0]) if len(match_on) == 1 else F.to_json(F.struct(*match_on))
 
 
-def build_events(docs: DataFrame, event_docs: DataFrame) -> DataFrame:
+EVENT_COLUMNS = ("title", "lane", "tier", "source_domain")
+
+
+def build_events(event_docs: DataFrame) -> DataFrame:
     """One row per event with its starting status, score, lane and summary.
 
-    ``docs`` brings ``doc_id, title, lane, tier, source_domain`` of every document; the first document of
-    an event decides.
+    ``event_docs`` carries :data:`EVENT_COLUMNS` of its documents; the first document of an event decides.
     """
-    span = event_docs.groupBy("event_id").agg(
-        F.min(F.when(F.col("is_primary"), F.col("seen_at"))).alias("first_seen_at"),
-        F.max("seen_at").alias("last_seen_at"),
-    )
+    span = event_docs.groupBy("event_id").agg(F.max("seen_at").alias("last_seen_at"))
     hot_status, hot_score = fixed.TIER1_EVENT
     new_status, new_score = fixed.OTHER_EVENT
     tier1 = F.col("tier") == 1
-    first = docs.select(
-        F.col("doc_id").alias("event_id"),
-        F.when(tier1, F.lit(hot_status)).otherwise(F.lit(new_status)).alias("status"),
-        F.coalesce(
-            non_empty(F.col("title")), F.concat(F.lit(fixed.DEFAULT_SUMMARY_PREFIX), F.col("source_domain"))
-        ).alias("summary"),
-        "lane",
-        F.when(tier1, F.lit(hot_score)).otherwise(F.lit(new_score)).alias("breaking_score"),
+    summary = F.coalesce(
+        non_empty(F.col("title")), F.concat(F.lit(fixed.DEFAULT_SUMMARY_PREFIX), F.col("source_domain"))
     )
-    return span.join(first, "event_id").select(
-        "event_id",
-        F.lit(None).cast("bigint").alias("canonical_event_id"),
-        "status",
-        "summary",
-        "lane",
-        "breaking_score",
-        "first_seen_at",
-        "last_seen_at",
-        F.col("first_seen_at").alias("created_at"),
+    return (
+        event_docs.filter("is_primary")
+        .select("event_id", "seen_at", *EVENT_COLUMNS)
+        .join(span, "event_id")
+        .select(
+            "event_id",
+            F.lit(None).cast("bigint").alias("canonical_event_id"),
+            F.when(tier1, F.lit(hot_status)).otherwise(F.lit(new_status)).alias("status"),
+            summary.alias("summary"),
+            "lane",
+            F.when(tier1, F.lit(hot_score)).otherwise(F.lit(new_score)).alias("breaking_score"),
+            F.col("seen_at").alias("first_seen_at"),
+            "last_seen_at",
+            F.col("seen_at").alias("created_at"),
+        )
     )

@@ -68,7 +68,7 @@ def event_feed(
         .withColumn("anchor_page", F.pmod(bucket, pages))
         .groupBy("event_id", "anchor_page")
         .agg(
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(
                     F.struct(F.col("anchor_type").alias("type"), F.col("anchor_value").alias("value"), "mentions")
                 )
@@ -103,7 +103,7 @@ def dashboard_cards(events: DataFrame, event_docs: DataFrame, anchors: DataFrame
         .withColumn("n", F.row_number().over(first))
         .filter(F.col("n") <= CARD_ANCHORS)
         .groupBy("event_id")
-        .agg(F.array_sort(F.collect_list(F.struct("n", tag.alias("tag")))).alias("tags"))
+        .agg(F.sort_array(F.collect_list(F.struct("n", tag.alias("tag")))).alias("tags"))
         .select("event_id", F.transform("tags", lambda t: t["tag"]).alias("tags"))
     )
     return top.join(tags, "event_id", "left").select(

@@ -36,13 +36,14 @@ def event_source_stats(event_docs: DataFrame, sources: DataFrame, distinct_sourc
     )
 
 
-def event_metrics(event_docs: DataFrame, features: DataFrame, sources: DataFrame, as_of: Column) -> DataFrame:
-    """Everything the scores need, with a single shuffle by event after the document join."""
-    rows = (
-        event_docs.join(features.select("doc_id", "evidence_score"), "doc_id", "left")
-        .join(sources.select("source_id", "tier", "is_official"), "source_id", "left")
-    )
-    return rows.groupBy("event_id").agg(
+def event_metrics(event_docs: DataFrame, sources: DataFrame, as_of: Column) -> DataFrame:
+    """Everything the scores need, in one aggregation with a single shuffle by event.
+
+    ``event_docs`` carries the ``evidence_score`` of its documents.
+    """
+    reports = event_docs.select("event_id", "source_id", "seen_at", "evidence_score")
+    known = sources.select("source_id", "tier", "is_official")
+    return reports.join(known, "source_id", "left").groupBy("event_id").agg(
         F.count("tier").alias("source_count"),
         F.coalesce(F.min("tier"), F.lit(3)).alias("highest_tier"),
         F.coalesce(F.bool_or("is_official"), F.lit(False)).alias("has_official"),
@@ -52,11 +53,9 @@ def event_metrics(event_docs: DataFrame, features: DataFrame, sources: DataFrame
     )
 
 
-def score_events(
-    events: DataFrame, event_docs: DataFrame, features: DataFrame, sources: DataFrame, as_of: Column
-) -> DataFrame:
+def score_events(events: DataFrame, event_docs: DataFrame, sources: DataFrame, as_of: Column) -> DataFrame:
     """Both scores with reasons for every known event; an event without documents gets the defaults."""
-    metrics = event_metrics(event_docs, features, sources, as_of)
+    metrics = event_metrics(event_docs, sources, as_of)
     zero = F.lit(0).cast("bigint")
     known = events.select("event_id", "first_seen_at").join(metrics, "event_id", "left")
     rows = known.select(

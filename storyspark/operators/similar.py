@@ -14,11 +14,12 @@ def token_sets(docs: DataFrame, text_column: str = "clean_text") -> DataFrame:
 
     Equal sets are combined by a digest before anything is compared, so copies never meet each other.
     """
-    sets = docs.select("doc_id", F.array_sort(F.array_distinct(X.tokens(F.col(text_column)))).alias("tokens"))
-    filled = sets.filter(F.size("tokens") > 0)
+    sets = docs.select("doc_id", F.sort_array(F.array_distinct(X.tokens(F.col(text_column)))).alias("tokens"))
     return (
-        filled.groupBy(F.sha2(F.array_join("tokens", " "), 256).alias("digest"))
+        sets.groupBy(F.sha2(F.array_join("tokens", " "), 256).alias("digest"))
         .agg(F.min("doc_id").alias("set_id"), F.count("*").alias("copies"), F.first("tokens").alias("tokens"))
+        # Texts without tokens are one group: dropping it here reads the tokens once, a filter below would twice.
+        .filter(F.size("tokens") > 0)
         .select("set_id", "copies", "tokens")
     )
 
@@ -46,16 +47,14 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8, text_column: str = "c
     """
     sets = stage(token_sets(docs, text_column).withColumn("size", F.size("tokens")), "token-sets")
     words = sets.select("set_id", "size", F.explode("tokens").alias("token"))
+    # Combined where the set is exploded: one row of sixteen words per set travels.
+    signatures = stage(words.groupBy("set_id", "size").agg(*_signature()), "signatures")
     frequency = words.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = stage(
+    ranked = (
         words.join(frequency, "token")
         .groupBy("set_id", "size")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"),
-            F.count("*").cast("int").alias("shared"),
-            *_signature(),
-        ),
-        "ranked-sets",
+        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
+        .withColumn("shared", F.size("ranked"))
     )
     # Tokens of a single set come first in the order and match nothing: they only use up prefix places.
     alone = F.col("size") - F.col("shared")
@@ -83,16 +82,16 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8, text_column: str = "c
         .select("set_id_a", "set_id_b")
         .distinct()
     )
-    signed = "set_id", "size", "shared", *_SIGNATURE
+    signed = "set_id", "size", *_SIGNATURE
     zero = F.lit(0).cast("bigint")
     different = sum(
         (X.hamming(F.coalesce(f"{s}_a", zero), F.coalesce(f"{s}_b", zero)) for s in _SIGNATURE[1:]),
         X.hamming(F.coalesce("s0_a", zero), F.coalesce("s0_b", zero)),
     )
     likely = (
-        candidates.join(side(ranked, "a", *signed), "set_id_a")
-        .join(side(ranked, "b", *signed), "set_id_b")
-        .filter((F.col("shared_a") + F.col("shared_b") - different) / 2 >= needed)
+        candidates.join(side(signatures, "a", *signed), "set_id_a")
+        .join(side(signatures, "b", *signed), "set_id_b")
+        .filter((F.col("size_a") + F.col("size_b") - different) / 2 >= needed)
         .select("set_id_a", "set_id_b")
     )
     whole = "set_id", "copies", "size", "tokens"

@@ -27,7 +27,7 @@ from storyspark.operators import (
 )
 from storyspark.operators.hotkeys import with_next
 from storyspark.plans import adapters as ad
-from storyspark.plans.pipeline import StoryTables, build_story, with_lane
+from storyspark.plans.pipeline import StoryTables, assign_facts, build_story, document_facts, with_lane
 from storyspark.session import stage
 from storyspark.sinks import tables
 from storyspark.sources import feeds, fetches, html, profiles
@@ -70,19 +70,13 @@ def story_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def story(spark: SparkSession, sf_dir: str) -> StoryTables:
-    docs = story_docs(spark, sf_dir)
-    return build_story(docs, ad.sources(spark, sf_dir), ad.latest(docs, "seen_at"))
-
-
-def staged_anchors(docs: DataFrame) -> DataFrame:
-    return stage(evidence.extract_anchors(docs), "doc-anchors")
+    return build_story(story_docs(spark, sf_dir), ad.sources(spark, sf_dir))
 
 
 def assigned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents, their anchors and their events."""
-    docs = story_docs(spark, sf_dir)
-    anchors = staged_anchors(docs)
-    return docs, anchors, stage(assign.assign_events(docs, anchors), "event-docs")
+    """Document facts, their anchors and their events."""
+    facts = document_facts(story_docs(spark, sf_dir))
+    return facts, *assign_facts(facts)
 
 
 # --- anchors and evidence ---
@@ -120,8 +114,7 @@ def extra_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def evidence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = story_docs(spark, sf_dir)
-    return evidence.evidence_features(docs, evidence.extract_anchors(docs))
+    return evidence.evidence_features(story_docs(spark, sf_dir))
 
 
 # --- taxonomy ---
@@ -176,22 +169,22 @@ def assign_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def assign_events_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = story_docs(spark, sf_dir)
-    return assign.assign_events(docs, staged_anchors(docs), match_on=("anchor_type", "anchor_value")).select(
-        "event_id", "doc_id"
-    )
+    facts = document_facts(story_docs(spark, sf_dir))
+    rows = evidence.explode_anchors(facts)
+    return assign.assign_events(facts, rows, match_on=("anchor_type", "anchor_value")).select("event_id", "doc_id")
 
 
 @query
 def assign_events_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = story_docs(spark, sf_dir)
-    return assign.assign_events(docs, staged_anchors(docs), lookback_seconds=4 * 3600).select("event_id", "doc_id")
+    facts = document_facts(story_docs(spark, sf_dir))
+    rows = evidence.explode_anchors(facts)
+    return assign.assign_events(facts, rows, lookback_seconds=4 * 3600).select("event_id", "doc_id")
 
 
 @query
 def new_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, _, event_docs = assigned(spark, sf_dir)
-    return assign.build_events(with_lane(docs), event_docs).select(
+    _, _, event_docs = assigned(spark, sf_dir)
+    return assign.build_events(event_docs).select(
         "event_id",
         "status",
         "summary",
@@ -224,11 +217,9 @@ def event_distinct_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def event_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, found, event_docs = assigned(spark, sf_dir)
-    features = evidence.evidence_features(docs, found)
-    return scoring.event_metrics(
-        event_docs, features, ad.sources(spark, sf_dir), ad.latest(docs, "seen_at")
-    ).select("event_id", "max_evidence")
+    facts, _, event_docs = assigned(spark, sf_dir)
+    metrics = scoring.event_metrics(event_docs, ad.sources(spark, sf_dir), ad.latest(facts, "seen_at"))
+    return metrics.select("event_id", "max_evidence")
 
 
 @query
@@ -285,7 +276,7 @@ def event_feed_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dashboard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, _, event_docs = assigned(spark, sf_dir)
     return feed.dashboard_counts(
-        ad.sources(spark, sf_dir), assign.build_events(with_lane(docs), event_docs), docs
+        ad.sources(spark, sf_dir), assign.build_events(event_docs), docs
     )
 
 
@@ -320,7 +311,7 @@ def merge_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, found, event_docs = assigned(spark, sf_dir)
     audit = merge.merge_audit(event_docs, found, ad.latest(docs, "seen_at"))
-    events = assign.build_events(with_lane(docs), event_docs)
+    events = assign.build_events(event_docs)
     return merge.apply_merges(events, audit).select("event_id", "canonical_event_id", "status")
 
 
@@ -406,7 +397,7 @@ def feed_bodies(spark: SparkSession, sf_dir: str, atom: bool = False) -> DataFra
         )
         item = tag("item", F.concat(title, tag("link", link), text_tags))
     feeds = docs.groupBy(F.floor(F.col("doc_id") / 10).alias("feed_id")).agg(
-        F.array_sort(F.collect_list(F.struct("doc_id", item.alias("item")))).alias("items")
+        F.sort_array(F.collect_list(F.struct("doc_id", item.alias("item")))).alias("items")
     )
     items = F.array_join(F.transform("items", lambda i: i["item"]), "\n")
     whole = tag("feed", items) if atom else tag("rss", tag("channel", F.concat(F.lit("<title>Feed</title>"), items)))
@@ -528,22 +519,19 @@ def score_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def draft_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, found, event_docs = assigned(spark, sf_dir)
-    features = evidence.evidence_features(docs, found)
-    per_doc = found.groupBy("doc_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("anchor_no", "anchor_value"))), lambda a: a["anchor_value"]).alias("anchors")
-    )
-    first = event_docs.filter("is_primary").select("event_id", F.col("event_id").alias("doc_id"))
+    facts, _, event_docs = assigned(spark, sf_dir)
+    values = F.transform("anchors", lambda a: a["anchor_value"])
+    found = facts.select("doc_id", values.alias("anchors"), "evidence_score")
+    first = event_docs.filter("is_primary").select("event_id", "doc_id")
     rows = (
-        first.join(docs, "doc_id")
-        .join(features.select("doc_id", "evidence_score"), "doc_id")
-        .join(per_doc, "doc_id", "left")
+        first.join(story_docs(spark, sf_dir), "doc_id")
+        .join(found, "doc_id")
         .select(
             "event_id",
             F.when(F.col("doc_id") % 5 > 0, F.col("title")).alias("title"),
             "clean_text",
             F.array("source_key").alias("sources"),
-            F.coalesce("anchors", F.array().cast("array<string>")).alias("anchors"),
+            "anchors",
             "evidence_score",
             F.array().cast("array<string>").alias("reasons"),
             F.array(F.struct(stamp("seen_at").alias("at"), "url")).alias("timeline"),
@@ -579,7 +567,7 @@ def feedback_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def feedback_ignored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, _, event_docs = assigned(spark, sf_dir)
-    events = assign.build_events(with_lane(docs), event_docs)
+    events = assign.build_events(event_docs)
     return tables.apply_feedback(events, ad.events_view(spark, sf_dir, ad.FEEDBACK)).select("event_id", "status")
 
 
@@ -768,10 +756,9 @@ def alert_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
 def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starting events against scored and merged ones."""
     docs, found, event_docs = assigned(spark, sf_dir)
-    features = evidence.evidence_features(docs, found)
     as_of = ad.latest(docs, "seen_at")
-    old = stage(assign.build_events(with_lane(docs), event_docs), "events")
-    scores = scoring.score_events(old, event_docs, features, ad.sources(spark, sf_dir), as_of)
+    old = stage(assign.build_events(event_docs), "events")
+    scores = scoring.score_events(old, event_docs, ad.sources(spark, sf_dir), as_of)
     fresh = scores.filter("source_count > 1")
     new = merge.apply_merges(tables.mirror_scores(old, fresh), merge.merge_audit(event_docs, found, as_of))
     return changes.change_feed(old, new)
@@ -780,7 +767,7 @@ def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def feedback_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, _, event_docs = assigned(spark, sf_dir)
-    events = assign.build_events(with_lane(docs), event_docs)
+    events = assign.build_events(event_docs)
     rows = changes.feedback_stats(ad.events_view(spark, sf_dir, ad.FEEDBACK), events, by="lane")
     return rows.withColumn("ignored_rate", F.round("ignored_rate", 9))
 

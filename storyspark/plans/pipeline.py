@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from storyspark.functions import fixed_values as fixed
 from storyspark.functions.taxonomy import editorial_lane
-from storyspark.operators.assign import assign_events, build_events
-from storyspark.operators.evidence import evidence_features, extract_anchors
+from storyspark.operators.assign import EVENT_COLUMNS, assign_events, build_events
+from storyspark.operators.evidence import FEATURES, explode_anchors, with_evidence
 from storyspark.operators.scoring import score_events
 from storyspark.session import stage
 from storyspark.sinks.tables import mirror_scores
@@ -18,14 +18,17 @@ from storyspark.sinks.tables import mirror_scores
 
 @dataclass
 class StoryTables:
-    """Results of one run; every member is a DataFrame over written tables."""
+    """Results of one run. All but ``scores`` read written tables."""
 
+    facts: DataFrame
     anchors: DataFrame
-    features: DataFrame
     event_docs: DataFrame
     events: DataFrame
     scores: DataFrame
 
+    def features(self) -> DataFrame:
+        return self.facts.select("doc_id", *FEATURES)
+
     def scored_events(self) -> DataFrame:
         """Events with the computed score in place of the starting one."""
         return mirror_scores(self.events, self.scores)
@@ -39,15 +42,30 @@ def with_lane(docs: DataFrame) -> DataFrame:
     )
 
 
-def build_story(docs: DataFrame, sources: DataFrame, as_of: Column) -> StoryTables:
-    """Run the main path over all documents.
+def document_facts(docs: DataFrame) -> DataFrame:
+    """All that later steps need of a document, without its text: the only scan of the text.
 
     ``docs``: ``doc_id, source_id, source_key, source_domain, tier, is_official, title, url, clean_text,
-    seen_at``. ``sources``: ``source_id, tier, is_official``.
+    seen_at``.
     """
-    anchors = stage(extract_anchors(docs), "doc-anchors")
-    features = evidence_features(docs, anchors)
-    event_docs = stage(assign_events(docs, anchors), "event-docs")
-    events = stage(build_events(with_lane(docs), event_docs), "events")
-    scores = score_events(events, event_docs, features, sources, as_of)
-    return StoryTables(anchors, features, event_docs, events, scores)
+    facts = with_evidence(with_lane(docs)).select(
+        "doc_id", "source_id", "seen_at", *EVENT_COLUMNS, "anchors", *FEATURES
+    )
+    return stage(facts, "document-facts")
+
+
+def assign_facts(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Anchor rows and event members of document facts."""
+    anchors = explode_anchors(facts)
+    kept = (*EVENT_COLUMNS, "evidence_score")
+    return anchors, stage(assign_events(facts, anchors, keep=kept), "event-docs")
+
+
+def build_story(docs: DataFrame, sources: DataFrame, as_of: Column | None = None) -> StoryTables:
+    """Run the main path over all documents; ``as_of`` defaults to the latest sighting."""
+    facts = document_facts(docs)
+    anchors, event_docs = assign_facts(facts)
+    events = stage(build_events(event_docs), "events")
+    now = facts.agg(F.max("seen_at")).scalar() if as_of is None else as_of
+    scores = score_events(events, event_docs, sources, now)
+    return StoryTables(facts, anchors, event_docs, events, scores)

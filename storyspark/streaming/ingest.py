@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyspark.operators.changes import change_feed
-from storyspark.operators.evidence import evidence_features, extract_anchors
+from storyspark.operators.evidence import FEATURES, explode_anchors, with_evidence
 from storyspark.session import stage
 from storyspark.sinks.tables import append_tables
 from storyspark.streaming.runner import for_each_batch
@@ -19,12 +19,12 @@ def ingest_documents(docs: DataFrame, spark: SparkSession, folder: str) -> None:
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        anchors = stage(extract_anchors(batch), "batch-anchors")
+        found = stage(with_evidence(batch), "batch-documents")
         append_tables(
             {
-                "documents": batch,
-                "doc_anchors": anchors,
-                "doc_evidence_features": evidence_features(batch, anchors),
+                "documents": found.select(*batch.columns),
+                "doc_anchors": explode_anchors(found),
+                "doc_evidence_features": found.select("doc_id", *FEATURES),
             },
             folder,
             batch_id,

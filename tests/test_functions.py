@@ -58,7 +58,7 @@ def test_anchors_and_evidence(spark):
     found = rows.orderBy("doc_id", "anchor_no").collect()
     for i, (_, anchors, _) in enumerate(ANCHOR_CASES):
         assert [(r.anchor_type, r.anchor_value) for r in found if r.doc_id == i] == anchors
-    features = {r.doc_id: r for r in evidence.evidence_features(docs, rows).collect()}
+    features = {r.doc_id: r for r in evidence.evidence_features(docs).collect()}
     for i, (_, anchors, score) in enumerate(ANCHOR_CASES):
         assert features[i].evidence_score == pytest.approx(score)
         assert features[i].anchors_count == len(anchors)

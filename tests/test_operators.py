@@ -212,9 +212,9 @@ def story(spark):
 def test_scores_of_unknown_sources_and_empty_events(spark):
     events, event_docs = story(spark)
     sources = spark.createDataFrame([(1, 2, True)], "source_id int, tier int, is_official boolean")
-    features = spark.createDataFrame([(1, 4.0)], "doc_id bigint, evidence_score double")
+    event_docs = event_docs.withColumn("evidence_score", F.when(F.col("doc_id") == 1, F.lit(4.0)))
     as_of = F.lit(T0 + dt.timedelta(hours=1, minutes=30))
-    got = {r.event_id: r for r in scoring.score_events(events, event_docs, features, sources, as_of).collect()}
+    got = {r.event_id: r for r in scoring.score_events(events, event_docs, sources, as_of).collect()}
     assert (got[1].source_count, got[1].velocity, got[1].max_evidence) == (1, 1, 4.0)
     assert got[1].gap_score == 36.0
     assert (got[2].source_count, got[2].velocity, got[2].gap_score) == (0, 0, 15.0)

@@ -100,7 +100,7 @@ def test_ingest_equals_batch_and_replay_changes_nothing(spark, sf_dir):
     n = ad.table(spark, sf_dir, "documents").count()
     assert features.count() == n and anchors.count() >= n
     batch = spark.read.parquet(f"{folder}/documents")
-    want = evidence.evidence_features(batch, evidence.extract_anchors(batch))
+    want = evidence.evidence_features(batch)
     columns = "doc_id", "evidence_score", "anchors_count"
     assert collected(features, *columns) == collected(want, *columns)
     append_tables({"doc_anchors": anchors.drop("batch_id").limit(3)}, folder, 0)
