@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from storyspark.functions import text as X
+from storyspark.operators.hotkeys import HOT_ROWS, attach_unique
 from storyspark.session import stage
 
 
@@ -147,3 +149,55 @@ def bm25_top(
     ranked = counted.select("doc_id", "length", F.round(score, 6).alias("bm25"))
     # Documents without any term score 0 and come last; they are dropped from the few rows that are left.
     return ranked.orderBy(F.col("bm25").desc(), "doc_id").limit(limit).filter("bm25 > 0")
+
+
+def tfidf_top_terms(
+    docs: DataFrame, k: int = 5, text_column: str = "clean_text", hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """The ``k`` terms of each document with the highest ``tf * ln((N + 1) / (df + 1))``.
+
+    A term is counted per document before anything is joined; a term of very many documents gets its document
+    frequency by broadcast (see :func:`attach_unique`).
+    """
+    words = docs.select("doc_id", F.explode(X.tokens(F.col(text_column))).alias("term"))
+    counts = stage(words.groupBy("doc_id", "term").agg(F.count("*").alias("tf")), "term-counts")
+    total = docs.agg(F.count("*")).scalar()
+    frequency = counts.groupBy("term").agg(F.count("*").alias("df")).withColumn("rows", F.col("df"))
+    weighed = attach_unique(counts, frequency, "term", "rows", hot_rows).withColumn(
+        "tfidf", F.round(F.col("tf") * F.log((total + 1) / (F.col("df") + 1)), 6)
+    )
+    best = W.partitionBy("doc_id").orderBy(F.col("tfidf").desc(), "term")
+    return (
+        weighed.withColumn("rank", F.row_number().over(best))
+        .filter(F.col("rank") <= k)
+        .select("doc_id", "rank", "term", "tf", "df", "tfidf")
+    )
+
+
+# Parameters of the MinHash family h -> (a * h + b) mod p over 32-bit token hashes.
+_MINHASH_PRIME = 4_294_967_311
+_MINHASH_SIZE = 16
+
+
+def _minhash_parameters() -> list[tuple[int, int]]:
+    return [(2 * i * i * 104_729 + 2 * i + 1, (i * 15_485_863) % _MINHASH_PRIME) for i in range(1, _MINHASH_SIZE + 1)]
+
+
+def minhash_signatures(docs: DataFrame, text_column: str = "clean_text") -> DataFrame:
+    """``(doc_id, minhash array<bigint>)`` of the token set; documents without tokens have no row."""
+    words = docs.select("doc_id", F.explode(X.tokens(F.col(text_column))).alias("token"))
+    hashed = words.select(
+        "doc_id", F.conv(F.substring(F.md5(F.col("token").cast("binary")), 25, 8), 16, 10).cast("bigint").alias("h")
+    )
+    minima = [F.min((F.col("h") * a + b) % _MINHASH_PRIME) for a, b in _minhash_parameters()]
+    names = [f"m{i}" for i in range(_MINHASH_SIZE)]
+    return (
+        hashed.groupBy("doc_id")
+        .agg(*[m.alias(n) for m, n in zip(minima, names)])
+        .select("doc_id", F.array(*names).alias("minhash"))
+    )
+
+
+def minhash_similarity(a: Column, b: Column) -> Column:
+    """Estimated Jaccard: the share of equal minima."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) / F.size(a)

@@ -27,11 +27,12 @@ from storyspark.operators import (
 )
 from storyspark.operators.hotkeys import with_next
 from storyspark.plans import adapters as ad
-from storyspark.plans.pipeline import StoryTables, assign_facts, build_story, document_facts, with_lane
-from storyspark.session import stage
+from storyspark.plans.ingest import documents_from_fetches
+from storyspark.plans.story import StoryTables, assign_facts, build_story, document_facts, with_lane
+from storyspark.session import new_stage_path, stage
 from storyspark.sinks import tables
 from storyspark.sources import feeds, fetches, html, profiles
-from storyspark.streaming import runner, timers, windows
+from storyspark.streaming import ingest, runner, timers, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -329,6 +330,11 @@ def resolve_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sources, fetches and documents ---
 
 
+@query
+def enabled_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.enabled_sources(ad.sources(spark, sf_dir)).select("source_id", "tier", "is_official")
+
+
 @query
 def active_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = profiles.active_profiles(ad.profiles(spark, sf_dir))
@@ -492,6 +498,27 @@ def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every valid source fetched twice: a feed or a page, by the strategy of its profile."""
+    active = profiles.active_profiles(ad.profiles(spark, sf_dir))
+    pages = ad.text_table(spark, sf_dir, "pages", "page_id")
+    bodies = (
+        active.select(F.col("id").alias("source_id"), "strategy")
+        .join(pages.withColumnRenamed("page_id", "source_id"), "source_id")
+        .join(feed_bodies(spark, sf_dir).withColumnRenamed("feed_id", "source_id"), "source_id", "left")
+        .withColumn("body", F.when(F.col("strategy") == "RSS", F.coalesce("body", F.lit("<rss/>"))).otherwise(F.col("html")))
+    )
+    numbers = F.array(F.col("source_id") * 2, F.col("source_id") * 2 + 1)
+    fetched = bodies.select(F.explode(numbers).alias("fetch_id"), "source_id", "url", "body").withColumn(
+        "fetched_at", F.timestamp_seconds(F.lit(1704067200) + F.col("fetch_id"))
+    )
+    rows = documents_from_fetches(fetched, active)
+    return rows.select(
+        "doc_id", "source_id", "url", "title", F.length("clean_text").cast("bigint").alias("n_chars"), "content_hash"
+    )
+
+
 # --- sinks ---
 
 
@@ -622,6 +649,18 @@ def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.bm25_top(ad.docs(spark, sf_dir), BM25_TERMS).withColumn("length", F.col("length").cast("bigint"))
 
 
+@query
+def tfidf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = similar.tfidf_top_terms(ad.docs(spark, sf_dir))
+    return rows.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query
+def minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = similar.minhash_signatures(ad.docs(spark, sf_dir))
+    return rows.select("doc_id", joined(F.transform("minhash", lambda m: m.cast("string"))).alias("minhash"))
+
+
 # --- deltas and states ---
 
 
@@ -844,3 +883,34 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stream_view(spark, sf_dir, ad.OBSERVATIONS)
     found = runner.run_available(timers.sent_alerts(rows, cooldown_s=3600), spark, "alerts")
     return found.select("event_id", "observation_id", F.unix_micros("cooldown_until").alias("cooldown_until_us"))
+
+
+@query
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchor rows that the document stream appended."""
+    rows = stream_of(spark, sf_dir, "documents")
+    docs = rows.sparkSession.sql(ad.DOCS, documents=rows).select(
+        "doc_id", "clean_text", F.lit("").alias("url"), F.lit(False).alias("is_official")
+    )
+    folder = new_stage_path(spark, "ingested")
+    ingest.ingest_documents(docs, spark, folder)
+    written = spark.read.parquet(f"{folder}/doc_anchors")
+    return written.select("doc_id", F.col("anchor_no").cast("bigint").alias("anchor_no"), "anchor_type", "anchor_value")
+
+
+@query
+def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change feed of the event stream: in one batch, every event with its last state."""
+    rows = stream_of(spark, sf_dir, "events")
+    events = rows.select(
+        F.col("user_id").alias("event_id"),
+        F.lit(None).cast("bigint").alias("canonical_event_id"),
+        F.col("event_type").alias("status"),
+        F.lit("s").alias("summary"),
+        F.lit("geral").alias("lane"),
+        F.col("value").alias("breaking_score"),
+        F.col("ts").alias("updated_at"),
+    )
+    folder = new_stage_path(spark, "changes")
+    ingest.publish_changes(events, spark, folder)
+    return spark.read.parquet(f"{folder}/changes").select("event_id", "change", "status")

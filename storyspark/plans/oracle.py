@@ -344,7 +344,7 @@ _ITEM = """SELECT CAST(floor(doc_id / 10) AS BIGINT) AS feed_id,
 ORACLE["rss_items"] = _ITEM.format(t="CASE WHEN doc_id % 3 = 2 THEN '' ELSE text END")
 ORACLE["atom_items"] = _ITEM.format(t="text")
 
-ORACLE["html_text"] = r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', ' ', 'g'),
+HTML_TEXT = r"""a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', ' ', 'g'),
     '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<template\b.*?</template\s*>|<head\b.*?</head\s*>|<nav\b.*?</nav\s*>|<header\b.*?</header\s*>|<footer\b.*?</footer\s*>|<aside\b.*?</aside\s*>', ' ', 'g') AS body FROM pages),
   b AS (SELECT page_id, coalesce(nullif(regexp_extract(body, '(?is)<article\b[^>]*>(.*?)</article\s*>', 1), ''),
     nullif(regexp_extract(body, '(?is)<main\b[^>]*>(.*?)</main\s*>', 1), ''), body) AS t FROM a),
@@ -352,8 +352,19 @@ ORACLE["html_text"] = r"""WITH a AS (SELECT page_id, regexp_replace(regexp_repla
     '(?is)</?(?:p|div|br|hr|ul|ol|li|dl|dt|dd|h[1-6]|table|thead|tbody|tfoot|tr|td|th|section|article|main|blockquote|pre|figure|figcaption|form)\b[^>]*>', E'\n', 'g'),
     '(?s)<[^>]*>', '', 'g') AS t FROM b),
   d AS (SELECT page_id, replace(replace(replace(replace(t, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&') AS t FROM c),
-  e AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t\r\f]+', ' ', 'g'), ' ?(?:\n ?)+', E'\n', 'g'), '^\s+|\s+$', '', 'g') AS t FROM d)
-SELECT page_id, length(t) AS n_chars, sha256(t) AS text_sha256 FROM e WHERE t <> ''"""
+  e AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t\r\f]+', ' ', 'g'), ' ?(?:\n ?)+', E'\n', 'g'), '^\s+|\s+$', '', 'g') AS t FROM d)"""
+ORACLE["html_text"] = f"WITH {HTML_TEXT} SELECT page_id, length(t) AS n_chars, sha256(t) AS text_sha256 FROM e WHERE t <> ''"
+
+# Items of feeds and texts of pages. A body fetched again, or shared with an earlier source, counts once.
+ORACLE["ingest_documents"] = f"""WITH {PROFILES}, {HTML_TEXT},
+  active AS (SELECT c.*, url AS page_url, html FROM checked c JOIN pages ON page_id = id WHERE c.enabled AND errors = ''),
+  chosen AS (SELECT id, source_domain, strategy, endpoints, CASE WHEN strategy = 'RSS' THEN 'feed' || least(id, (SELECT max(doc_id) // 10 + 1 FROM documents)) ELSE html END AS body FROM active),
+  firsts AS (SELECT * FROM chosen QUALIFY row_number() OVER (PARTITION BY body ORDER BY id) = 1),
+  items AS (SELECT id, source_domain, 'https://news.example.org/' || doc_id AS url, 'Nota ' || doc_id AS title, doc_id % 10 AS item_no,
+      CASE WHEN doc_id % 3 = 2 THEN '' ELSE text END AS t FROM firsts JOIN documents ON doc_id // 10 = id WHERE strategy = 'RSS'
+    UNION ALL SELECT id, source_domain, coalesce(nullif(endpoints ->> '$.feed', ''), nullif(endpoints ->> '$.latest', '')),
+      'Sugestão de Pauta: ' || source_domain, 0, t FROM firsts JOIN e ON page_id = id WHERE strategy <> 'RSS' AND t <> '')
+SELECT id * 2000000 + item_no AS doc_id, id AS source_id, url, title, least(length(t), 10000) AS n_chars, sha256(substr(t, 1, 10000)) AS content_hash FROM items"""
 
 ORACLE["table_text"] = r"""WITH lines AS (SELECT conv_id, turn, list_transform(string_split(text, E'\n'),
     lambda l: array_to_string(list_filter(string_split(l, ' '), lambda c: c <> ''), ' | ')) AS l FROM conversations)
@@ -556,3 +567,20 @@ SELECT event_id, status AS old_status, CASE status WHEN 'HYDRATING' THEN 'PARTIA
 FROM log WHERE status IN ('HYDRATING', 'QUARANTINE') AND deadline < coalesce(next_at, {_CLOSED})"""
 ORACLE["stream_state_timeouts"] = ORACLE["timed_transitions"]
 ORACLE["stream_alerts"] = ORACLE["alert_cooldown"]
+
+ORACLE["stream_ingest"] = ORACLE["anchors"]
+ORACLE["stream_changes"] = """SELECT user_id AS event_id, 'EVENT_UPSERT' AS change, arg_max(event_type, ts) AS status FROM events GROUP BY user_id"""
+ORACLE["enabled_sources"] = f"WITH {SOURCES} SELECT source_id, tier, is_official FROM sources WHERE enabled"
+
+ORACLE["tfidf_terms"] = f"""WITH {DOCS}, words AS (SELECT doc_id, unnest({_tokens('clean_text')}) AS term FROM docs0),
+  counts AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+  freq AS (SELECT term, count(*) AS df FROM counts GROUP BY term),
+  weighed AS (SELECT doc_id, term, tf, df, round(tf * ln(((SELECT count(*) FROM docs0) + 1) / (df + 1)::DOUBLE), 6) AS tfidf FROM counts JOIN freq USING (term))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY tfidf DESC, term) AS rank, term, tf, df, tfidf FROM weighed QUALIFY rank <= 5"""
+
+_MINIMA = " || '|' || ".join(
+    f"min((h * (2 * {i} * {i} * 104729 + 2 * {i} + 1) + {i} * 15485863) % 4294967311)::VARCHAR" for i in range(1, 17)
+)
+ORACLE["minhash"] = f"""WITH {DOCS}, words AS (SELECT doc_id, unnest({_tokens('clean_text')}) AS w FROM docs0),
+  hashed AS (SELECT doc_id, ('0x' || substr(md5(w), 25, 8))::BIGINT AS h FROM words)
+SELECT doc_id, {_MINIMA} AS minhash FROM hashed GROUP BY doc_id"""

@@ -15,18 +15,23 @@ def item_text(summary: Column, description: Column) -> Column:
     return F.coalesce(non_empty(summary), non_empty(description), F.lit(""))
 
 
+def feed_items(body: Column) -> Column:
+    """Items of an RSS body as ``array<struct<title, url, text>>``; null for a null or empty feed."""
+    return F.transform(
+        F.from_xml(body, schemas.RSS_BODY)["channel"]["item"],
+        lambda item: F.struct(
+            item["title"].alias("title"),
+            item["link"].alias("url"),
+            item_text(item["summary"], item["description"]).alias("text"),
+        ),
+    )
+
+
 def rss_items(feeds: DataFrame) -> DataFrame:
     """Items of RSS bodies: ``feeds`` columns without the body, plus ``item_no, title, url, text``."""
     keep = [c for c in feeds.columns if c != "body"]
-    parsed = feeds.select(*keep, F.from_xml("body", schemas.RSS_BODY).alias("feed"))
-    items = parsed.select(*keep, F.posexplode("feed.channel.item").alias("item_no", "item"))
-    return items.select(
-        *keep,
-        "item_no",
-        "item.title",
-        F.col("item.link").alias("url"),
-        item_text(F.col("item.summary"), F.col("item.description")).alias("text"),
-    )
+    items = feeds.select(*keep, F.posexplode(feed_items(F.col("body"))).alias("item_no", "item"))
+    return items.select(*keep, "item_no", "item.*")
 
 
 def atom_items(feeds: DataFrame) -> DataFrame:
