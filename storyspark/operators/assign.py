@@ -32,20 +32,23 @@ def assign_events(
         earlier = _earliest_sharing(anchors, match_on, hot_rows)
     else:
         earlier = _earliest_recent(docs, anchors, match_on, lookback_seconds)
-    parents = stage(
-        docs.select("doc_id")
-        .join(earlier, "doc_id", "left")
-        .select(F.col("doc_id").alias("id"), F.least("doc_id", "first_doc").alias("parent")),
+    # Only documents that join an earlier one need a parent; all others are roots and stay out.
+    children = stage(
+        earlier.filter("first_doc < doc_id").select(F.col("doc_id").alias("id"), F.col("first_doc").alias("parent")),
         "parents",
     )
-    roots = resolve_roots(parents, hot_rows).select(F.col("id").alias("doc_id"), F.col("root").alias("event_id"))
-    return docs.join(roots, "doc_id").select(
-        "event_id",
-        "doc_id",
-        "source_id",
-        "seen_at",
-        (F.col("event_id") == F.col("doc_id")).alias("is_primary"),
-        *keep,
+    roots = resolve_roots(children, hot_rows).select(F.col("id").alias("doc_id"), "root")
+    return (
+        docs.join(roots, "doc_id", "left")
+        .withColumn("event_id", F.coalesce("root", "doc_id"))
+        .select(
+            "event_id",
+            "doc_id",
+            "source_id",
+            "seen_at",
+            (F.col("event_id") == F.col("doc_id")).alias("is_primary"),
+            *keep,
+        )
     )
 
 

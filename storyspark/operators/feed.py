@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from storyspark.functions import fixed_values as fixed
 from storyspark.functions.scores import coverage_lag, evidence_multiplier
 from storyspark.functions.text import non_empty
+from storyspark.session import stage
 
 FEED_LIMIT = 20
 CARD_LIMIT = 12
@@ -57,8 +58,8 @@ def event_feed(
     Repeated anchors appear once with their count. An event with more than a thousand distinct anchors
     spreads them over numbered pages, so that no row or task has to hold them all.
     """
-    top = top_events(events, status, lane, limit)
-    counts = _anchor_counts(top, event_docs, anchors)
+    top = stage(top_events(events, status, lane, limit), "feed-top")
+    counts = stage(_anchor_counts(top, event_docs, anchors), "feed-anchors")
     sizes = counts.groupBy("event_id").agg(F.count("*").alias("_distinct"))
     bucket = F.conv(F.substring(F.md5(F.col("anchor_value").cast("binary")), 1, 8), 16, 10).cast("bigint")
     pages = F.ceil(F.col("_distinct") / ANCHORS_PER_PAGE)
@@ -95,7 +96,7 @@ def event_feed(
 
 def dashboard_cards(events: DataFrame, event_docs: DataFrame, anchors: DataFrame) -> DataFrame:
     """Twelve best events that are not ignored, with up to three short anchor tags each."""
-    top = top_events(events.filter(F.col("status") != "IGNORED"), limit=CARD_LIMIT)
+    top = stage(top_events(events.filter(F.col("status") != "IGNORED"), limit=CARD_LIMIT), "card-top")
     first = W.partitionBy("event_id").orderBy("anchor_type", "anchor_value")
     tag = F.concat(F.col("anchor_type"), F.lit(": "), F.substring("anchor_value", 1, CARD_ANCHOR_CHARS))
     tags = (

@@ -16,8 +16,8 @@ from storyspark.session import stage
 def resolve_roots(parents: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(id, parent)`` forest to ``(id, root)``; a root is its own parent.
 
-    A parent without a row of its own counts as a root. Only nodes that are somebody's parent take part in
-    the pointer doubling; all other nodes read their parent's root once at the end.
+    A parent without a row of its own counts as a root, so roots may be left out. Only nodes that are somebody's
+    parent take part in the pointer doubling; all other nodes read their parent's root once at the end.
     """
     children = parents.filter("id <> parent")
     wanted = children.groupBy("parent").agg(F.count("*").alias("n"))

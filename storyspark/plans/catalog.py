@@ -25,7 +25,7 @@ from storyspark.operators import (
     states,
     versions,
 )
-from storyspark.operators.hotkeys import with_next
+from storyspark.operators.hotkeys import with_next, with_previous
 from storyspark.plans import adapters as ad
 from storyspark.plans.ingest import documents_from_fetches
 from storyspark.plans.story import StoryTables, assign_facts, build_story, document_facts, with_lane
@@ -318,11 +318,13 @@ def merged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def resolve_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long merge chains: every order was absorbed by the previous order of the same customer."""
-    orders = ad.table(spark, sf_dir, "orders")
-    half = F.floor(F.col("o_orderkey") / 2).cast("bigint")
-    audit = orders.filter("o_orderkey % 5 <> 0").select(
-        F.col("o_orderkey").alias("from_event_id"), half.alias("to_event_id")
+    """Long merge chains: every order was absorbed by the previous order of its customer."""
+    orders = ad.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    previous = with_previous(
+        orders, ["o_custkey"], "o_orderkey", F.floor(F.col("o_orderkey") / 100_000), F.struct("o_orderkey"), "previous"
+    )
+    audit = previous.filter("previous IS NOT NULL").select(
+        F.col("o_orderkey").alias("from_event_id"), F.col("previous.o_orderkey").alias("to_event_id")
     )
     return merge.resolve_redirects(audit)
 
@@ -529,12 +531,11 @@ def score_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def score_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores stored up to 20 January, then later ones of some events on top."""
+    """Scores stored up to 20 January, then all later ones on top."""
     rows = score_history(spark, sf_dir)
     early = F.col("computed_at") < F.lit("2024-01-20").cast("timestamp")
     stored = tables.latest_scores(rows.filter(early))
-    incoming = rows.filter(~early & (F.col("breaking_score") > 60))
-    return tables.upsert_scores(stored, incoming).select(
+    return tables.upsert_scores(stored, rows.filter(~early)).select(
         "event_id", "breaking_score", F.unix_micros("computed_at").alias("computed_at_us")
     )
 
@@ -798,8 +799,7 @@ def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     as_of = ad.latest(docs, "seen_at")
     old = stage(assign.build_events(event_docs), "events")
     scores = scoring.score_events(old, event_docs, ad.sources(spark, sf_dir), as_of)
-    fresh = scores.filter("source_count > 1")
-    new = merge.apply_merges(tables.mirror_scores(old, fresh), merge.merge_audit(event_docs, found, as_of))
+    new = merge.apply_merges(tables.mirror_scores(old, scores), merge.merge_audit(event_docs, found, as_of))
     return changes.change_feed(old, new)
 
 

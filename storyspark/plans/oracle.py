@@ -300,10 +300,8 @@ ORACLE["merged_events"] = f"""{COMPONENTS}, {EVENTS}
 SELECT event_id, to_event_id AS canonical_event_id, CASE WHEN to_event_id IS NULL THEN status ELSE 'MERGED' END AS status
 FROM story_events LEFT JOIN audit ON from_event_id = event_id"""
 
-ORACLE["resolve_redirects"] = """WITH RECURSIVE audit AS (
-  SELECT o_orderkey AS a, CAST(floor(o_orderkey / 2) AS BIGINT) AS b FROM orders WHERE o_orderkey % 5 <> 0),
-  chain AS (SELECT a, b FROM audit UNION ALL SELECT c.a, n.b FROM chain c JOIN audit n ON n.a = c.b)
-SELECT a AS from_event_id, min(b) AS to_event_id FROM chain GROUP BY a"""
+ORACLE["resolve_redirects"] = """SELECT o_orderkey AS from_event_id, first AS to_event_id
+FROM (SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY o_custkey) AS first FROM orders) WHERE o_orderkey > first"""
 
 PROFILES = f"""raw AS ({_view(ad.PROFILES, pages='pages')}),
   profiles AS (SELECT id, domain, url, enabled, CASE WHEN json_valid(fetch_policy_json) THEN fetch_policy_json::JSON END AS j FROM raw),
@@ -389,10 +387,8 @@ SELECT doc_id, source_id, CASE WHEN doc_id % 3 > 0 THEN url ELSE 'https://' || s
   least(length(clean_text), 10000) AS n_chars, sha256(substr(clean_text, 1, 10000)) AS content_hash, sha256(clean_text) AS body_hash, 1 AS version_no
 FROM docs"""
 
-ORACLE["score_upsert"] = """WITH ranked AS (SELECT user_id AS event_id, value AS breaking_score, ts, ts >= TIMESTAMP '2024-01-20' AS late FROM events),
-  kept AS (SELECT * FROM ranked WHERE NOT late OR breaking_score > 60)
-SELECT event_id, breaking_score, epoch_us(ts) AS computed_at_us FROM kept
-QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts DESC) = 1"""
+ORACLE["score_upsert"] = """SELECT user_id AS event_id, value AS breaking_score, epoch_us(ts) AS computed_at_us FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1"""
 
 ORACLE["score_mirror"] = f"{STORY} SELECT event_id, status, score AS breaking_score FROM scores"
 
@@ -535,8 +531,8 @@ SELECT s.event_id, min(observation_id) AS observation_id, epoch_us(sent_at + INT
 FROM sent s JOIN candidates c ON c.event_id = s.event_id AND c.observed_at = s.sent_at GROUP BY s.event_id, sent_at"""
 
 ORACLE["change_feed"] = f"""{COMPONENTS}, {EVENTS}, {SCORES},
-  fresh AS (SELECT e.event_id, e.status, to_event_id, CASE WHEN source_count > 1 THEN s.score ELSE breaking_score END <> breaking_score AS touched
-    FROM story_events e JOIN scores s USING (event_id) JOIN source_part USING (event_id) LEFT JOIN audit ON from_event_id = e.event_id)
+  fresh AS (SELECT e.event_id, e.status, to_event_id, s.score <> breaking_score AS touched
+    FROM story_events e JOIN scores s USING (event_id) LEFT JOIN audit ON from_event_id = e.event_id)
 SELECT event_id, CASE WHEN to_event_id IS NOT NULL THEN 'EVENT_MERGED' ELSE 'EVENT_UPSERT' END AS change,
   CASE WHEN to_event_id IS NOT NULL THEN 'MERGED' ELSE status END AS status, to_event_id AS target_event_id
 FROM fresh WHERE to_event_id IS NOT NULL OR touched"""

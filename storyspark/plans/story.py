@@ -18,7 +18,7 @@ from storyspark.sinks.tables import mirror_scores
 
 @dataclass
 class StoryTables:
-    """Results of one run. All but ``scores`` read written tables."""
+    """Results of one run, as DataFrames over written tables."""
 
     facts: DataFrame
     anchors: DataFrame
@@ -67,5 +67,5 @@ def build_story(docs: DataFrame, sources: DataFrame, as_of: Column | None = None
     anchors, event_docs = assign_facts(facts)
     events = stage(build_events(event_docs), "events")
     now = facts.agg(F.max("seen_at")).scalar() if as_of is None else as_of
-    scores = score_events(events, event_docs, sources, now)
+    scores = stage(score_events(events, event_docs, sources, now), "event-scores")
     return StoryTables(facts, anchors, event_docs, events, scores)

@@ -295,3 +295,29 @@ def test_drafts_and_feedback(spark):
     events, _ = story(spark)
     got = {r.event_id: r.status for r in tables.apply_feedback(events, feedback).collect()}
     assert got == {1: "IGNORED", 2: "NEW", 3: "IGNORED"}
+
+
+@pytest.mark.parametrize("hot_rows", [1, 3, 10**9])
+def test_tfidf(spark, hot_rows):
+    texts = ["a a b", "a c", "a d d d", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, clean_text string")
+    got = {(r.doc_id, r["rank"]): (r.term, r.tf, r.df) for r in similar.tfidf_top_terms(docs, 1, hot_rows=hot_rows).collect()}
+    assert got == {(0, 1): ("b", 1, 1), (1, 1): ("c", 1, 1), (2, 1): ("d", 3, 1)}
+
+
+def test_minhash_estimates_jaccard(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(words[:360]), " ".join(reversed(words)) + " w1", "other words", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, clean_text string")
+    signatures = {r.doc_id: r.minhash for r in similar.minhash_signatures(docs).collect()}
+    assert set(signatures) == {0, 1, 2, 3} and signatures[0] == signatures[2]
+    pairs = spark.createDataFrame([(signatures[0], signatures[i]) for i in (0, 1, 3)], "a array<bigint>, b array<bigint>")
+    same, close, far = [r[0] for r in pairs.select(similar.minhash_similarity(F.col("a"), F.col("b"))).collect()]
+    assert same == 1.0 and close >= 0.5 and far <= 0.25
+
+
+def test_bm25_prefers_rare_terms(spark):
+    texts = ["lei senado", "lei lei", "nada", "senado", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, clean_text string")
+    got = [r.doc_id for r in similar.bm25_top(docs, ["senado", "lei"], limit=10).collect()]
+    assert got[0] == 0 and set(got) == {0, 1, 3}

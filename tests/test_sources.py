@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from storyspark.plans.ingest import documents_from_fetches
 from storyspark.sources import feeds, fetches, html, profiles
 from storyspark.sources.seeds import seed_sources
 
@@ -154,6 +155,30 @@ def test_document_records(spark):
     assert (second.title, second.url, second.clean_text) == ("T", "u", "t")
 
 
+def test_documents_from_fetches(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rss = {**GOOD, "endpoints": {"latest": "https://x/latest"}}
+    page = {**GOOD, "strategy": "HTML", "endpoints": {"latest": "https://y/latest"}}
+    active = profiles.active_profiles(source_rows(spark, [rss, page]))
+    html_body = "<article><p>texto</p></article>"
+    rows = [(1, 0, RSS), (2, 0, RSS), (3, 1, html_body), (4, 1, "<nav>x</nav>"), (5, 7, html_body)]
+    fetched = spark.createDataFrame(
+        [(n, s, "u", b, t0 + dt.timedelta(minutes=n)) for n, s, b in rows],
+        "fetch_id bigint, source_id bigint, url string, body string, fetched_at timestamp",
+    )
+    got = [tuple(r) for r in documents_from_fetches(fetched, active).orderBy("doc_id").select("doc_id", "url", "title", "clean_text").collect()]
+    default = "Sugestão de Pauta: x.org"
+    assert got == [
+        (1_000_000, "https://x/1", "A & B", "<p>um</p>"),
+        (1_000_001, "https://x/2", default, "dois"),
+        (1_000_002, "https://x/latest", "C", ""),
+        (3_000_000, "https://y/latest", default, "texto"),
+    ]
+    assert documents_from_fetches(fetched, active, skip_known=False).count() == 7
+    history = spark.createDataFrame([(RSS,)], "body string").select(fetches.body_hash(F.col("body")).alias("snapshot_hash"))
+    assert documents_from_fetches(fetched, active, history).count() == 1
+
+
 @pytest.mark.parametrize("path", ["/shared/ckpt", "/shared/ckpt/"])
 def test_stage_folder_comes_from_the_session(spark, path):
     from storyspark import session
