@@ -17,13 +17,14 @@ FEATURES = (
 )
 
 
-def with_evidence(docs: DataFrame, extra_types: bool = False) -> DataFrame:
+def with_evidence(docs: DataFrame, with_context: bool = False, extra_types: bool = False) -> DataFrame:
     """Add ``anchors`` (nested) and all evidence features, in the scan that reads the text.
 
     A document's features depend on its own anchors only, so nothing is shuffled. ``docs`` brings ``doc_id``,
     ``clean_text``, ``is_official`` and ``url``.
     """
-    found = docs.withColumn("anchors", A.anchor_array(F.col("clean_text"), extra_types))
+    build = A.anchor_array_with_context if with_context else A.anchor_array
+    found = docs.withColumn("anchors", build(F.col("clean_text"), extra_types))
     weights = F.transform("anchors", lambda a: A.anchor_weight(a["anchor_type"]))
     money = F.filter("anchors", lambda a: a["anchor_type"] == "VALOR")
     return found.withColumns(

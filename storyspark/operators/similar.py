@@ -39,7 +39,9 @@ def _signature() -> list[Column]:
     return [F.bit_xor(F.when(word == i, bit)).alias(name) for i, name in enumerate(_SIGNATURE)]
 
 
-def similar_pairs(docs: DataFrame, threshold: float = 0.8, text_column: str = "clean_text") -> DataFrame:
+def similar_pairs(
+    docs: DataFrame, threshold: float = 0.8, text_column: str = "clean_text", hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """All pairs of distinct token sets with Jaccard at or above ``threshold``, found exactly.
 
     Tokens are ordered from rare to common. Two similar sets must share one of their first
@@ -51,9 +53,10 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8, text_column: str = "c
     words = sets.select("set_id", "size", F.explode("tokens").alias("token"))
     # Combined where the set is exploded: one row of sixteen words per set travels.
     signatures = stage(words.groupBy("set_id", "size").agg(*_signature()), "signatures")
-    frequency = words.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    frequency = words.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").withColumn("rows", F.col("df"))
+    # The most common words are in nearly every text: they get their frequency by broadcast.
     ranked = (
-        words.join(frequency, "token")
+        attach_unique(words, frequency, "token", "rows", hot_rows)
         .groupBy("set_id", "size")
         .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
         .withColumn("shared", F.size("ranked"))

@@ -42,13 +42,14 @@ def with_lane(docs: DataFrame) -> DataFrame:
     )
 
 
-def document_facts(docs: DataFrame) -> DataFrame:
+def document_facts(docs: DataFrame, with_context: bool = False) -> DataFrame:
     """All that later steps need of a document, without its text: the only scan of the text.
 
-    ``docs``: ``doc_id, source_id, source_key, source_domain, tier, is_official, title, url, clean_text,
-    seen_at``.
+    ``with_context`` also keeps the characters around every anchor.
+
+    ``docs``: ``doc_id, source_id, source_key, source_domain, tier, is_official, title, url, clean_text, seen_at``.
     """
-    facts = with_evidence(with_lane(docs)).select(
+    facts = with_evidence(with_lane(docs), with_context).select(
         "doc_id", "source_id", "seen_at", *EVENT_COLUMNS, "anchors", *FEATURES
     )
     return stage(facts, "document-facts")

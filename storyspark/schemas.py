@@ -10,7 +10,7 @@ FETCH_ATTEMPTS = (
     "source_id bigint, url string, status_code int, error_class string, latency_ms int, bytes int, "
     "attempted_at timestamp, pool string, snapshot_hash string"
 )
-SNAPSHOTS = "url string, fetched_at timestamp, content_hash string, snapshot_hash string"
+SNAPSHOTS = "url string, fetched_at timestamp, snapshot_hash string"
 DOCUMENTS = (
     "doc_id bigint, source_id bigint, url string, title string, clean_text string, content_hash string, "
     "body_hash string, version_no int, seen_at timestamp"
@@ -18,11 +18,24 @@ DOCUMENTS = (
 DOC_ANCHORS = (
     "doc_id bigint, anchor_no int, anchor_type string, anchor_value string, evidence_ptr string, confidence double"
 )
+FEATURES = (
+    "doc_id bigint, evidence_score double, anchors_count bigint, has_official_domain boolean, has_pdf boolean, "
+    "money_count bigint, has_table_like boolean"
+)
+EVENT_SCORES = (
+    "event_id bigint, breaking_score double, gap_score double, "
+    "reasons struct<breaking:array<string>,gap:array<string>>, computed_at timestamp"
+)
 EVENT_DOCS = "event_id bigint, doc_id bigint, source_id bigint, seen_at timestamp, is_primary boolean"
 EVENTS = (
     "event_id bigint, canonical_event_id bigint, status string, summary string, lane string, "
     "breaking_score double, first_seen_at timestamp, last_seen_at timestamp, created_at timestamp"
 )
+EVENT_STATE = "event_id bigint, status string, status_reason string, updated_at timestamp"
+ALERT_STATE = "event_id bigint, alert_hash string, last_alert_at timestamp, cooldown_until timestamp"
+MERGE_AUDIT = (
+    "from_event_id bigint, to_event_id bigint, reason_code string, evidence_json string, created_at timestamp"
+)
 FEEDBACK = "event_id bigint, action string, actor string, payload_json string, created_at timestamp"
 
 # Shape of the JSON policy column of a source.

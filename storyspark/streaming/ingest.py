@@ -19,7 +19,7 @@ def ingest_documents(docs: DataFrame, spark: SparkSession, folder: str) -> None:
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        found = stage(with_evidence(batch), "batch-documents")
+        found = stage(with_evidence(batch, with_context=True), "batch-documents")
         append_tables(
             {
                 "documents": found.select(*batch.columns),

@@ -99,6 +99,7 @@ def test_ingest_equals_batch_and_replay_changes_nothing(spark, sf_dir):
     features = spark.read.parquet(f"{folder}/doc_evidence_features")
     n = ad.table(spark, sf_dir, "documents").count()
     assert features.count() == n and anchors.count() >= n
+    assert anchors.filter("NOT contains(evidence_ptr, anchor_value)").isEmpty()
     batch = spark.read.parquet(f"{folder}/documents")
     want = evidence.evidence_features(batch)
     columns = "doc_id", "evidence_score", "anchors_count"
