@@ -15,7 +15,7 @@ def full_deltas(versions: DataFrame) -> DataFrame:
     """One row per version that has an earlier one: ``anchors``, ``values`` and ``temporal`` deltas.
 
     ``versions``: ``url, version_no, anchors array<string>, value, time``. The earlier version is the closest
-    lower number, so gaps in the numbering do not matter.
+    lower number, so gaps in the numbering do not matter. ``versions`` is read twice: pass a written table.
     """
     rows = with_previous(
         versions.select("url", "version_no", "anchors", "value", "time"),

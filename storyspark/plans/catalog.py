@@ -672,7 +672,7 @@ def version_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return versions.full_deltas(version_rows(spark, sf_dir))
+    return versions.full_deltas(stage(version_rows(spark, sf_dir), "versions"))
 
 
 _VERSION_KEY = ("url", "from_version", "to_version")
@@ -911,6 +911,4 @@ def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("breaking_score"),
         F.col("ts").alias("updated_at"),
     )
-    folder = new_stage_path(spark, "changes")
-    ingest.publish_changes(events, spark, folder)
-    return spark.read.parquet(f"{folder}/changes").select("event_id", "change", "status")
+    return runner.run_available(timers.event_changes(events), spark, "changes").select("event_id", "change", "status")

@@ -1,11 +1,9 @@
-"""Micro-batch ingest: extracted tables per batch, and the change feed of an event stream."""
+"""Micro-batch ingest: extracted tables per batch."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from storyspark.operators.changes import change_feed
 from storyspark.operators.evidence import FEATURES, explode_anchors, with_evidence
 from storyspark.session import stage
 from storyspark.sinks.tables import append_tables
@@ -31,26 +29,3 @@ def ingest_documents(docs: DataFrame, spark: SparkSession, folder: str) -> None:
         )
 
     for_each_batch(docs, spark, "ingest", write)
-
-
-def publish_changes(events: DataFrame, spark: SparkSession, folder: str) -> None:
-    """Change feed of a stream of event rows: each batch is compared with the state before it.
-
-    ``events`` has the event columns and ``updated_at``; the last row of an event in a batch counts. State and
-    feed are written per batch number, so a replayed batch reads the same state and writes the same feed.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        row = F.struct(*[F.col(c) for c in batch.columns])
-        latest = batch.groupBy("event_id").agg(F.max_by(row, F.col("updated_at")).alias("r")).select("r.*")
-        latest = stage(latest, "batch-events")
-        if batch_id == 0:
-            before = latest.limit(0)
-        else:
-            before = session.read.schema(batch.schema).parquet(f"{folder}/state/batch_id={batch_id - 1}")
-        changes = change_feed(before, latest).withColumn("batch_no", F.lit(batch_id))
-        after = before.join(latest.select("event_id"), "event_id", "left_anti").unionByName(latest)
-        append_tables({"changes": changes, "state": after}, folder, batch_id)
-
-    for_each_batch(events, spark, "changes", write)

@@ -1,4 +1,4 @@
-"""State per event with event-time timers: hydration and quarantine timeouts, alert cooldown."""
+"""State per event: hydration and quarantine timeouts, alert cooldown and the change feed."""
 
 from __future__ import annotations
 
@@ -15,6 +15,9 @@ from storyspark.operators.alerts import alert_hash
 TRANSITION = "event_id bigint, old_status string, status string, at timestamp"
 ALERT = "event_id bigint, observation_id bigint, alert_hash string, last_alert_at timestamp, cooldown_until timestamp"
 
+CHANGE = "event_id bigint, change string, status string, target_event_id bigint"
+_WATCHED = ["status", "summary", "lane", "breaking_score"]
+
 
 def _limit_us(status: str, pool: str) -> int | None:
     """Microseconds a state may last, or None without a limit."""
@@ -96,6 +99,36 @@ class AlertGate(StatefulProcessor):
         pass
 
 
+class EventChanges(StatefulProcessor):
+    """Compares the last row of an event in a micro-batch with the row before; the rule of ``change_feed``."""
+
+    def init(self, handle) -> None:
+        self.known = handle.getValueState("known", "status string, summary string, lane string, breaking_score double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = None
+        for chunk in rows:
+            row = chunk.loc[chunk["at_us"].idxmax()]
+            if last is None or row["at_us"] > last["at_us"]:
+                last = row
+        now = tuple(None if pd.isna(last[c]) else last[c] for c in _WATCHED)
+        before = tuple(self.known.get()) if self.known.exists() else None
+        self.known.update(now)
+        change = None
+        if before is not None and before[0] != now[0]:
+            change = "EVENT_MERGED" if now[0] == "MERGED" else "EVENT_STATE_CHANGED"
+        elif before != now:
+            change = "EVENT_UPSERT"
+        merged = now[0] == "MERGED" and not pd.isna(last["canonical_event_id"])
+        target = int(last["canonical_event_id"]) if merged else None
+        out = [(int(key[0]), change, now[0], target)] if change else []
+        frame = _frame(out, CHANGE)
+        yield frame.astype({"target_event_id": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
 def _in_order(rows: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple]:
     """Rows of one event and one micro-batch by time, without the text columns of the stream."""
     batch = pd.concat([chunk[columns] for chunk in rows]).sort_values(columns[:2])
@@ -138,3 +171,11 @@ def sent_alerts(observations: DataFrame, cooldown_s: int = fixed.ALERT_COOLDOWN_
             timeMode="EventTime",
         )
     )
+
+
+def event_changes(events: DataFrame) -> DataFrame:
+    """Change feed of a stream of event rows with ``updated_at``; state holds one row per event."""
+    rows = events.select("event_id", "canonical_event_id", *_WATCHED, F.unix_micros("updated_at").alias("at_us"))
+    return rows.groupBy("event_id").transformWithStateInPandas(
+        statefulProcessor=EventChanges(), outputStructType=CHANGE, outputMode="Append", timeMode="None"
+    )

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from storyspark.operators import alerts, evidence, health, states
+from storyspark.operators.changes import change_feed
 from storyspark.operators.hotkeys import with_next
 from storyspark.plans import adapters as ad
 from storyspark.plans.catalog import _state_log
@@ -109,16 +110,23 @@ def test_ingest_equals_batch_and_replay_changes_nothing(spark, sf_dir):
 
 
 def test_change_feed_of_a_stream(spark, split_events):
-    folder = new_stage_path(spark, "changes")
-    sql = """SELECT user_id % 20 AS event_id, CAST(NULL AS BIGINT) AS canonical_event_id, event_type AS status, 's' AS summary,
-      'geral' AS lane, value AS breaking_score, ts AS updated_at FROM {events}"""
-    ingest.publish_changes(stream(spark, split_events, sql), spark, folder)
-    got = spark.read.parquet(f"{folder}/changes")
-    per_batch = {r.batch_no: r.n for r in got.groupBy("batch_no").agg(F.countDistinct("event_id").alias("n")).collect()}
-    assert per_batch[0] == 15 and set(per_batch) <= {0, 1, 2, 3}
-    assert {r.change for r in got.filter("batch_no = 0").collect()} == {"EVENT_UPSERT"}
-    assert "EVENT_STATE_CHANGED" in {r.change for r in got.filter("batch_no > 0").collect()}
-    last = spark.read.parquet(f"{folder}/state/batch_id=3")
-    events = spark.sql(sql, events=ad.table(spark, "/root/testdata/sf0.001", "events"))
-    want = events.groupBy("event_id").agg(F.max_by("status", "updated_at").alias("status"))
-    assert collected(last, "event_id", "status") == collected(want, "event_id", "status")
+    sql = """SELECT user_id % 20 AS event_id, CASE event_type WHEN 'view' THEN 7L END AS canonical_event_id,
+      CASE event_type WHEN 'view' THEN 'MERGED' ELSE event_type END AS status, 's' AS summary,
+      CASE WHEN event_id % 3 = 0 THEN 'geral' END AS lane, value AS breaking_score, ts AS updated_at FROM {events}"""
+    got = runner.run_available(timers.event_changes(stream(spark, split_events, sql)), spark, "changes")
+
+    files = spark.read.parquet(split_events)
+    files = files.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("file", F.input_file_name())
+    paths = [r.file for r in files.groupBy("file").agg(F.min("ts").alias("t")).orderBy("t").collect()]
+    row = F.struct("canonical_event_id", "status", "summary", "lane", "breaking_score")
+    before, want = None, []
+    for path in paths:
+        rows = spark.sql(sql, events=files.filter(F.col("file") == path))
+        latest = rows.groupBy("event_id").agg(F.max_by(row, "updated_at").alias("r")).select("event_id", "r.*")
+        latest = stage(latest, "latest")
+        before = latest.limit(0) if before is None else before
+        want += [tuple(r) for r in change_feed(before, latest).collect()]
+        before = before.join(latest.select("event_id"), "event_id", "left_anti").unionByName(latest)
+    key = repr
+    assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(want, key=key)
+    assert {change for _, change, _, _ in want} == {"EVENT_UPSERT", "EVENT_STATE_CHANGED", "EVENT_MERGED"}
