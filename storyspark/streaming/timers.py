@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -12,6 +14,14 @@ from pyspark.sql.streaming import StatefulProcessor
 from storyspark.functions import fixed_values as fixed
 from storyspark.operators.alerts import alert_hash
 
+# The processors below travel to the Python workers by value, so this package need not be installed there. Their
+# code therefore uses only pandas, PySpark and names of this module.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+_FAST_US = fixed.FAST_TIMEOUT_S * 1_000_000
+_RENDER_US = fixed.RENDER_TIMEOUT_S * 1_000_000
+_QUARANTINE_US = fixed.QUARANTINE_TTL_S * 1_000_000
+
 TRANSITION = "event_id bigint, old_status string, status string, at timestamp"
 ALERT = "event_id bigint, observation_id bigint, alert_hash string, last_alert_at timestamp, cooldown_until timestamp"
 
@@ -22,12 +32,8 @@ _WATCHED = ["status", "summary", "lane", "breaking_score"]
 def _limit_us(status: str, pool: str) -> int | None:
     """Microseconds a state may last, or None without a limit."""
     if status == "HYDRATING":
-        seconds = fixed.FAST_TIMEOUT_S if pool == "FAST_POOL" else fixed.RENDER_TIMEOUT_S
-    elif status == "QUARANTINE":
-        seconds = fixed.QUARANTINE_TTL_S
-    else:
-        return None
-    return seconds * 1_000_000
+        return _FAST_US if pool == "FAST_POOL" else _RENDER_US
+    return _QUARANTINE_US if status == "QUARANTINE" else None
 
 
 def _timed_out(event_id: int, status: str, deadline_us: int) -> tuple:
