@@ -243,7 +243,16 @@ def test_feed_pages_hold_every_anchor(spark, monkeypatch):
 def test_change_feed(spark):
     columns = "event_id bigint, canonical_event_id bigint, status string, summary string, lane string, breaking_score double"
     old = spark.createDataFrame([(1, None, "NEW", "a", "x", 1.0), (2, None, "NEW", "a", "x", 1.0), (3, None, "NEW", "a", None, 1.0), (4, None, "NEW", "a", "x", 1.0)], columns)
-    new = spark.createDataFrame([(1, None, "HOT", "a", "x", 2.0), (2, 1, "MERGED", "a", "x", 1.0), (3, None, "NEW", "a", None, 1.0), (4, None, "NEW", "b", "x", 1.0), (5, None, "NEW", "a", "x", 1.0)], columns)
+    new = spark.createDataFrame(
+        [
+            (1, None, "HOT", "a", "x", 2.0),
+            (2, 1, "MERGED", "a", "x", 1.0),
+            (3, None, "NEW", "a", None, 1.0),
+            (4, None, "NEW", "b", "x", 1.0),
+            (5, None, "NEW", "a", "x", 1.0),
+        ],
+        columns,
+    )
     got = {r.event_id: (r.change, r.target_event_id) for r in changes.change_feed(old, new).collect()}
     assert got == {1: ("EVENT_STATE_CHANGED", None), 2: ("EVENT_MERGED", 1), 4: ("EVENT_UPSERT", None), 5: ("EVENT_UPSERT", None)}
 

@@ -44,4 +44,5 @@ def test_scan_reads_only_what_is_needed(spark, sf_dir):
     plan = plan_of(QUERIES["feedback_log"](spark, sf_dir))
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string>" in plan
     plan = plan_of(QUERIES["score_upsert"](spark, sf_dir))
-    assert "GreaterThan(value,60.0)" in plan
+    assert "GreaterThanOrEqual(ts,2024-01-20T00:00)" in plan
+    assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,value:double>" in plan
