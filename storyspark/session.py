@@ -7,13 +7,15 @@ re-read of that folder, never a recomputation of earlier rounds.
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 STAGE_FOLDER = "storyspark-stage"
-_local_folders: dict[str, str] = {}
+SETTING = "spark.checkpoint.dir"
 
 
 def local_session(cores: int | str = "*", app_name: str = "storyspark", memory: str = "8g") -> SparkSession:
@@ -29,25 +31,33 @@ def local_session(cores: int | str = "*", app_name: str = "storyspark", memory:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    prepare(spark)
     return spark
 
 
-def stage_root(spark: SparkSession) -> str:
-    """The shared folder for staged tables.
+def prepare(spark: SparkSession, code: str | None = None) -> None:
+    """Set what a session of one machine lacks: a folder for staged tables and, for Python workers, the path of this code.
 
-    The folder comes from ``spark.checkpoint.dir``. A local-mode session without that setting gets a
-    temporary folder; a cluster session without it is an error, since executors share no local disk.
+    Only a session in local mode without ``spark.checkpoint.dir`` gets a folder of its own; a cluster must name one.
     """
     context = spark.sparkContext
-    setting = "spark.checkpoint.dir"
-    configured = spark.conf.get(setting, None) or context.getConf().get(setting) or context.getCheckpointDir()
+    if not _configured(spark) and re.match(r"local(\[|$)", context.master):
+        spark.conf.set(SETTING, tempfile.mkdtemp(prefix="storyspark-"))
+    if code and code not in context.environment.get("PYTHONPATH", "").split(os.pathsep):
+        context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (code, context.environment.get("PYTHONPATH"))))
+
+
+def _configured(spark: SparkSession) -> str | None:
+    context = spark.sparkContext
+    return spark.conf.get(SETTING, None) or context.getConf().get(SETTING) or context.getCheckpointDir()
+
+
+def stage_root(spark: SparkSession) -> str:
+    """The shared folder for staged tables, named by ``spark.checkpoint.dir``; a session without that setting is an error."""
+    context = spark.sparkContext
+    configured = _configured(spark)
     if not configured:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        configured = _local_folders.get(context.applicationId)
-        if configured is None:
-            configured = tempfile.mkdtemp(prefix="storyspark-")
-            _local_folders[context.applicationId] = configured
+        raise ValueError(f"set {SETTING} to a folder that every executor can reach")
     return f"{configured.rstrip('/')}/{STAGE_FOLDER}/{context.applicationId}"
 
 
