@@ -58,29 +58,36 @@ def _with_context(text: Column, anchor_type: str, pattern: str) -> Column:
     """
     size = fixed.EVIDENCE_CONTEXT_CHARS
     regex = REGEX_FLAGS + pattern
-    found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
     gaps = F.split(text, regex, -1)
-    tails = F.transform(gaps, lambda gap: F.right(gap, F.lit(size)))
-    heads = F.transform(gaps, lambda gap: F.left(gap, F.lit(size)))
-
-    def row(value: Column, i: Column) -> Column:
-        first = F.greatest(i - _NEIGHBOURS, F.lit(0))
-        before = F.transform(
-            F.slice(found, first + 1, i - first), lambda match, j: F.concat(F.get(tails, first + j), match)
-        )
-        after = F.transform(
-            F.slice(found, i + 2, F.lit(_NEIGHBOURS)), lambda match, j: F.concat(match, F.get(heads, i + j + 2))
-        )
-        left = F.right(F.concat(F.array_join(before, ""), F.get(tails, i)), F.lit(size))
-        right = F.left(F.concat(F.get(heads, i + 1), F.array_join(after, "")), F.lit(size))
-        return F.struct(
-            F.lit(anchor_type).alias("anchor_type"),
-            value.alias("anchor_value"),
-            F.concat(left, value, right).alias("evidence_ptr"),
-        )
+    # One struct, computed once per text: what the rows below read of it are fields, not expressions over the text.
+    parts = F.struct(
+        F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("found"),
+        F.transform(gaps, lambda gap: F.struct(F.left(gap, F.lit(size)).alias("head"), F.right(gap, F.lit(size)).alias("tail"))).alias("gaps"),
+    )
+
+    def rows(part: Column) -> Column:
+        found, ends = part["found"], part["gaps"]
+
+        def row(value: Column, i: Column) -> Column:
+            first = F.greatest(i - _NEIGHBOURS, F.lit(0))
+            before = F.transform(
+                F.slice(found, first + 1, i - first), lambda match, j: F.concat(F.get(ends, first + j)["tail"], match)
+            )
+            after = F.transform(
+                F.slice(found, i + 2, F.lit(_NEIGHBOURS)), lambda match, j: F.concat(match, F.get(ends, i + j + 2)["head"])
+            )
+            left = F.right(F.concat(F.array_join(before, ""), F.get(ends, i)["tail"]), F.lit(size))
+            right = F.left(F.concat(F.get(ends, i + 1)["head"], F.array_join(after, "")), F.lit(size))
+            return F.struct(
+                F.lit(anchor_type).alias("anchor_type"),
+                value.alias("anchor_value"),
+                F.concat(left, value, right).alias("evidence_ptr"),
+            )
+
+        return F.transform(found, row)
 
     empty = F.array().cast("array<struct<anchor_type:string,anchor_value:string,evidence_ptr:string>>")
-    return _only_if_possible(text, anchor_type, F.transform(found, row), empty)
+    return _only_if_possible(text, anchor_type, F.get(F.transform(F.array(parts), rows), 0), empty)
 
 
 def anchor_array_with_context(text: Column, extra_types: bool = False) -> Column:

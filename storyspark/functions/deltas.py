@@ -26,7 +26,10 @@ def value_delta(old: Column, new: Column) -> Column:
 
 
 def iso_time(value: Column) -> Column:
-    return F.date_format(value, "yyyy-MM-dd'T'HH:mm:ssXXX")
+    """ISO 8601 with offset, and with six digits of a second if it isn't whole: ``2024-03-01T00:00:00.250000+00:00``."""
+    micros = F.pmod(F.unix_micros(value), F.lit(1_000_000))
+    fraction = F.when(micros == 0, F.lit("")).otherwise(F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0")))
+    return F.concat(F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.date_format(value, "xxx"))
 
 
 def temporal_delta(old: Column, new: Column) -> Column:

@@ -48,10 +48,9 @@ EVIDENCE_SCORE_CAP = 10.0
 EVIDENCE_CONTEXT_CHARS = 20
 
 # --- ingest (fixed values) ---
-DOCUMENT_TEXT_CHARS = 10_000
-LANE_SNIPPET_CHARS = 500
 DEFAULT_TITLE_PREFIX = "Sugestão de Pauta: "
 DEFAULT_SUMMARY_PREFIX = "Novo sinal de pauta em "
+NO_SUMMARY = "Sem resumo"
 
 POOLS = ("FAST_POOL", "HEAVY_RENDER_POOL", "DEEP_EXTRACT_POOL")
 STRATEGIES = ("RSS", "HTML", "API", "SPA_API", "SPA_HEADLESS", "PDF")
@@ -77,17 +76,6 @@ PROFILE_MINIMUMS = {
 }
 
 # --- events and states (fixed values) ---
-EVENT_STATUSES = (
-    "NEW",
-    "HYDRATING",
-    "PARTIAL_ENRICH",
-    "FAILED_ENRICH",
-    "QUARANTINE",
-    "HOT",
-    "MERGED",
-    "IGNORED",
-    "EXPIRED",
-)
 TIER1_EVENT = ("HOT", 85.0)
 OTHER_EVENT = ("NEW", 50.0)
 FAST_TIMEOUT_S = 60

@@ -100,26 +100,27 @@ def build_events(event_docs: DataFrame) -> DataFrame:
 
     ``event_docs`` carries :data:`EVENT_COLUMNS` of its documents; the first document of an event decides.
     """
-    span = event_docs.groupBy("event_id").agg(F.max("seen_at").alias("last_seen_at"))
     hot_status, hot_score = fixed.TIER1_EVENT
     new_status, new_score = fixed.OTHER_EVENT
+    first = F.struct("seen_at", *EVENT_COLUMNS)
+    grouped = (
+        event_docs.groupBy("event_id")
+        .agg(F.max("seen_at").alias("last_seen_at"), F.max(F.when(F.col("is_primary"), first)).alias("first"))
+        .filter("first IS NOT NULL")
+        .select("event_id", "last_seen_at", "first.*")
+    )
     tier1 = F.col("tier") == 1
     summary = F.coalesce(
         non_empty(F.col("title")), F.concat(F.lit(fixed.DEFAULT_SUMMARY_PREFIX), F.col("source_domain"))
     )
-    return (
-        event_docs.filter("is_primary")
-        .select("event_id", "seen_at", *EVENT_COLUMNS)
-        .join(span, "event_id")
-        .select(
-            "event_id",
-            F.lit(None).cast("bigint").alias("canonical_event_id"),
-            F.when(tier1, F.lit(hot_status)).otherwise(F.lit(new_status)).alias("status"),
-            summary.alias("summary"),
-            "lane",
-            F.when(tier1, F.lit(hot_score)).otherwise(F.lit(new_score)).alias("breaking_score"),
-            F.col("seen_at").alias("first_seen_at"),
-            "last_seen_at",
-            F.col("seen_at").alias("created_at"),
-        )
+    return grouped.select(
+        "event_id",
+        F.lit(None).cast("bigint").alias("canonical_event_id"),
+        F.when(tier1, F.lit(hot_status)).otherwise(F.lit(new_status)).alias("status"),
+        summary.alias("summary"),
+        "lane",
+        F.when(tier1, F.lit(hot_score)).otherwise(F.lit(new_score)).alias("breaking_score"),
+        F.col("seen_at").alias("first_seen_at"),
+        "last_seen_at",
+        F.col("seen_at").alias("created_at"),
     )

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from storyspark.functions import fixed_values as fixed
 
-_WATCHED = ("summary", "lane", "breaking_score")
+_WATCHED = ("summary", "lane", "breaking_score", "canonical_event_id")
 
 
 def change_feed(old: DataFrame, new: DataFrame) -> DataFrame:
     """``event_id, change, status, target_event_id`` for every event that is new or different.
 
-    A merge is reported as such, any other new status as a state change, and everything else as an upsert.
+    A merge is reported as such, also when it moves on to another target, any other new status as a state change, and everything
+    else as an upsert.
     Unchanged events and events that only exist in ``old`` give no row.
     """
     columns = ("status", *_WATCHED)
@@ -23,8 +24,9 @@ def change_feed(old: DataFrame, new: DataFrame) -> DataFrame:
     touched = F.col("known").isNull()
     for name in _WATCHED:
         touched = touched | ~F.col(name).eqNullSafe(F.col(f"old_{name}"))
+    retargeted = moved | ~F.col("canonical_event_id").eqNullSafe(F.col("old_canonical_event_id"))
     change = (
-        F.when(F.col("known").isNotNull() & moved & (F.col("status") == "MERGED"), F.lit("EVENT_MERGED"))
+        F.when(F.col("known").isNotNull() & retargeted & (F.col("status") == "MERGED"), F.lit("EVENT_MERGED"))
         .when(F.col("known").isNotNull() & moved, F.lit("EVENT_STATE_CHANGED"))
         .when(touched, F.lit("EVENT_UPSERT"))
     )
@@ -36,16 +38,20 @@ def change_feed(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def feedback_stats(feedback: DataFrame, events: DataFrame, by: str) -> DataFrame:
+def feedback_stats(feedback: DataFrame, events: DataFrame, by: str, redirects: DataFrame | None = None) -> DataFrame:
     """Counts of each valid action and the share of ignored ones, per lane or source of the event.
 
-    Actions are summed per event before the join, so an event with very many of them is one row per action.
+    Actions are summed per event before the join, so an event with very many of them is one row per action. With
+    ``redirects`` (``from_event_id, to_event_id``) actions on an absorbed event count for the event that took it in.
     """
     actions = (
         feedback.filter(F.col("action").isin(*fixed.FEEDBACK_ACTIONS))
         .groupBy("event_id", "action")
         .agg(F.count("*").alias("n"))
     )
+    if redirects is not None:
+        to = redirects.select(F.col("from_event_id").alias("event_id"), "to_event_id")
+        actions = actions.join(to, "event_id", "left").withColumn("event_id", F.coalesce("to_event_id", "event_id")).drop("to_event_id")
     named = actions.join(events.select("event_id", by), "event_id")
 
     def total(action: str):

@@ -15,7 +15,7 @@ FEED_LIMIT = 20
 CARD_LIMIT = 12
 CARD_ANCHORS = 3
 CARD_ANCHOR_CHARS = 15
-ANCHORS_PER_PAGE = 1_000
+FEED_ANCHORS = 50
 
 
 def top_events(
@@ -34,9 +34,8 @@ def top_events(
 
 
 def _anchor_counts(top: DataFrame, event_docs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Distinct anchors with their number of mentions, for the few events of ``top``."""
-    # ``top`` has at most the requested number of rows, which bounds this broadcast.
-    members = event_docs.select("event_id", "doc_id").join(F.broadcast(top.select("event_id")), "event_id")
+    """Distinct anchors with their number of mentions, for the events of ``top``."""
+    members = event_docs.select("event_id", "doc_id").join(top.select("event_id"), "event_id")
     return (
         anchors.select("doc_id", "anchor_type", "anchor_value")
         .join(members, "doc_id")
@@ -45,6 +44,18 @@ def _anchor_counts(top: DataFrame, event_docs: DataFrame, anchors: DataFrame) ->
     )
 
 
+def feed_anchors(
+    events: DataFrame,
+    event_docs: DataFrame,
+    anchors: DataFrame,
+    status: str | None = None,
+    lane: str | None = None,
+    limit: int = FEED_LIMIT,
+) -> DataFrame:
+    """All anchors of the top events, one row per event and anchor: ``event_id, anchor_type, anchor_value, mentions``."""
+    return _anchor_counts(stage(top_events(events, status, lane, limit), "feed-top"), event_docs, anchors)
+
+
 def event_feed(
     events: DataFrame,
     event_docs: DataFrame,
@@ -52,32 +63,23 @@ def event_feed(
     status: str | None = None,
     lane: str | None = None,
     limit: int = FEED_LIMIT,
+    nested: int = FEED_ANCHORS,
 ) -> DataFrame:
-    """Top events with all their anchors nested as ``array<struct<type, value, mentions>>``.
+    """Top events, one row each, with their ``nested`` most mentioned anchors as ``array<struct<type, value, mentions>>``.
 
-    Repeated anchors appear once with their count. An event with more than a thousand distinct anchors
-    spreads them over numbered pages, so that no row or task has to hold them all.
+    Ties go by type and value. ``anchor_count`` is the number of all distinct anchors of the event; :func:`feed_anchors` lists
+    them without a limit, as no row could hold the anchors of every event.
     """
     top = stage(top_events(events, status, lane, limit), "feed-top")
     counts = stage(_anchor_counts(top, event_docs, anchors), "feed-anchors")
-    sizes = counts.groupBy("event_id").agg(F.count("*").alias("_distinct"))
-    bucket = F.conv(F.substring(F.md5(F.col("anchor_value").cast("binary")), 1, 8), 16, 10).cast("bigint")
-    pages = F.ceil(F.col("_distinct") / ANCHORS_PER_PAGE)
-    nested = (
-        # One row per feed event: at most ``limit`` rows.
-        counts.join(F.broadcast(sizes), "event_id")
-        .withColumn("anchor_page", F.pmod(bucket, pages))
-        .groupBy("event_id", "anchor_page")
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct(F.col("anchor_type").alias("type"), F.col("anchor_value").alias("value"), "mentions")
-                )
-            ).alias("anchors")
-        )
-    )
+    best = W.partitionBy("event_id").orderBy(F.col("mentions").desc(), "anchor_type", "anchor_value")
+    item = F.struct("n", F.col("anchor_type").alias("type"), F.col("anchor_value").alias("value"), "mentions")
+    shown = counts.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= nested).groupBy("event_id").agg(F.sort_array(F.collect_list(item)).alias("shown"))
+    sizes = counts.groupBy("event_id").agg(F.count("*").alias("anchor_count"))
+    listed = F.transform("shown", lambda a: F.struct(a["type"].alias("type"), a["value"].alias("value"), a["mentions"].alias("mentions")))
     return (
-        nested.join(F.broadcast(top), "event_id", "right")
+        top.join(sizes, "event_id", "left")
+        .join(shown, "event_id", "left")
         .select(
             "event_id",
             "status",
@@ -85,24 +87,29 @@ def event_feed(
             "score",
             "lane",
             "created_at",
-            F.coalesce("anchor_page", F.lit(0).cast("bigint")).alias("anchor_page"),
-            F.coalesce(
-                "anchors", F.array().cast("array<struct<type:string,value:string,mentions:bigint>>")
-            ).alias("anchors"),
+            F.coalesce("anchor_count", F.lit(0).cast("bigint")).alias("anchor_count"),
+            F.coalesce(listed, F.array().cast("array<struct<type:string,value:string,mentions:bigint>>")).alias("anchors"),
         )
-        .orderBy(F.col("score").desc(), F.col("created_at").desc(), "event_id", "anchor_page")
+        .orderBy(F.col("score").desc(), F.col("created_at").desc(), "event_id")
     )
 
 
-def dashboard_cards(events: DataFrame, event_docs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Twelve best events that are not ignored, with up to three short anchor tags each."""
-    top = stage(top_events(events.filter(F.col("status") != "IGNORED"), limit=CARD_LIMIT), "card-top")
+def dashboard_cards(
+    events: DataFrame,
+    event_docs: DataFrame,
+    anchors: DataFrame,
+    limit: int = CARD_LIMIT,
+    tags_per_card: int = CARD_ANCHORS,
+    tag_chars: int = CARD_ANCHOR_CHARS,
+) -> DataFrame:
+    """The best events that are not ignored, with a few short anchor tags each."""
+    top = stage(top_events(events.filter(F.col("status") != "IGNORED"), limit=limit), "card-top")
     first = W.partitionBy("event_id").orderBy("anchor_type", "anchor_value")
-    tag = F.concat(F.col("anchor_type"), F.lit(": "), F.substring("anchor_value", 1, CARD_ANCHOR_CHARS))
+    tag = F.concat(F.col("anchor_type"), F.lit(": "), F.substring("anchor_value", 1, tag_chars))
     tags = (
         _anchor_counts(top, event_docs, anchors)
         .withColumn("n", F.row_number().over(first))
-        .filter(F.col("n") <= CARD_ANCHORS)
+        .filter(F.col("n") <= tags_per_card)
         .groupBy("event_id")
         .agg(F.sort_array(F.collect_list(F.struct("n", tag.alias("tag")))).alias("tags"))
         .select("event_id", F.transform("tags", lambda t: t["tag"]).alias("tags"))
@@ -111,7 +118,7 @@ def dashboard_cards(events: DataFrame, event_docs: DataFrame, anchors: DataFrame
         "event_id",
         "status",
         F.coalesce(non_empty(F.col("lane")), F.lit(fixed.DEFAULT_LANE)).alias("lane"),
-        F.coalesce(non_empty(F.col("summary")), F.lit("Sem resumo")).alias("summary"),
+        F.coalesce(non_empty(F.col("summary")), F.lit(fixed.NO_SUMMARY)).alias("summary"),
         F.concat(F.col("score").cast("int"), F.lit("%")).alias("score_label"),
         F.date_format("created_at", "HH:mm").alias("created_label"),
         F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyspark.functions import text as X
+from storyspark.operators.graph import connected_components
+from storyspark.operators.hotkeys import attach_unique
 from storyspark.session import stage
 
 _BITS = X.HASH_BITS
@@ -44,6 +46,25 @@ def duplicate_groups(hashes: DataFrame) -> DataFrame:
     )
 
 
+def duplicate_members(hashes: DataFrame) -> DataFrame:
+    """``(doc_id, group_id)`` of every document with tokens: the lowest document with the same fingerprint names the group."""
+    groups = duplicate_groups(hashes).withColumnRenamed("doc_id", "group_id")
+    return attach_unique(hashes.filter("token_count > 0").select("doc_id", "simhash"), groups, "simhash", "copies").select("doc_id", "group_id")
+
+
+def near_duplicate_groups(hashes: DataFrame, max_distance: int = 3) -> DataFrame:
+    """``(doc_id, group_id)`` of every document with tokens: groups connected by fingerprints at most ``max_distance`` bits apart.
+
+    The lowest document names the group. One row per document, however large the groups are.
+    """
+    members = stage(duplicate_members(hashes), "duplicate-members")
+    pairs = near_duplicate_pairs(hashes, max_distance).select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v"))
+    roots = connected_components(pairs).select(F.col("id").alias("group_id"), "root")
+    sizes = members.groupBy("group_id").agg(F.count("*").alias("n"))
+    named = sizes.join(roots, "group_id", "left").select("group_id", "n", F.coalesce("root", "group_id").alias("root"))
+    return attach_unique(members, named, "group_id", "n").select("doc_id", F.col("root").alias("group_id"))
+
+
 def near_duplicate_pairs(hashes: DataFrame, max_distance: int = 3, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """Pairs of different fingerprints at most ``max_distance`` bits apart.
 

@@ -44,7 +44,7 @@ FROM {events}
 """
 
 FEEDBACK = """
-SELECT event_id AS feedback_id, user_id % 100 AS event_id,
+SELECT event_id AS feedback_id, CAST(floor(event_id / 7) AS BIGINT) AS event_id,
   CASE event_type WHEN 'click' THEN 'PAUTAR' WHEN 'view' THEN 'SNOOZE' WHEN 'error' THEN 'IGNORE'
                   WHEN 'signup' THEN 'MERGE' ELSE 'publish' END AS action,
   CASE WHEN event_id % 4 = 0 THEN '{{"note": "x"}}' ELSE concat('{{"user_id": "u', CAST(user_id AS VARCHAR(9)), '"}}') END AS payload_json,
@@ -78,7 +78,7 @@ VERSIONS = """
 SELECT doc_id, concat('https://news.example.org/', CAST(CAST(floor(doc_id / 100) AS BIGINT) AS VARCHAR(9)), '/', CAST(source_id AS VARCHAR(9))) AS url,
   CAST(floor((doc_id % 100) / 20) AS BIGINT) + 1 AS version_no,
   CASE WHEN doc_id % 4 = 0 THEN NULL ELSE CAST(doc_id % 7 AS DOUBLE) END AS value,
-  CASE WHEN doc_id % 6 = 0 THEN NULL ELSE TIMESTAMP '2024-03-01 00:00:00' + doc_id % 5 * INTERVAL '1' HOUR END AS time,
+  CASE WHEN doc_id % 6 = 0 THEN NULL ELSE TIMESTAMP '2024-03-01 00:00:00' + doc_id % 5 * INTERVAL '1' HOUR + doc_id % 3 * INTERVAL '0.25' SECOND END AS time,
   clean_text
 FROM {docs}
 """

@@ -135,6 +135,14 @@ def source_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def host_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts of pages under one of the official domains."""
+    hosts = ad.hosts(spark, sf_dir).select("page_id", text.url_host(F.col("url")).alias("host"))
+    suffixes = fixed.CLASS_HOST_SUFFIXES["primary"]
+    return hosts.select("page_id", "host", taxonomy.host_matches_any(F.col("host"), suffixes).alias("is_primary"))
+
+
 @query
 def media_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     group = taxonomy.media_group(text.url_host(F.col("url")))
@@ -258,7 +266,7 @@ def _feed(built: StoryTables, **filters) -> DataFrame:
         "score",
         "lane",
         stamp("created_at").alias("created_at"),
-        "anchor_page",
+        "anchor_count",
         joined(label).alias("anchors"),
     )
 
@@ -268,6 +276,13 @@ def event_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _feed(story(spark, sf_dir))
 
 
+@query
+def feed_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All anchors of the hundred best events."""
+    built = story(spark, sf_dir)
+    return feed.feed_anchors(built.scored_events(), built.event_docs, built.anchors, limit=100)
+
+
 @query
 def event_feed_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _feed(story(spark, sf_dir), status="NEW", lane="tecnologia", limit=10)
@@ -620,6 +635,20 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicate_groups(neardup.document_simhash(ad.text_table(spark, sf_dir, "documents", "doc_id"), "text"))
 
 
+def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(neardup.document_simhash(ad.text_table(spark, sf_dir, "documents", "doc_id"), "text"), "simhash")
+
+
+@query
+def duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.duplicate_members(_hashes(spark, sf_dir))
+
+
+@query
+def near_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_groups(_hashes(spark, sf_dir))
+
+
 @query
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     hashes = stage(neardup.document_simhash(ad.text_table(spark, sf_dir, "documents", "doc_id"), "text"), "simhash")

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyspark.sources.feeds import feed_items
 from storyspark.sources.fetches import body_hash, document_records, new_snapshots
 from storyspark.sources.html import with_main_text
 
-# Document ids grow with the fetch and leave room for this many items of one body.
-ITEMS_PER_FETCH = 1_000_000
+# Document ids grow with the fetch and leave room for this many items of one body, far more than the bytes of a body
+# allow. A body with more stops the job instead of taking ids of the next fetch.
+ITEMS_PER_FETCH = 2**24
+
+
+def document_id(fetch_id: Column, item_no: Column) -> Column:
+    too_many = F.raise_error(F.concat(F.lit("too many items in fetch "), fetch_id.cast("string"))).cast("bigint")
+    return F.when(item_no < ITEMS_PER_FETCH, fetch_id * ITEMS_PER_FETCH + item_no).otherwise(too_many)
 
 
 def documents_from_fetches(
@@ -53,7 +59,7 @@ def documents_from_fetches(
     )
     return document_records(
         items.select(
-            (F.col("fetch_id") * ITEMS_PER_FETCH + F.col("item_no")).alias("doc_id"),
+            document_id(F.col("fetch_id"), F.col("item_no")).alias("doc_id"),
             "source_id",
             "source_domain",
             "endpoints",

@@ -70,7 +70,7 @@ def _keyword_lanes(texts: str) -> str:
   keyword_lane AS (SELECT key, lane FROM hits QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, prio DESC, ord) = 1)"""
 
 
-LANES = f"""lane_texts AS (SELECT doc_id AS key, {_normal("title || ' ' || substr(clean_text, 1, 500)")} AS t FROM docs),
+LANES = f"""lane_texts AS (SELECT doc_id AS key, {_normal("title || ' ' || clean_text")} AS t FROM docs),
   {_keyword_lanes('lane_texts')},
   lanes AS (SELECT doc_id, coalesce(lane, 'geral') AS lane FROM docs LEFT JOIN keyword_lane ON key = doc_id)"""
 
@@ -194,6 +194,10 @@ SELECT page_id, host, g AS media_group, coalesce({_in('g', fixed.MAINSTREAM_MEDI
 FROM hosts LEFT JOIN best USING (page_id)"""
 
 
+ORACLE["host_matches"] = f"""WITH hosts AS (SELECT page_id, lower(trim(split_part(url, '/', 3))) AS host FROM ({_view(ad.HOSTS, pages='pages')})),
+  suffixes(suffix) AS (VALUES {", ".join(f"('{x}')" for x in fixed.CLASS_HOST_SUFFIXES['primary'])})
+SELECT page_id, host, EXISTS (SELECT 1 FROM suffixes WHERE host = suffix OR ends_with(host, '.' || suffix)) AS is_primary FROM hosts"""
+
 ORACLE["media_group"] = _media_group()
 
 ORACLE["editorial_lane"] = f"WITH {STORY_DOCS}, {LANES} SELECT doc_id, lane FROM lanes"
@@ -254,14 +258,17 @@ def _feed(where: str, limit: int) -> str:
   top AS (SELECT * FROM scores WHERE {where} ORDER BY score DESC, first_seen_at DESC, event_id LIMIT {limit}),
   counted AS (SELECT event_id, anchor_type, anchor_value, count(*) AS n
     FROM top JOIN event_docs USING (event_id) JOIN anchors USING (doc_id) GROUP BY ALL),
-  paged AS (SELECT *, ('0x' || substr(md5(anchor_value), 1, 8))::BIGINT % CAST(ceil(count(*) OVER (PARTITION BY event_id) / 1000) AS BIGINT) AS page FROM counted),
-  nested AS (SELECT event_id, page, string_agg(anchor_type || ':' || anchor_value || '=' || n, '|' ORDER BY anchor_type, anchor_value) AS anchors
-    FROM paged GROUP BY event_id, page)
-SELECT event_id, status, summary, score, lane, {_stamp('first_seen_at')} AS created_at, coalesce(page, 0) AS anchor_page, coalesce(anchors, '') AS anchors
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY n DESC, anchor_type, anchor_value) AS k FROM counted),
+  nested AS (SELECT event_id, count(*) AS anchor_count, string_agg(anchor_type || ':' || anchor_value || '=' || n, '|' ORDER BY k) FILTER (k <= 50) AS anchors
+    FROM numbered GROUP BY event_id)
+SELECT event_id, status, summary, score, lane, {_stamp('first_seen_at')} AS created_at, coalesce(anchor_count, 0) AS anchor_count, coalesce(anchors, '') AS anchors
 FROM top LEFT JOIN nested USING (event_id)"""
 
 
 ORACLE["event_feed"] = _feed("true", 20)
+ORACLE["feed_anchors"] = f"""{STORY},
+  top AS (SELECT * FROM scores ORDER BY score DESC, first_seen_at DESC, event_id LIMIT 100)
+SELECT event_id, anchor_type, anchor_value, count(*) AS mentions FROM top JOIN event_docs USING (event_id) JOIN anchors USING (doc_id) GROUP BY ALL"""
 ORACLE["event_feed_filtered"] = _feed("status = 'NEW' AND lane = 'tecnologia'", 10)
 
 ORACLE["dashboard_counts"] = f"""{ASSIGNED}, {EVENTS}
@@ -342,15 +349,24 @@ _ITEM = """SELECT CAST(floor(doc_id / 10) AS BIGINT) AS feed_id,
 ORACLE["rss_items"] = _ITEM.format(t="CASE WHEN doc_id % 3 = 2 THEN '' ELSE text END")
 ORACLE["atom_items"] = _ITEM.format(t="text")
 
-HTML_TEXT = r"""a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', ' ', 'g'),
-    '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<template\b.*?</template\s*>|<head\b.*?</head\s*>|<nav\b.*?</nav\s*>|<header\b.*?</header\s*>|<footer\b.*?</footer\s*>|<aside\b.*?</aside\s*>', ' ', 'g') AS body FROM pages),
-  b AS (SELECT page_id, coalesce(nullif(regexp_extract(body, '(?is)<article\b[^>]*>(.*?)</article\s*>', 1), ''),
-    nullif(regexp_extract(body, '(?is)<main\b[^>]*>(.*?)</main\s*>', 1), ''), body) AS t FROM a),
+
+
+def _html_text() -> str:
+    """Furniture goes block by block; all articles, else all main blocks, else the body is the text."""
+    body = "regexp_replace(html, '(?is)<!--.*?-->', ' ', 'g')"
+    for tag in ("script", "style", "noscript", "template", "head", "nav", "header", "footer", "aside"):
+        body = f"regexp_replace({body}, '(?is)<{tag}\\b.*?</{tag}\\s*>', ' ', 'g')"
+    inside = r"array_to_string(regexp_extract_all(body, '(?is)<{0}\b[^<>]*>(.*?)</{0}\s*>', 1), chr(10))"
+    return rf"""a AS (SELECT page_id, {body} AS body FROM pages),
+  b AS (SELECT page_id, coalesce(nullif({inside.format("article")}, ''), nullif({inside.format("main")}, ''), body) AS t FROM a),
   c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '(?is)</t[dh]\s*>\s*<t[dh]\b[^>]*>', ' | ', 'g'),
     '(?is)</?(?:p|div|br|hr|ul|ol|li|dl|dt|dd|h[1-6]|table|thead|tbody|tfoot|tr|td|th|section|article|main|blockquote|pre|figure|figcaption|form)\b[^>]*>', E'\n', 'g'),
     '(?s)<[^>]*>', '', 'g') AS t FROM b),
   d AS (SELECT page_id, replace(replace(replace(replace(t, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&') AS t FROM c),
   e AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t\r\f]+', ' ', 'g'), ' ?(?:\n ?)+', E'\n', 'g'), '^\s+|\s+$', '', 'g') AS t FROM d)"""
+
+
+HTML_TEXT = _html_text()
 ORACLE["html_text"] = f"WITH {HTML_TEXT} SELECT page_id, length(t) AS n_chars, sha256(t) AS text_sha256 FROM e WHERE t <> ''"
 
 # Items of feeds and texts of pages. A body fetched again, or shared with an earlier source, counts once.
@@ -362,7 +378,7 @@ ORACLE["ingest_documents"] = f"""WITH {PROFILES}, {HTML_TEXT},
       CASE WHEN doc_id % 3 = 2 THEN '' ELSE text END AS t FROM firsts JOIN documents ON doc_id // 10 = id WHERE strategy = 'RSS'
     UNION ALL SELECT id, source_domain, coalesce(nullif(endpoints ->> '$.feed', ''), nullif(endpoints ->> '$.latest', '')),
       'Sugestão de Pauta: ' || source_domain, 0, t FROM firsts JOIN e ON page_id = id WHERE strategy <> 'RSS' AND t <> '')
-SELECT id * 2000000 + item_no AS doc_id, id AS source_id, url, title, least(length(t), 10000) AS n_chars, sha256(substr(t, 1, 10000)) AS content_hash FROM items"""
+SELECT id * 33554432 + item_no AS doc_id, id AS source_id, url, title, length(t) AS n_chars, sha256(t) AS content_hash FROM items"""
 
 ORACLE["table_text"] = r"""WITH lines AS (SELECT conv_id, turn, list_transform(string_split(text, E'\n'),
     lambda l: array_to_string(list_filter(string_split(l, ' '), lambda c: c <> ''), ' | ')) AS l FROM conversations)
@@ -384,11 +400,11 @@ FROM late WHERE h NOT IN (SELECT h FROM bodies WHERE hour(seen_at) < 12) GROUP B
 ORACLE["document_records"] = f"""WITH {STORY_DOCS}
 SELECT doc_id, source_id, CASE WHEN doc_id % 3 > 0 THEN url ELSE 'https://' || source_domain || '/latest' END AS url,
   CASE WHEN doc_id % 4 > 0 AND title <> '' THEN title ELSE 'Sugestão de Pauta: ' || source_domain END AS title,
-  least(length(clean_text), 10000) AS n_chars, sha256(substr(clean_text, 1, 10000)) AS content_hash, sha256(clean_text) AS body_hash, 1 AS version_no
+  length(clean_text) AS n_chars, sha256(clean_text) AS content_hash, sha256(clean_text) AS body_hash, 1 AS version_no
 FROM docs"""
 
 ORACLE["score_upsert"] = """SELECT user_id AS event_id, value AS breaking_score, epoch_us(ts) AS computed_at_us FROM events
-QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1"""
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, value DESC) = 1"""
 
 ORACLE["score_mirror"] = f"{STORY} SELECT event_id, status, score AS breaking_score FROM scores"
 
@@ -396,7 +412,7 @@ ORACLE["draft_export"] = f"""{ASSIGNED}, {FEATURES},
   first_anchor AS (SELECT doc_id, arg_min(anchor_value, (type_no, pos)) AS a FROM anchors GROUP BY doc_id)
 SELECT event_id, CASE WHEN d.doc_id % 5 > 0 THEN title END AS title, 'DRAFT' AS status, sha256(clean_text) AS body_sha256,
   source_key AS provenance, a AS first_anchor, evidence_score, {_stamp('d.seen_at')} AS timeline_at,
-  '2024-03-01T00:00:00Z' AS created_at,
+  '2024-03-01T00:00:00+00:00' AS created_at,
   CASE WHEN d.doc_id % 3 > 0 AND d.doc_id % 10 < 7 THEN 'true' END AS needs_review,
   CASE WHEN d.doc_id % 3 > 0 AND d.doc_id % 10 < 7 THEN 'Low confidence in automated extraction' END AS review_reason
 FROM event_docs e JOIN docs d ON d.doc_id = e.doc_id JOIN features f ON f.doc_id = d.doc_id LEFT JOIN first_anchor x ON x.doc_id = d.doc_id
@@ -436,6 +452,15 @@ ORACLE["simhash"] = f"WITH {SIMHASH} SELECT * FROM simhashes"
 _GROUPS = "groups AS (SELECT simhash, min(doc_id) AS doc_id, count(*) AS copies FROM simhashes WHERE token_count > 0 GROUP BY simhash)"
 ORACLE["duplicate_groups"] = f"WITH {SIMHASH}, {_GROUPS} SELECT * FROM groups"
 
+ORACLE["duplicate_members"] = f"""WITH {SIMHASH}, {_GROUPS}
+SELECT s.doc_id, g.doc_id AS group_id FROM simhashes s JOIN groups g ON s.simhash = g.simhash WHERE s.token_count > 0"""
+
+ORACLE["near_dup_groups"] = f"""WITH RECURSIVE {SIMHASH}, {_GROUPS},
+  near AS (SELECT a.doc_id AS u, b.doc_id AS v FROM groups a JOIN groups b ON bit_count(xor(a.simhash, b.simhash)) <= 3),
+  reach AS (SELECT u, v FROM near UNION SELECT r.u, n.v FROM reach r JOIN near n ON r.v = n.u),
+  lowest AS (SELECT u, min(v) AS low FROM reach GROUP BY u)
+SELECT s.doc_id, low AS group_id FROM simhashes s JOIN groups g ON s.simhash = g.simhash JOIN lowest ON u = g.doc_id WHERE s.token_count > 0"""
+
 ORACLE["near_dup_pairs"] = f"""WITH {SIMHASH}, {_GROUPS}
 SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, a.copies AS copies_a, b.copies AS copies_b,
   1 - bit_count(xor(a.simhash, b.simhash)) / 64.0::DOUBLE AS similarity
@@ -473,9 +498,17 @@ ORACLE["anchor_delta"] = f"WITH {VERSIONS} SELECT url, from_version, to_version,
 ORACLE["value_delta"] = f"""WITH {VERSIONS} SELECT url, from_version, to_version, CASE WHEN v0 IS DISTINCT FROM v1 THEN v0 END AS from_value,
   CASE WHEN v0 IS DISTINCT FROM v1 THEN v1 END AS to_value,
   CASE WHEN v0 IS DISTINCT FROM v1 THEN coalesce(v1, 0) - coalesce(v0, 0) END AS diff FROM pairs"""
+
+
+def _iso(t: str) -> str:
+    """What Python's ``isoformat`` gives: six digits of a second unless it is whole, and the offset."""
+    digits = f"lpad((epoch_us({t}) % 1000000)::VARCHAR, 6, '0')"
+    return f"strftime({t}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us({t}) % 1000000 = 0 THEN '' ELSE '.' || {digits} END || '+00:00'"
+
+
 ORACLE["temporal_delta"] = f"""WITH {VERSIONS} SELECT url, from_version, to_version,
-  CASE WHEN t0 IS DISTINCT FROM t1 THEN strftime(t0, '%Y-%m-%dT%H:%M:%SZ') END AS previous_time,
-  CASE WHEN t0 IS DISTINCT FROM t1 THEN strftime(t1, '%Y-%m-%dT%H:%M:%SZ') END AS new_time,
+  CASE WHEN t0 IS DISTINCT FROM t1 THEN {_iso('t0')} END AS previous_time,
+  CASE WHEN t0 IS DISTINCT FROM t1 THEN {_iso('t1')} END AS new_time,
   CASE WHEN t0 IS DISTINCT FROM t1 THEN t1 > t0 END AS is_postponed FROM pairs"""
 ORACLE["full_delta"] = f"""WITH {VERSIONS} SELECT url, from_version, to_version, {_ADDED} AS added,
   v0 IS DISTINCT FROM v1 AS value_changed, t0 IS DISTINCT FROM t1 AS time_changed FROM pairs"""

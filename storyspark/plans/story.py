@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyspark.functions import fixed_values as fixed
 from storyspark.functions.taxonomy import editorial_lane
 from storyspark.operators.assign import EVENT_COLUMNS, assign_events, build_events
 from storyspark.operators.evidence import FEATURES, explode_anchors, with_evidence
@@ -34,22 +33,24 @@ class StoryTables:
         return mirror_scores(self.events, self.scores)
 
 
-def with_lane(docs: DataFrame) -> DataFrame:
-    """Lane of each document from its title and the start of its text, hinted by ``source_key``."""
-    snippet = F.substring("clean_text", 1, fixed.LANE_SNIPPET_CHARS)
-    return docs.withColumn(
-        "lane", editorial_lane(title=F.col("title"), snippet=snippet, editoria=F.col("source_key"))
-    )
+def with_lane(docs: DataFrame, lane_chars: int | None = None) -> DataFrame:
+    """Lane of each document from its title and its text, hinted by ``source_key``.
+
+    ``lane_chars`` looks at so many characters of the text only; 500 is what short feed items were tuned for.
+    """
+    text = F.col("clean_text") if lane_chars is None else F.substring("clean_text", 1, lane_chars)
+    return docs.withColumn("lane", editorial_lane(title=F.col("title"), snippet=text, editoria=F.col("source_key")))
 
 
-def document_facts(docs: DataFrame, with_context: bool = False) -> DataFrame:
+def document_facts(docs: DataFrame, with_context: bool = False, lane_chars: int | None = None) -> DataFrame:
     """All that later steps need of a document, without its text: the only scan of the text.
 
-    ``with_context`` also keeps the characters around every anchor.
+    ``with_context`` also keeps the characters around every anchor; ``lane_chars`` as in :func:`with_lane`. ``title`` is the raw
+    title: a default in its place would vote for a lane and stand in summaries.
 
     ``docs``: ``doc_id, source_id, source_key, source_domain, tier, is_official, title, url, clean_text, seen_at``.
     """
-    facts = with_evidence(with_lane(docs), with_context).select(
+    facts = with_evidence(with_lane(docs, lane_chars), with_context).select(
         "doc_id", "source_id", "seen_at", *EVENT_COLUMNS, "anchors", *FEATURES
     )
     return stage(facts, "document-facts")

@@ -20,10 +20,13 @@ def append_tables(tables: dict[str, DataFrame], folder: str, batch_id: int | str
 
 
 def latest_scores(scores: DataFrame) -> DataFrame:
-    """One row per event: the one computed last. Combines before the shuffle, so hot events are cheap."""
-    row = F.struct(*[F.col(c) for c in scores.columns])
-    latest = scores.groupBy("event_id").agg(F.max_by(row, F.col("computed_at")).alias("_row"))
-    return latest.select("_row.*")
+    """One row per event: the one computed last, of several at one time the largest by its other columns.
+
+    Combines before the shuffle, so hot events are cheap.
+    """
+    row = F.struct("computed_at", *[F.col(c) for c in scores.columns if c != "computed_at"])
+    latest = scores.groupBy("event_id").agg(F.max(row).alias("_row"))
+    return latest.select(*[F.col("_row")[c].alias(c) for c in scores.columns])
 
 
 def upsert_scores(stored: DataFrame, incoming: DataFrame) -> DataFrame:

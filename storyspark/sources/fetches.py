@@ -48,11 +48,11 @@ def new_snapshots(fetched: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def document_records(items: DataFrame) -> DataFrame:
-    """Documents of extracted items, with defaults for title and address.
+    """Documents of extracted items with their whole text, and defaults for title and address.
 
-    ``items``: ``doc_id, source_id, source_domain, endpoints, title, item_url, text, body_hash, seen_at``.
+    ``items``: ``doc_id, source_id, source_domain, endpoints, title, item_url, text, body_hash, seen_at``. ``raw_title`` is the title
+    as it came, possibly empty: lanes and summaries must not read the default.
     """
-    clean = F.substring("text", 1, fixed.DOCUMENT_TEXT_CHARS)
     return items.select(
         "doc_id",
         "source_id",
@@ -60,8 +60,9 @@ def document_records(items: DataFrame) -> DataFrame:
         F.coalesce(
             non_empty(F.col("title")), F.concat(F.lit(fixed.DEFAULT_TITLE_PREFIX), F.col("source_domain"))
         ).alias("title"),
-        clean.alias("clean_text"),
-        F.sha2(clean, 256).alias("content_hash"),
+        non_empty(F.col("title")).alias("raw_title"),
+        F.col("text").alias("clean_text"),
+        F.sha2("text", 256).alias("content_hash"),
         "body_hash",
         F.lit(1).alias("version_no"),
         "seen_at",

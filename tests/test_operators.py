@@ -221,17 +221,18 @@ def test_scores_of_unknown_sources_and_empty_events(spark):
     assert set(got) == {1, 2, 3}
 
 
-def test_feed_pages_hold_every_anchor(spark, monkeypatch):
-    monkeypatch.setattr(feed, "ANCHORS_PER_PAGE", 10)
+def test_feed_has_one_row_per_event_and_a_table_of_all_anchors(spark):
     events, event_docs = story(spark)
     anchors = spark.createDataFrame(
         [(1 + n % 2, "PL", f"PL {n % 50}") for n in range(120)], "doc_id bigint, anchor_type string, anchor_value string"
     )
-    rows = feed.event_feed(events, event_docs, anchors, limit=2).collect()
-    assert {r.event_id for r in rows} == {1, 3}
-    nested = [a for r in rows if r.event_id == 1 for a in r.anchors]
-    assert len(nested) == 50 and sum(a.mentions for a in nested) == 120
-    assert len([r for r in rows if r.event_id == 1]) == 5
+    rows = feed.event_feed(events, event_docs, anchors, limit=2, nested=10).collect()
+    assert [r.event_id for r in rows] == [1, 3]
+    first = rows[0]
+    assert first.anchor_count == 50 and len(first.anchors) == 10 and rows[1].anchors == [] and rows[1].anchor_count == 0
+    assert [a.mentions for a in first.anchors] == sorted((a.mentions for a in first.anchors), reverse=True)
+    every = feed.feed_anchors(events, event_docs, anchors, limit=2).collect()
+    assert len(every) == 50 and sum(r.mentions for r in every) == 120
     assert feed.event_feed(events, event_docs, anchors, status="NEW").select("event_id").collect()[0][0] == 2
     assert feed.event_feed(events, event_docs, anchors, lane="nada").count() == 0
     cards = {r.event_id: r for r in feed.dashboard_cards(events, event_docs, anchors).collect()}
