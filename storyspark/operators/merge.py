@@ -66,3 +66,10 @@ def resolve_redirects(audit: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return resolve_roots(parents, hot_rows).select(
         F.col("id").alias("from_event_id"), F.col("root").alias("to_event_id")
     )
+
+
+def follow_redirects(event_docs: DataFrame, redirects: DataFrame) -> DataFrame:
+    """Members of absorbed events as members of the event that took them in; only its own first document is primary."""
+    target = redirects.select(F.col("from_event_id").alias("event_id"), F.col("to_event_id").alias("_to"))
+    moved = event_docs.join(target, "event_id", "left").withColumn("event_id", F.coalesce("_to", "event_id")).drop("_to")
+    return moved.withColumn("is_primary", F.col("event_id") == F.col("doc_id")).select(*event_docs.columns)

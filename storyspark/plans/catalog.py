@@ -26,8 +26,9 @@ from storyspark.operators import (
     versions,
 )
 from storyspark.operators.hotkeys import with_next, with_previous
+from storyspark.operators.incremental import EventStore
 from storyspark.plans import adapters as ad
-from storyspark.plans.ingest import documents_from_fetches
+from storyspark.plans.ingest import documents_from_fetches, story_documents
 from storyspark.plans.story import StoryTables, assign_facts, build_story, document_facts, with_lane
 from storyspark.session import new_stage_path, stage
 from storyspark.sinks import tables
@@ -176,6 +177,32 @@ def assign_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_docs.select("event_id", "doc_id", "source_id", stamp("seen_at").alias("seen_at"), "is_primary")
 
 
+def event_store(spark: SparkSession, sf_dir: str, batches: int = 4) -> EventStore:
+    """All documents stored in several batches by their id."""
+    facts = document_facts(story_docs(spark, sf_dir))
+    rows = stage(evidence.explode_anchors(facts), "anchors")
+    first, last = facts.agg(F.min("doc_id"), F.max("doc_id")).first()
+    store = EventStore(spark, new_stage_path(spark, "event-store"))
+    for k in range(batches):
+        low, high = (first + (last + 1 - first) * i // batches for i in (k, k + 1))
+        inside = F.col("doc_id").between(low, high - 1)
+        store.add(facts.filter(inside), rows.filter(inside), ad.sources(spark, sf_dir), k, ad.latest(facts, "seen_at"))
+    return store
+
+
+@query
+def incremental_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``assign_events``, found batch by batch against what is stored."""
+    return event_store(spark, sf_dir).event_docs().select("event_id", "doc_id", "source_id", stamp("seen_at").alias("seen_at"), "is_primary")
+
+
+@query
+def incremental_new_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_store(spark, sf_dir).events().select(
+        "event_id", "status", "summary", "lane", "breaking_score", stamp("first_seen_at").alias("first_seen_at"), stamp("last_seen_at").alias("last_seen_at")
+    )
+
+
 @query
 def assign_events_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = document_facts(story_docs(spark, sf_dir))
@@ -288,6 +315,42 @@ def event_feed_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _feed(story(spark, sf_dir), status="NEW", lane="tecnologia", limit=10)
 
 
+@query
+def merged_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed of canonical events."""
+    return _feed(build_story(story_docs(spark, sf_dir), ad.sources(spark, sf_dir), merge=True))
+
+
+def fetched_bodies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``(bodies, profiles)``: every page and, in turn as RSS and Atom, every feed, each with a source of its own."""
+    pages = ad.text_table(spark, sf_dir, "pages", "page_id").select((F.col("page_id") * 2).alias("source_id"), F.col("html").alias("body"), F.lit("HTML").alias("strategy"))
+    kinds = (feed_bodies(spark, sf_dir).filter("feed_id % 2 = 0"), feed_bodies(spark, sf_dir, atom=True).filter("feed_id % 2 = 1"))
+    feeds_ = kinds[0].unionByName(kinds[1]).select((F.col("feed_id") * 2 + 1).cast("bigint").alias("source_id"), "body", F.lit("RSS").alias("strategy"))
+    rows = pages.unionByName(feeds_)
+    bodies = rows.select(F.col("source_id").alias("fetch_id"), "source_id", "body", F.timestamp_seconds(F.lit(1704067200) + F.col("source_id") * 60).alias("fetched_at"))
+    number = F.col("source_id").cast("string")
+    domain = F.concat(F.lit("src"), number, F.lit(".example.org"))
+    sources = rows.select(
+        F.col("source_id").alias("id"),
+        domain.alias("source_domain"),
+        "strategy",
+        F.create_map(F.lit("latest"), F.concat(F.lit("https://"), domain)).alias("endpoints"),
+        F.concat(F.lit("src"), number).alias("source_key"),
+        (F.col("source_id") % 3 + 1).cast("int").alias("tier"),
+        (F.col("source_id") % 4 == 0).alias("is_official"),
+    )
+    return bodies, sources
+
+
+@query
+def fetch_to_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From fetched bodies to the feed: records, anchors, events and scores of all pages and all feed items."""
+    bodies, sources = fetched_bodies(spark, sf_dir)
+    records = documents_from_fetches(bodies, sources, skip_known=False)
+    built = build_story(story_documents(records, sources), sources.withColumnRenamed("id", "source_id"))
+    return _feed(built, limit=50)
+
+
 @query
 def dashboard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, _, event_docs = assigned(spark, sf_dir)
@@ -840,6 +903,14 @@ def feedback_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ignored_rate", F.round("ignored_rate", 9))
 
 
+@query
+def feedback_stats_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions on absorbed events count for the event that took them in."""
+    built = build_story(story_docs(spark, sf_dir), ad.sources(spark, sf_dir), merge=True)
+    rows = changes.feedback_stats(ad.events_view(spark, sf_dir, ad.FEEDBACK), built.events, by="lane", redirects=built.redirects)
+    return rows.withColumn("ignored_rate", F.round("ignored_rate", 9))
+
+
 @query
 def feedback_stats_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, event_docs = assigned(spark, sf_dir)

@@ -70,3 +70,23 @@ def documents_from_fetches(
             "seen_at",
         )
     )
+
+
+def bodies_without_items(fetched: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``fetch_id, source_id, body_hash`` of feed bodies that give no item: empty feeds, other formats and broken markup."""
+    source = profiles.select(F.col("id").alias("source_id"), "strategy").filter("strategy = 'RSS'")
+    items = feed_items(F.col("body"))
+    parsed = fetched.join(source, "source_id").select("fetch_id", "source_id", body_hash(F.col("body")).alias("body_hash"), F.size(items).alias("items"))
+    return parsed.filter("items IS NULL OR items < 1").drop("items")
+
+
+def story_documents(records: DataFrame, profiles: DataFrame) -> DataFrame:
+    """What the main path asks of documents, from their records and the profiles of their sources.
+
+    The title is the raw one: an untitled document has none, and its event is named after its domain.
+    """
+    source = profiles.select(F.col("id").alias("source_id"), "source_key", "source_domain", "tier", "is_official")
+    titled = records.withColumn("title", F.coalesce("raw_title", F.lit(""))).drop("raw_title")
+    return titled.join(source, "source_id").select(
+        "doc_id", "source_id", "source_key", "source_domain", "tier", "is_official", "title", "url", "clean_text", "seen_at"
+    )

@@ -253,8 +253,8 @@ ORACLE["alert_candidates"] = f"""{STORY}
 SELECT event_id, score AS breaking_score, gap AS gap_score FROM scores WHERE score > 20 OR gap > 20"""
 
 
-def _feed(where: str, limit: int) -> str:
-    return f"""{STORY},
+def _feed(where: str, limit: int, story: str = STORY) -> str:
+    return f"""{story},
   top AS (SELECT * FROM scores WHERE {where} ORDER BY score DESC, first_seen_at DESC, event_id LIMIT {limit}),
   counted AS (SELECT event_id, anchor_type, anchor_value, count(*) AS n
     FROM top JOIN event_docs USING (event_id) JOIN anchors USING (doc_id) GROUP BY ALL),
@@ -303,6 +303,12 @@ SELECT from_event_id, to_event_id, 'SHARED_ANCHOR' AS reason_code, n AS shared_a
   {_stamp('(SELECT max(seen_at) FROM docs)')} AS created_at
 FROM audit JOIN shared ON event_id = from_event_id"""
 
+# The same, with the members of absorbed events moved to the event that took them in.
+CANONICAL = f"""{COMPONENTS.replace("event_docs", "event_docs0")},
+  event_docs AS (SELECT coalesce(to_event_id, event_id) AS event_id, doc_id, source_id, seen_at, coalesce(to_event_id, event_id) = doc_id AS is_primary
+    FROM event_docs0 LEFT JOIN audit ON from_event_id = event_id)"""
+ORACLE["merged_feed"] = _feed("true", 20, f"{CANONICAL}, {EVENTS}, {SCORES}")
+
 ORACLE["merged_events"] = f"""{COMPONENTS}, {EVENTS}
 SELECT event_id, to_event_id AS canonical_event_id, CASE WHEN to_event_id IS NULL THEN status ELSE 'MERGED' END AS status
 FROM story_events LEFT JOIN audit ON from_event_id = event_id"""
@@ -380,6 +386,18 @@ ORACLE["ingest_documents"] = f"""WITH {PROFILES}, {HTML_TEXT},
       'Sugestão de Pauta: ' || source_domain, 0, t FROM firsts JOIN e ON page_id = id WHERE strategy <> 'RSS' AND t <> '')
 SELECT id * 33554432 + item_no AS doc_id, id AS source_id, url, title, length(t) AS n_chars, sha256(t) AS content_hash FROM items"""
 
+# Pages and feed items, each body with a source of its own, through the whole main path.
+FETCHED = f"""{HTML_TEXT},
+  named AS (
+    SELECT page_id * 2 AS source_id, 0 AS item_no, '' AS title, NULL::VARCHAR AS link, t AS clean_text FROM e WHERE t <> ''
+    UNION ALL SELECT (doc_id // 10) * 2 + 1, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) - 1, 'Nota ' || doc_id,
+      'https://news.example.org/' || doc_id, CASE WHEN (doc_id // 10) % 2 = 0 AND doc_id % 3 = 2 THEN '' ELSE text END FROM documents),
+  docs AS (SELECT source_id * 16777216 + item_no AS doc_id, source_id, 'src' || source_id AS source_key, 'src' || source_id || '.example.org' AS source_domain,
+      title, coalesce(link, 'https://src' || source_id || '.example.org') AS url, clean_text, source_id % 3 + 1 AS tier, source_id % 4 = 0 AS is_official,
+      TIMESTAMP '2024-01-01 00:00:00' + source_id * INTERVAL '1' MINUTE AS seen_at FROM named),
+  sources AS (SELECT DISTINCT source_id, tier, is_official FROM docs)"""
+ORACLE["fetch_to_feed"] = _feed("true", 50, STORY.replace(f"{STORY_DOCS}, {SOURCES}", FETCHED))
+
 ORACLE["table_text"] = r"""WITH lines AS (SELECT conv_id, turn, list_transform(string_split(text, E'\n'),
     lambda l: array_to_string(list_filter(string_split(l, ' '), lambda c: c <> ''), ' | ')) AS l FROM conversations)
 SELECT conv_id, turn, sha256(E'\n[TABLE]\n' || array_to_string(list_filter(l, lambda x: x <> ''), E'\n') || E'\n[/TABLE]\n') AS table_sha256 FROM lines"""
@@ -575,6 +593,10 @@ _VALID = _in("action", fixed.FEEDBACK_ACTIONS)
 ORACLE["feedback_stats"] = f"""{ASSIGNED}, {EVENTS}, {FEEDBACK}
 SELECT lane, count(*) AS n_actions, {_COUNTS}, round(count(*) FILTER (action = 'IGNORE') / count(*)::DOUBLE, 9) AS ignored_rate
 FROM feedback JOIN story_events USING (event_id) WHERE {_VALID} GROUP BY lane"""
+ORACLE["feedback_stats_merged"] = f"""{CANONICAL}, {EVENTS}, {FEEDBACK},
+  led AS (SELECT coalesce(to_event_id, event_id) AS event_id, action FROM feedback LEFT JOIN audit ON from_event_id = event_id)
+SELECT lane, count(*) AS n_actions, {_COUNTS}, round(count(*) FILTER (action = 'IGNORE') / count(*)::DOUBLE, 9) AS ignored_rate
+FROM led JOIN story_events USING (event_id) WHERE {_VALID} GROUP BY lane"""
 ORACLE["feedback_stats_by_source"] = f"""{ASSIGNED}, {FEEDBACK}
 SELECT source_id, count(*) AS n_actions, {_COUNTS}, round(count(*) FILTER (action = 'IGNORE') / count(*)::DOUBLE, 9) AS ignored_rate
 FROM feedback JOIN event_docs e USING (event_id) WHERE is_primary AND {_VALID} GROUP BY source_id"""
@@ -597,6 +619,9 @@ FROM log WHERE status IN ('HYDRATING', 'QUARANTINE') AND deadline < coalesce(nex
 ORACLE["stream_state_timeouts"] = ORACLE["timed_transitions"]
 ORACLE["stream_alerts"] = ORACLE["alert_cooldown"]
 
+ORACLE["incremental_events"] = ORACLE["assign_events"]
+ORACLE["incremental_new_events"] = ORACLE["new_events"]
+
 ORACLE["stream_ingest"] = ORACLE["anchors"]
 ORACLE["stream_changes"] = """SELECT user_id AS event_id, 'EVENT_UPSERT' AS change, arg_max(event_type, ts) AS status FROM events GROUP BY user_id"""
 ORACLE["enabled_sources"] = f"WITH {SOURCES} SELECT source_id, tier, is_official FROM sources WHERE enabled"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from storyspark.functions.taxonomy import editorial_lane
 from storyspark.operators.assign import EVENT_COLUMNS, assign_events, build_events
 from storyspark.operators.evidence import FEATURES, explode_anchors, with_evidence
+from storyspark.operators.merge import follow_redirects, merge_audit, resolve_redirects
 from storyspark.operators.scoring import score_events
 from storyspark.session import stage
 from storyspark.sinks.tables import mirror_scores
@@ -24,6 +25,7 @@ class StoryTables:
     event_docs: DataFrame
     events: DataFrame
     scores: DataFrame
+    redirects: DataFrame | None = None
 
     def features(self) -> DataFrame:
         return self.facts.select("doc_id", *FEATURES)
@@ -63,11 +65,19 @@ def assign_facts(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return anchors, stage(assign_events(facts, anchors, keep=kept), "event-docs")
 
 
-def build_story(docs: DataFrame, sources: DataFrame, as_of: Column | None = None) -> StoryTables:
-    """Run the main path over all documents; ``as_of`` defaults to the latest sighting."""
+def build_story(docs: DataFrame, sources: DataFrame, as_of: Column | None = None, merge: bool = False) -> StoryTables:
+    """Run the main path over all documents; ``as_of`` defaults to the latest sighting.
+
+    With ``merge`` events that share identical anchors are one: documents, scores and feeds are those of the canonical event,
+    ``events`` has no absorbed event, and ``redirects`` (``from_event_id, to_event_id``) leads from those to their targets.
+    """
     facts = document_facts(docs)
     anchors, event_docs = assign_facts(facts)
-    events = stage(build_events(event_docs), "events")
     now = facts.agg(F.max("seen_at")).scalar() if as_of is None else as_of
+    redirects = None
+    if merge:
+        redirects = stage(resolve_redirects(merge_audit(event_docs, anchors, now)), "redirects")
+        event_docs = stage(follow_redirects(event_docs, redirects), "canonical-docs")
+    events = stage(build_events(event_docs), "events")
     scores = stage(score_events(events, event_docs, sources, now), "event-scores")
-    return StoryTables(facts, anchors, event_docs, events, scores)
+    return StoryTables(facts, anchors, event_docs, events, scores, redirects)

@@ -15,8 +15,23 @@ def item_text(summary: Column, description: Column) -> Column:
     return F.coalesce(non_empty(summary), non_empty(description), F.lit(""))
 
 
-def feed_items(body: Column) -> Column:
-    """Items of an RSS body as ``array<struct<title, url, text>>``; null for a null or empty feed."""
+def is_atom(body: Column) -> Column:
+    """The root element is an Atom ``feed``, after an XML declaration and one comment at most."""
+    return body.rlike(r"(?i)^\s*(?:<\?xml[^>]*>\s*)?(?:<!--[^>]*-->\s*)?<(?:atom:)?feed\b")
+
+
+def _atom_entries(body: Column) -> Column:
+    return F.transform(
+        F.from_xml(body, schemas.ATOM_BODY)["entry"],
+        lambda entry: F.struct(
+            entry["title"].alias("title"),
+            entry["link"]["_href"].alias("url"),
+            item_text(entry["summary"], F.lit(None).cast("string")).alias("text"),
+        ),
+    )
+
+
+def _rss_channel_items(body: Column) -> Column:
     return F.transform(
         F.from_xml(body, schemas.RSS_BODY)["channel"]["item"],
         lambda item: F.struct(
@@ -27,6 +42,11 @@ def feed_items(body: Column) -> Column:
     )
 
 
+def feed_items(body: Column) -> Column:
+    """Items of an RSS or Atom body as ``array<struct<title, url, text>>``; null for a null body and one without items."""
+    return F.when(is_atom(body), _atom_entries(body)).otherwise(_rss_channel_items(body))
+
+
 def rss_items(feeds: DataFrame) -> DataFrame:
     """Items of RSS bodies: ``feeds`` columns without the body, plus ``item_no, title, url, text``."""
     keep = [c for c in feeds.columns if c != "body"]
@@ -37,15 +57,8 @@ def rss_items(feeds: DataFrame) -> DataFrame:
 def atom_items(feeds: DataFrame) -> DataFrame:
     """Entries of Atom bodies, in the shape of :func:`rss_items`."""
     keep = [c for c in feeds.columns if c != "body"]
-    parsed = feeds.select(*keep, F.from_xml("body", schemas.ATOM_BODY).alias("feed"))
-    entries = parsed.select(*keep, F.posexplode("feed.entry").alias("item_no", "item"))
-    return entries.select(
-        *keep,
-        "item_no",
-        "item.title",
-        F.col("item.link._href").alias("url"),
-        item_text(F.col("item.summary"), F.lit(None).cast("string")).alias("text"),
-    )
+    entries = feeds.select(*keep, F.posexplode(_atom_entries(F.col("body"))).alias("item_no", "item"))
+    return entries.select(*keep, "item_no", "item.*")
 
 
 def scan_rss_files(spark: SparkSession, path: str) -> DataFrame:
