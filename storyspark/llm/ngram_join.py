@@ -37,8 +37,10 @@ from storyspark.session import stage
 
 #: Words whose hash a Python worker keeps, about 150 bytes each.
 KEPT_WORDS = 1_000_000
-#: Counters for the frequency of n-grams, in chunks that are summed one by one.
-COUNTERS, CHUNK = 2**21, 2**14
+#: Counters for the frequency of n-grams, in chunks that are summed one by one: 16 MB for each task that orders sets.
+COUNTERS, CHUNK = 2**24, 2**16
+#: Bits of a set's signature.
+SIGNATURE_BITS = 512
 #: Earlier shared elements that an entry carries, so that most pairs are met only once.
 CARRIED = 32
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -65,9 +67,16 @@ class Rule:
         """Whether an overlap of at most this much can do."""
         return (100 + self.percent) * overlap >= self.percent * (a + b)
 
+    def may_link(self, a: str, b: str) -> Column:
+        """What sizes, positions and signatures of two entries allow; never false for two similar sets at their first shared element."""
+        n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+        rest = F.least(n - F.col(f"{a}.position"), m - F.col(f"{b}.position"))
+        differ = sum(F.bit_count(F.get(f"{a}.signature", F.lit(k)).bitwiseXOR(F.get(f"{b}.signature", F.lit(k)))) for k in range(SIGNATURE_BITS // 64))
+        return self.sizes_fit(n, m) & self.enough(rest, n, m) & self.enough((n + m - differ) / 2, n, m)
 
-def shingles(text: str, n: int) -> np.ndarray:
-    """The sorted distinct hashes of the word n-grams of a text; of all its words if they are fewer; none without words."""
+
+def _ngrams(text: str, n: int) -> np.ndarray:
+    """The hashes of the word n-grams of a text in order; of all its words if they are fewer; none without words."""
     hashes = kept_in_worker("word_hashes", "words", lambda: Answers(xxhash.xxh3_64_intdigest, KEPT_WORDS))
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()  # splits at the six ASCII white-space characters
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
@@ -77,7 +86,12 @@ def shingles(text: str, n: int) -> np.ndarray:
     out = np.full(len(h) - width + 1, np.uint64(width))
     for k in range(width):
         out = (out ^ (out >> np.uint64(31))) * _STEP + h[k : k + len(out)]
-    return np.unique(out)
+    return out
+
+
+def shingles(text: str, n: int) -> np.ndarray:
+    """The sorted distinct hashes of the word n-grams of a text."""
+    return np.unique(_ngrams(text, n))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -89,72 +103,79 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _frequencies(texts: DataFrame, n: int, counters: int) -> np.ndarray:
-    """Counts of all n-grams by the top bits of their hash: ``counters`` numbers, whatever the corpus."""
+    """How frequent all n-grams are, by the top bits of their hash: ``counters`` bytes on a logarithmic scale, whatever the corpus."""
     shift = np.uint64(64 - int(math.log2(counters)))
     chunk = min(CHUNK, counters)
 
+    def rows(chunks) -> Iterator[pa.RecordBatch]:
+        for k, numbers in chunks:
+            if numbers.any():
+                small = numbers.astype(np.min_scalar_type(int(numbers.max())))
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([small.itemsize], pa.int32()), pa.array([small.tobytes()])], ["chunk", "width", "counts"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(counters, np.int64)
+        found = np.zeros(counters, np.uint32)
         for batch in batches:
             waiting, size = [], 0
             for text in batch.column(0).to_pylist():
-                waiting.append(shingles(text, n) >> shift)
+                waiting.append((_ngrams(text, n) >> shift).astype(np.int64))
                 size += len(waiting[-1])
                 if size > 500_000:
-                    np.add.at(found, np.concatenate(waiting).astype(np.int64), 1)
+                    np.add.at(found, np.concatenate(waiting), 1)
                     waiting, size = [], 0
             if waiting:
-                np.add.at(found, np.concatenate(waiting).astype(np.int64), 1)
-        yield from _rows(enumerate(found.reshape(-1, chunk)))
-
-    def _rows(chunks) -> Iterator[pa.RecordBatch]:
-        for k, numbers in chunks:
-            if numbers.any():
-                small = numbers.astype(np.min_scalar_type(int(numbers.max())))
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([small.itemsize], pa.int32()), pa.array([small.tobytes()])], ["chunk", "width", "counts"])
+                np.add.at(found, np.concatenate(waiting), 1)
+        yield from rows(enumerate(found.reshape(-1, chunk)))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, found = None, None
+        scale = lambda numbers: np.minimum(8 * np.log2(1.0 + numbers), 255).astype(np.uint8)
         for batch in batches:
             for row in batch.to_pylist():
                 if row["chunk"] != at:
                     if at is not None:
-                        yield from _rows([(at, found)])
+                        yield from rows([(at, scale(found))])
                     at, found = row["chunk"], np.zeros(chunk, np.int64)
                 found += np.frombuffer(row["counts"], f"<u{row['width']}")
         if at is not None:
-            yield from _rows([(at, found)])
+            yield from rows([(at, scale(found))])
 
     schema = "chunk int, width int, counts binary"
     partial = texts.select("text").mapInArrow(count, schema)
     summed = partial.repartition(partitions(texts.sparkSession), "chunk").sortWithinPartitions("chunk").mapInArrow(add, schema)
-    out = np.zeros(counters, np.int64)
+    out = np.zeros(counters, np.uint8)
     for row in summed.collect():  # at most counters / chunk rows of one chunk each
-        out[row.chunk * chunk : (row.chunk + 1) * chunk] = np.frombuffer(row.counts, f"<u{row.width}")
-    return np.minimum(out, 2**31 - 1).astype(np.int32)
+        out[row.chunk * chunk : (row.chunk + 1) * chunk] = np.frombuffer(row.counts, np.uint8)
+    return out
 
 
 def _scan(texts: DataFrame, rule: Rule, counters: int) -> DataFrame:
-    """``row_id, doc_id, n, set_id, prefix`` of every document."""
+    """``row_id, doc_id, n, set_id, signature, prefix`` of every document.
+
+    The signature has, for each of :data:`SIGNATURE_BITS` classes of elements, whether their number is odd: where two
+    signatures differ, the sets differ in at least one element.
+    """
     known = texts.sparkSession.sparkContext.broadcast(_frequencies(texts, rule.n, counters))
     shift = np.uint64(64 - int(math.log2(counters)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = known.value
         for batch in batches:
-            sizes, sets, prefixes = [], [], []
+            sizes, sets, odd, prefixes = [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(text, rule.n)
+                parity = np.bincount((s % np.uint64(SIGNATURE_BITS)).astype(np.int64), minlength=SIGNATURE_BITS) & 1
+                odd.append(np.packbits(parity.astype(bool)).view(np.int64))
                 sizes.append(len(s))
                 sets.append(_set_id(s))
-                order = np.lexsort((s, counts[(s >> shift).astype(np.int64)]))
+                order = np.argsort(counts[(s >> shift).astype(np.int64)], kind="stable")
                 prefixes.append(s[order[: rule.prefix(len(s))]].view(np.int64) if len(s) else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row_id"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["row_id", "doc_id", "n", "set_id", "prefix"],
+                [batch.column("row_id"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()), pa.array(odd, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))],
+                ["row_id", "doc_id", "n", "set_id", "signature", "prefix"],
             )
 
-    return texts.mapInArrow(scan, "row_id bigint, doc_id bigint, n bigint, set_id bigint, prefix array<bigint>")
+    return texts.mapInArrow(scan, "row_id bigint, doc_id bigint, n bigint, set_id bigint, signature array<bigint>, prefix array<bigint>")
 
 
 def _set_id(s: np.ndarray) -> int:
@@ -242,38 +263,47 @@ def join_components(docs: DataFrame, rule: Rule | None = None, counters: int = C
 def _links(texts: DataFrame, scanned: DataFrame, rule: Rule) -> DataFrame:
     """``u, v``: links between different sets that connect all that are connected."""
     spark = texts.sparkSession
-    sets = scanned.filter("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    entries = sets.select("set_id", "n", F.posexplode("prefix").alias("position", "item"))
+    sets = scanned.filter("n > 0").groupBy("set_id").agg(*(F.first(c).alias(c) for c in ("n", "signature", "prefix")))
+    entries = sets.select("set_id", "n", "signature", F.posexplode("prefix").alias("position", "item"))
     met = entries.repartition(partitions(spark), "item").withColumn("sets", F.count("*").over(W.partitionBy("item"))).filter("sets > 1").drop("sets")
-    shared = stage(met.groupBy("set_id", "n").agg(F.sort_array(F.collect_list(F.struct("position", "item"))).alias("entries")), "ngram-shared")
-    ids = shared.select("set_id")
-    wanted = scanned.join(ids, "set_id").groupBy("set_id").agg(F.min("row_id").alias("row_id"))
-    whole = stage(_whole_sets(texts, wanted, rule.n), "ngram-sets")
-
-    listed = shared.select("set_id", "n", "entries", F.posexplode(F.transform("entries", lambda e: e["item"])).alias("k", "item")).select(
+    listed = F.sort_array(F.collect_list(F.struct("position", "item"))).alias("entries")
+    shared = stage(met.groupBy("set_id").agg(F.first("n").alias("n"), F.first("signature").alias("signature"), listed), "ngram-shared")
+    items = F.transform("entries", lambda e: e["item"])
+    lists = shared.select("set_id", "n", "signature", "entries", F.posexplode(items).alias("k", "item")).select(
         "set_id",
         "n",
+        "signature",
         "item",
         F.get("entries", F.col("k"))["position"].alias("position"),
-        F.slice(F.transform("entries", lambda e: e["item"]), F.lit(1), F.least(F.col("k"), F.lit(CARRIED))).alias("earlier"),
+        F.slice(items, F.lit(1), F.least(F.col("k"), F.lit(CARRIED))).alias("earlier"),
     )
-    family = stage(_families(listed.drop("earlier"), whole, rule), "ngram-families")
+    best = stage(_best_hubs(lists.drop("earlier"), rule), "ngram-hubs")
+    family = stage(_families(best, _whole_sets(texts, _rows_of(scanned, best, "set_id", "hub"), rule.n), rule), "ngram-families")
     close = family.select(F.col("set_id").alias("u"), F.col("hub").alias("v"))
     roots = connected_components(close).select(F.col("id").alias("set_id"), "root")
-    candidates = stage(_candidates(listed, roots, rule), "ngram-candidates")
-    return close.unionByName(_derived(candidates, family, whole, rule))
-
-
-def _families(entries: DataFrame, whole: DataFrame, rule: Rule) -> DataFrame:
-    """``set_id, hub, more, less`` of the sets that are similar to the hub they meet most often."""
-    hubs = entries.groupBy("item").agg(F.min(F.struct("position", "n", "set_id")).alias("hub"))
-    votes = (
-        entries.join(hubs, "item")
-        .filter((F.col("hub.set_id") != F.col("set_id")) & rule.sizes_fit(F.col("n"), F.col("hub.n")))
-        .groupBy("set_id", F.col("hub.set_id").alias("hub"))
-        .agg(F.count("*").alias("votes"))
-    )
-    best = votes.groupBy("set_id").agg(F.max(F.struct("votes", "hub"))["hub"].alias("hub"))
+    candidates = stage(_candidates(lists, roots, rule), "ngram-candidates")
+    oriented = stage(_oriented(candidates, family), "ngram-oriented")
+    whole = stage(_whole_sets(texts, _rows_of(scanned, oriented, "base", "other"), rule.n), "ngram-sets")
+    return close.unionByName(_derived(oriented, whole, rule))
+
+
+def _rows_of(scanned: DataFrame, frame: DataFrame, *columns: str) -> DataFrame:
+    """``row_id, set_id`` of one text of each set that the columns name."""
+    ids = frame.select(F.explode(F.array(*columns)).alias("set_id")).distinct()
+    return scanned.join(ids, "set_id").groupBy("set_id").agg(F.min("row_id").alias("row_id"))
+
+
+def _best_hubs(entries: DataFrame, rule: Rule) -> DataFrame:
+    """``set_id, hub``: the hub that a set meets in most of its lists, among those that it may be similar to."""
+    hubs = entries.groupBy("item").agg(F.min(F.struct("position", "n", "set_id", "signature")).alias("hub"))
+    met = entries.alias("a").join(hubs, "item").filter((F.col("hub.set_id") != F.col("set_id")) & rule.may_link("a", "hub"))
+    votes = met.groupBy("set_id", F.col("hub.set_id").alias("hub")).agg(F.count("*").alias("votes"))
+    return votes.groupBy("set_id").agg(F.max(F.struct("votes", "hub"))["hub"].alias("hub"))
+
+
+def _families(best: DataFrame, whole: DataFrame, rule: Rule) -> DataFrame:
+    """``set_id, hub, more, less`` of the sets that are similar to their hub."""
+    whole = stage(whole, "ngram-hub-sets")
     of_hub = whole.select(F.col("set_id").alias("hub"), F.col("n").alias("hub_n"), F.col("items").alias("hub_items"))
     compared = best.join(of_hub, "hub").join(whole, "set_id").withColumn("overlap", F.size(F.array_intersect("items", "hub_items")))
     similar = compared.filter(rule.linked(F.col("overlap"), F.col("n"), F.col("hub_n")))
@@ -287,11 +317,10 @@ def _candidates(entries: DataFrame, roots: DataFrame, rule: Rule) -> DataFrame:
     mixed = by_root.groupBy("item").agg(F.max(F.struct("entries", "root"))["root"].alias("main"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
     lists = placed.join(mixed, "item")
     probes = lists.filter("root <> main").select(
-        "item", "set_id", "n", "position", "root", "earlier", F.inline(_reachable(F.col("n"), F.col("position"), rule))
+        "item", "set_id", "n", "signature", "position", "root", "earlier", F.inline(_reachable(F.col("n"), F.col("position"), rule))
     )
     lists = lists.withColumn("size_band", _size_band(F.col("n"))).withColumn("position_band", _position_band(F.col("position"), F.col("n")))
     a, b = probes.alias("a"), lists.alias("b")
-    rest = F.least(F.col("a.n") - F.col("a.position"), F.col("b.n") - F.col("b.position"))
     pairs = a.join(
         b,
         (F.col("a.item") == F.col("b.item"))
@@ -299,28 +328,30 @@ def _candidates(entries: DataFrame, roots: DataFrame, rule: Rule) -> DataFrame:
         & (F.col("a.position_band") == F.col("b.position_band"))
         & (F.col("a.root") != F.col("b.root"))
         & ((F.col("b.root") == F.col("b.main")) | (F.col("a.set_id") < F.col("b.set_id")))
-        & rule.sizes_fit(F.col("a.n"), F.col("b.n"))
-        & rule.enough(rest, F.col("a.n"), F.col("b.n"))
+        & rule.may_link("a", "b")
         & ~F.arrays_overlap("a.earlier", "b.earlier"),
     )
     ids = F.col("a.set_id"), F.col("b.set_id")
     return pairs.select(F.least(*ids).alias("a"), F.greatest(*ids).alias("b")).distinct()
 
 
-def _derived(candidates: DataFrame, family: DataFrame, whole: DataFrame, rule: Rule) -> DataFrame:
-    """``u, v``: the candidates that are similar, by the overlap of a hub and what its member has more and less."""
+def _oriented(candidates: DataFrame, family: DataFrame) -> DataFrame:
+    """``member, other, base, more, less``: one side of each pair as what its hub, if it has one, needs to become it."""
     of = lambda name: family.select(F.col("set_id").alias(name), F.col("hub").alias(f"{name}_hub"), F.col("more").alias(f"{name}_more"), F.col("less").alias(f"{name}_less"))
     known = candidates.join(of("a"), "a", "left").join(of("b"), "b", "left")
     by_b = F.col("b_hub").isNotNull() | F.col("a_hub").isNull()
     none = F.array().cast("array<bigint>")
-    oriented = known.select(
+    return known.select(
         F.when(by_b, F.col("b")).otherwise(F.col("a")).alias("member"),
         F.when(by_b, F.col("a")).otherwise(F.col("b")).alias("other"),
         F.when(by_b, F.coalesce("b_hub", "b")).otherwise(F.col("a_hub")).alias("base"),
         F.coalesce(F.when(by_b, F.col("b_more")).otherwise(F.col("a_more")), none).alias("more"),
         F.coalesce(F.when(by_b, F.col("b_less")).otherwise(F.col("a_less")), none).alias("less"),
     )
-    oriented = stage(oriented, "ngram-oriented")
+
+
+def _derived(oriented: DataFrame, whole: DataFrame, rule: Rule) -> DataFrame:
+    """``u, v``: the candidates that are similar, by the overlap of a hub and what its member has more and less."""
     others = whole.select(F.col("set_id").alias("other"), F.col("n").alias("other_n"), F.col("items").alias("other_items"))
     bases = whole.select(F.col("set_id").alias("base"), F.col("n").alias("base_n"), F.col("items").alias("base_items"))
     once = oriented.select("base", "other").distinct().join(bases, "base").join(others, "other")
@@ -331,13 +362,13 @@ def _derived(candidates: DataFrame, family: DataFrame, whole: DataFrame, rule: R
     return rows.filter(rule.linked(overlap, size, F.col("other_n"))).select(F.col("member").alias("u"), F.col("other").alias("v"))
 
 
-def one_of_each(docs: DataFrame, rule: Rule) -> DataFrame:
+def one_of_each(docs: DataFrame, rule: Rule, counters: int = COUNTERS) -> DataFrame:
     """``docs`` without the rows that a row of a smaller ``doc_id`` in their component stands for.
 
     Documents without words and rows without id that are connected to no row with one all stay. Of equal rows of one id
     one stays. Columns are those of ``docs``. Only rows that may go, or whose id occurs twice, are shuffled with their texts.
     """
-    joined = stage(join_components(docs, rule), "ngram-components")
+    joined = stage(join_components(docs, rule, counters), "ngram-components")
     goes = (F.col("n_shingles") > 0) & F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col("doc_id"))
     going = joined.filter(goes).select("doc_id").distinct()
     twice = joined.groupBy("doc_id").count().filter("count > 1").select("doc_id")
