@@ -3,3 +3,131 @@
 from __future__ import annotations
 
 LLM_ORACLE: dict[str, str] = {}
+
+LLM_ORACLE["op1_revisits"] = r"""
+WITH cut AS (
+  SELECT page_id, (page_id % 2147483648) * 2654435761 % 4294967296 AS mixed,
+    regexp_replace(trim(url), '^[a-z][a-z0-9+.-]*://(?:www\.)?|#.*$', '', 'gi') AS bare,
+    '"' || md5(regexp_extract(coalesce(html, ''), '<title>([^<]*)', 1)) || '"' AS tag,
+    strlen(coalesce(html, ''))::VARCHAR AS size
+  FROM pages
+), named AS (
+  SELECT *,
+    regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), ':(?:80|443)$', '')
+    || regexp_replace(regexp_replace(regexp_replace(regexp_extract(bare, '^[^/?]*(.*)$', 1),
+       '([?&])(?:(?:utm_[^=&]*|ref|gclid|fbclid)=[^&]*(?:&|$))+', '\1', 'g'), '[?&]+$', ''), '/+$', '') AS canonical_url
+  FROM cut
+), records AS (
+  SELECT page_id AS record_id, canonical_url, page_id AS t, 'response' AS kind, tag AS etag, size FROM named WHERE mixed % 13 <> 0
+  UNION ALL
+  SELECT -page_id - 1, canonical_url, page_id + mixed % 1000 + 1, 'revisit',
+    CASE WHEN mixed % 7 = 0 THEN 'W/"another"' ELSE 'W/' || tag END, '0'
+  FROM named WHERE mixed % 3 <> 0
+), asof_rows AS (
+  SELECT *, last_value(CASE WHEN kind = 'response' THEN {'id': record_id, 'etag': etag, 'size': size} END IGNORE NULLS) OVER (
+    PARTITION BY canonical_url ORDER BY t, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS original
+  FROM records
+), judged AS (
+  SELECT *, CASE WHEN original IS NULL THEN 'unmatched' WHEN replace(etag, 'W/', '') = original.etag THEN 'resolved' ELSE 'changed' END AS status
+  FROM asof_rows WHERE kind = 'revisit'
+)
+SELECT record_id, canonical_url, original.id AS original_id, status,
+  CASE WHEN status = 'resolved' THEN 'content-length=' || original.size || chr(10) || 'content-type=text/html' || chr(10) ELSE 'content-length=0' || chr(10) END
+  || 'date=second ' || t::VARCHAR || chr(10) || 'etag=' || etag AS headers
+FROM judged
+"""
+
+LLM_ORACLE["op4_ngram_join"] = r"""
+WITH RECURSIVE listed AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+  FROM listed
+), items AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS item FROM sets
+), overlaps AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, a.n + b.n AS total, count(*) AS common
+  FROM items a JOIN items b ON a.item = b.item AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT u, v FROM overlaps WHERE 100 * common >= 85 * (total - common)
+), ways AS (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reach AS (
+  SELECT u, v FROM ways UNION SELECT r.u, w.v FROM reach r JOIN ways w ON r.v = w.u
+), lowest AS (
+  SELECT u, min(v) AS low FROM reach GROUP BY u
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id
+FROM sets LEFT JOIN lowest ON doc_id = u
+"""
+
+LLM_ORACLE["op5_mixing"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), totals AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), ranked AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank,
+    [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight,
+    source_size * 2.0::DOUBLE AS top
+  FROM totals
+), levels AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
+    - coalesce(sum(top) OVER (ORDER BY top / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY top / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM ranked
+), final AS (
+  SELECT arg_min(level, {'need': top / weight, 'rank': rank}) AS final FROM levels WHERE top > weight * level
+), targets AS (
+  SELECT source, source_size, CASE WHEN final IS NULL THEN top ELSE least(top, weight * final) END AS target
+  FROM levels CROSS JOIN (SELECT max(final) AS final FROM final)
+), placed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM sized
+)
+SELECT doc_id, size, source_size, target,
+  (least(greatest(floor(target)::BIGINT - start, 0), size) + least(greatest(floor(target)::BIGINT - source_size - start, 0), size))::BIGINT AS taken
+FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source
+"""
+
+LLM_ORACLE["op6_decontamination"] = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents
+), items AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark
+), item_places AS (
+  SELECT item_id, len(w) AS n, unnest(range(0, greatest(len(w) - 5, 0) + 1)) AS at, w FROM items WHERE len(w) > 0
+), anchors AS (
+  SELECT item_id, n, at, array_to_string(w[at + 1:at + 5], ' ') AS shingle FROM item_places
+), weights AS (
+  SELECT shingle, 1.0::DOUBLE / count(DISTINCT item_id) AS weight FROM anchors GROUP BY shingle
+), doc_places AS (
+  SELECT doc_id, len(w) AS size, unnest(range(0, greatest(len(w) - 5, 0) + 1)) AS at, w FROM words WHERE len(w) > 0
+), doc_shingles AS (
+  SELECT doc_id, size, at, array_to_string(w[at + 1:at + 5], ' ') AS shingle FROM doc_places
+), starts AS (
+  SELECT DISTINCT d.doc_id, a.n, greatest(least(d.at - a.at, d.size - a.n), 0) AS start
+  FROM doc_shingles d JOIN (SELECT DISTINCT n, at, shingle FROM anchors) a ON d.shingle = a.shingle
+), window_shingles AS (
+  SELECT DISTINCT s.doc_id, s.n, s.start, d.shingle, coalesce(weight, 1.0::DOUBLE) AS weight
+  FROM starts s JOIN doc_shingles d ON d.doc_id = s.doc_id AND d.at >= s.start AND d.at <= s.start + greatest(s.n - 5, 0)
+  LEFT JOIN weights ON weights.shingle = d.shingle
+), window_sums AS (
+  SELECT doc_id, n, start, sum(weight) AS total FROM window_shingles GROUP BY ALL
+), item_shingles AS (
+  SELECT DISTINCT item_id, n, shingle FROM anchors
+), item_sums AS (
+  SELECT item_id, n, sum(weight) AS total FROM item_shingles JOIN weights USING (shingle) GROUP BY ALL
+), common AS (
+  SELECT w.doc_id, w.n, w.start, i.item_id, sum(w.weight) AS common
+  FROM window_shingles w JOIN item_shingles i ON w.shingle = i.shingle AND w.n = i.n GROUP BY ALL
+), scored AS (
+  SELECT c.doc_id, c.item_id, round(common / (w.total + i.total - common), 6) AS similarity
+  FROM common c JOIN window_sums w ON c.doc_id = w.doc_id AND c.n = w.n AND c.start = w.start JOIN item_sums i ON c.item_id = i.item_id
+)
+SELECT doc_id, item_id, max(similarity) AS similarity FROM scored WHERE similarity >= 0.8 GROUP BY ALL
+"""

@@ -27,7 +27,7 @@ def canonical_url(url: Column) -> Column:
     host = F.lower(F.regexp_extract(bare, r"^[^/?]*", 0))
     host = F.regexp_replace(host, r":(?:80|443)$", "")
     rest = F.regexp_extract(bare, r"^[^/?]*(.*)$", 1)
-    cleaned = F.regexp_replace(rest, rf"(?<=[?&]){_TRACKING}=[^&]*(?:&|$)", "")
+    cleaned = F.regexp_replace(rest, rf"([?&])(?:{_TRACKING}=[^&]*(?:&|$))+", "$1")
     return F.concat(host, F.regexp_replace(F.regexp_replace(cleaned, r"[?&]+$", ""), r"/+$", ""))
 
 
@@ -93,15 +93,15 @@ def resolve_revisits(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFr
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """Archive records of a table of page captures ``(page_id, url, html)``, by rules on the crc32 of the id.
+    """Archive records of a table of page captures ``(page_id, url, html)``, by rules on a number mixed from the id.
 
     Every page is captured at the second ``page_id``; of one in 13 the capture is lost. Two thirds are asked for again later, up to 1,000
     seconds, with the ETag of the page, an md5 of its title; one such request in seven meets another version. A request has the
     negative of the page's id, less one. Null ids have a capture without time.
     """
-    crc = F.coalesce(F.crc32(F.col("page_id").cast("string").cast("binary")), F.lit(1))
+    mixed = F.coalesce(F.pmod("page_id", F.lit(2**31)) * F.lit(2654435761) % F.lit(2**32), F.lit(1))
     title = F.md5(F.regexp_extract(F.coalesce("html", F.lit("")), r"<title>([^<]*)", 1).cast("binary"))
-    seen = pages.select("page_id", "url", crc.alias("crc"), F.concat(F.lit('"'), title, F.lit('"')).alias("tag"), F.octet_length(F.coalesce("html", F.lit(""))).cast("string").alias("size"))
+    seen = pages.select("page_id", "url", mixed.alias("mixed"), F.concat(F.lit('"'), title, F.lit('"')).alias("tag"), F.octet_length(F.coalesce("html", F.lit(""))).cast("string").alias("size"))
     none = F.lit(None).cast("string")
     date = lambda at: F.concat(F.lit("second "), at.cast("string"))
     full = F.struct(
@@ -111,8 +111,8 @@ def page_records(pages: DataFrame) -> DataFrame:
         F.col("tag").alias("etag"),
         F.create_map(F.lit("Date"), F.coalesce(date(F.col("page_id")), F.lit("")), F.lit("ETag"), F.col("tag"), F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), F.col("size")).alias("headers"),
     )
-    later = F.col("page_id") + F.col("crc") % 1000 + 1
-    asked = F.concat(F.lit("W/"), F.when(F.col("crc") % 7 == 0, F.lit('"another"')).otherwise(F.col("tag")))
+    later = F.col("page_id") + F.col("mixed") % 1000 + 1
+    asked = F.concat(F.lit("W/"), F.when(F.col("mixed") % 7 == 0, F.lit('"another"')).otherwise(F.col("tag")))
     again = F.struct(
         (-F.col("page_id") - 1).alias("record_id"),
         later.alias("captured_at"),
@@ -120,5 +120,5 @@ def page_records(pages: DataFrame) -> DataFrame:
         asked.alias("etag"),
         F.create_map(F.lit("Date"), F.coalesce(date(later), F.lit("")), F.lit("ETag"), asked, F.lit("Content-Length"), F.lit("0")).alias("headers"),
     )
-    records = F.filter(F.array(F.when(F.col("crc") % 13 != 0, full), F.when(F.col("crc") % 3 != 0, again)), lambda r: r.isNotNull())
+    records = F.filter(F.array(F.when(F.col("mixed") % 13 != 0, full), F.when(F.col("mixed") % 3 != 0, again)), lambda r: r.isNotNull())
     return seen.select("url", F.inline(records), none.alias("last_modified"))

@@ -1,0 +1,81 @@
+import hashlib
+import random
+
+from storyspark.llm import secrets
+
+HEX = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"
+
+
+def texts(seed=1, n=120):
+    """Texts with secrets, and with numbers, addresses and paths that look like them; the secrets are returned too."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    code = lambda letters, k: "".join(rng.choices(letters, k=k))
+    rows, planted = [], set()
+    for i in range(n):
+        parts = [word() for _ in range(20)]
+        kind = i % 6
+        if kind == 0:
+            secret = "AKIA" + code("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16)
+            parts[7] = secret
+        elif kind == 1:
+            secret = code("0123456789abcdef", 40)
+            parts[5:8] = ["token", "=", f'"{secret}"']
+        elif kind == 2:
+            secret = code("0123456789abcdef", 18)
+            parts[9] = f"password={secret},"
+        else:
+            secret = None
+            parts[3] = [code("0123456789", 16), f"{word()}.{word()}@mail8.example.com", f"https://example.org/{word()}/{word()}2024/a.html"][kind - 3]
+        if secret:
+            planted.add((i, hashlib.sha256(secret.encode()).hexdigest()))
+        rows.append((i, " ".join(parts)))
+    return rows, planted
+
+
+def bench(spark):
+    return spark.createDataFrame([("some words that occur often often",), (None,)], "text string")
+
+
+def judged(docs, spark, **more):
+    return secrets.find_secrets(docs, bench(spark), **more).collect()
+
+
+def test_planted_secrets_are_found_and_look_alikes_are_not(spark, docs_of):
+    rows, planted = texts()
+    got = judged(docs_of(rows), spark)
+    assert {(r.doc_id, r.candidate_sha256) for r in got if r.is_secret} == planted
+    assert len(got) > len(planted)
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_reviewed_findings_decide(spark, docs_of):
+    """Labels that call plain 16-digit numbers secrets and everything else none turn the result round."""
+    rows, planted = texts(2)
+    docs = docs_of(rows)
+    found = secrets.candidates(docs, []).select("doc_id", "position", "candidate", "digit_share").collect()
+    labels = spark.createDataFrame([(r.doc_id, r.position, int(r.digit_share == 1)) for r in found if r.doc_id < 80], "doc_id bigint, position int, label int")
+    got = judged(docs, spark, labelled=labels)
+    numbers = {(r.doc_id, r.position) for r in found if r.digit_share == 1}
+    assert {(r.doc_id, r.position) for r in got if r.is_secret} == numbers
+
+
+def test_odd_rows(spark, docs_of):
+    rows = [(1, None), (2, ""), (None, f"token = {HEX}"), (3, f"token = {HEX}"), (3, f"token = {HEX}"), (4, "9" * 60_000), (5, "x " * 50_000 + f"secret:{HEX}")]
+    got = judged(docs_of(rows), spark)
+    assert sorted(str(r.doc_id) for r in got) == ["3", "3", "4", "5", "None"]
+    assert {str(r.doc_id) for r in got if r.is_secret} == {"3", "5", "None"}
+    assert judged(docs_of(rows).filter("doc_id = 99"), spark) == []
+
+
+def test_without_two_labels_all_candidates_stay(spark, docs_of):
+    got = judged(docs_of([(1, f"token = {HEX}")]), spark)
+    assert [(r.score, r.is_secret) for r in got] == [(0.5, 1)]
+
+
+def test_no_secret_in_clear_and_no_python_in_the_plan(spark, docs_of):
+    rows, _ = texts(3, 30)
+    result = secrets.find_secrets(docs_of(rows), bench(spark))
+    assert "candidate" not in result.columns
+    plan = result._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Cartesian", "NestedLoop"))
