@@ -15,10 +15,11 @@ def alert_hash(event_id: Column, status: Column) -> Column:
     return F.sha2(F.concat_ws("|", event_id.cast("string"), status), 256)
 
 
-def alert_transitions(observations: DataFrame) -> DataFrame:
+def alert_transitions(observations: DataFrame, grain: str = "hour") -> DataFrame:
     """Gated observations whose hash differs from the observation before.
 
-    ``observations``: ``event_id, observation_id, observed_at, status, gate``. An event is read day by day.
+    ``observations``: ``event_id, observation_id, observed_at, status, gate``. An event is read in pieces of ``grain``, a unit of
+    ``date_trunc``, so that no task has all of a busy event.
     """
     rows = observations.select(
         "event_id",
@@ -29,7 +30,7 @@ def alert_transitions(observations: DataFrame) -> DataFrame:
         F.struct("observed_at", "observation_id").alias("_order"),
     )
     seen = with_previous(
-        rows, ["event_id"], "_order", F.to_date("observed_at"), F.struct("alert_hash"), "_before"
+        rows, ["event_id"], "_order", F.date_trunc(grain, "observed_at"), F.struct("alert_hash"), "_before"
     )
     changed = F.col("_before").isNull() | (F.col("_before.alert_hash") != F.col("alert_hash"))
     return seen.filter(F.col("gate") & changed).select("event_id", "observation_id", "observed_at", "alert_hash")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyspark.functions import fixed_values as fixed
+from storyspark.operators.hotkeys import with_previous
 
 _WATCHED = ("summary", "lane", "breaking_score", "canonical_event_id")
 
@@ -17,22 +20,36 @@ def change_feed(old: DataFrame, new: DataFrame) -> DataFrame:
     else as an upsert.
     Unchanged events and events that only exist in ``old`` give no row.
     """
-    columns = ("status", *_WATCHED)
-    before = old.select("event_id", *[F.col(c).alias(f"old_{c}") for c in columns], F.lit(True).alias("known"))
-    joined = new.join(before, "event_id", "left")
-    moved = ~F.col("status").eqNullSafe(F.col("old_status"))
-    touched = F.col("known").isNull()
+    before = old.select("event_id", *[F.col(c).alias(f"old_{c}") for c in ("status", *_WATCHED)], F.lit(True).alias("known"))
+    return _changed(new.join(before, "event_id", "left"), F.col("known").isNotNull(), lambda c: F.col(f"old_{c}"))
+
+
+def change_log(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The changes of a log of event rows: each row against the one before, the first against ``known`` (one row per event).
+
+    ``rows`` and ``known`` have the columns of events and ``updated_at``; rows of one time follow each other by their other columns.
+    """
+    watched = ("status", *_WATCHED)
+    both = known.withColumn("_new", F.lit(False)).unionByName(rows.withColumn("_new", F.lit(True)))
+    ordered = both.withColumn("_order", F.struct("updated_at", *watched))
+    seen = with_previous(ordered, ["event_id"], "_order", F.date_trunc("hour", "updated_at"), F.struct(*watched), "_before")
+    return _changed(seen.filter("_new"), F.col("_before").isNotNull(), lambda c: F.col("_before")[c])
+
+
+def _changed(rows: DataFrame, known: Column, old: Callable[[str], Column]) -> DataFrame:
+    moved = ~F.col("status").eqNullSafe(old("status"))
+    touched = ~known
     for name in _WATCHED:
-        touched = touched | ~F.col(name).eqNullSafe(F.col(f"old_{name}"))
-    retargeted = moved | ~F.col("canonical_event_id").eqNullSafe(F.col("old_canonical_event_id"))
+        touched = touched | ~F.col(name).eqNullSafe(old(name))
+    retargeted = moved | ~F.col("canonical_event_id").eqNullSafe(old("canonical_event_id"))
     change = (
-        F.when(F.col("known").isNotNull() & retargeted & (F.col("status") == "MERGED"), F.lit("EVENT_MERGED"))
-        .when(F.col("known").isNotNull() & moved, F.lit("EVENT_STATE_CHANGED"))
+        F.when(known & retargeted & (F.col("status") == "MERGED"), F.lit("EVENT_MERGED"))
+        .when(known & moved, F.lit("EVENT_STATE_CHANGED"))
         .when(touched, F.lit("EVENT_UPSERT"))
     )
     target = F.when(F.col("status") == "MERGED", F.col("canonical_event_id"))
     return (
-        joined.withColumn("change", change)
+        rows.withColumn("change", change)
         .filter("change IS NOT NULL")
         .select("event_id", "change", "status", target.alias("target_event_id"))
     )

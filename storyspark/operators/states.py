@@ -34,19 +34,21 @@ def state_transitions(events: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+def deadline(status: Column, pool: Column, at: Column) -> Column:
+    """When a state times out; null for states without a limit."""
+    limit = F.when(status == "HYDRATING", S.hydration_timeout_s(pool)).when(status == "QUARANTINE", F.lit(S.fixed.QUARANTINE_TTL_S))
+    return F.timestamp_micros(F.unix_micros(at) + limit.cast("bigint") * 1_000_000)
+
+
 def timed_transitions(states: DataFrame, as_of: Column) -> DataFrame:
     """Every timeout in a state log: ``event_id, old_status, status, at``.
 
     ``states``: ``event_id, status, pool, at, next_at``. A state times out when it lasts longer than its
     limit before the next state, or before ``as_of`` when it is the last one.
     """
-    limit = F.when(F.col("status") == "HYDRATING", S.hydration_timeout_s(F.col("pool"))).when(
-        F.col("status") == "QUARANTINE", F.lit(S.fixed.QUARANTINE_TTL_S)
-    )
-    deadline = F.timestamp_micros(F.unix_micros("at") + limit.cast("bigint") * 1_000_000)
     target = F.when(F.col("status") == "HYDRATING", F.lit("PARTIAL_ENRICH")).otherwise(F.lit("EXPIRED"))
     return (
-        states.withColumn("_deadline", deadline)
+        states.withColumn("_deadline", deadline(F.col("status"), F.col("pool"), F.col("at")))
         .filter(F.col("_deadline") < F.coalesce(F.col("next_at"), as_of))
         .select("event_id", F.col("status").alias("old_status"), target.alias("status"), F.col("_deadline").alias("at"))
     )

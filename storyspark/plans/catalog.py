@@ -959,10 +959,27 @@ def _state_log(rows: DataFrame) -> DataFrame:
     return rows.select((F.col("user_id") % 20).alias("event_id"), "status", "pool", F.col("ts").alias("at"))
 
 
+def split_events(spark: SparkSession, sf_dir: str, parts: int = 4) -> DataFrame:
+    """The events table as a stream of several micro-batches, each of a later range of time."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    first, last = rows.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    folder = new_stage_path(spark, "events-in-parts")
+    for k in range(parts):
+        low, high = (first + (last + 1 - first) * i // parts for i in (k, k + 1))
+        t = F.unix_micros(F.col("ts").cast("timestamp"))
+        rows.filter((t >= low) & (t < high)).coalesce(1).write.mode("append").parquet(folder)
+    return runner.read_files(runner.stream_session(spark), folder, "*.parquet", files_per_batch=1)
+
+
+def split_view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    rows = split_events(spark, sf_dir)
+    return rows.sparkSession.sql(sql.replace("{k}", "get_json_object(props, '$.k')"), events=rows)
+
+
 @query
 def stream_state_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _state_log(stream_view(spark, sf_dir, ad.STATES.replace("event_id, ts", "event_id, user_id, ts")))
-    found = runner.run_available(timers.state_timeouts(rows), spark, "timeouts")
+    rows = _state_log(split_view(spark, sf_dir, ad.STATES.replace("event_id, ts", "event_id, user_id, ts")))
+    found = timers.state_timeouts(rows, spark, new_stage_path(spark, "timeouts"))
     return found.select("event_id", "old_status", "status", F.unix_micros("at").alias("at_us"))
 
 
@@ -970,7 +987,7 @@ def stream_state_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def timed_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch form of the timeouts, over the same log."""
     rows = _state_log(ad.events_view(spark, sf_dir, ad.STATES.replace("event_id, ts", "event_id, user_id, ts")))
-    log = with_next(rows, ["event_id"], "at", F.to_date("at"), F.struct("at"), "following").withColumn(
+    log = with_next(rows, ["event_id"], "at", F.date_trunc("hour", "at"), F.struct("at"), "following").withColumn(
         "next_at", F.col("following.at")
     )
     as_of = ad.latest(ad.table(spark, sf_dir, "events"), "ts") - F.expr("INTERVAL 1 HOUR")
@@ -980,35 +997,56 @@ def timed_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stream_view(spark, sf_dir, ad.OBSERVATIONS)
-    found = runner.run_available(timers.sent_alerts(rows, cooldown_s=3600), spark, "alerts")
+    rows = split_view(spark, sf_dir, ad.OBSERVATIONS)
+    found = timers.sent_alerts(rows, spark, new_stage_path(spark, "alerts"), cooldown_s=3600, late_by_s=0)
     return found.select("event_id", "observation_id", F.unix_micros("cooldown_until").alias("cooldown_until_us"))
 
 
-@query
-def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anchor rows that the document stream appended."""
+def _ingested(spark: SparkSession, sf_dir: str) -> tuple[EventStore, str]:
     rows = stream_of(spark, sf_dir, "documents")
-    docs = rows.sparkSession.sql(ad.DOCS, documents=rows).select(
-        "doc_id", "clean_text", F.lit("").alias("url"), F.lit(False).alias("is_official")
+    number = F.col("source_id").cast("string")
+    domain = F.concat(F.lit("src"), number, F.lit(".example.org"))
+    docs = rows.sparkSession.sql(ad.DOCS, documents=rows).withColumns(
+        {
+            "source_key": F.concat(F.lit("src"), number),
+            "source_domain": domain,
+            "url": F.concat(F.lit("https://"), domain, F.lit("/"), F.col("doc_id")),
+            "tier": F.col("source_id") % 3 + 1,
+            "is_official": F.col("source_id") % 4 == 0,
+        }
     )
     folder = new_stage_path(spark, "ingested")
-    ingest.ingest_documents(docs, spark, folder)
+    return ingest.ingest_documents(docs, ad.sources(spark, sf_dir), spark, folder), folder
+
+
+@query
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchor rows that the document stream appended."""
+    _, folder = _ingested(spark, sf_dir)
     written = spark.read.parquet(f"{folder}/doc_anchors")
     return written.select("doc_id", F.col("anchor_no").cast("bigint").alias("anchor_no"), "anchor_type", "anchor_value")
 
 
+@query
+def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that the document stream stored."""
+    store, _ = _ingested(spark, sf_dir)
+    return store.event_docs().select("event_id", "doc_id", "source_id", stamp("seen_at").alias("seen_at"), "is_primary")
+
+
 @query
 def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Change feed of the event stream: in one batch, every event with its last state."""
-    rows = stream_of(spark, sf_dir, "events")
+    """Change feed of the event stream over several micro-batches: new rows, changed states and merges."""
+    rows = split_events(spark, sf_dir)
+    merged = F.col("event_type") == "view"
     events = rows.select(
-        F.col("user_id").alias("event_id"),
-        F.lit(None).cast("bigint").alias("canonical_event_id"),
-        F.col("event_type").alias("status"),
+        (F.col("user_id") % 20).alias("event_id"),
+        F.when(merged, F.col("event_id") % 3).alias("canonical_event_id"),
+        F.when(merged, F.lit("MERGED")).otherwise(F.col("event_type")).alias("status"),
         F.lit("s").alias("summary"),
         F.lit("geral").alias("lane"),
-        F.col("value").alias("breaking_score"),
+        F.floor(F.col("value") / 50).cast("double").alias("breaking_score"),
         F.col("ts").alias("updated_at"),
     )
-    return runner.run_available(timers.event_changes(events), spark, "changes").select("event_id", "change", "status")
+    found = timers.event_changes(events, spark, new_stage_path(spark, "changes"), late_by_s=0)
+    return found.groupBy("event_id", "change", "status", "target_event_id").agg(F.count("*").alias("n"))

@@ -623,7 +623,16 @@ ORACLE["incremental_events"] = ORACLE["assign_events"]
 ORACLE["incremental_new_events"] = ORACLE["new_events"]
 
 ORACLE["stream_ingest"] = ORACLE["anchors"]
-ORACLE["stream_changes"] = """SELECT user_id AS event_id, 'EVENT_UPSERT' AS change, arg_max(event_type, ts) AS status FROM events GROUP BY user_id"""
+ORACLE["stream_events"] = ORACLE["assign_events"]
+ORACLE["stream_changes"] = """WITH rows AS (SELECT user_id % 20 AS event_id, CASE WHEN event_type = 'view' THEN event_id % 3 END AS target,
+    CASE WHEN event_type = 'view' THEN 'MERGED' ELSE event_type END AS status, floor(value / 50) AS score, ts FROM events),
+  seen AS (SELECT *, row_number() OVER w AS k, lag(status) OVER w AS status0, lag(target) OVER w AS target0, lag(score) OVER w AS score0
+    FROM rows WINDOW w AS (PARTITION BY event_id ORDER BY ts, status, score)),
+  told AS (SELECT event_id, status, CASE WHEN status = 'MERGED' THEN target END AS target_event_id,
+    CASE WHEN k > 1 AND status = 'MERGED' AND (status <> status0 OR target IS DISTINCT FROM target0) THEN 'EVENT_MERGED'
+      WHEN k > 1 AND status <> status0 THEN 'EVENT_STATE_CHANGED'
+      WHEN k = 1 OR score <> score0 OR target IS DISTINCT FROM target0 THEN 'EVENT_UPSERT' END AS change FROM seen)
+SELECT event_id, change, status, target_event_id, count(*) AS n FROM told WHERE change IS NOT NULL GROUP BY ALL"""
 ORACLE["enabled_sources"] = f"WITH {SOURCES} SELECT source_id, tier, is_official FROM sources WHERE enabled"
 
 ORACLE["tfidf_terms"] = f"""WITH {DOCS}, words AS (SELECT doc_id, unnest({_tokens('clean_text')}) AS term FROM docs0),

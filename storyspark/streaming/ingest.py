@@ -1,31 +1,33 @@
-"""Micro-batch ingest: extracted tables per batch."""
+"""Micro-batch ingest: extracted tables and events per batch."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from storyspark.operators.evidence import FEATURES, explode_anchors, with_evidence
-from storyspark.session import stage
+from storyspark.operators.evidence import FEATURES, explode_anchors
+from storyspark.operators.incremental import EventStore
+from storyspark.plans.story import document_facts
 from storyspark.sinks.tables import append_tables
 from storyspark.streaming.runner import for_each_batch
 
 
-def ingest_documents(docs: DataFrame, spark: SparkSession, folder: str) -> None:
-    """Append documents, anchors and evidence features of every micro-batch below ``folder``.
+def ingest_documents(docs: DataFrame, sources: DataFrame, spark: SparkSession, folder: str, every: str | None = None) -> EventStore:
+    """Append documents, anchors, evidence features, events and scores of every micro-batch below ``folder``.
 
-    A replayed batch overwrites its own partition of each table.
+    ``docs`` has the columns that ``document_facts`` asks for. A replayed batch overwrites its own partition of each table, and the
+    checkpoint lies in the folder, so a second start goes on with new batch numbers. Texts are written once, as the documents
+    of the batch; all else is read from there. Later batches must have greater ids.
     """
+    store = EventStore(spark, folder)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        found = stage(with_evidence(batch, with_context=True), "batch-documents")
-        append_tables(
-            {
-                "documents": found.select(*batch.columns),
-                "doc_anchors": explode_anchors(found),
-                "doc_evidence_features": found.select("doc_id", *FEATURES),
-            },
-            folder,
-            batch_id,
-        )
-
-    for_each_batch(docs, spark, "ingest", write)
+        append_tables({"documents": batch}, folder, batch_id)
+        stored = spark.read.schema(batch.schema).parquet(f"{folder}/documents/batch_id={batch_id}")
+        facts = document_facts(stored, with_context=True)
+        append_tables({"doc_anchors": explode_anchors(facts), "doc_evidence_features": facts.select("doc_id", *FEATURES)}, folder, batch_id)
+        anchors = spark.read.parquet(f"{folder}/doc_anchors/batch_id={batch_id}").select("doc_id", "anchor_type", "anchor_value")
+        store.add(facts, anchors, sources, batch_id, F.coalesce(facts.agg(F.max("seen_at")).scalar(), F.current_timestamp()))
+
+    for_each_batch(docs, spark, f"{folder}/_checkpoint", write, every)
+    return store

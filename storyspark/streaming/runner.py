@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from storyspark.session import new_stage_path
 
@@ -36,29 +37,29 @@ def read_files(session: SparkSession, folder: str, pattern: str, files_per_batch
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
 
 
-def run_available(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
-    """Process everything that is there, append the results to files and return them as a batch table."""
-    path = new_stage_path(spark, name)
-    stream = (
-        df.writeStream.format("parquet")
-        .option("path", f"{path}/data")
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+def _trigger(writer: DataStreamWriter, every: str | None) -> DataStreamWriter:
+    """All that is there and then stop, or again and again in intervals such as ``1 minute``."""
+    return writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+
+
+def run_available(df: DataFrame, spark: SparkSession, name: str, folder: str | None = None) -> DataFrame:
+    """Process everything that is there, append the results to files and return them as a batch table.
+
+    A ``folder`` that an earlier run used goes on from its checkpoint; without one a new folder is taken.
+    """
+    path = folder or new_stage_path(spark, name)
+    stream = _trigger(
+        df.writeStream.format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/_checkpoint").outputMode("append"), None
+    ).start()
     stream.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{path}/data")
 
 
-def for_each_batch(
-    df: DataFrame, spark: SparkSession, name: str, write: Callable[[DataFrame, int], None]
-) -> None:
-    """Hand every micro-batch that is there to ``write``, which must tolerate a repeated batch."""
-    stream = (
-        df.writeStream.foreachBatch(write)
-        .option("checkpointLocation", f"{new_stage_path(spark, name)}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+def for_each_batch(df: DataFrame, spark: SparkSession, checkpoint: str, write: Callable[[DataFrame, int], None], every: str | None = None) -> None:
+    """Hand every micro-batch to ``write``, which must tolerate a repeated batch.
+
+    The checkpoint belongs beside what ``write`` writes: batch numbers go on from it when the stream is started again. With
+    ``every`` the call returns only when the stream is stopped.
+    """
+    stream = _trigger(df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), every).start()
     stream.awaitTermination()

@@ -1,187 +1,74 @@
-"""State per event: hydration and quarantine timeouts, alert cooldown and the change feed."""
+"""Timeouts, alerts and changes of streams: the batch operators, applied to rows in event-time order.
 
-from __future__ import annotations
+Each takes the stream, a session, the folder of its output and state, and how late rows may be, and returns the output so far.
+What is kept between batches is at most a row or two per event, and for timeouts only while a state can still time out.
+"""
 
-import sys
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from storyspark.functions import fixed_values as fixed
-from storyspark.operators.alerts import alert_hash
-
-# The processors below travel to the Python workers by value, so this package need not be installed there. Their
-# code therefore uses only pandas, PySpark and names of this module.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-_FAST_US = fixed.FAST_TIMEOUT_S * 1_000_000
-_RENDER_US = fixed.RENDER_TIMEOUT_S * 1_000_000
-_QUARANTINE_US = fixed.QUARANTINE_TTL_S * 1_000_000
+from storyspark.operators import alerts, changes, states
+from storyspark.operators.hotkeys import with_next
+from storyspark.session import stage
+from storyspark.streaming.ordered import run_ordered
 
+LATE_S = 3600
 TRANSITION = "event_id bigint, old_status string, status string, at timestamp"
 ALERT = "event_id bigint, observation_id bigint, alert_hash string, last_alert_at timestamp, cooldown_until timestamp"
-
 CHANGE = "event_id bigint, change string, status string, target_event_id bigint"
-_WATCHED = ["status", "summary", "lane", "breaking_score"]
-
-
-def _limit_us(status: str, pool: str) -> int | None:
-    """Microseconds a state may last, or None without a limit."""
-    if status == "HYDRATING":
-        return _FAST_US if pool == "FAST_POOL" else _RENDER_US
-    return _QUARANTINE_US if status == "QUARANTINE" else None
-
-
-def _timed_out(event_id: int, status: str, deadline_us: int) -> tuple:
-    target = "PARTIAL_ENRICH" if status == "HYDRATING" else "EXPIRED"
-    return event_id, status, target, pd.Timestamp(deadline_us, unit="us")
-
-
-def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[field.split()[0] for field in schema.split(", ")])
-
-
-class StateTimeouts(StatefulProcessor):
-    """Emits one transition when a state outlives its limit before the next state of its event."""
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.current = handle.getValueState("current", "status string, deadline_us bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        event_id = int(key[0])
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        status, deadline = self.current.get() if self.current.exists() else (None, None)
-        out = []
-        for at_us, state, pool in _in_order(rows, ["at_us", "status", "pool"]):
-            if deadline is not None and deadline < at_us:
-                out.append(_timed_out(event_id, status, deadline))
-            limit = _limit_us(state, pool)
-            status, deadline = state, None if limit is None else at_us + limit
-        if deadline is None:
-            self.current.clear()
-        else:
-            self.current.update((status, deadline))
-            # Timers have millisecond precision: round up, so none fires early.
-            self.handle.registerTimer(-(-deadline // 1000))
-        yield _frame(out, TRANSITION)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, deadline = self.current.get()
-        self.current.clear()
-        yield _frame([_timed_out(int(key[0]), status, deadline)], TRANSITION)
-
-    def close(self) -> None:
-        pass
-
-
-class AlertGate(StatefulProcessor):
-    """Lets a gated change of an event through, then stays silent for the cooldown."""
-
-    def __init__(self, cooldown_s: int):
-        self.cooldown_us = cooldown_s * 1_000_000
-
-    def init(self, handle) -> None:
-        self.memory = handle.getValueState("memory", "last_hash string, cooldown_until_us bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, until = self.memory.get() if self.memory.exists() else (None, 0)
-        out = []
-        for at_us, number, gate, hashed in _in_order(rows, ["at_us", "observation_id", "gate", "alert_hash"]):
-            if gate and hashed != last and at_us >= until:
-                until = at_us + self.cooldown_us
-                sent, silent = pd.Timestamp(at_us, unit="us"), pd.Timestamp(until, unit="us")
-                out.append((int(key[0]), int(number), hashed, sent, silent))
-            last = hashed
-        self.memory.update((last, until))
-        yield _frame(out, ALERT)
-
-    def close(self) -> None:
-        pass
-
-
-class EventChanges(StatefulProcessor):
-    """Compares the last row of an event in a micro-batch with the row before; the rule of ``change_feed``."""
-
-    def init(self, handle) -> None:
-        self.known = handle.getValueState("known", "status string, summary string, lane string, breaking_score double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = None
-        for chunk in rows:
-            row = chunk.loc[chunk["at_us"].idxmax()]
-            if last is None or row["at_us"] > last["at_us"]:
-                last = row
-        now = tuple(None if pd.isna(last[c]) else last[c] for c in _WATCHED)
-        before = tuple(self.known.get()) if self.known.exists() else None
-        self.known.update(now)
-        change = None
-        if before is not None and before[0] != now[0]:
-            change = "EVENT_MERGED" if now[0] == "MERGED" else "EVENT_STATE_CHANGED"
-        elif before != now:
-            change = "EVENT_UPSERT"
-        merged = now[0] == "MERGED" and not pd.isna(last["canonical_event_id"])
-        target = int(last["canonical_event_id"]) if merged else None
-        out = [(int(key[0]), change, now[0], target)] if change else []
-        frame = _frame(out, CHANGE)
-        yield frame.astype({"target_event_id": "Int64"})
-
-    def close(self) -> None:
-        pass
-
-
-def _in_order(rows: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple]:
-    """Rows of one event and one micro-batch by time, without the text columns of the stream."""
-    batch = pd.concat([chunk[columns] for chunk in rows]).sort_values(columns[:2])
-    for row in batch.itertuples(index=False):
-        yield (int(row[0]), *row[1:])
-
-
-def state_timeouts(states: DataFrame, late_by: str = "1 hour") -> DataFrame:
-    """Timeouts of a stream of states ``event_id, status, pool, at``; see the batch ``timed_transitions``."""
-    rows = states.select("event_id", "status", "pool", "at", F.unix_micros("at").alias("at_us"))
-    return (
-        rows.withWatermark("at", late_by)
-        .groupBy("event_id")
-        .transformWithStateInPandas(
-            statefulProcessor=StateTimeouts(),
-            outputStructType=TRANSITION,
-            outputMode="Append",
-            timeMode="EventTime",
-        )
-    )
-
-
-def sent_alerts(observations: DataFrame, cooldown_s: int = fixed.ALERT_COOLDOWN_S, late_by: str = "1 hour") -> DataFrame:
-    """Alerts of a stream of observations; see the batch ``alert_transitions`` and ``sent_alerts``."""
-    rows = observations.select(
-        "event_id",
-        "observation_id",
-        "observed_at",
-        F.unix_micros("observed_at").alias("at_us"),
-        "gate",
-        alert_hash(F.col("event_id"), F.col("status")).alias("alert_hash"),
-    )
-    return (
-        rows.withWatermark("observed_at", late_by)
-        .groupBy("event_id")
-        .transformWithStateInPandas(
-            statefulProcessor=AlertGate(cooldown_s),
-            outputStructType=ALERT,
-            outputMode="Append",
-            timeMode="EventTime",
-        )
-    )
-
-
-def event_changes(events: DataFrame) -> DataFrame:
-    """Change feed of a stream of event rows with ``updated_at``; state holds one row per event."""
-    rows = events.select("event_id", "canonical_event_id", *_WATCHED, F.unix_micros("updated_at").alias("at_us"))
-    return rows.groupBy("event_id").transformWithStateInPandas(
-        statefulProcessor=EventChanges(), outputStructType=CHANGE, outputMode="Append", timeMode="None"
-    )
+EVENT = "event_id bigint, canonical_event_id bigint, status string, summary string, lane string, breaking_score double, updated_at timestamp"
+
+
+def state_timeouts(log: DataFrame, spark: SparkSession, folder: str, late_by_s: int = LATE_S, every: str | None = None) -> DataFrame:
+    """Timeouts of a stream of states ``event_id, status, pool, at``; see :func:`states.timed_transitions`."""
+    columns = ["event_id", "status", "pool", "at"]
+
+    def step(open_states: DataFrame, rows: DataFrame, horizon: Column) -> tuple[DataFrame, DataFrame]:
+        both = open_states.unionByName(rows).withColumn("_order", F.struct("at", "status", "pool"))
+        following = with_next(both, ["event_id"], "_order", F.date_trunc("hour", "at"), F.struct("at"), "_next")
+        read = stage(following.select(*columns, F.col("_next.at").alias("next_at")), "state-log")
+        undecided = read.filter(F.col("next_at").isNull() & (states.deadline(F.col("status"), F.col("pool"), F.col("at")) >= horizon))
+        return states.timed_transitions(read, horizon), undecided.select(*columns)
+
+    return run_ordered(log.select(*columns), spark, folder, "at", late_by_s, "event_id bigint, status string, pool string, at timestamp", TRANSITION, step, every)
+
+
+def sent_alerts(
+    observations: DataFrame, spark: SparkSession, folder: str, cooldown_s: int = fixed.ALERT_COOLDOWN_S, late_by_s: int = LATE_S, every: str | None = None
+) -> DataFrame:
+    """Alerts of a stream of observations; see :func:`alerts.alert_transitions` and :func:`alerts.sent_alerts`.
+
+    Kept per event: its last observation, and its last alert while that still silences it.
+    """
+    columns = ["event_id", "observation_id", "observed_at", "status", "gate"]
+
+    def step(state: DataFrame, rows: DataFrame, horizon: Column) -> tuple[DataFrame, DataFrame]:
+        seen = state.filter("kind = 'seen'").select(*columns)
+        before = state.filter("kind = 'sent'").select("event_id", "observation_id", "observed_at", F.lit("").alias("alert_hash"))
+        every_row = stage(seen.unionByName(rows), "observations")
+        candidates = stage(alerts.alert_transitions(every_row).unionByName(before), "alert-candidates")
+        sent = stage(alerts.sent_alerts(candidates, cooldown_s), "alerts-sent")
+        new = sent.filter("observation_id >= 0")
+        last = every_row.groupBy("event_id").agg(F.max(F.struct("observed_at", "observation_id", "status")).alias("s"))
+        last = last.select("event_id", "s.observation_id", "s.observed_at", "s.status", F.lit(False).alias("gate"), F.lit("seen").alias("kind"))
+        silent = sent.groupBy("event_id").agg(F.max("last_alert_at").alias("observed_at"), F.max("cooldown_until").alias("until")).filter(F.col("until") > horizon)
+        silent = silent.select("event_id", F.lit(-1).cast("bigint").alias("observation_id"), "observed_at", F.lit("").alias("status"), F.lit(False).alias("gate"), F.lit("sent").alias("kind"))
+        return new, last.unionByName(silent)
+
+    schema = "event_id bigint, observation_id bigint, observed_at timestamp, status string, gate boolean, kind string"
+    return run_ordered(observations.select(*columns), spark, folder, "observed_at", late_by_s, schema, ALERT, step, every)
+
+
+def event_changes(events: DataFrame, spark: SparkSession, folder: str, late_by_s: int = LATE_S, every: str | None = None) -> DataFrame:
+    """Change feed of a stream of event rows with ``updated_at``; see :func:`changes.change_log`. Kept: the last row of each event."""
+    columns = [f.split()[0] for f in EVENT.split(", ")]
+
+    def step(known: DataFrame, rows: DataFrame, horizon: Column) -> tuple[DataFrame, DataFrame]:
+        row = F.struct("updated_at", *[c for c in columns if c not in ("updated_at", "event_id")])
+        last = known.unionByName(rows).groupBy("event_id").agg(F.max(row).alias("r"))
+        return changes.change_log(rows, known), last.select("event_id", *[F.col("r")[c].alias(c) for c in columns[1:]])
+
+    return run_ordered(events.select(*columns), spark, folder, "updated_at", late_by_s, EVENT, CHANGE, step, every)

@@ -1,10 +1,12 @@
 """Streams equal their batch forms, also over several micro-batches and replays."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
 from storyspark.operators import alerts, evidence, health, states
-from storyspark.operators.changes import change_feed
+from storyspark.operators.changes import change_log
 from storyspark.operators.hotkeys import with_next
 from storyspark.plans import adapters as ad
 from storyspark.plans.catalog import _state_log
@@ -39,9 +41,9 @@ def collected(df, *columns):
 
 
 def test_timeouts_over_several_batches(spark, sf_dir, split_events):
-    got = runner.run_available(timers.state_timeouts(_state_log(stream(spark, split_events, STATES))), spark, "timeouts")
+    got = timers.state_timeouts(_state_log(stream(spark, split_events, STATES)), spark, new_stage_path(spark, "timeouts"))
     rows = _state_log(ad.events_view(spark, sf_dir, STATES))
-    log = with_next(rows, ["event_id"], "at", F.to_date("at"), F.struct("at"), "following").withColumn(
+    log = with_next(rows, ["event_id"], "at", F.date_trunc("hour", "at"), F.struct("at"), "following").withColumn(
         "next_at", F.col("following.at")
     )
     as_of = ad.latest(rows, "at") - F.expr("INTERVAL 1 HOUR")
@@ -52,7 +54,7 @@ def test_timeouts_over_several_batches(spark, sf_dir, split_events):
 
 
 def test_alerts_over_several_batches(spark, sf_dir, split_events):
-    got = runner.run_available(timers.sent_alerts(stream(spark, split_events, ad.OBSERVATIONS), 3600), spark, "alerts")
+    got = timers.sent_alerts(stream(spark, split_events, ad.OBSERVATIONS), spark, new_stage_path(spark, "alerts"), 3600, late_by_s=0)
     candidates = stage(alerts.alert_transitions(ad.events_view(spark, sf_dir, ad.OBSERVATIONS)), "candidates")
     want = alerts.sent_alerts(candidates, 3600)
     columns = "event_id", "observation_id", "alert_hash", "last_alert_at", "cooldown_until"
@@ -89,44 +91,83 @@ def test_first_fetches(spark, split_events):
     assert got.count() == 5
 
 
-def test_ingest_equals_batch_and_replay_changes_nothing(spark, sf_dir):
-    folder = new_stage_path(spark, "tables")
+def documents(spark, folder):
     session = runner.stream_session(spark)
-    docs = runner.read_files(session, sf_dir, "documents.parquet").select(
-        "doc_id", F.concat("text", F.lit(" PL 1/2024")).alias("clean_text"), F.lit("").alias("url"), F.lit(True).alias("is_official")
+    docs = runner.read_files(session, folder, "*.parquet", files_per_batch=1)
+    return docs.select(
+        "doc_id",
+        F.concat("text", F.lit(" PL "), F.col("doc_id") % 5, F.lit("/2024")).alias("clean_text"),
+        F.lit("").alias("url"),
+        F.lit(True).alias("is_official"),
+        F.lit(1).alias("source_id"),
+        F.lit("src1").alias("source_key"),
+        F.lit("src1.example.org").alias("source_domain"),
+        F.lit(1).alias("tier"),
+        F.lit("").alias("title"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("seen_at"),
     )
-    ingest.ingest_documents(docs, spark, folder)
-    anchors = spark.read.parquet(f"{folder}/doc_anchors")
-    features = spark.read.parquet(f"{folder}/doc_evidence_features")
-    n = ad.table(spark, sf_dir, "documents").count()
-    assert features.count() == n and anchors.count() >= n
-    assert anchors.filter("NOT contains(evidence_ptr, anchor_value)").isEmpty()
+
+
+def test_ingest_goes_on_after_a_restart_and_equals_one_batch(spark, sf_dir, tmp_path):
+    """Files in two starts of the stream, one per batch, against the same documents taken at once."""
+    sources = spark.createDataFrame([(1, 1, True)], "source_id bigint, tier int, is_official boolean")
+    docs = ad.table(spark, sf_dir, "documents")
+    source, folder = str(tmp_path / "docs"), new_stage_path(spark, "tables")
+    for low, high in ((0, 60), (60, 90)):
+        docs.filter((F.col("doc_id") >= low) & (F.col("doc_id") < high)).coalesce(1).write.mode("append").parquet(source)
+    ingest.ingest_documents(documents(spark, source), sources, spark, folder)
+    docs.filter("doc_id >= 90").coalesce(1).write.mode("append").parquet(source)
+    store = ingest.ingest_documents(documents(spark, source), sources, spark, folder)
     batch = spark.read.parquet(f"{folder}/documents")
-    want = evidence.evidence_features(batch)
+    assert sorted(r.doc_id for r in batch.collect()) == sorted(r.doc_id for r in docs.collect())
+    assert batch.select("batch_id").distinct().count() == 3
+    features = spark.read.parquet(f"{folder}/doc_evidence_features")
     columns = "doc_id", "evidence_score", "anchors_count"
-    assert collected(features, *columns) == collected(want, *columns)
+    assert collected(features, *columns) == collected(evidence.evidence_features(batch), *columns)
+    anchors = spark.read.parquet(f"{folder}/doc_anchors")
+    assert anchors.filter("NOT contains(evidence_ptr, anchor_value)").isEmpty()
+    assert {(r.doc_id, r.event_id) for r in store.event_docs().collect()} == {(r.doc_id, r.doc_id % 5) for r in docs.collect()}
+    assert collected(store.scores(), "event_id", "source_count") == [(k, docs.filter(f"doc_id % 5 = {k}").count()) for k in range(5)]
     append_tables({"doc_anchors": anchors.drop("batch_id").limit(3)}, folder, 0)
-    assert spark.read.parquet(f"{folder}/doc_anchors").count() == 3
+    assert spark.read.parquet(f"{folder}/doc_anchors").filter("batch_id = 0").count() == 3
+
 
+def at(minute):
+    return dt.datetime(2024, 1, 1, minute // 60, minute % 60)
 
-def test_change_feed_of_a_stream(spark, split_events):
+
+def states_in_files(spark, folder, files):
+    for rows in files:
+        spark.createDataFrame([(1, s, "FAST_POOL", at(m)) for m, s in rows], "event_id bigint, status string, pool string, at timestamp").coalesce(1).write.mode("append").parquet(folder)
+    return runner.read_files(runner.stream_session(spark), folder, "*.parquet", files_per_batch=1)
+
+
+def test_a_late_row_does_not_replace_a_newer_state(spark, tmp_path):
+    rows = states_in_files(spark, str(tmp_path / "s"), [[(10, "HYDRATING")], [(9, "HOT")], [(300, "HOT")]])
+    got = timers.state_timeouts(rows, spark, new_stage_path(spark, "timeouts"))
+    assert [(r.old_status, r.status, r.at) for r in got.collect()] == [("HYDRATING", "PARTIAL_ENRICH", at(11))]
+
+
+def test_rows_before_the_horizon_are_dropped_and_a_restart_goes_on(spark, tmp_path):
+    source, folder = str(tmp_path / "s"), new_stage_path(spark, "timeouts")
+    rows = states_in_files(spark, source, [[(10, "HYDRATING")], [(200, "NEW")], [(20, "HYDRATING")]])
+    assert timers.state_timeouts(rows, spark, folder).count() == 1
+    rows = states_in_files(spark, source, [[(150, "QUARANTINE")], [(400, "NEW")]])
+    got = timers.state_timeouts(rows, spark, folder)
+    assert collected(got, "status", "at") == [("EXPIRED", at(165)), ("PARTIAL_ENRICH", at(11))]
+
+
+def test_change_log_does_not_depend_on_batches(spark, sf_dir, split_events):
     sql = """SELECT user_id % 20 AS event_id, CASE event_type WHEN 'view' THEN 7L END AS canonical_event_id,
       CASE event_type WHEN 'view' THEN 'MERGED' ELSE event_type END AS status, 's' AS summary,
       CASE WHEN event_id % 3 = 0 THEN 'geral' END AS lane, value AS breaking_score, ts AS updated_at FROM {events}"""
-    got = runner.run_available(timers.event_changes(stream(spark, split_events, sql)), spark, "changes")
-
-    files = spark.read.parquet(split_events)
-    files = files.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("file", F.input_file_name())
-    paths = [r.file for r in files.groupBy("file").agg(F.min("ts").alias("t")).orderBy("t").collect()]
-    row = F.struct("canonical_event_id", "status", "summary", "lane", "breaking_score")
-    before, want = None, []
-    for path in paths:
-        rows = spark.sql(sql, events=files.filter(F.col("file") == path))
-        latest = rows.groupBy("event_id").agg(F.max_by(row, "updated_at").alias("r")).select("event_id", "r.*")
-        latest = stage(latest, "latest")
-        before = latest.limit(0) if before is None else before
-        want += [tuple(r) for r in change_feed(before, latest).collect()]
-        before = before.join(latest.select("event_id"), "event_id", "left_anti").unionByName(latest)
-    key = repr
-    assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(want, key=key)
-    assert {change for _, change, _, _ in want} == {"EVENT_UPSERT", "EVENT_STATE_CHANGED", "EVENT_MERGED"}
+    got = timers.event_changes(stream(spark, split_events, sql), spark, new_stage_path(spark, "changes"), late_by_s=0)
+    rows = spark.sql(sql, events=ad.table(spark, sf_dir, "events"))
+    want = change_log(rows, rows.limit(0))
+    columns = "event_id", "change", "status", "target_event_id"
+    assert sorted(map(repr, collected_any(got, columns))) == sorted(map(repr, collected_any(want, columns)))
+    assert {r.change for r in want.collect()} == {"EVENT_UPSERT", "EVENT_STATE_CHANGED", "EVENT_MERGED"}
+
+
+def collected_any(df, columns):
+    return [tuple(r) for r in df.select(*columns).collect()]
