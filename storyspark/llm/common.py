@@ -42,6 +42,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def id_bounds(docs: DataFrame, n: int) -> list[int]:
+    """Ascending document ids that cut ``docs`` into about ``n`` ranges of equal size; ids that occur, read from the id column alone.
+
+    None for ids beyond the whole numbers that a double holds, where all rows are one range.
+    """
+    ids = docs.select(F.col("doc_id").cast("double").alias("doc_id")).filter("doc_id is not null")
+    found = ids.stat.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n) if n > 1 else []
+    return sorted({int(b) for b in found if abs(b) < 2**53})
+
+
 def kept_in_worker(name: str, key: object, make: Callable[[], object]) -> object:
     """An object that a Python worker keeps from task to task: one per name, made anew when the key changes."""
     holder = sys.modules.setdefault("storyspark_worker", types.ModuleType("storyspark_worker"))

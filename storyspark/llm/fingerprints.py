@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyspark.llm.common import partitions
+from storyspark.llm.common import id_bounds, partitions
 
 EQUAL_LANES, LIKE_LANES = 32, 160
 LANES = EQUAL_LANES + LIKE_LANES
@@ -112,11 +112,9 @@ def with_next(docs: DataFrame, n_buckets: int) -> DataFrame:
     are ids that occur, found on the id column alone, so each bucket's first document is known from its id. Null ids
     come last; rows of one id, by a hash of their text and their text, stay in one bucket. Texts move once.
     """
-    ids = docs.select("doc_id").filter("doc_id is not null")
-    last = ids.agg(F.max("doc_id")).first()[0]
-    probabilities = [k / n_buckets for k in range(1, n_buckets)]
-    inner = ids.select(F.col("doc_id").cast("double")).stat.approxQuantile("doc_id", probabilities, 0.1 / n_buckets) if last is not None and abs(last) < 2**52 and probabilities else []
-    bounds = sorted({*(int(b) for b in inner), *([] if last is None else [last])}, reverse=True) or [0]
+    last = docs.agg(F.max("doc_id")).first()[0]
+    inner = [b for b in id_bounds(docs, n_buckets) if b < last] if last is not None else []
+    bounds = sorted([*inner, *([] if last is None else [last])], reverse=True) or [0]
     own = F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(_bucket(F.col("doc_id"), bounds))
     placed = docs.select(own.alias("bucket"), "doc_id", "text")
     #: The first document of a bucket also ends the one before; the very first one ends the last bucket.

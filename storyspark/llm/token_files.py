@@ -25,18 +25,19 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyspark.llm.common import kept_in_worker, partitions
+from storyspark.llm.common import id_bounds, kept_in_worker, partitions
 from storyspark.llm.pieces import Answers, byte_letters, keys, literal
 
 #: Pieces whose ids a Python worker keeps, about 200 bytes each.
 KEPT_PIECES = 1_000_000
 #: Stands for a null document id in the files.
 NO_ID = -(2**63)
-_PARTS = "part int, n_docs bigint, n_tokens bigint, width int"
+_PARTS = "part bigint, n_docs bigint, n_tokens bigint, width int"
 
 
 def _filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -87,58 +88,82 @@ class _Encoder:
         return body[self.line_end :] if head is None else self.whole(head) + body
 
 
+class _Part:
+    """One part that is being written."""
+
+    def __init__(self, folder: str, place: int, attempt: int, encoder: _Encoder, end_id: int) -> None:
+        self.place, self.encoder = place, encoder
+        self.files, root = _filesystem(folder)
+        self.files.create_dir(root, recursive=True)
+        self.names = {kind: (f"{root}/_attempt-{attempt}-{place}.{kind}", f"{root}/{_name(place)}.{kind}") for kind in ("tokens", "offsets", "ids")}
+        self.out = {kind: self.files.open_output_stream(mine) for kind, (mine, _) in self.names.items()}
+        self.end = np.array([end_id], encoder.kind).tobytes()
+        self.at = self.n_docs = 0
+
+    def add(self, ids: list[int | None], texts: list[str]) -> None:
+        encoded = [self.encoder.ids(text) + self.end for text in texts]
+        ends = np.cumsum([len(x) // self.encoder.width for x in encoded], dtype=np.int64) + self.at
+        self.out["tokens"].write(b"".join(encoded))
+        self.out["offsets"].write(np.concatenate([[self.at], ends[:-1]]).astype("<u8").tobytes())
+        self.out["ids"].write(np.array([NO_ID if i is None else i for i in ids], "<i8").tobytes())
+        self.at, self.n_docs = int(ends[-1]), self.n_docs + len(encoded)
+
+    def close(self) -> pa.RecordBatch:
+        self.out["offsets"].write(np.array([self.at], "<u8").tobytes())
+        for kind, (mine, final) in self.names.items():
+            self.out[kind].close()
+            self.files.move(mine, final)
+        row = {"part": self.place, "n_docs": self.n_docs, "n_tokens": self.at, "width": self.encoder.width}
+        return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32())]))
+
+
+def _name(part: int) -> str:
+    return f"part-{part:06d}" if part >= 0 else f"part-null-{-part:06d}"
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, n_parts: int | None = None) -> DataFrame:
     """Encode every text of ``docs (doc_id, text)`` into the files above and return the manifest.
 
     Documents go in ascending order of ``doc_id``, null first; rows of one id follow each other by a hash of their text,
-    then by the text. A null text is empty and has the end id alone. Other columns are not used. Texts move once, in
-    the range shuffle; what the driver gets is one row per part.
+    then by the text. A null text is empty and has the end id alone. Other columns are not used. Texts move once, packed, to
+    ranges of ids (of hashes, where the id is null); what the driver gets is one row per part.
     """
     spark = docs.sparkSession
     n_parts = n_parts or partitions(spark)
-    ordered = (
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-        .withColumn("tie", F.xxhash64("text"))
-        .repartitionByRange(n_parts, "doc_id", "tie")
-        .sortWithinPartitions("doc_id", "tie", "text")
-        .select("doc_id", "text")
-    )
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    bounds = np.array(id_bounds(texts, 2 * n_parts), np.int64)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            ids, ties = batch.column(0), batch.column(1).to_numpy()
+            known = np.array(ids.is_valid())
+            by_id = np.searchsorted(bounds, ids.fill_null(0).to_numpy(), side="right")
+            by_tie = np.floor((ties / 2.0**64 + 0.5) * n_parts).astype(np.int64) - n_parts - 1
+            packed = pa.array((squeeze(text.encode("utf-8", "surrogatepass")) for text in batch.column(2).to_pylist()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(known, by_id, by_tie)), ids, batch.column(1), packed], ["range", "doc_id", "tie", "packed"])
+
+    packed = texts.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(pack, "range bigint, doc_id bigint, tie bigint, packed binary")
+    # One text always packs to the same bytes, so equal ones stay together.
+    ordered = packed.repartition(n_parts, "range").sortWithinPartitions("range", "doc_id", "tie", "packed").select("range", "doc_id", "packed")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept_in_worker("encoder", tokenizer_path, lambda: _Encoder(tokenizer_path))
-        end = np.array([end_id], encoder.kind).tobytes()
-        task = TaskContext.get()
-        files, root = _filesystem(folder)
-        files.create_dir(root, recursive=True)
-        names = {kind: f"{root}/part-{task.partitionId():06d}.{kind}" for kind in ("tokens", "offsets", "ids")}
-        mine = {kind: f"{root}/_attempt-{task.taskAttemptId()}-{kind}" for kind in names}
-        at = n_docs = 0
-        with (
-            files.open_output_stream(mine["tokens"]) as tokens,
-            files.open_output_stream(mine["offsets"]) as offsets,
-            files.open_output_stream(mine["ids"]) as ids,
-        ):
-            for batch in batches:
-                for start in range(0, batch.num_rows, 500):
-                    part = batch.slice(start, 500)
-                    encoded = [encoder.ids(text) + end for text in part.column(1).to_pylist()]
-                    ends = np.cumsum([len(x) // encoder.width for x in encoded], dtype="<u8")
-                    tokens.write(b"".join(encoded))
-                    offsets.write(np.concatenate([[at], ends[:-1] + np.uint64(at)]).astype("<u8").tobytes())
-                    ids.write(np.array([NO_ID if i is None else i for i in part.column(0).to_pylist()], "<i8").tobytes())
-                    at += int(ends[-1])
-                    n_docs += len(encoded)
-            offsets.write(np.array([at], "<u8").tobytes())
-        for kind, name in names.items():
-            if n_docs:
-                files.move(mine[kind], name)
-            else:
-                files.delete_file(mine[kind])
-        if n_docs:
-            yield pa.RecordBatch.from_pylist([{"part": task.partitionId(), "n_docs": n_docs, "n_tokens": at, "width": encoder.width}], _schema())
-
-    def _schema() -> pa.Schema:
-        return pa.schema([("part", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32())])
+        unpack = zstandard.ZstdDecompressor().decompress
+        part = None
+        for batch in batches:
+            places = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(places)) + 1).tolist(), len(places)]
+            for first, last in zip(cuts, cuts[1:], strict=False):
+                if part is not None and part.place != places[first]:
+                    yield part.close()
+                    part = None
+                part = part or _Part(folder, int(places[first]), TaskContext.get().taskAttemptId(), encoder, end_id)
+                for start in range(first, last, 500):
+                    some = batch.slice(start, min(500, last - start))
+                    part.add(some.column(1).to_pylist(), [unpack(x).decode("utf-8", "surrogatepass") for x in some.column(2).to_pylist()])
+        if part is not None:
+            yield part.close()
 
     parts = sorted(ordered.mapInArrow(write, _PARTS).collect())
     base_docs = [0, *accumulate(p.n_docs for p in parts)]
@@ -168,7 +193,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
         for batch in batches:
             for row in batch.to_pylist():
-                name = f"part-{row['part']:06d}"
+                name = _name(row["part"])
                 tokens = mapped(f"{name}.tokens", f"<u{row['width']}")
                 offsets, ids = mapped(f"{name}.offsets", "<u8").astype(np.int64), mapped(f"{name}.ids", "<i8")
                 for first in range(0, row["n_docs"], 10_000):
@@ -178,7 +203,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(own, mask=own == NO_ID),
-                            pa.array(np.full(len(own), row["part"], np.int32)),
+                            pa.array(np.full(len(own), row["part"], np.int64)),
                             pa.array(begin + row["base_tokens"]),
                             pa.array(end - begin),
                             pa.array(crc, pa.int64()),
@@ -187,4 +212,4 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                     )
 
     spread = manifest.repartition(partitions(spark), "part")
-    return spread.mapInArrow(read, "doc_id bigint, part int, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return spread.mapInArrow(read, "doc_id bigint, part bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
