@@ -11,6 +11,7 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,8 +66,14 @@ def new_stage_path(spark: SparkSession, name: str) -> str:
     return f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Called with the name and the DataFrame of every stage before it is written; for tests that look at plans.
+on_stage: Callable[[str, DataFrame], None] | None = None
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return a DataFrame that scans the written table."""
+    if on_stage:
+        on_stage(name, df)
     path = new_stage_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
