@@ -97,7 +97,7 @@ def mix(
 
     def piece(k: int) -> Column:
         took = F.least(F.greatest(demand - F.lit(k) * F.col("source_size") - F.col("start"), F.lit(0)), F.col("size"))
-        middle = (F.lit(k) * F.col("source_size") + F.col("start") + took / 2) / demand
+        middle = F.coalesce(F.try_divide(F.lit(k) * F.col("source_size") + F.col("start") + took / 2, demand), F.lit(0.0))
         n = len(schedules)
         position = F.coalesce(*(F.when((F.col("rank") - 1) % n == i, _position(middle, s)) for i, s in enumerate(schedules)))
         return F.struct(F.lit(k).alias("pass"), took.alias("taken"), position.alias("position"))
@@ -127,13 +127,13 @@ def take(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     left = left.withColumn("_n", F.row_number().over(alike.orderBy(F.xxhash64("text"))))
     right = mixed.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("size").alias("_size"), "pieces")
     right = right.withColumn("_n", F.row_number().over(alike.orderBy(F.get("pieces", F.lit(0))["position"].asc_nulls_last())))
-    right = right.filter(F.size("pieces") > 0).select(F.col("_id").alias("_id2"), F.col("_size").alias("_size2"), F.col("_n").alias("_n2"), F.inline("pieces"))
+    right = right.filter(F.size("pieces") > 0).select(F.col("_id").alias("_id2"), F.col("_size").alias("_size2"), F.col("_n").alias("_n2"), F.inline("pieces").alias("_pass", "_taken", "_at"))
     same = left["_id"].eqNullSafe(right["_id2"]) & (left["_size"] == right["_size2"]) & (left["_n"] == right["_n2"])
-    cut = F.when(F.col("taken") == F.col("_size"), F.col("text")).otherwise(
-        F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), 1, F.col("taken").cast("int")), " ")
+    cut = F.when(F.col("_taken") == F.col("_size"), F.col("text")).otherwise(
+        F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), 1, F.col("_taken").cast("int")), " ")
     )
     joined = left.join(right, same).withColumn("text", cut)
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("taken") == F.col("_size"), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    ordered = joined.repartitionByRange(partitions(docs.sparkSession), "position", "doc_id").sortWithinPartitions("position", "doc_id")
+        joined = joined.withColumn("n_chars", F.when(F.col("_taken") == F.col("_size"), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    ordered = joined.repartitionByRange(partitions(docs.sparkSession), "_at", "_id").sortWithinPartitions("_at", "_id")
     return ordered.select(*docs.columns)

@@ -1,7 +1,7 @@
 """Secret findings with a random forest that removes false positives (operator 10). Native expressions only.
 
-A candidate is a word, freed of an assignment before it and of marks around it, of at least 16 characters with a digit or
-with mixed case. Its features are its length, transitions between character classes, coverage by dictionary words, shape as a
+A candidate is a word, freed of an assignment before it and of marks around it, of at least 16 characters with a digit,
+a capital behind a small letter or twelve capitals in a row. Its features are its length, transitions between character classes, coverage by dictionary words, shape as a
 path, and its neighbouring words. A random forest learns from labelled findings which candidates are secrets.
 
 Where no reviewed findings exist, :func:`seed_labels` labels the certain ones by rule: published key formats and
@@ -62,7 +62,7 @@ def candidates(docs: DataFrame, known_words: list[str]) -> DataFrame:
     """
     listed = docs.select("doc_id", words(F.col("text")).alias("words"))
     spread = listed.select("doc_id", "words", F.posexplode("words").alias("position", "word")).filter(
-        (F.length("word") >= LEAST) & F.col("word").rlike(r"[0-9]|[a-z][A-Z]")
+        (F.length("word") >= LEAST) & F.col("word").rlike(r"[0-9]|[a-z][A-Z]|[A-Z]{12}")
     )
     core = F.regexp_replace(F.regexp_replace("word", _ASSIGN, ""), r"^[^0-9A-Za-z+/_-]+|[^0-9A-Za-z=+/_-]+$", "")
     before = F.coalesce(F.get("words", F.col("position") - 1), F.lit(""))

@@ -12,7 +12,8 @@ def records(spark, rows):
 
 
 def brute(spark, rows):
-    names = records(spark, rows).select("record_id", revisits.canonical_url(records(spark, rows)["url"]).alias("u")).collect()
+    frame = records(spark, rows)
+    names = frame.select("record_id", revisits.canonical_url(frame["url"]).alias("u")).collect()
     url = {r.record_id: r.u for r in names}
     out = []
     for i, _, at, kind, tag, modified, _ in rows:
