@@ -48,11 +48,11 @@ WITH RECURSIVE listed AS (
   FROM listed
 ), items AS (
   SELECT doc_id, len(s) AS n, unnest(s) AS item FROM sets
-), overlaps AS (
+), shared AS (
   SELECT a.doc_id AS u, b.doc_id AS v, a.n + b.n AS total, count(*) AS common
   FROM items a JOIN items b ON a.item = b.item AND a.doc_id < b.doc_id GROUP BY ALL
 ), links AS (
-  SELECT u, v FROM overlaps WHERE 100 * common >= 85 * (total - common)
+  SELECT u, v FROM shared WHERE 100 * common >= 85 * (total - common)
 ), ways AS (
   SELECT u, v FROM links UNION ALL SELECT v, u FROM links
 ), reach AS (
@@ -100,21 +100,21 @@ WITH words AS (
 ), items AS (
   SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark
 ), item_places AS (
-  SELECT item_id, len(w) AS n, unnest(range(0, greatest(len(w) - 5, 0) + 1)) AS at, w FROM items WHERE len(w) > 0
+  SELECT item_id, len(w) AS n, unnest(range(0, greatest(len(w) - 5, 0) + 1)) AS pos, w FROM items WHERE len(w) > 0
 ), anchors AS (
-  SELECT item_id, n, at, array_to_string(w[at + 1:at + 5], ' ') AS shingle FROM item_places
+  SELECT item_id, n, pos, array_to_string(w[pos + 1:pos + 5], ' ') AS shingle FROM item_places
 ), weights AS (
   SELECT shingle, 1.0::DOUBLE / count(DISTINCT item_id) AS weight FROM anchors GROUP BY shingle
 ), doc_places AS (
-  SELECT doc_id, len(w) AS size, unnest(range(0, greatest(len(w) - 5, 0) + 1)) AS at, w FROM words WHERE len(w) > 0
+  SELECT doc_id, len(w) AS size, unnest(range(0, greatest(len(w) - 5, 0) + 1)) AS pos, w FROM words WHERE len(w) > 0
 ), doc_shingles AS (
-  SELECT doc_id, size, at, array_to_string(w[at + 1:at + 5], ' ') AS shingle FROM doc_places
+  SELECT doc_id, size, pos, array_to_string(w[pos + 1:pos + 5], ' ') AS shingle FROM doc_places
 ), starts AS (
-  SELECT DISTINCT d.doc_id, a.n, greatest(least(d.at - a.at, d.size - a.n), 0) AS start
-  FROM doc_shingles d JOIN (SELECT DISTINCT n, at, shingle FROM anchors) a ON d.shingle = a.shingle
+  SELECT DISTINCT d.doc_id, a.n, greatest(least(d.pos - a.pos, d.size - a.n), 0) AS start
+  FROM doc_shingles d JOIN (SELECT DISTINCT n, pos, shingle FROM anchors) a ON d.shingle = a.shingle
 ), window_shingles AS (
   SELECT DISTINCT s.doc_id, s.n, s.start, d.shingle, coalesce(weight, 1.0::DOUBLE) AS weight
-  FROM starts s JOIN doc_shingles d ON d.doc_id = s.doc_id AND d.at >= s.start AND d.at <= s.start + greatest(s.n - 5, 0)
+  FROM starts s JOIN doc_shingles d ON d.doc_id = s.doc_id AND d.pos >= s.start AND d.pos <= s.start + greatest(s.n - 5, 0)
   LEFT JOIN weights ON weights.shingle = d.shingle
 ), window_sums AS (
   SELECT doc_id, n, start, sum(weight) AS total FROM window_shingles GROUP BY ALL
