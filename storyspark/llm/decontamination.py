@@ -66,8 +66,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
     """``doc_id, item_id, similarity``: documents with a window like a benchmark item, with the best window's similarity.
 
     ``docs (doc_id, text)`` and ``benchmark (item_id, text)`` may have other columns. An item of fewer than five words is one shingle and is
-    found only where a document has no other words. Null and empty texts and items match nothing; rows of one ``doc_id`` or
-    ``item_id`` count as one, null ids as one each. Near a document's ends windows are moved inside it. One row per pair, similarity to 6 digits.
+    found only where a document has no other words. Null and empty texts and items match nothing; rows of one ``doc_id`` count as
+    one, and so do items of one ``item_id`` and size, null ids as one each. Near a document's ends windows are moved inside it. One row per pair, similarity to 6 digits.
     """
     items = stage(
         benchmark.select(F.col("item_id"), word_list(F.col("text")).alias("words"))
@@ -95,7 +95,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
 
     window_rows = contents.select("n_words", "window_id", F.explode("shingles").alias("shingle")).join(weights, "shingle", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
     window_rows = stage(window_rows, "bench-shingles")
-    item_rows = items.select("item_id", "n_words", F.explode("shingles").alias("shingle")).join(weights, "shingle")
+    item_rows = items.select("item_id", "n_words", F.explode("shingles").alias("shingle")).distinct().join(weights, "shingle")
     window_prints = _fingerprints(window_rows, ["n_words", "window_id"])
     item_prints = _fingerprints(item_rows, ["item_id", "n_words"])
     left = window_prints.select("n_words", "window_id", "fingerprint", F.inline(_blocks(F.col("fingerprint"), radius)))
@@ -104,12 +104,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
     candidates = stage(near.select("n_words", "window_id", "item_id").distinct(), "bench-candidates")
 
     window_sums = window_rows.groupBy("n_words", "window_id").agg(F.sum("weight").alias("window_weight"))
-    item_sums = item_rows.groupBy("item_id").agg(F.sum("weight").alias("item_weight"))
+    item_sums = item_rows.groupBy(F.col("item_id").alias("_item"), F.col("n_words").alias("_n")).agg(F.sum("weight").alias("item_weight"))
     pairs = candidates.join(window_rows, ["n_words", "window_id"])
-    inside = item_rows.select(F.col("item_id").alias("_item"), F.col("shingle").alias("_shingle")).distinct()
-    common = pairs.join(inside, pairs["item_id"].eqNullSafe(inside["_item"]) & (pairs["shingle"] == inside["_shingle"])).groupBy("n_words", "window_id", "item_id").agg(F.sum("weight").alias("common"))
-    item_sums = item_sums.withColumnRenamed("item_id", "_item")
-    scored = common.join(window_sums, ["n_words", "window_id"]).join(item_sums, F.col("item_id").eqNullSafe(F.col("_item")))
+    inside = item_rows.select(F.col("item_id").alias("_item"), F.col("n_words").alias("_n"), F.col("shingle").alias("_shingle"))
+    same = pairs["item_id"].eqNullSafe(inside["_item"]) & (pairs["n_words"] == inside["_n"]) & (pairs["shingle"] == inside["_shingle"])
+    common = pairs.join(inside, same).groupBy("n_words", "window_id", "item_id").agg(F.sum("weight").alias("common"))
+    of_item = F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("n_words") == F.col("_n"))
+    scored = common.join(window_sums, ["n_words", "window_id"]).join(item_sums, of_item)
     scored = scored.withColumn("similarity", F.round(F.col("common") / (F.col("window_weight") + F.col("item_weight") - F.col("common")), 6))
     verified = scored.filter(F.col("similarity") >= similarity).select("n_words", "window_id", "item_id", "similarity")
     found = places.select("doc_id", "n_words", "window_id").join(verified, ["n_words", "window_id"])
