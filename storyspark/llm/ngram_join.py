@@ -41,6 +41,8 @@ KEPT_WORDS = 1_000_000
 COUNTERS, CHUNK = 2**24, 2**16
 #: Bits of a set's signature.
 SIGNATURE_BITS = 512
+#: Lists of up to this many entries are looked through before anything is made of them.
+SHORT = 16
 #: Earlier shared elements that an entry carries, so that most pairs are met only once.
 CARRIED = 32
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -67,11 +69,11 @@ class Rule:
         """Whether an overlap of at most this much can do."""
         return (100 + self.percent) * overlap >= self.percent * (a + b)
 
-    def may_link(self, a: str, b: str) -> Column:
+    def may_link(self, a: Column, b: Column) -> Column:
         """What sizes, positions and signatures of two entries allow; never false for two similar sets at their first shared element."""
-        n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-        rest = F.least(n - F.col(f"{a}.position"), m - F.col(f"{b}.position"))
-        differ = sum(F.bit_count(F.get(f"{a}.signature", F.lit(k)).bitwiseXOR(F.get(f"{b}.signature", F.lit(k)))) for k in range(SIGNATURE_BITS // 64))
+        n, m = a["n"], b["n"]
+        rest = F.least(n - a["position"], m - b["position"])
+        differ = sum(F.bit_count(F.get(a["signature"], F.lit(k)).bitwiseXOR(F.get(b["signature"], F.lit(k)))) for k in range(SIGNATURE_BITS // 64))
         return self.sizes_fit(n, m) & self.enough(rest, n, m) & self.enough((n + m - differ) / 2, n, m)
 
 
@@ -150,10 +152,11 @@ def _frequencies(texts: DataFrame, n: int, counters: int) -> np.ndarray:
 
 
 def _scan(texts: DataFrame, rule: Rule, counters: int) -> DataFrame:
-    """``row_id, doc_id, n, set_id, signature, prefix`` of every document.
+    """``row_id, doc_id, n, set_id, signature, wide, prefix`` of every document.
 
-    The signature has, for each of :data:`SIGNATURE_BITS` classes of elements, whether their number is odd: where two
-    signatures differ, the sets differ in at least one element.
+    A signature has, for each class of elements by hash, whether their number is odd: where two signatures differ, the sets differ in
+    at least one element. The short one has :data:`SIGNATURE_BITS` classes and goes with every entry; the wide one has about as many as the set has
+    elements, a power of two times that.
     """
     known = texts.sparkSession.sparkContext.broadcast(_frequencies(texts, rule.n, counters))
     shift = np.uint64(64 - int(math.log2(counters)))
@@ -161,21 +164,23 @@ def _scan(texts: DataFrame, rule: Rule, counters: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = known.value
         for batch in batches:
-            sizes, sets, odd, prefixes = [], [], [], []
+            sizes, sets, odd, wide, prefixes = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(text, rule.n)
-                parity = np.bincount((s % np.uint64(SIGNATURE_BITS)).astype(np.int64), minlength=SIGNATURE_BITS) & 1
-                odd.append(np.packbits(parity.astype(bool)).view(np.int64))
+                bits = SIGNATURE_BITS << max(0, (len(s) - 1) // SIGNATURE_BITS).bit_length()
+                parity = np.packbits((np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(bool)).view(np.int64)
+                wide.append(parity)
+                odd.append(np.bitwise_xor.reduce(parity.reshape(-1, SIGNATURE_BITS // 64)))
                 sizes.append(len(s))
                 sets.append(_set_id(s))
                 order = np.argsort(counts[(s >> shift).astype(np.int64)], kind="stable")
                 prefixes.append(s[order[: rule.prefix(len(s))]].view(np.int64) if len(s) else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row_id"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()), pa.array(odd, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["row_id", "doc_id", "n", "set_id", "signature", "prefix"],
+                [batch.column("row_id"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()), pa.array(odd, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))],
+                ["row_id", "doc_id", "n", "set_id", "signature", "wide", "prefix"],
             )
 
-    return texts.mapInArrow(scan, "row_id bigint, doc_id bigint, n bigint, set_id bigint, signature array<bigint>, prefix array<bigint>")
+    return texts.mapInArrow(scan, "row_id bigint, doc_id bigint, n bigint, set_id bigint, signature array<bigint>, wide array<bigint>, prefix array<bigint>")
 
 
 def _set_id(s: np.ndarray) -> int:
@@ -249,10 +254,14 @@ def join_components(docs: DataFrame, rule: Rule | None = None, counters: int = C
     rule = rule or Rule()
     texts = _texts(docs)
     scanned = stage(_scan(texts, rule, counters), "ngram-scan")
-    links = stage(_links(texts, scanned, rule), "ngram-links")
-    roots = connected_components(links).select(F.col("id").alias("set_id"), "root")
+    roots, links = _links(texts, scanned, rule)
+    # Links between families join their roots; those are few, so this takes less than the components of all links.
+    of = lambda name: roots.select(F.col("set_id").alias(name), F.col("root").alias(f"{name}_root"))
+    between = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"))
+    tops = connected_components(between).select(F.col("id").alias("root"), F.col("root").alias("top"))
     rows = scanned.select("doc_id", "row_id", "n", "set_id")
     rooted = rows.filter("n > 0").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    rooted = rooted.join(tops, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members"))
     connected = rooted.join(smallest.filter("members > 1"), "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("members").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
@@ -260,12 +269,17 @@ def join_components(docs: DataFrame, rule: Rule | None = None, counters: int = C
     return connected.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _links(texts: DataFrame, scanned: DataFrame, rule: Rule) -> DataFrame:
-    """``u, v``: links between different sets that connect all that are connected."""
+def _links(texts: DataFrame, scanned: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """``(set_id, root)`` of connected families, and links ``u, v`` that connect those and the other sets."""
     spark = texts.sparkSession
     sets = scanned.filter("n > 0").groupBy("set_id").agg(*(F.first(c).alias(c) for c in ("n", "signature", "prefix")))
     entries = sets.select("set_id", "n", "signature", F.posexplode("prefix").alias("position", "item"))
-    met = entries.repartition(partitions(spark), "item").withColumn("sets", F.count("*").over(W.partitionBy("item"))).filter("sets > 1").drop("sets")
+    met = entries.repartition(partitions(spark), "item").withColumn("sets", F.count("*").over(W.partitionBy("item"))).filter("sets > 1")
+    # In a short list an entry is of use only beside another that it may be similar to; a frame of fixed size holds all of such a list.
+    around = W.partitionBy("item").orderBy("set_id").rowsBetween(-SHORT, SHORT)
+    met = met.withColumn("me", F.struct("set_id", "n", "position", "signature")).withColumn("around", F.collect_list("me").over(around))
+    partner = F.exists("around", lambda other: (other["set_id"] != F.col("set_id")) & rule.may_link(F.col("me"), other))
+    met = met.filter((F.col("sets") > SHORT) | partner).drop("sets", "me", "around")
     listed = F.sort_array(F.collect_list(F.struct("position", "item"))).alias("entries")
     shared = stage(met.groupBy("set_id").agg(F.first("n").alias("n"), F.first("signature").alias("signature"), listed), "ngram-shared")
     items = F.transform("entries", lambda e: e["item"])
@@ -277,14 +291,33 @@ def _links(texts: DataFrame, scanned: DataFrame, rule: Rule) -> DataFrame:
         F.get("entries", F.col("k"))["position"].alias("position"),
         F.slice(items, F.lit(1), F.least(F.col("k"), F.lit(CARRIED))).alias("earlier"),
     )
-    best = stage(_best_hubs(lists.drop("earlier"), rule), "ngram-hubs")
+    best = stage(_plausible(_best_hubs(lists.drop("earlier"), rule), "set_id", "hub", scanned, rule), "ngram-hubs")
     family = stage(_families(best, _whole_sets(texts, _rows_of(scanned, best, "set_id", "hub"), rule.n), rule), "ngram-families")
     close = family.select(F.col("set_id").alias("u"), F.col("hub").alias("v"))
     roots = connected_components(close).select(F.col("id").alias("set_id"), "root")
-    candidates = stage(_candidates(lists, roots, rule), "ngram-candidates")
+    candidates = stage(_plausible(_candidates(lists, roots, rule), "a", "b", scanned, rule), "ngram-candidates")
     oriented = stage(_oriented(candidates, family), "ngram-oriented")
     whole = stage(_whole_sets(texts, _rows_of(scanned, oriented, "base", "other"), rule.n), "ngram-sets")
-    return close.unionByName(_derived(oriented, whole, rule))
+    return roots, stage(_derived(oriented, whole, rule), "ngram-links")
+
+
+def _plausible(pairs: DataFrame, a: str, b: str, scanned: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs of sets that their wide signatures allow."""
+    wide = scanned.filter("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("wide").alias("wide"))
+    of = lambda name: wide.select(F.col("set_id").alias(name), F.col("n").alias(f"{name}_n"), F.col("wide").alias(f"{name}_wide"))
+    both = pairs.join(of(a), a).join(of(b), b)
+
+    def folded(mine: Column, other: Column) -> Column:
+        """At the width of the narrower one; sizes that fit are at most one doubling apart."""
+        half = (F.size(mine) / 2).cast("int")
+        halves = F.zip_with(F.slice(mine, F.lit(1), half), F.slice(mine, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(mine) > F.size(other), halves).otherwise(mine)
+
+    x, y = F.col(f"{a}_wide"), F.col(f"{b}_wide")
+    odd = F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    differ = F.aggregate(odd, F.lit(0), lambda total, d: total + d)
+    n, m = F.col(f"{a}_n"), F.col(f"{b}_n")
+    return both.filter(rule.enough((n + m - differ) / 2, n, m)).select(*pairs.columns)
 
 
 def _rows_of(scanned: DataFrame, frame: DataFrame, *columns: str) -> DataFrame:
@@ -296,7 +329,8 @@ def _rows_of(scanned: DataFrame, frame: DataFrame, *columns: str) -> DataFrame:
 def _best_hubs(entries: DataFrame, rule: Rule) -> DataFrame:
     """``set_id, hub``: the hub that a set meets in most of its lists, among those that it may be similar to."""
     hubs = entries.groupBy("item").agg(F.min(F.struct("position", "n", "set_id", "signature")).alias("hub"))
-    met = entries.alias("a").join(hubs, "item").filter((F.col("hub.set_id") != F.col("set_id")) & rule.may_link("a", "hub"))
+    me = F.struct("n", "position", "signature")
+    met = entries.withColumn("me", me).join(hubs, "item").filter((F.col("hub.set_id") != F.col("set_id")) & rule.may_link(F.col("me"), F.col("hub")))
     votes = met.groupBy("set_id", F.col("hub.set_id").alias("hub")).agg(F.count("*").alias("votes"))
     return votes.groupBy("set_id").agg(F.max(F.struct("votes", "hub"))["hub"].alias("hub"))
 
@@ -328,7 +362,7 @@ def _candidates(entries: DataFrame, roots: DataFrame, rule: Rule) -> DataFrame:
         & (F.col("a.position_band") == F.col("b.position_band"))
         & (F.col("a.root") != F.col("b.root"))
         & ((F.col("b.root") == F.col("b.main")) | (F.col("a.set_id") < F.col("b.set_id")))
-        & rule.may_link("a", "b")
+        & rule.may_link(*(F.struct(f"{x}.n", f"{x}.position", f"{x}.signature") for x in "ab"))
         & ~F.arrays_overlap("a.earlier", "b.earlier"),
     )
     ids = F.col("a.set_id"), F.col("b.set_id")
