@@ -1,8 +1,9 @@
 """Benchmark decontamination by SimHash of item-sized windows (operator 6). Native expressions only.
 
 Documents and benchmark items are word lists, lower-cased, and five-word shingles are hashed to 64 bits. A window has as many
-words as an item and lies in a document where the item would lie if one shingle that both have were in its place: windows without
-such a shingle have similarity 0 and are not made. Equal windows are looked at once, wherever they occur.
+words as an item, at any offset at which it holds a shingle of such an item: the others have similarity 0. Only windows that can
+reach the similarity are made: what a window shares with an item is at most the running sum of the weights of its shingles that any item of
+this size has, and must be that part of the lightest such item's weight. Equal windows are looked at once, wherever they occur.
 
 Windows and items get weighted SimHash fingerprints. Two fingerprints within ``radius`` bits agree in at least one of ``radius + 1``
 blocks, so joining on the size and each block finds all of them. What is within the radius is verified by the exact
@@ -11,7 +12,7 @@ weighted Jaccard similarity of the shingle sets; a shingle weighs one over the n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyspark.session import stage
@@ -22,6 +23,8 @@ SIMILARITY = 0.8
 RADIUS = 20
 #: Up to this many shingles of the benchmark are sent to all tasks, about 50 MB; beyond it documents are shuffled by shingle.
 BROADCAST_ROWS = 1_000_000
+#: By so much a running sum may miss its bound: similarities are rounded to 6 digits, and sums of doubles have an error.
+SLACK = 1e-5
 
 
 def word_list(text: Column) -> Column:
@@ -62,12 +65,50 @@ def _blocks(fingerprint: Column, radius: int) -> Column:
     )
 
 
+def _windows(docs: DataFrame, anchors: DataFrame, similarity: float) -> DataFrame:
+    """``doc_id, n_words, window``: the words of every window that can reach ``similarity``, possibly several times.
+
+    ``anchors (n_words, shingle, weight, least)`` has the shingles of the items by size, and the least weight of an item of that size.
+    """
+    slots = F.greatest(F.col("n_words") - SHINGLE, F.lit(0)) + 1  # shingles of a window
+    listed = docs.select(F.col("doc_id"), word_list(F.col("text")).alias("words"))
+    spread = listed.select("doc_id", "words", F.posexplode("words").alias("position", "_word"))
+    spread = spread.filter(F.col("position") <= F.greatest(F.size("words") - SHINGLE, F.lit(0)))
+    hits = spread.withColumn("shingle", _shingle(F.col("words"), F.col("position"))).join(anchors, "shingle")
+    hits = hits.select("*", slots.alias("slots"), F.size("words").alias("n_text"), F.xxhash64("words").alias("text_id"))
+    # A text is cut into blocks of as many places as a window has, so that the words around a passage are kept once, not for each hit.
+    hits = hits.withColumn("block", F.floor(F.col("position") / F.col("slots")).cast("int"))
+    around = F.slice("words", F.greatest((F.col("block") - 1) * F.col("slots"), F.lit(0)) + 1, 2 * F.col("slots") + F.col("n_words"))
+    text = ["doc_id", "text_id", "n_words", "slots"]
+    blocks = hits.groupBy(*text, "n_text", "least", "block").agg(F.first(around).alias("around"), F.collect_set(F.struct("position", "weight")).alias("hits"))
+    blocks = stage(blocks, "bench-blocks")
+
+    top = F.col("n_text") - F.col("n_words")
+    at = F.col("hit.position")
+    first, last = F.greatest(F.least(at - F.col("slots") + 1, top), F.lit(0)), F.greatest(F.least(at, top), F.lit(0))
+    steps = blocks.select(*text, "n_text", "least", F.explode("hits").alias("hit")).select(
+        *text,
+        "least",
+        F.inline(F.array(F.struct(first.alias("start"), F.col("hit.weight").alias("step")), F.struct((last + 1).alias("start"), (-F.col("hit.weight")).alias("step")))),
+    )
+    steps = steps.groupBy(*text, "least", "start").agg(F.sum("step").alias("step"))
+    order = Window.partitionBy(*text).orderBy("start")
+    sums = steps.select(*text, "least", "start", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("shared"), F.lead("start").over(order).alias("next"))
+    able = sums.filter(F.col("next").isNotNull() & (F.col("shared") >= (similarity - SLACK) * F.col("least")))
+    starts = able.select(*text, F.explode(F.sequence("start", F.col("next") - 1)).alias("start"))
+    block = F.floor(F.col("start") / F.col("slots")).cast("int")
+    starts = starts.select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text"), F.col("n_words").alias("_n"), "start", F.explode(F.array(block, block + 1)).alias("_block"))
+    same = blocks["doc_id"].eqNullSafe(starts["_id"]) & (blocks["text_id"] == starts["_text"]) & (blocks["n_words"] == starts["_n"]) & (blocks["block"] == starts["_block"])
+    offset = F.col("start") - F.greatest((F.col("block") - 1) * F.col("slots"), F.lit(0))
+    return blocks.join(starts, same).select("doc_id", "n_words", F.slice("around", offset + 1, F.col("n_words")).alias("window"))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """``doc_id, item_id, similarity``: documents with a window like a benchmark item, with the best window's similarity.
 
     ``docs (doc_id, text)`` and ``benchmark (item_id, text)`` may have other columns. An item of fewer than five words is one shingle and is
     found only where a document has no other words. Null and empty texts and items match nothing; rows of one ``doc_id`` count as
-    one, and so do items of one ``item_id`` and size, null ids as one each. Near a document's ends windows are moved inside it. One row per pair, similarity to 6 digits.
+    one, and so do items of one ``item_id`` and size, null ids as one each. A document shorter than an item is one window. One row per pair, similarity to 6 digits.
     """
     items = stage(
         benchmark.select(F.col("item_id"), word_list(F.col("text")).alias("words"))
@@ -77,25 +118,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
     )
     weights = items.select("item_id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg((1.0 / F.count_distinct(F.coalesce(F.col("item_id").cast("string"), F.lit("")))).alias("weight"))
     weights = stage(weights, "benchmark-weights")
-    last = F.greatest(F.col("n_words") - SHINGLE, F.lit(0))
-    placed = items.select("n_words", F.explode(F.sequence(F.lit(0), last)).alias("at"), "words")
-    anchors = stage(placed.select("n_words", "at", _shingle(F.col("words"), F.col("at")).alias("shingle")).distinct(), "benchmark-anchors")
+    item_rows = items.select("item_id", "n_words", F.explode("shingles").alias("shingle")).distinct().join(weights, "shingle")
+    item_rows = stage(item_rows, "benchmark-shingles")
+    item_sums = item_rows.groupBy(F.col("item_id").alias("_item"), F.col("n_words").alias("_n")).agg(F.sum("weight").alias("item_weight"))
+    least = item_sums.groupBy(F.col("_n").alias("n_words")).agg(F.min("item_weight").alias("least"))
+    anchors = stage(item_rows.select("n_words", "shingle", "weight").distinct().join(least, "n_words"), "benchmark-anchors")
     small = anchors.count() <= BROADCAST_ROWS
-    anchors = F.broadcast(anchors) if small else anchors
-
-    listed = docs.select(F.col("doc_id"), word_list(F.col("text")).alias("words"))
-    spread = listed.select("doc_id", "words", F.posexplode("words").alias("position", "_word"))
-    spread = spread.filter(F.col("position") <= F.greatest(F.size("words") - SHINGLE, F.lit(0)))
-    hits = spread.withColumn("shingle", _shingle(F.col("words"), F.col("position"))).join(anchors, "shingle")
-    start = F.greatest(F.least(F.col("position") - F.col("at"), F.size("words") - F.col("n_words")), F.lit(0))
-    windows = hits.select("doc_id", "n_words", F.slice("words", start + 1, F.col("n_words")).alias("window"))
+    windows = _windows(docs, F.broadcast(anchors) if small else anchors, similarity)
     places = stage(windows.select("doc_id", "n_words", "window", F.xxhash64(F.array_join("window", " ")).alias("window_id")).dropDuplicates(["doc_id", "n_words", "window_id"]), "bench-windows")
     contents = places.groupBy("n_words", "window_id").agg(F.first("window").alias("window")).select("n_words", "window_id", _shingles(F.col("window")).alias("shingles"))
     contents = stage(contents, "bench-contents")
 
     window_rows = contents.select("n_words", "window_id", F.explode("shingles").alias("shingle")).join(weights, "shingle", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
     window_rows = stage(window_rows, "bench-shingles")
-    item_rows = items.select("item_id", "n_words", F.explode("shingles").alias("shingle")).distinct().join(weights, "shingle")
     window_prints = _fingerprints(window_rows, ["n_words", "window_id"])
     item_prints = _fingerprints(item_rows, ["item_id", "n_words"])
     left = window_prints.select("n_words", "window_id", "fingerprint", F.inline(_blocks(F.col("fingerprint"), radius)))
@@ -104,7 +139,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
     candidates = stage(near.select("n_words", "window_id", "item_id").distinct(), "bench-candidates")
 
     window_sums = window_rows.groupBy("n_words", "window_id").agg(F.sum("weight").alias("window_weight"))
-    item_sums = item_rows.groupBy(F.col("item_id").alias("_item"), F.col("n_words").alias("_n")).agg(F.sum("weight").alias("item_weight"))
     pairs = candidates.join(window_rows, ["n_words", "window_id"])
     inside = item_rows.select(F.col("item_id").alias("_item"), F.col("n_words").alias("_n"), F.col("shingle").alias("_shingle"))
     same = pairs["item_id"].eqNullSafe(inside["_item"]) & (pairs["n_words"] == inside["_n"]) & (pairs["shingle"] == inside["_shingle"])

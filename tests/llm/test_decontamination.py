@@ -116,3 +116,44 @@ def test_plan_has_no_python_and_no_cross_join(spark, docs_of):
     docs, items = case(5, 5)
     plan = dc.find_contamination(docs_of(docs), spark.createDataFrame(items, "item_id bigint, text string"))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Cartesian", "NestedLoop"))
+
+
+def moved(seed, n_docs=40):
+    """Documents with passages of which blocks or sentences have changed places."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    items = [(k, " ".join(word() for _ in range(rng.randint(40, 70)))) for k in range(8)]
+    items.append((50, " ".join([*items[0][1].split()[:-1], word()])))  # nearly the same item
+    docs = []
+    for d in range(n_docs):
+        passage = rng.choice(items)[1].split()
+        cuts = sorted(rng.sample(range(1, len(passage)), rng.randint(1, 2)))
+        blocks = [passage[a:b] for a, b in zip([0, *cuts], [*cuts, len(passage)], strict=True)]
+        rng.shuffle(blocks)
+        text = [word() for _ in range(rng.randint(0, 120))]
+        at = rng.randint(0, len(text))
+        text[at:at] = [w for b in blocks for w in b]
+        docs.append((d, " ".join(text)))
+    return docs, items
+
+
+def test_halves_that_changed_places_are_found(spark, docs_of):
+    item = [f"w{k}" for k in range(50)]
+    before, after = [f"b{k}" for k in range(80)], [f"a{k}" for k in range(80)]
+    text = " ".join([*before, *item[25:], *item[:25], *after])
+    got = found(docs_of, spark, [(1, text), (2, " ".join(before + after))], [(7, " ".join(item))])
+    assert got == {(1, 7): 0.84}
+
+
+def test_equals_all_windows_with_moved_blocks(spark, docs_of):
+    for seed in (6, 7):
+        docs, items = moved(seed)
+        got, want = found(docs_of, spark, docs, items), brute(docs, items)
+        assert set(got) == set(want) and len(want) > 10
+        assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_best_window_of_every_planted_passage(spark, docs_of):
+    docs, items = case(1)
+    got, want = found(docs_of, spark, docs, items), brute(docs, items)
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in want)
