@@ -1,11 +1,12 @@
 """Secret findings with a random forest that removes false positives (operator 10). Native expressions only.
 
-A candidate is a word, freed of an assignment before it and of marks around it, of at least 16 characters with a digit,
-a capital behind a small letter or twelve capitals in a row. Its features are its length, transitions between character classes, coverage by dictionary words, shape as a
+A word can have several candidates: every value assigned to a secret's name and every published key format, of any length, and
+the word and its parts between separators, freed of an assignment and of marks, of at least 16 characters with a digit,
+a capital behind a small letter or twelve capitals in a row. A candidate's features are its length, transitions between character classes, coverage by dictionary words, shape as a
 path, and its neighbouring words. A random forest learns from labelled findings which candidates are secrets.
 
 Where no reviewed findings exist, :func:`seed_labels` labels the certain ones by rule: published key formats and
-assigned hexadecimal values are secrets; paths, addresses, plain numbers and words made of dictionary parts are none.
+values assigned to a secret's name with a digit and a letter are secrets; other paths, addresses, plain numbers and words made of dictionary parts are none.
 """
 
 from __future__ import annotations
@@ -26,6 +27,12 @@ NAMES = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "a
 FORMATS = (r"AKIA[0-9A-Z]{16}", r"gh[pousr]_[0-9A-Za-z]{36}", r"sk_live_[0-9A-Za-z]{16,}", r"xox[abp]-[0-9A-Za-z-]{10,}", r"AIza[0-9A-Za-z_-]{35}")
 _NAMED = "(?i)(" + "|".join(NAMES) + r")[\"']?$"
 _ASSIGN = r"^[\w.\-\"']*[=:]+"
+_FORMAT = "(?:" + "|".join(FORMATS) + ")"
+#: Where another assignment begins within a word.
+_NEXT = r"[&;,|?{}]+(?=[\"'\[\\]*[\w.\-]++\\?[\"']?[=:])"
+#: A secret's name and the value up to the end of the part, or to the closing quote.
+_NAMED_VALUE = "(?i)(?:" + "|".join(NAMES) + r")\\?[\"']?[=:]+>?(\S++)"
+_MARKS = r"^[^0-9A-Za-z+/_-]+|[^0-9A-Za-z=+/_-]+$"
 #: Row features, in the order of the forest's inputs.
 FEATURES = (
     "length",
@@ -61,21 +68,34 @@ def candidates(docs: DataFrame, known_words: list[str]) -> DataFrame:
     ``position`` counts words from 0. Null and empty texts have no candidates; repeated rows have theirs each.
     """
     listed = docs.select("doc_id", words(F.col("text")).alias("words"))
-    spread = listed.select("doc_id", "words", F.posexplode("words").alias("position", "word")).filter(
-        (F.length("word") >= LEAST) & F.col("word").rlike(r"[0-9]|[a-z][A-Z]|[A-Z]{12}")
-    )
-    core = F.regexp_replace(F.regexp_replace("word", _ASSIGN, ""), r"^[^0-9A-Za-z+/_-]+|[^0-9A-Za-z=+/_-]+$", "")
-    before = F.coalesce(F.get("words", F.col("position") - 1), F.lit(""))
-    two_before = F.coalesce(F.get("words", F.col("position") - 2), F.lit(""))
-    found = spread.select(
+    spread = listed.select("doc_id", "words", F.posexplode("words").alias("position", "word"))
+    spread = spread.select(
         "doc_id",
         "position",
         "word",
-        core.alias("candidate"),
-        before.alias("before"),
-        two_before.alias("two_before"),
+        F.coalesce(F.get("words", F.col("position") - 1), F.lit("")).alias("before"),
+        F.coalesce(F.get("words", F.col("position") - 2), F.lit("")).alias("two_before"),
         F.coalesce(F.get("words", F.col("position") + 1), F.lit("")).alias("after"),
-    ).filter(F.length("candidate") >= LEAST)
+    )
+    lone = F.col("before").isin("=", ":", ":=", "=>")
+    named_word = (F.col("before").rlike("[=:]$") & F.regexp_replace("before", r"[=:]+$", "").rlike(_NAMED)) | (lone & F.col("two_before").rlike(_NAMED)) | (F.col("before").startswith("-") & F.col("before").rlike(_NAMED))
+    named_word = named_word & ~F.col("word").isin("=", ":", ":=", "=>")
+    least = lambda c: (F.length(c) >= LEAST) & c.rlike(r"[0-9]|[a-z][A-Z]|[A-Z]{12}")
+    spread = spread.withColumn("named_word", named_word).filter(F.col("named_word") | least(F.col("word")) | F.col("word").rlike(_NAMED_VALUE) | F.col("word").rlike(_FORMAT))
+    trimmed = lambda c: F.regexp_replace(F.regexp_replace(c, _ASSIGN, ""), _MARKS, "")
+    # A quoted value is what stands between the quotes, another loses the marks that end a sentence or a list.
+    value = lambda c: F.when(c.rlike("^\\\\?[\"']"), F.regexp_extract(c, "^\\\\?[\"']([^\"'\\\\]*)", 1)).otherwise(F.regexp_replace(c, r"^[(\[{<`]+|[\"'\\`,;.:)}\]>]+$", ""))
+    parts = F.split("word", _NEXT)
+    named = F.flatten(F.transform(parts, lambda p: F.transform(F.regexp_extract_all(p, F.lit(_NAMED_VALUE), 1), value)))
+    named = F.filter(F.concat(named, F.when(F.col("named_word"), F.array(value(F.col("word")))).otherwise(F.array().cast("array<string>"))), lambda c: c != "")
+    formats = F.regexp_extract_all("word", F.lit(_FORMAT), 0)
+    pieces = F.flatten(F.transform(parts, lambda p: F.concat(F.array(p), F.split(p, r"[,;|&?\"'<>(){}\[\]`]+"))))
+    others = F.filter(F.transform(F.concat(F.array("word"), pieces), trimmed), least)
+    spans = spread.withColumn("named", F.array_distinct(named)).withColumn("others", F.concat(formats, others))
+    spans = spans.withColumn("others", F.array_except("others", "named"))
+    given = lambda k, v: F.transform(k, lambda c: F.struct(c.alias("candidate"), F.lit(v).alias("given")))
+    pairs = F.concat(given("named", True), given("others", False))
+    found = spans.select("doc_id", "position", "word", "before", "two_before", "after", F.inline(pairs))
     # A staged table: filters on costly expressions would otherwise be made again for every feature.
     found = stage(found, "secret-candidates")
     c = F.col("candidate")
@@ -83,8 +103,8 @@ def candidates(docs: DataFrame, known_words: list[str]) -> DataFrame:
     share = lambda kind: F.regexp_count(c, F.lit(kind)) / length
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[^0-9A-Za-z]", "-"), "[a-z]", "a"), "[A-Z]", "B"), "[0-9]", "0")
     runs = F.regexp_count(classes, F.lit("a+|B+|0+|-+"))
-    prefix = F.regexp_extract("word", _ASSIGN, 0)
-    lone = F.col("before").isin("=", ":", ":=", "=>")
+    prefix = F.when(trimmed(F.col("word")) == c, F.regexp_extract("word", _ASSIGN, 0)).otherwise("")
+    behind = lambda *marks: F.greatest(*(F.contains("word", F.concat(F.lit(m), c)) for m in marks))
     covered = F.length(F.regexp_replace(F.lower(c), "|".join(sorted(known_words, key=lambda w: (-len(w), w))) or r"\b\B", ""))
     features = {
         "length": F.least(length, F.lit(200)),
@@ -99,23 +119,25 @@ def candidates(docs: DataFrame, known_words: list[str]) -> DataFrame:
         "dots": F.regexp_count(c, F.lit("[.]")),
         "looks_like_path": c.rlike(r"^(?:https?:|www\.|[./~\\])|[/\\].*[/\\]|@").cast("int"),
         "named_before": (
-            F.regexp_replace(prefix, r"[=:]+$", "").rlike(_NAMED) | F.col("before").rlike(_NAMED) | F.regexp_replace("before", r"[=:]+$", "").rlike(_NAMED) | (lone & F.col("two_before").rlike(_NAMED))
+            F.col("given") | F.regexp_replace(prefix, r"[=:]+$", "").rlike(_NAMED) | F.col("before").rlike(_NAMED) | F.regexp_replace("before", r"[=:]+$", "").rlike(_NAMED) | (lone & F.col("two_before").rlike(_NAMED))
         ).cast("int"),
-        "assigned": ((prefix != "") | lone | F.col("before").rlike("[=:]$")).cast("int"),
-        "quoted": F.regexp_replace("word", _ASSIGN, "").rlike("^[\"']").cast("int"),
+        "assigned": (F.col("given") | (prefix != "") | lone | F.col("before").rlike("[=:]$") | behind("=", ":", '="', ':"', "='", ":'")).cast("int"),
+        "quoted": (F.regexp_replace("word", _ASSIGN, "").rlike("^[\"']") | behind('"', "'")).cast("int"),
         "known_prefix": c.rlike("^(?:" + "|".join(FORMATS) + ")").cast("int"),
         "word_before_length": F.least(F.length("before"), F.lit(40)),
         "word_after_length": F.least(F.length("after"), F.lit(40)),
     }
-    measured = found.select("doc_id", "position", "candidate", *(F.coalesce(features[f].cast("double"), F.lit(0.0)).alias(f) for f in FEATURES))
+    measured = found.select("doc_id", "position", "candidate", "given", *(F.coalesce(features[f].cast("double"), F.lit(0.0)).alias(f) for f in FEATURES))
     return stage(measured, "secret-features")
 
 
 def seed_labels(found: DataFrame) -> DataFrame:
     """The candidates that a rule can label for certain, with ``label``: 1 secret, 0 none."""
     c = F.col("candidate")
-    secret = c.rlike("^(?:" + "|".join(FORMATS) + ")$") | ((F.col("named_before") == 1) & c.rlike("^[0-9a-fA-F]{16,}$"))
-    none = (F.col("looks_like_path") == 1) | c.rlike("^[0-9.,:/-]+$") | ((F.col("dictionary_share") >= 0.5) & (F.col("named_before") == 0)) | (F.col("digit_share") == 0)
+    address = c.rlike(r"^(?:https?:|www\.)")
+    secret = c.rlike("^" + _FORMAT + "$") | ((F.col("named_before") == 1) & c.rlike("^[0-9a-fA-F]{16,}$")) | (F.col("given") & ~address & c.rlike("[0-9]") & c.rlike("[A-Za-z]"))
+    none = (F.col("looks_like_path") == 1) | c.rlike("^[0-9.,:/-]+$") | (F.col("dictionary_share") >= 0.5) | (F.col("digit_share") == 0)
+    none = none & (~F.col("given") | address) & ((F.col("named_before") == 0) | (F.col("looks_like_path") == 1) | (F.col("digit_share") == 0) | c.rlike("^[0-9.,:/-]+$"))
     return found.withColumn("label", F.when(secret, 1).when(none, 0)).filter("label is not null")
 
 
@@ -150,13 +172,14 @@ def judge(found: DataFrame, model: PipelineModel | None) -> DataFrame:
 def find_secrets(docs: DataFrame, dictionary_texts: DataFrame, labelled: DataFrame | None = None, max_rows: int = 20_000) -> DataFrame:
     """Candidates of ``docs (doc_id, text)`` judged by a forest.
 
-    ``labelled`` has reviewed findings, ``(doc_id, position, label)``; without it the seed labels are used. An empty table
+    ``labelled`` has reviewed findings, ``(doc_id, position, label)``, with ``candidate_sha256`` where a word has several; without it the seed labels are used. An empty table
     gives no rows.
     """
     found = candidates(docs, dictionary(dictionary_texts))
     if labelled is None:
         known = seed_labels(found)
     else:
-        reviewed = labelled.select("doc_id", "position", "label").filter("label is not null").groupBy("doc_id", "position").agg(F.max("label").alias("label"))
-        known = found.join(reviewed, ["doc_id", "position"])
+        keys = ["doc_id", "position", *(k for k in ("candidate_sha256",) if k in labelled.columns)]
+        reviewed = labelled.select(*keys, "label").filter("label is not null").groupBy(*keys).agg(F.max("label").alias("label"))
+        known = found.withColumn("candidate_sha256", F.sha2("candidate", 256)).join(reviewed, keys)
     return judge(found, train(known, max_rows))
