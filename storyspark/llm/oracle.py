@@ -131,3 +131,107 @@ WITH words AS (
 )
 SELECT doc_id, item_id, max(similarity) AS similarity FROM scored WHERE similarity >= 0.8 GROUP BY ALL
 """
+
+LLM_ORACLE["op11_ranked_search"] = r"""
+WITH doc_terms AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), sized AS (
+  SELECT doc_id, len(w)::BIGINT AS n FROM doc_terms WHERE len(w) > 0
+), corpus AS (
+  SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM sized
+), postings AS (
+  SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(w) AS term FROM doc_terms) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM postings CROSS JOIN corpus GROUP BY term, docs
+), items AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), impacts AS (
+  SELECT p.doc_id, p.term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // terms))) AS impact
+  FROM postings p JOIN sized USING (doc_id) JOIN weights USING (term) CROSS JOIN corpus
+), scored AS (
+  SELECT item_id, doc_id, sum(impact)::BIGINT AS score FROM items JOIN impacts USING (term) GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+LLM_ORACLE["op12_conversation_repair"] = r"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT)),
+    lambda acc, b: list_reduce(list_concat([xor(acc, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)
+  ), 4294967295) % 20 AS damage
+  FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN damage = 4 THEN 'user' ELSE role END AS role,
+    CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN damage = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM raw WHERE damage <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role)::VARCHAR || ':' || role || text), copy) AS spot FROM damaged
+), judged AS (
+  SELECT conv_id, turn, role, text, spot, left(role, 1) AS initial,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY spot) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY spot) AS before
+  FROM placed
+), kinds AS (
+  SELECT *, CASE WHEN initial IN ('s', 'u', 'a') THEN initial ELSE '-' END AS class, coalesce(fault IN ('blank', 'duplicate'), false) AS goes FROM judged
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(spot) AS rows
+  FROM kinds GROUP BY conv_id
+), steps(class, origin, target, cost, edits) AS (
+  VALUES ('*', 0, 0, 3, 'D'), ('*', 1, 1, 3, 'D'), ('*', 2, 2, 3, 'D'), ('*', 3, 3, 3, 'D'),
+    ('*', 0, 2, 2, 'R'), ('*', 1, 2, 2, 'R'), ('*', 2, 3, 2, 'R'), ('*', 3, 2, 2, 'R'),
+    ('*', 0, 3, 4, 'IR'), ('*', 1, 3, 4, 'IR'), ('*', 2, 2, 4, 'IR'), ('*', 3, 3, 4, 'IR'),
+    ('s', 0, 1, 0, 'K'),
+    ('u', 0, 2, 0, 'K'), ('u', 1, 2, 0, 'K'), ('u', 3, 2, 0, 'K'), ('u', 2, 2, 2, 'IK'),
+    ('a', 2, 3, 0, 'K'), ('a', 0, 3, 2, 'IK'), ('a', 1, 3, 2, 'IK'), ('a', 3, 3, 2, 'IK')
+), paths AS (
+  SELECT conv_id, 0::BIGINT AS spot, 0 AS state, '000000' AS path FROM counted
+  UNION ALL
+  SELECT k.conv_id, k.spot, s.target, min(lpad((left(p.path, 6)::INTEGER + s.cost + CASE WHEN k.fault = 'truncated' AND s.edits <> 'D' THEN 1 ELSE 0 END)::VARCHAR, 6, '0') || substr(p.path, 7) || s.edits)
+  FROM paths p JOIN kinds k ON k.conv_id IS NOT DISTINCT FROM p.conv_id AND k.spot = p.spot + 1
+    JOIN steps s ON s.origin = p.state AND (s.class = '*' OR s.class = k.class) AND (NOT k.goes OR s.edits = 'D')
+  GROUP BY k.conv_id, k.spot, s.target
+), ended AS (
+  SELECT c.conv_id, min(lpad((left(path, 6)::INTEGER + CASE state WHEN 2 THEN 2 WHEN 1 THEN 4 ELSE 0 END)::VARCHAR, 6, '0') || substr(path, 7) || CASE state WHEN 2 THEN 'I' WHEN 1 THEN 'II' ELSE '' END) AS path
+  FROM counted c JOIN paths p ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND p.spot = c.rows GROUP BY c.conv_id
+), answers AS (
+  SELECT conv_id, left(path, 6)::BIGINT AS cost, substr(path, 7) AS audit FROM ended
+), letters AS (
+  SELECT conv_id, unnest(string_split(audit, '')) AS edit, unnest(range(length(audit))) AS k FROM answers WHERE audit <> ''
+), numbered AS (
+  SELECT *, count(*) FILTER (edit <> 'I') OVER w AS spot, count(*) FILTER (edit <> 'D') OVER w AS place FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY k)
+), made AS (
+  SELECT n.conv_id, n.k, n.edit, n.place, r.role, r.text, max(CASE WHEN n.edit = 'K' AND left(r.role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY n.conv_id) AS system
+  FROM numbered n LEFT JOIN kinds r ON r.conv_id IS NOT DISTINCT FROM n.conv_id AND r.spot = n.spot AND n.edit <> 'I' WHERE n.edit <> 'D'
+), repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY k) AS whole FROM made GROUP BY conv_id
+), every AS (
+  SELECT DISTINCT conv_id FROM conversations
+)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM every e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN answers a ON a.conv_id IS NOT DISTINCT FROM e.conv_id
+  LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+LLM_ORACLE["op13_line_dedup"] = r"""
+WITH cut AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), listed AS (
+  SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS spot FROM cut
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM listed
+), repeated AS (
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), judged AS (
+  SELECT k.*, keeper IS NOT NULL AND keeper <> doc_id AS goes FROM keyed k LEFT JOIN repeated USING (key)
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (goes)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY spot) FILTER (NOT goes), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""

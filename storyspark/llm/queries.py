@@ -8,9 +8,23 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyspark.llm import decontamination, fingerprints, mixing, ngram_join, quality, revisits, secrets, token_counts, token_files, toxicity
+from storyspark.llm import (
+    conversation_repair,
+    decontamination,
+    fingerprints,
+    line_dedup,
+    mixing,
+    ngram_join,
+    quality,
+    ranked_search,
+    revisits,
+    secrets,
+    token_counts,
+    token_files,
+    toxicity,
+)
 from storyspark.llm.common import bounded_labels, id_crc, read
-from storyspark.session import new_stage_path
+from storyspark.session import new_stage_path, stage
 
 #: Labelled documents from which a classifier learns, at most.
 LABELLED_ROWS = 10_000
@@ -71,6 +85,34 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return ranked_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with every damaged conversation, and the digest of the repaired one."""
+    conversations = read(spark, sf_dir, "conversations")
+    rows = stage(conversation_repair.damage(conversations), "damaged-conversations")
+    repairs = stage(conversation_repair.repair(rows), "conversation-repairs")
+    hashed = conversation_repair.digests(conversation_repair.apply_audits(rows, repairs))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    known = repairs.select(F.struct("conv_id").alias("key"), *counts, "audit").join(hashed.select(F.struct("conv_id").alias("key"), "repaired_sha256"), "key", "left")
+    every = conversations.select(F.struct("conv_id").alias("key")).distinct().join(known, "key", "left")
+    return every.select(
+        F.col("key.conv_id").alias("conv_id"),
+        *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines before and lines dropped of every document, and the digest of the text that is left."""
+    kept = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=20, min_docs=3)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def _labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> DataFrame:
     """Texts of a bounded sample of labelled documents; the sample's ids are few enough to send to all tasks."""
     sample = bounded_labels(labels, label, learn, LABELLED_ROWS)
@@ -83,5 +125,19 @@ def _predicted(scores: DataFrame, held_out: Column, cut: float) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_revisits, op2_toxicity, op3_fingerprints, op4_ngram_join, op5_mixing, op6_decontamination, op7_quality, op8_token_files, op9_token_counts, op10_secrets)
+    for f in (
+        op1_revisits,
+        op2_toxicity,
+        op3_fingerprints,
+        op4_ngram_join,
+        op5_mixing,
+        op6_decontamination,
+        op7_quality,
+        op8_token_files,
+        op9_token_counts,
+        op10_secrets,
+        op11_ranked_search,
+        op12_conversation_repair,
+        op13_line_dedup,
+    )
 }

@@ -17,12 +17,13 @@ COLUMNS = {
     "op7_quality": "doc_id held_out score predicted",
     "op8_token_files": "doc_id start n_tokens ids_crc32",
     "op9_token_counts": "doc_id n_bytes n_tokens over_limit",
+    "op13_line_dedup": "doc_id n_lines n_dropped kept_sha256",
 }
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_and_the_pipeline_are_registered():
     names = contract.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
     assert "pipeline" in names and set(LLM_ORACLE) <= set(contract.oracle_sql())
 
 
