@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,25 +44,43 @@ def partitions(spark: SparkSession) -> int:
 
 
 def id_bounds(docs: DataFrame, n: int) -> list[int]:
-    """Ascending document ids that cut ``docs`` into about ``n`` ranges of equal size; ids that occur, read from the id column alone.
+    """Ascending numbers that cut the ids of ``docs`` into about ``n`` ranges of equal size, read from the id column alone.
 
-    None for ids beyond the whole numbers that a double holds, where all rows are one range.
+    Quantiles are doubles, which hold whole numbers up to 2**53 only. Of larger ids the 11 lowest bits are left out, so that any 64-bit ids are
+    cut; a bound is then a multiple of 2048.
     """
-    ids = docs.select(F.col("doc_id").cast("double").alias("doc_id")).filter("doc_id is not null")
-    found = ids.stat.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n) if n > 1 else []
-    return sorted({int(b) for b in found if abs(b) < 2**53})
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).filter("doc_id is not null")
+    first, last = ids.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if first is None or n < 2:
+        return []
+    shift = 0 if max(abs(first), abs(last)) < 2**53 else 11
+    found = ids.select(F.shiftright("doc_id", shift).cast("double").alias("at")).stat.approxQuantile("at", [k / n for k in range(1, n)], 0.1 / n)
+    return sorted({int(b) << shift for b in found})
 
 
 def kept_in_worker(name: str, key: object, make: Callable[[], object]) -> object:
-    """An object that a Python worker keeps from task to task: one per name, made anew when the key changes."""
+    """An object that a Python worker keeps from task to task. There is one: that of another name or key gives way first."""
     holder = sys.modules.setdefault("storyspark_worker", types.ModuleType("storyspark_worker"))
-    found = getattr(holder, name, None)
-    if found is None or found[0] != key:
-        found = (key, make())
-        setattr(holder, name, found)
+    found = getattr(holder, "kept", None)
+    if found is None or found[0] != (name, key):
+        holder.kept = found = None
+        holder.kept = found = ((name, key), make())
     return found[1]
 
 
+def slices(batch: pa.RecordBatch, text: str, rows: int = 500, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``rows`` rows and, but for a longer text alone, ``size`` bytes of the column ``text``."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+    start = total = 0
+    for k, length in enumerate(lengths):
+        if k > start and (k - start == rows or total + length > size):
+            yield batch.slice(start, k - start)
+            start, total = k, 0
+        total += length
+    if start < len(lengths):
+        yield batch.slice(start)
+
+
 def bounded_labels(labels: DataFrame, label: str, learn: Column, max_rows: int) -> DataFrame:
     """``(doc_id, label)`` of at most ``max_rows`` labelled documents for which ``learn`` holds.
 

@@ -1,7 +1,7 @@
 """Document fingerprints by a homomorphic multiset hash (operator 3).
 
 A paragraph, that is a line that isn't blank, is hashed to a wide vector, and the fingerprint of a document is the sum of the
-vectors of its paragraphs, each lane modulo 2**16. The order of paragraphs doesn't matter, and a paragraph is inserted or deleted by
+vectors of its paragraphs, each lane modulo 2**32. The order of paragraphs doesn't matter, and a paragraph is inserted or deleted by
 adding or subtracting its vector (:func:`inserted`, :func:`deleted`).
 
 The first lanes are a cryptographic hash of the whole paragraph; they decide equality. The others hold signed counts of
@@ -11,6 +11,7 @@ alike when most of a paragraph stays: the cosine of two documents' counts is the
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from storyspark.llm.common import id_bounds, partitions
 
-EQUAL_LANES, LIKE_LANES = 32, 160
+EQUAL_LANES, LIKE_LANES = 16, 160
 LANES = EQUAL_LANES + LIKE_LANES
 #: Characters in a run; a shorter paragraph is one run.
 RUN = 12
@@ -39,16 +40,16 @@ def _lanes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def vectors(texts: list[str]) -> np.ndarray:
-    """The fingerprints of texts as rows of unsigned 16-bit lanes; memory beside the texts doesn't grow with a text."""
+    """The fingerprints of texts as rows of unsigned 32-bit lanes; memory beside the texts doesn't grow with a text."""
     n = len(texts)
     like = np.zeros(n * LIKE_LANES)
-    equal = np.zeros((n, EQUAL_LANES), np.uint16)
+    equal = np.zeros((n, EQUAL_LANES), np.uint32)
     short: list[tuple[int, int]] = []
     for k, text in enumerate(texts):
         for line in text.split("\n"):
             if line and not line.isspace():
-                digest = hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=2 * EQUAL_LANES).digest()
-                equal[k] += np.frombuffer(digest, "<u2")
+                digest = hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=4 * EQUAL_LANES).digest()
+                equal[k] += np.frombuffer(digest, "<u4")
                 if len(line) < RUN:
                     short.append((k, int.from_bytes(digest[:8], "little")))
     if short:
@@ -73,7 +74,7 @@ def vectors(texts: list[str]) -> np.ndarray:
             first = int(own[0])
             sums = np.bincount((own - first) * LIKE_LANES + lane, sign)
             like[first * LIKE_LANES : first * LIKE_LANES + len(sums)] += sums
-    return np.concatenate([equal, like.reshape(n, LIKE_LANES).astype(np.int64).astype(np.uint16)], axis=1)
+    return np.concatenate([equal, like.reshape(n, LIKE_LANES).astype(np.int64).astype(np.uint32)], axis=1)
 
 
 def inserted(vector: np.ndarray, paragraph: str) -> np.ndarray:
@@ -89,12 +90,17 @@ def deleted(vector: np.ndarray, paragraph: str) -> np.ndarray:
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """0 to 1 for each pair of rows: 1 if the equality lanes agree, else the cosine of the counts, at least 0."""
     same = (a[:, :EQUAL_LANES] == b[:, :EQUAL_LANES]).all(axis=1)
-    x, y = (v[:, EQUAL_LANES:].astype(np.int16).astype(np.float64) for v in (a, b))
+    x, y = (v[:, EQUAL_LANES:].astype(np.int32).astype(np.float64) for v in (a, b))
     length = np.sqrt(np.square(x).sum(1) * np.square(y).sum(1))
     cosine = np.clip((x * y).sum(1) / np.maximum(length, 1e-9), 0, 1)
     return np.where(same, 1.0, cosine)
 
 
+def as_text(vector: np.ndarray) -> str:
+    """The lanes as little-endian bytes in base 64."""
+    return base64.b64encode(vector.astype("<u4").tobytes()).decode()
+
+
 def _bucket(doc_id: Column, bounds: list[int]) -> Column:
     """How many of the descending bounds are at least ``doc_id``; looked up in blocks, so a row costs the square root."""
     block = max(1, int(len(bounds) ** 0.5))
@@ -109,12 +115,14 @@ def with_next(docs: DataFrame, n_buckets: int) -> DataFrame:
     """Rows in descending order of ``doc_id`` dealt to buckets, each bucket followed by the first row of the next.
 
     ``bucket, guest, doc_id, text``, sorted within partitions; ``guest`` marks the rows that only end a bucket. Bounds
-    are ids that occur, found on the id column alone, so each bucket's first document is known from its id. Null ids
+    are the largest ids of ranges, found on the id column alone, so each bucket's first document is known from its id. Null ids
     come last; rows of one id, by a hash of their text and their text, stay in one bucket. Texts move once.
     """
-    last = docs.agg(F.max("doc_id")).first()[0]
-    inner = [b for b in id_bounds(docs, n_buckets) if b < last] if last is not None else []
-    bounds = sorted([*inner, *([] if last is None else [last])], reverse=True) or [0]
+    cuts = sorted(id_bounds(docs, n_buckets), reverse=True) or [0]
+    known = docs.filter("doc_id is not null").groupBy(_bucket(F.col("doc_id"), cuts).alias("bucket")).agg(F.max("doc_id").alias("first"))
+    firsts = sorted((r[0] for r in known.select("first").collect()), reverse=True)  # one number per range
+    last = firsts[0] if firsts else None
+    bounds = firsts or [0]
     own = F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(_bucket(F.col("doc_id"), bounds))
     placed = docs.select(own.alias("bucket"), "doc_id", "text")
     #: The first document of a bucket also ends the one before; the very first one ends the last bucket.
@@ -186,8 +194,8 @@ def _compared(pairs: list[tuple[tuple, tuple]]) -> pa.RecordBatch:
             pa.array([a[2] for a, _ in pairs], pa.int64()),
             pa.array([len(a[3]) for a, _ in pairs], pa.int64()),
             pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]),
-            pa.array([v.astype("<u2").tobytes().hex() for v in mine]),
-            pa.array([v.astype("<u2").tobytes().hex() for v in changed]),
+            pa.array([as_text(v) for v in mine]),
+            pa.array([as_text(v) for v in changed]),
             pa.array(likeness(mine, changed)),
             pa.array(likeness(mine, theirs)),
         ],

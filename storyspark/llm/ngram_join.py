@@ -23,22 +23,27 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from storyspark.llm.common import id_filter, kept_in_worker, may_hold, partitions
+from storyspark.llm.common import id_filter, kept_in_worker, may_hold, partitions, slices
 from storyspark.llm.pieces import Answers
 from storyspark.operators.graph import connected_components
 from storyspark.session import stage
 
 #: Words whose hash a Python worker keeps, about 150 bytes each.
-KEPT_WORDS = 1_000_000
-#: Counters for the frequency of n-grams, in chunks that are summed one by one: 16 MB for each task that orders sets.
-COUNTERS, CHUNK = 2**24, 2**16
+KEPT_WORDS = 200_000
+#: Counters for the frequency of n-grams, in chunks that are summed one by one: 32 MB for each task that counts, 8 MB for each that orders sets.
+COUNTERS, CHUNK = 2**23, 2**16
+#: Counting tasks per core: each sends its counters on, so their number must not grow with the documents.
+COUNTING_TASKS = 2
+#: An index list that may get more entries than this is dealt by sets instead of meeting in one task. Counters never count too few.
+HOT_LIST = 100_000
+#: Sets that a task remembers to have listed already.
+LISTED_SETS = 200_000
 #: Bits of a set's signature.
 SIGNATURE_BITS = 512
 #: Lists of up to this many entries are looked through before anything is made of them.
@@ -117,16 +122,9 @@ def _frequencies(texts: DataFrame, n: int, counters: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(counters, np.uint32)
-        for batch in batches:
-            waiting, size = [], 0
-            for text in batch.column(0).to_pylist():
-                waiting.append((_ngrams(text, n) >> shift).astype(np.int64))
-                size += len(waiting[-1])
-                if size > 500_000:
-                    np.add.at(found, np.concatenate(waiting), 1)
-                    waiting, size = [], 0
-            if waiting:
-                np.add.at(found, np.concatenate(waiting), 1)
+        for part in (part for batch in batches for part in slices(batch, "text")):
+            for text in part.column(0).to_pylist():
+                np.add.at(found, (_ngrams(text, n) >> shift).astype(np.int64), 1)
         yield from rows(enumerate(found.reshape(-1, chunk)))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +141,8 @@ def _frequencies(texts: DataFrame, n: int, counters: int) -> np.ndarray:
             yield from rows([(at, scale(found))])
 
     schema = "chunk int, width int, counts binary"
-    partial = texts.select("text").mapInArrow(count, schema)
+    few = texts.select("text").coalesce(COUNTING_TASKS * texts.sparkSession.sparkContext.defaultParallelism)
+    partial = few.mapInArrow(count, schema)
     summed = partial.repartition(partitions(texts.sparkSession), "chunk").sortWithinPartitions("chunk").mapInArrow(add, schema)
     out = np.zeros(counters, np.uint8)
     for row in summed.collect():  # at most counters / chunk rows of one chunk each
@@ -151,8 +150,16 @@ def _frequencies(texts: DataFrame, n: int, counters: int) -> np.ndarray:
     return out
 
 
-def _scan(texts: DataFrame, rule: Rule, counters: int) -> DataFrame:
-    """``row_id, doc_id, n, set_id, signature, wide, prefix`` of every document.
+def _hot(entries: int) -> int:
+    """The least value of a counter that may stand for more than ``entries``."""
+    return int(8 * math.log2(1.0 + entries))
+
+
+def _scan(texts: DataFrame, rule: Rule, counters: int, hot_list: int = HOT_LIST) -> DataFrame:
+    """``row_id, doc_id, n, set_id, signature, wide, prefix, hot_from`` of every document.
+
+    The prefix is in order of frequency; from ``hot_from`` on its lists may be longer than ``hot_list``. A task gives the prefix of a set
+    once: rows that repeat it, such as exact copies, have an empty one.
 
     A signature has, for each class of elements by hash, whether their number is odd: where two signatures differ, the sets differ in
     at least one element. The short one has :data:`SIGNATURE_BITS` classes and goes with every entry; the wide one has about as many as the set has
@@ -162,9 +169,9 @@ def _scan(texts: DataFrame, rule: Rule, counters: int) -> DataFrame:
     shift = np.uint64(64 - int(math.log2(counters)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = known.value
-        for batch in batches:
-            sizes, sets, odd, wide, prefixes = [], [], [], [], []
+        counts, listed, hot = known.value, set(), _hot(hot_list)
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            sizes, sets, odd, wide, prefixes, hot_from = [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(text, rule.n)
                 bits = SIGNATURE_BITS << max(0, (len(s) - 1) // SIGNATURE_BITS).bit_length()
@@ -173,14 +180,19 @@ def _scan(texts: DataFrame, rule: Rule, counters: int) -> DataFrame:
                 odd.append(np.bitwise_xor.reduce(parity.reshape(-1, SIGNATURE_BITS // 64)))
                 sizes.append(len(s))
                 sets.append(_set_id(s))
-                order = np.argsort(counts[(s >> shift).astype(np.int64)], kind="stable")
-                prefixes.append(s[order[: rule.prefix(len(s))]].view(np.int64) if len(s) else [])
+                values = counts[(s >> shift).astype(np.int64)]
+                order = np.argsort(values, kind="stable")[: rule.prefix(len(s)) if len(s) and sets[-1] not in listed else 0]
+                prefixes.append(s[order].view(np.int64))
+                hot_from.append(int(np.searchsorted(values[order], hot)))
+                if len(listed) >= LISTED_SETS:
+                    listed.clear()
+                listed.add(sets[-1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row_id"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()), pa.array(odd, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["row_id", "doc_id", "n", "set_id", "signature", "wide", "prefix"],
+                [batch.column("row_id"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()), pa.array(odd, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64())), pa.array(hot_from, pa.int32())],
+                ["row_id", "doc_id", "n", "set_id", "signature", "wide", "prefix", "hot_from"],
             )
 
-    return texts.mapInArrow(scan, "row_id bigint, doc_id bigint, n bigint, set_id bigint, signature array<bigint>, wide array<bigint>, prefix array<bigint>")
+    return texts.mapInArrow(scan, "row_id bigint, doc_id bigint, n bigint, set_id bigint, signature array<bigint>, wide array<bigint>, prefix array<bigint>, hot_from int")
 
 
 def _set_id(s: np.ndarray) -> int:
@@ -198,8 +210,7 @@ def _whole_sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             some = batch.filter(pa.array(may_hold(passing.value, ids)))
-            for start in range(0, some.num_rows, 500):
-                part = some.slice(start, 500)
+            for part in slices(some, "text"):
                 sets = [shingles(text, n) for text in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -243,17 +254,18 @@ def _reachable(n: Column, position: Column, rule: Rule) -> Column:
     return F.flatten(F.transform(F.sequence(low, high), blocks))
 
 
-def join_components(docs: DataFrame, rule: Rule | None = None, counters: int = COUNTERS) -> DataFrame:
+def join_components(docs: DataFrame, rule: Rule | None = None, counters: int = COUNTERS, hot_list: int = HOT_LIST) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs (doc_id, text)``.
 
     ``component_id`` is the smallest ``doc_id`` reachable by links, the row's own included. Words are runs of characters other than ASCII
     white space, A-Z lower-cased. A text with fewer words than ``n`` is one n-gram; null texts and texts without words have
     no set and link with nothing. Rows of equal texts share a component. A row without id has none unless it is connected
-    to a row with one. Rows of one id with different texts keep their own sizes and components.
+    to a row with one. Rows of one id with different texts keep their own sizes and components. Other columns are not used; an
+    empty table gives no rows. A long text takes time and memory in proportion to it.
     """
     rule = rule or Rule()
     texts = _texts(docs)
-    scanned = stage(_scan(texts, rule, counters), "ngram-scan")
+    scanned = stage(_scan(texts, rule, counters, hot_list), "ngram-scan")
     roots, links = _links(texts, scanned, rule)
     # Links between families join their roots; those are few, so this takes less than the components of all links.
     of = lambda name: roots.select(F.col("set_id").alias(name), F.col("root").alias(f"{name}_root"))
@@ -271,17 +283,10 @@ def join_components(docs: DataFrame, rule: Rule | None = None, counters: int = C
 
 def _links(texts: DataFrame, scanned: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """``(set_id, root)`` of connected families, and links ``u, v`` that connect those and the other sets."""
-    spark = texts.sparkSession
-    sets = scanned.filter("n > 0").groupBy("set_id").agg(*(F.first(c).alias(c) for c in ("n", "signature", "prefix")))
-    entries = sets.select("set_id", "n", "signature", F.posexplode("prefix").alias("position", "item"))
-    met = entries.repartition(partitions(spark), "item").withColumn("sets", F.count("*").over(W.partitionBy("item"))).filter("sets > 1")
-    # In a short list an entry is of use only beside another that it may be similar to; a frame of fixed size holds all of such a list.
-    around = W.partitionBy("item").orderBy("set_id").rowsBetween(-SHORT, SHORT)
-    met = met.withColumn("me", F.struct("set_id", "n", "position", "signature")).withColumn("around", F.collect_list("me").over(around))
-    partner = F.exists("around", lambda other: (other["set_id"] != F.col("set_id")) & rule.may_link(F.col("me"), other))
-    met = met.filter((F.col("sets") > SHORT) | partner).drop("sets", "me", "around")
     listed = F.sort_array(F.collect_list(F.struct("position", "item"))).alias("entries")
-    shared = stage(met.groupBy("set_id").agg(F.first("n").alias("n"), F.first("signature").alias("signature"), listed), "ngram-shared")
+    met = _shared_entries(scanned, rule).groupBy("set_id").agg(listed)
+    known = scanned.filter("size(prefix) > 0").select("set_id", "n", "signature").dropDuplicates(["set_id"])
+    shared = stage(met.join(known, "set_id").select("set_id", "n", "signature", "entries"), "ngram-shared")
     items = F.transform("entries", lambda e: e["item"])
     lists = shared.select("set_id", "n", "signature", "entries", F.posexplode(items).alias("k", "item")).select(
         "set_id",
@@ -301,6 +306,34 @@ def _links(texts: DataFrame, scanned: DataFrame, rule: Rule) -> tuple[DataFrame,
     return roots, stage(_derived(oriented, whole, rule), "ngram-links")
 
 
+def _shared_entries(scanned: DataFrame, rule: Rule) -> DataFrame:
+    """``set_id, item, position``: the entries of lists in which their set may meet a similar one.
+
+    Entries travel alone, without what is known of their set. A list that may be long goes on as it is, dealt by sets; in any other, entries that
+    have it for themselves go, and from a short one those beside which no size and position fits.
+    """
+    spread = scanned.select("set_id", "n", "hot_from", F.posexplode("prefix").alias("position", "item"))
+    hot = spread.filter("position >= hot_from").select("set_id", "item", "position").distinct()
+    # Size and position in one number: an entry is three of them. Equal entries come from copies of one set in several tasks.
+    at = (F.shiftleft("n", 31) + F.col("position")).alias("at")
+    entries = spread.filter("position < hot_from").select("item", "set_id", at).repartition(partitions(scanned.sparkSession), "item")
+    by_item = W.partitionBy("item").orderBy("set_id")
+    once = entries.withColumn("before", F.lag("set_id").over(by_item)).filter(~F.col("before").eqNullSafe(F.col("set_id"))).drop("before")
+    met = once.withColumn("sets", F.count("*").over(W.partitionBy("item"))).filter("sets > 1")
+    # A frame of fixed size holds all of a short list.
+    around = by_item.rowsBetween(-SHORT, SHORT)
+    met = met.withColumn("around", F.collect_list(F.struct("set_id", "at")).over(around))
+    me = {"n": F.shiftright("at", 31), "position": F.col("at").bitwiseAND(2**31 - 1)}
+
+    def fits(other: Column) -> Column:
+        n, position = F.shiftright(other["at"], 31), other["at"].bitwiseAND(2**31 - 1)
+        rest = F.least(me["n"] - me["position"], n - position)
+        return (other["set_id"] != F.col("set_id")) & rule.sizes_fit(me["n"], n) & rule.enough(rest, me["n"], n)
+
+    met = met.filter((F.col("sets") > SHORT) | F.exists("around", fits))
+    return met.select("set_id", "item", me["position"].cast("int").alias("position")).unionByName(hot)
+
+
 def _plausible(pairs: DataFrame, a: str, b: str, scanned: DataFrame, rule: Rule) -> DataFrame:
     """The pairs of sets that their wide signatures allow."""
     wide = scanned.filter("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("wide").alias("wide"))
@@ -408,10 +441,9 @@ def one_of_each(docs: DataFrame, rule: Rule, counters: int = COUNTERS) -> DataFr
     twice = joined.groupBy("doc_id").count().filter("count > 1").select("doc_id")
     passing = id_filter(going.unionByName(twice))
 
-    @F.pandas_udf("boolean")
-    def may_go(ids: pd.Series) -> pd.Series:
-        known = ids.notna()
-        return pd.Series(may_hold(passing.value, ids.where(known, 0).to_numpy(np.int64)) | ~known.to_numpy())
+    @F.arrow_udf("boolean")
+    def may_go(ids: pa.Array) -> pa.Array:
+        return pa.array(may_hold(passing.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) | np.array(ids.is_null()))
 
     marked = docs.withColumn("_may_go", may_go(F.col("doc_id").cast("bigint")))
     doubtful = marked.filter("_may_go").drop("_may_go")

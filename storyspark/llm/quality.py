@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storyspark.llm.common import slices
+
 _UPPER, _LOWER, _DIGIT = (x.encode() for x in (string.ascii_uppercase, string.ascii_lowercase, string.digits))
 _PLAIN_MARKS = b".,;:'\"()-"
 _OTHER_MARKS = bytes(b for b in string.punctuation.encode() if b not in _PLAIN_MARKS)
@@ -88,7 +90,7 @@ def _featured(docs: DataFrame) -> DataFrame:
     """``docs`` with ``x``, the features of ``text``, instead of the text."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             x = pa.array((features(t) for t in batch.column("text").to_pylist()), pa.list_(pa.float64()))
             kept = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), x], [*kept, "x"])
@@ -138,7 +140,7 @@ def score(docs: DataFrame, ranking: Ranking) -> DataFrame:
     """
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             x = np.array([features(t) for t in batch.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ranking.score(x))], ["doc_id", "score"])
 

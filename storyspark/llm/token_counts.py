@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyspark.llm.common import kept_in_worker
+from storyspark.llm.common import kept_in_worker, slices
 from storyspark.llm.pieces import Answers, byte_letters, keys, literal
 
 #: Pieces and pre-tokens whose counts a Python worker keeps, about 150 bytes each.
@@ -96,7 +96,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = kept_in_worker("counter", tokenizer_path, lambda: Counter(tokenizer_path))
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             tokens = pa.array(map(counter.count, batch.column("text").to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), tokens], ["doc_id", "n_bytes", "n_tokens"])
 

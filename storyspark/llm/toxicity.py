@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyspark.llm.common import kept_in_worker
+from storyspark.llm.common import kept_in_worker, slices
 from storyspark.llm.pieces import Answers
 from storyspark.session import stage
 
@@ -28,7 +28,7 @@ BUCKETS = 2**20
 LEAST_Z = 3.5
 _WORD = re.compile(r"\w+")
 #: Pieces of text whose buckets a Python worker keeps.
-KEPT_PIECES = 500_000
+KEPT_PIECES = 200_000
 
 
 def piece_terms(piece: str) -> tuple[int, ...]:
@@ -73,11 +73,11 @@ def _present(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = None if wanted is None else {int(b): i for i, b in enumerate(wanted)}
         terms = kept_in_worker("toxic_terms", None if wanted is None else wanted.tobytes(), lambda: _answers(place))
-        for batch in batches:
-            text = batch.column(batch.schema.get_field_index("text")).to_pylist()
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            text = batch.column("text").to_pylist()
             found = pa.array((sorted(_terms(t, terms)) for t in text), pa.list_(pa.int32()))
             kept = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), found], [*kept, "terms"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), found], [*kept, "terms"])
 
     schema = ", ".join(f"{name} {kind}" for name, kind in docs.dtypes if name != "text")
     return docs.mapInArrow(find, f"{schema}, terms array<int>")
@@ -158,12 +158,11 @@ def score(docs: DataFrame, machine: FactorizationMachine) -> DataFrame:
 def keep_below(docs: DataFrame, machine: FactorizationMachine, cut: float) -> DataFrame:
     """The rows of ``docs`` whose whole text scores below ``cut``, with all their columns, where they are read."""
     place = {int(b): i for i, b in enumerate(machine.buckets)}
-    at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = kept_in_worker("toxic_terms", machine.buckets.tobytes(), lambda: _answers(place))
-        for batch in batches:
-            present = [np.array(sorted(_terms(text, terms)), int) for text in batch.column(at).to_pylist()]
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            present = [np.array(sorted(_terms(text, terms)), int) for text in batch.column("text").to_pylist()]
             odds = machine.margin(present)
             yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(odds, -50, 50))) < cut))
 

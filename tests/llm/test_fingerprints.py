@@ -42,7 +42,28 @@ def test_neighbours_and_block_borders_do_not_matter():
 
 def test_repeated_paragraphs_wrap_without_error():
     a, b = of("same line\n" * 70_000), of("same line")
-    assert (a == (b.astype(np.uint64) * 70_000).astype(np.uint16)).all()
+    assert (a == (b.astype(np.uint64) * 70_000).astype(np.uint32)).all()
+
+
+def test_long_repetitive_texts_stay_alike(docs_of):
+    line = "a line of forty characters, repeated.  \n"
+    rng = random.Random(4)
+    other = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=400_000))
+    for text in ("x" * 100_000, line * 25_000):
+        rows = [(2, text), (1, other)]
+        got = {r.doc_id: r for r in fp.fingerprint_documents(docs_of(rows)).collect()}
+        assert got[2].near_edited > 0.5 and got[2].near_next < 0.3
+
+
+def test_64_bit_ids_are_cut_into_ranges(spark, docs_of):
+    rng = random.Random(8)
+    rows = [(rng.randrange(-(2**63), 2**63), f"text {k} {rng.random()}") for k in range(400)]
+    ordered = fp.with_next(docs_of(rows).select("doc_id", "text"), 8)
+    sizes = [r["count"] for r in ordered.filter("guest = 0").groupBy("bucket").count().collect()]
+    assert len(sizes) >= 6 and max(sizes) < 150
+    got = fp.fingerprint_documents(docs_of(rows), 8).collect()
+    want = expected(sorted(rows, reverse=True))
+    assert sorted((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in got) == sorted(want)
 
 
 def expected(rows):
@@ -52,7 +73,7 @@ def expected(rows):
         following = rows[(k + 1) % len(rows)][1]
         cut = len(text) // 3
         edited = text[: len(text) - cut] + following[:cut]
-        out.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), of(text).astype("<u2").tobytes().hex(), of(edited).astype("<u2").tobytes().hex()))
+        out.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), fp.as_text(of(text)), fp.as_text(of(edited))))
     return out
 
 

@@ -34,8 +34,8 @@ def brute(rows, n, percent):
     return sorted(((i, len(sets[k]), lowest.get(find(k))) for k, (i, _) in enumerate(rows)), key=str)
 
 
-def joined(docs, n, percent, counters=2**16):
-    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in nj.join_components(docs, nj.Rule(n, percent), counters).collect()), key=str)
+def joined(docs, n, percent, counters=2**16, hot_list=nj.HOT_LIST):
+    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in nj.join_components(docs, nj.Rule(n, percent), counters, hot_list).collect()), key=str)
 
 
 def corpus(seed, families=6, size=12, passage=True):
@@ -69,6 +69,12 @@ def test_order_of_elements_does_not_change_results(docs_of):
     assert joined(docs_of(rows), 4, 85, counters=2**10) == brute(rows, 4, 85)
 
 
+@pytest.mark.parametrize("hot_list", [1, 3, 20])
+def test_long_lists_dealt_by_sets_give_the_same(docs_of, hot_list):
+    rows = corpus(9) + [(5000 + k, " ".join(["copied"] * 3 + [f"c{j}" for j in range(60)])) for k in range(25)]
+    assert joined(docs_of(rows, 6), 4, 85, hot_list=hot_list) == brute(rows, 4, 85)
+
+
 def test_one_large_family_and_minor_members(docs_of):
     rng = random.Random(11)
     base = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(80)]
@@ -104,6 +110,14 @@ def test_one_of_each(docs_of):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
+def test_one_of_each_with_64_bit_and_null_ids_in_one_batch(docs_of):
+    long = " ".join(f"w{k}" for k in range(40))
+    rows = [(2**62 + k, f"{long} {'x' * (k % 3)}") for k in range(20)] + [(None, f"own text {k}") for k in range(20)] + [(2**53 + 2 * k + 1, f"other {k} text") for k in range(20)]
+    kept = nj.one_of_each(docs_of(rows, 1), nj.Rule(5, 80), 2**16).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted([2**62] + [2**53 + 2 * k + 1 for k in range(20)])
+    assert sum(r.doc_id is None for r in kept) == 20
+
+
 def test_one_of_each_with_repeated_rows_and_null_ids(docs_of):
     rows = [(4, "a b c d e f g"), (4, "a b c d e f g"), (9, "a b c d e f g"), (None, "a b c d e f g"), (None, "q r s"), (1, ""), (2, None)]
     kept = nj.one_of_each(docs_of(rows), nj.Rule(5, 80), 2**16).collect()

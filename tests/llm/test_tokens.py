@@ -112,3 +112,13 @@ def test_a_vocabulary_that_joins_words_is_encoded_whole():
     assert not encoder.by_piece
     whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode("Some Text,  here", add_special_tokens=False).ids
     assert np.frombuffer(encoder.ids("Some Text,  here"), encoder.kind).tolist() == whole
+
+
+def test_64_bit_ids_are_spread_over_parts(spark, docs_of):
+    rng = random.Random(6)
+    rows = sorted((rng.randrange(-(2**63) + 1, 2**63), f"text {k}") for k in range(300))
+    folder = new_stage_path(spark, "wide-ids")
+    manifest = token_files.write_token_files(docs_of(rows), folder, PATH, end_id=2, n_parts=4).collect()
+    assert len(manifest) >= 6 and max(r.n_docs for r in manifest) < 120
+    got = token_files.read_token_files(spark, folder).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [i for i, _ in rows]
