@@ -37,11 +37,13 @@ def _etag(tag: Column) -> Column:
 
 
 def merged_headers(stored: Column, fresh: Column) -> Column:
-    """``stored`` with the permitted fields of ``fresh``; names in lower case, null maps are empty, of equal names the last counts."""
+    """``stored`` with the permitted fields of ``fresh``; names in lower case, null maps are empty, of names that are equal but for case the last counts."""
     empty = F.from_json(F.lit("{}"), "map<string,string>")
 
     def lower(headers: Column) -> Column:
-        return F.transform_keys(F.coalesce(headers, empty), lambda k, _: F.lower(k))
+        fields = F.transform(F.map_entries(F.coalesce(headers, empty)), lambda e: F.struct(F.lower(e["key"]).alias("name"), e["value"].alias("value")))
+        names = F.array_distinct(F.transform(fields, lambda f: f["name"]))
+        return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(fields, lambda f: f["name"] == n), -1)["value"]))
 
     taken = F.map_filter(lower(fresh), lambda k, v: k.isin(*PERMITTED) & v.isNotNull())
     kept = F.map_filter(lower(stored), lambda k, _: ~F.array_contains(F.map_keys(taken), k))
@@ -57,7 +59,7 @@ def resolve_revisits(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFr
     or if URL or time are null. ``headers`` are merged for resolved and unchecked records, else the revisit's own.
 
     Records of one time follow each other by ``record_id``, null first; a response never serves revisits at the same time with a smaller id. Repeated rows give
-    repeated results. Only headers move; records of one URL are spread over slices of time, and each slice
+    repeated results, an empty table none. Other columns, whatever their names, are not used. Only headers move; records of one URL are spread over slices of time, and each slice
     gets the last response of those before, so that a URL with a third of all records has many tasks.
     """
     keyed = stage(

@@ -83,3 +83,17 @@ def test_nulls_ties_and_no_rows(spark):
 def test_canonical_urls(spark, url, want):
     frame = spark.createDataFrame([(url,)], "url string")
     assert frame.select(revisits.canonical_url(frame["url"])).first()[0] == want
+
+
+def test_names_that_differ_in_case_count_once_and_the_last_one_counts(spark):
+    """Archives hold both; an engine of strict maps must not end the job."""
+    kind = "record_id bigint, url string, captured_at double, kind string, etag string, last_modified string, names array<string>, values array<string>, original string"
+    rows = [
+        (1, "http://a.org/x", 1.0, "response", "e", None, {"Date": "1", "date": "2", "X-A": "k", "x-a": "l"}, "clash"),
+        (2, "http://a.org/x", 2.0, "revisit", "e", None, {"DATE": "3", "Date": "4", "X-A": "no"}, "clash"),
+    ]
+    rows = [(*r[:6], list(r[6]), list(r[6].values()), r[7]) for r in rows]  # a Python dictionary loses its order on the way
+    records = spark.createDataFrame(rows, kind).selectExpr("*", "map_from_arrays(names, values) AS headers")
+    (got,) = revisits.resolve_revisits(records).collect()
+    assert (got.original_id, got.status, got.headers) == (1, "resolved", {"date": "4", "x-a": "l"})
+    assert revisits.resolve_revisits(records.filter("record_id > 9")).collect() == []
