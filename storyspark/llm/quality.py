@@ -136,7 +136,8 @@ def fit(labelled: DataFrame, cut_score: float, max_pairs: int = 200_000, rounds:
 def score(docs: DataFrame, ranking: Ranking) -> DataFrame:
     """``doc_id, score`` of every whole text of ``docs (doc_id, text)``, one row per row; 0 to 1, higher is better.
 
-    Null and empty texts have all features 0 and get the score of those. Only the text is read.
+    Null and empty texts have all features 0 and get the score of those. Rows of one id are scored each, and a null id stays null. Other
+    columns, whatever their names, are not read. An empty table gives no rows. A text of any length is read whole.
     """
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,10 +1,10 @@
 """Toxicity by a factorization machine over hashed terms (operator 2).
 
 Terms of a text are its lower-cased words and their first four and five letters, so that inflected forms are met too,
-each hashed to a bucket and counted as present or not. The buckets that tell the classes apart best are selected on a
-bounded labelled sample, and a factorization machine is fitted over them by logistic loss: a bias, one weight per bucket,
-and one short factor vector per bucket whose inner products weigh pairs of terms, such as an insult with a group name,
-that no sum of single weights can express.
+each hashed to a bucket and counted as present or not. On a bounded labelled sample two kinds of buckets are selected: those
+that tell the classes apart alone, and the members of pairs that tell more, or the contrary, together than each of them alone, whatever
+they do by themselves. A factorization machine is fitted over them by logistic loss: a bias, one weight per bucket, and one short factor
+vector per bucket whose inner products weigh pairs of terms, such as an insult with a group name, that no sum of single weights can express.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from storyspark.session import stage
 BUCKETS = 2**20
 #: A bucket is selected only if its rate differs by this many standard errors.
 LEAST_Z = 3.5
+#: A pair is selected only if its rate lies outside those of its two members by this many standard errors, in at least so many texts.
+LEAST_PAIR_Z, LEAST_PAIR_TEXTS = 6.0, 10
 _WORD = re.compile(r"\w+")
 #: Pieces of text whose buckets a Python worker keeps.
 KEPT_PIECES = 200_000
@@ -83,12 +85,43 @@ def _present(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
     return docs.mapInArrow(find, f"{schema}, terms array<int>")
 
 
-def fit(labelled: DataFrame, max_terms: int = 2_000, n_factors: int = 4, epochs: int = 30, seed: int = 7) -> FactorizationMachine:
+def pair_members(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether each column of 0 and 1 belongs to a pair of which both together say more, or the contrary, than either member says alone."""
+    share = y.mean()
+    n, positive = x.sum(0), x[y == 1].sum(0)
+    rate = (positive + share) / (n + 1)
+    best = np.zeros(x.shape[1])
+    for start in range(0, x.shape[1], 512):
+        some = slice(start, start + 512)
+        both, both_positive = x[:, some].T @ x, x[y == 1][:, some].T @ x[y == 1]
+        high, low = np.maximum(rate[some, None], rate[None]), np.minimum(rate[some, None], rate[None])
+        more = (both_positive - both * high) / np.sqrt(both * high * (1 - high) + 1)
+        less = (both * low - both_positive) / np.sqrt(both * low * (1 - low) + 1)
+        z = np.where(both >= LEAST_PAIR_TEXTS, np.maximum(more, less), 0)
+        z[np.arange(len(z)), start + np.arange(len(z))] = 0
+        best[some] = z.max(1, initial=0)
+    return best >= LEAST_PAIR_Z
+
+
+def _matrix(terms: pa.ListArray, buckets: np.ndarray) -> np.ndarray:
+    """One row per text and one column per bucket, 1 where the text holds it."""
+    x = np.zeros((len(terms), len(buckets)), np.float32)
+    held = np.repeat(np.arange(len(terms)), np.diff(terms.offsets.to_numpy()))
+    every = terms.flatten().to_numpy()
+    at = np.minimum(np.searchsorted(buckets, every), len(buckets) - 1)
+    known = buckets[at] == every
+    x[held[known], at[known]] = 1
+    return x
+
+
+def fit(
+    labelled: DataFrame, max_terms: int = 2_000, max_pair_terms: int = 4_096, n_factors: int = 4, epochs: int = 30, seed: int = 7
+) -> FactorizationMachine:
     """Fit on a bounded sample ``labelled (text, label)``, label 0 or 1; the caller states the bound.
 
-    Term counts by class are Spark aggregates; the driver gets the ``max_terms`` selected buckets and, for each sampled
-    row, the selected terms that it holds. Null and empty texts have no terms. Without rows of both classes
-    the machine is a bias alone: the share of label 1, or one half if there are no rows.
+    Term counts by class are Spark aggregates; the driver gets, for each sampled row, which of at most ``max_terms`` buckets that
+    count alone and of the ``max_pair_terms`` most frequent ones, among which pairs are sought, it holds. Null and empty texts have no terms.
+    Without rows of both classes the machine is a bias alone: the share of label 1, or one half if there are no rows.
     """
     rows = stage(_present(labelled.select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int")), None), "toxic-terms")
     n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
@@ -100,17 +133,22 @@ def fit(labelled: DataFrame, max_terms: int = 2_000, n_factors: int = 4, epochs:
     # Chi-square of presence against the label, in its normal form.
     expected = F.col("n") * share
     z = F.abs(F.col("p") - expected) / F.sqrt(expected * (1 - share) * (1 - F.col("n") / F.lit(float(n))) + 1)
-    chosen = counts.filter((F.col("n") >= 3) & (z >= LEAST_Z)).orderBy(z.desc(), "bucket").limit(max_terms).select("bucket")
-    buckets = np.array(sorted(r.bucket for r in chosen.collect()), np.int64)
+    counts = stage(counts, "toxic-counts")
+    alone = counts.filter((F.col("n") >= 3) & (z >= LEAST_Z)).orderBy(z.desc(), "bucket").limit(max_terms).select("bucket")
+    common = counts.filter((F.col("n") >= LEAST_PAIR_TEXTS) & (F.col("n") <= 0.9 * n)).orderBy(F.desc("n"), "bucket").limit(max_pair_terms).select("bucket")
+    alone, common = (np.array(sorted(r.bucket for r in f.collect()), np.int64) for f in (alone, common))
+    every = np.union1d(alone, common)
+    if not len(every):
+        return nothing
+    among = F.split(F.lit(",".join(map(str, every))), ",").cast("array<int>")
+    sample = rows.select("label", F.array_intersect("terms", among).alias("terms")).toArrow().combine_chunks()
+    y, terms = sample.column("label").to_numpy().astype(float), sample.column("terms").combine_chunks()
+    if len(common):
+        common = common[pair_members(_matrix(terms, common), y)]
+    buckets = np.union1d(alone, common)
     if not len(buckets):
         return nothing
-    among = F.split(F.lit(",".join(map(str, buckets))), ",").cast("array<int>")
-    sample = rows.select("label", F.array_intersect("terms", among).alias("terms")).collect()
-    y = np.array([r.label for r in sample], float)
-    x = np.zeros((len(sample), len(buckets)), np.float32)
-    for k, r in enumerate(sample):
-        x[k, np.searchsorted(buckets, r.terms)] = 1
-    return _descend(x, y, nothing.bias, buckets, n_factors, epochs, seed)
+    return _descend(_matrix(terms, buckets), y, nothing.bias, buckets, n_factors, epochs, seed)
 
 
 def _descend(x: np.ndarray, y: np.ndarray, bias: float, buckets: np.ndarray, n_factors: int, epochs: int, seed: int) -> FactorizationMachine:
@@ -140,7 +178,8 @@ def _descend(x: np.ndarray, y: np.ndarray, bias: float, buckets: np.ndarray, n_f
 def score(docs: DataFrame, machine: FactorizationMachine) -> DataFrame:
     """``doc_id, score`` of every whole text of ``docs (doc_id, text)``, one row per row; 0 to 1, higher is likelier toxic.
 
-    Null and empty texts get the score of the bias. Equal texts get equal scores; only the text is read.
+    Null and empty texts get the score of the bias. Equal texts get equal scores, whatever their ids; rows of one id are scored each, and a
+    null id stays null. Other columns, whatever their names, are not read. An empty table gives no rows. A text of any length is read whole.
     """
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

@@ -27,6 +27,56 @@ def test_machine_learns_a_pair_that_no_sum_of_weights_can(spark, docs_of):
     assert pair.margin([np.array([0, 1]), np.array([0]), np.array([], int)]).tolist() == [6.0, 0.0, 0.0]
 
 
+def test_members_of_a_pair_without_any_effect_of_their_own_are_found(spark, docs_of):
+    """Exactly one of an insult and a group name: each alone tells nothing about the label."""
+    rng = random.Random(3)
+    filler = [f"filler{k}" for k in range(200)]
+    rows = []
+    for _ in range(2000):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((" ".join(rng.choices(filler, k=20) + ["vermin"] * insult + ["people"] * group), int(insult != group)))
+    machine = toxicity.fit(frame(spark, rows))
+    assert {t for w in ("vermin", "people") for t in toxicity.piece_terms(w)} <= set(machine.buckets.tolist())
+    texts = {1: "vermin people filler1", 2: "vermin filler1", 3: "people filler2", 4: "filler3"}
+    got = {r.doc_id: r.score for r in toxicity.score(docs_of(list(texts.items())), machine).collect()}
+    assert min(got[2], got[3]) > 0.5 > max(got[1], got[4])
+
+
+def test_score_equals_all_pairs_of_terms(spark, docs_of):
+    rng = np.random.default_rng(4)
+    words = [f"word{k}" for k in range(12)]
+    buckets = np.array(sorted({t for w in words for t in toxicity.piece_terms(w)}))
+    machine = toxicity.FactorizationMachine(0.3, buckets, rng.normal(0, 0.5, len(buckets)), rng.normal(0, 0.5, (len(buckets), 3)))
+    rows = [(k, " ".join(rng.choice(words, rng.integers(0, 9)))) for k in range(40)] + [(None, "word1 other"), (7, "word1"), (7, "WORD1 word1")]
+    want = []
+    for doc_id, text in rows:
+        held = sorted({int(np.searchsorted(buckets, t)) for w in text.lower().split() for t in toxicity.piece_terms(w) if t in buckets})
+        odds = 0.3
+        for i, a in enumerate(held):
+            odds += machine.weights[a]
+            for b in held[:i]:
+                odds += sum(x * y for x, y in zip(machine.factors[a], machine.factors[b], strict=True))
+        want.append((str(doc_id), round(1 / (1 + np.exp(-odds)), 9)))
+    got = [(str(r.doc_id), round(r.score, 9)) for r in toxicity.score(docs_of(rows), machine).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_empty_tables(spark, docs_of):
+    none = docs_of([(1, "a")]).filter("doc_id = 2")
+    assert toxicity.score(none, toxicity.fit(frame(spark, [("a", 1), ("b", 0)]))).collect() == []
+    assert quality.score(none, quality.fit(frame(spark, [("a", 1), ("b", 0)]), 0.7)).collect() == []
+
+
+def test_ranking_lowers_the_loss_over_all_preference_pairs(spark):
+    rng = random.Random(6)
+    rows = [(" ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(rng.randint(5, 60))) + "." * (k % 3), int(k % 3 == 0)) for k in range(90)]
+    ranking = quality.fit(frame(spark, rows), 0.7)
+    worth = ranking.worth(np.array([quality.features(t) for t, _ in rows]))
+    gaps = [worth[a] - worth[b] for a in range(90) for b in range(90) if rows[a][1] > rows[b][1]]
+    assert np.mean([np.log1p(np.exp(-g)) for g in gaps]) < 0.5 * np.log(2)
+    assert np.mean([g > 0 for g in gaps]) > 0.9
+
+
 @pytest.mark.parametrize("rows", [[], [("a", 1)], [("a b", 0), (None, 0)]])
 def test_one_class_or_none(spark, docs_of, rows):
     texts = docs_of([(1, None), (2, ""), (None, "x " * 50_000), (2, "")])
@@ -78,3 +128,6 @@ def test_held_out_accuracy(spark, name, label, least):
     rows = QUERIES[name](spark, folder).join(read(spark, folder, "labels"), "doc_id").filter("held_out").collect()
     assert len(rows) > 500
     assert np.mean([r.predicted == r[label] for r in rows]) >= least
+    if label == "toxic":
+        toxic = [r for r in rows if r.toxic]
+        assert np.mean([r.predicted for r in toxic]) >= 0.85
