@@ -15,7 +15,6 @@ FEED_LIMIT = 20
 CARD_LIMIT = 12
 CARD_ANCHORS = 3
 CARD_ANCHOR_CHARS = 15
-FEED_ANCHORS = 50
 
 
 def top_events(
@@ -63,33 +62,17 @@ def event_feed(
     status: str | None = None,
     lane: str | None = None,
     limit: int = FEED_LIMIT,
-    nested: int = FEED_ANCHORS,
 ) -> DataFrame:
-    """Top events, one row each, with their ``nested`` most mentioned anchors as ``array<struct<type, value, mentions>>``.
+    """Top events, one row each, with the number of their distinct anchors and of all mentions of them.
 
-    Ties go by type and value. ``anchor_count`` is the number of all distinct anchors of the event; :func:`feed_anchors` lists
-    them without a limit, as no row could hold the anchors of every event.
+    The anchors themselves are a table of their own, :func:`feed_anchors` with the same filters, since no row could hold the anchors of every event.
     """
     top = stage(top_events(events, status, lane, limit), "feed-top")
-    counts = stage(_anchor_counts(top, event_docs, anchors), "feed-anchors")
-    best = W.partitionBy("event_id").orderBy(F.col("mentions").desc(), "anchor_type", "anchor_value")
-    item = F.struct("n", F.col("anchor_type").alias("type"), F.col("anchor_value").alias("value"), "mentions")
-    shown = counts.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= nested).groupBy("event_id").agg(F.sort_array(F.collect_list(item)).alias("shown"))
-    sizes = counts.groupBy("event_id").agg(F.count("*").alias("anchor_count"))
-    listed = F.transform("shown", lambda a: F.struct(a["type"].alias("type"), a["value"].alias("value"), a["mentions"].alias("mentions")))
+    counted = _anchor_counts(top, event_docs, anchors).groupBy("event_id").agg(F.count("*").alias("anchor_count"), F.sum("mentions").alias("mentions"))
+    none = F.lit(0).cast("bigint")
     return (
-        top.join(sizes, "event_id", "left")
-        .join(shown, "event_id", "left")
-        .select(
-            "event_id",
-            "status",
-            "summary",
-            "score",
-            "lane",
-            "created_at",
-            F.coalesce("anchor_count", F.lit(0).cast("bigint")).alias("anchor_count"),
-            F.coalesce(listed, F.array().cast("array<struct<type:string,value:string,mentions:bigint>>")).alias("anchors"),
-        )
+        top.join(counted, "event_id", "left")
+        .select("event_id", "status", "summary", "score", "lane", "created_at", *(F.coalesce(c, none).alias(c) for c in ("anchor_count", "mentions")))
         .orderBy(F.col("score").desc(), F.col("created_at").desc(), "event_id")
     )
 

@@ -44,11 +44,13 @@ def timed_transitions(states: DataFrame, as_of: Column) -> DataFrame:
     """Every timeout in a state log: ``event_id, old_status, status, at``.
 
     ``states``: ``event_id, status, pool, at, next_at``. A state times out when it lasts longer than its
-    limit before the next state, or before ``as_of`` when it is the last one.
+    limit before the next state, or before ``as_of`` when it is the last one. What the log says of times after ``as_of``
+    does not exist yet: such states are not judged, and one that follows then ends no earlier one.
     """
     target = F.when(F.col("status") == "HYDRATING", F.lit("PARTIAL_ENRICH")).otherwise(F.lit("EXPIRED"))
     return (
-        states.withColumn("_deadline", deadline(F.col("status"), F.col("pool"), F.col("at")))
-        .filter(F.col("_deadline") < F.coalesce(F.col("next_at"), as_of))
+        states.filter(F.col("at") <= as_of)
+        .withColumn("_deadline", deadline(F.col("status"), F.col("pool"), F.col("at")))
+        .filter(F.col("_deadline") < F.least(F.col("next_at"), as_of))
         .select("event_id", F.col("status").alias("old_status"), target.alias("status"), F.col("_deadline").alias("at"))
     )

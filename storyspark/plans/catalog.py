@@ -283,19 +283,11 @@ def alert_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _feed(built: StoryTables, **filters) -> DataFrame:
     rows = feed.event_feed(built.scored_events(), built.event_docs, built.anchors, **filters)
-    label = F.transform(
-        "anchors", lambda a: F.concat_ws("=", F.concat_ws(":", a["type"], a["value"]), a["mentions"].cast("string"))
-    )
-    return rows.select(
-        "event_id",
-        "status",
-        "summary",
-        "score",
-        "lane",
-        stamp("created_at").alias("created_at"),
-        "anchor_count",
-        joined(label).alias("anchors"),
-    )
+    return rows.withColumn("created_at", stamp("created_at"))
+
+
+def _feed_anchors(built: StoryTables, **filters) -> DataFrame:
+    return feed.feed_anchors(built.scored_events(), built.event_docs, built.anchors, **filters)
 
 
 @query
@@ -306,8 +298,7 @@ def event_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def feed_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All anchors of the hundred best events."""
-    built = story(spark, sf_dir)
-    return feed.feed_anchors(built.scored_events(), built.event_docs, built.anchors, limit=100)
+    return _feed_anchors(story(spark, sf_dir), limit=100)
 
 
 @query
@@ -315,10 +306,24 @@ def event_feed_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _feed(story(spark, sf_dir), status="NEW", lane="tecnologia", limit=10)
 
 
+@query
+def feed_anchors_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _feed_anchors(story(spark, sf_dir), status="NEW", lane="tecnologia", limit=10)
+
+
+def merged_story(spark: SparkSession, sf_dir: str) -> StoryTables:
+    return build_story(story_docs(spark, sf_dir), ad.sources(spark, sf_dir), merge=True)
+
+
 @query
 def merged_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feed of canonical events."""
-    return _feed(build_story(story_docs(spark, sf_dir), ad.sources(spark, sf_dir), merge=True))
+    return _feed(merged_story(spark, sf_dir))
+
+
+@query
+def merged_feed_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _feed_anchors(merged_story(spark, sf_dir))
 
 
 def fetched_bodies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -342,13 +347,21 @@ def fetched_bodies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return bodies, sources
 
 
-@query
-def fetch_to_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From fetched bodies to the feed: records, anchors, events and scores of all pages and all feed items."""
+def fetched_story(spark: SparkSession, sf_dir: str) -> StoryTables:
+    """From fetched bodies to scored events: records, anchors, events and scores of all pages and all feed items."""
     bodies, sources = fetched_bodies(spark, sf_dir)
     records = documents_from_fetches(bodies, sources, skip_known=False)
-    built = build_story(story_documents(records, sources), sources.withColumnRenamed("id", "source_id"))
-    return _feed(built, limit=50)
+    return build_story(story_documents(records, sources), sources.withColumnRenamed("id", "source_id"))
+
+
+@query
+def fetch_to_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _feed(fetched_story(spark, sf_dir), limit=50)
+
+
+@query
+def fetch_to_feed_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _feed_anchors(fetched_story(spark, sf_dir), limit=50)
 
 
 @query
@@ -962,13 +975,16 @@ def _state_log(rows: DataFrame) -> DataFrame:
 def split_events(spark: SparkSession, sf_dir: str, parts: int = 4) -> DataFrame:
     """The events table as a stream of several micro-batches, each of a later range of time."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    first, last = rows.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
-    folder = new_stage_path(spark, "events-in-parts")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    n, first, last = rows.agg(F.count("*"), F.min(at), F.max(at)).first()
+    ranged, folder = new_stage_path(spark, "events-by-range"), new_stage_path(spark, "events-in-parts")
+    part = F.floor((at - first) / F.lit(last + 1 - first) * parts)
+    rows.withColumn("part", part).write.partitionBy("part").parquet(ranged)
+    # As many files for each part; they become a micro-batch in the order in which the parts are written.
+    files = min(spark.sparkContext.defaultParallelism, 1 + n // 10_000)
     for k in range(parts):
-        low, high = (first + (last + 1 - first) * i // parts for i in (k, k + 1))
-        t = F.unix_micros(F.col("ts").cast("timestamp"))
-        rows.filter((t >= low) & (t < high)).coalesce(1).write.mode("append").parquet(folder)
-    return runner.read_files(runner.stream_session(spark), folder, "*.parquet", files_per_batch=1)
+        spark.read.schema(rows.schema).parquet(f"{ranged}/part={k}").repartition(files).write.mode("append").parquet(folder)
+    return runner.read_files(runner.stream_session(spark), folder, "*.parquet", files_per_batch=files)
 
 
 def split_view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

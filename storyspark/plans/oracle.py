@@ -256,20 +256,23 @@ SELECT event_id, score AS breaking_score, gap AS gap_score FROM scores WHERE sco
 def _feed(where: str, limit: int, story: str = STORY) -> str:
     return f"""{story},
   top AS (SELECT * FROM scores WHERE {where} ORDER BY score DESC, first_seen_at DESC, event_id LIMIT {limit}),
-  counted AS (SELECT event_id, anchor_type, anchor_value, count(*) AS n
-    FROM top JOIN event_docs USING (event_id) JOIN anchors USING (doc_id) GROUP BY ALL),
-  numbered AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY n DESC, anchor_type, anchor_value) AS k FROM counted),
-  nested AS (SELECT event_id, count(*) AS anchor_count, string_agg(anchor_type || ':' || anchor_value || '=' || n, '|' ORDER BY k) FILTER (k <= 50) AS anchors
-    FROM numbered GROUP BY event_id)
-SELECT event_id, status, summary, score, lane, {_stamp('first_seen_at')} AS created_at, coalesce(anchor_count, 0) AS anchor_count, coalesce(anchors, '') AS anchors
-FROM top LEFT JOIN nested USING (event_id)"""
+  counted AS (SELECT event_id, count(DISTINCT (anchor_type, anchor_value)) AS anchor_count, count(*) AS mentions
+    FROM top JOIN event_docs USING (event_id) JOIN anchors USING (doc_id) GROUP BY event_id)
+SELECT event_id, status, summary, score, lane, {_stamp('first_seen_at')} AS created_at, coalesce(anchor_count, 0) AS anchor_count,
+  coalesce(mentions, 0) AS mentions
+FROM top LEFT JOIN counted USING (event_id)"""
 
 
-ORACLE["event_feed"] = _feed("true", 20)
-ORACLE["feed_anchors"] = f"""{STORY},
-  top AS (SELECT * FROM scores ORDER BY score DESC, first_seen_at DESC, event_id LIMIT 100)
+def _feed_anchors(where: str, limit: int, story: str = STORY) -> str:
+    return f"""{story},
+  top AS (SELECT * FROM scores WHERE {where} ORDER BY score DESC, first_seen_at DESC, event_id LIMIT {limit})
 SELECT event_id, anchor_type, anchor_value, count(*) AS mentions FROM top JOIN event_docs USING (event_id) JOIN anchors USING (doc_id) GROUP BY ALL"""
+
+
+ORACLE["event_feed"] = _feed("true", 20)
+ORACLE["feed_anchors"] = _feed_anchors("true", 100)
 ORACLE["event_feed_filtered"] = _feed("status = 'NEW' AND lane = 'tecnologia'", 10)
+ORACLE["feed_anchors_filtered"] = _feed_anchors("status = 'NEW' AND lane = 'tecnologia'", 10)
 
 ORACLE["dashboard_counts"] = f"""{ASSIGNED}, {EVENTS}
 SELECT (SELECT count(*) FROM sources) AS sources_count, (SELECT count(*) FROM story_events WHERE status = 'HOT') AS events_hot,
@@ -308,6 +311,7 @@ CANONICAL = f"""{COMPONENTS.replace("event_docs", "event_docs0")},
   event_docs AS (SELECT coalesce(to_event_id, event_id) AS event_id, doc_id, source_id, seen_at, coalesce(to_event_id, event_id) = doc_id AS is_primary
     FROM event_docs0 LEFT JOIN audit ON from_event_id = event_id)"""
 ORACLE["merged_feed"] = _feed("true", 20, f"{CANONICAL}, {EVENTS}, {SCORES}")
+ORACLE["merged_feed_anchors"] = _feed_anchors("true", 20, f"{CANONICAL}, {EVENTS}, {SCORES}")
 
 ORACLE["merged_events"] = f"""{COMPONENTS}, {EVENTS}
 SELECT event_id, to_event_id AS canonical_event_id, CASE WHEN to_event_id IS NULL THEN status ELSE 'MERGED' END AS status
@@ -397,6 +401,7 @@ FETCHED = f"""{HTML_TEXT},
       TIMESTAMP '2024-01-01 00:00:00' + source_id * INTERVAL '1' MINUTE AS seen_at FROM named),
   sources AS (SELECT DISTINCT source_id, tier, is_official FROM docs)"""
 ORACLE["fetch_to_feed"] = _feed("true", 50, STORY.replace(f"{STORY_DOCS}, {SOURCES}", FETCHED))
+ORACLE["fetch_to_feed_anchors"] = _feed_anchors("true", 50, STORY.replace(f"{STORY_DOCS}, {SOURCES}", FETCHED))
 
 ORACLE["table_text"] = r"""WITH lines AS (SELECT conv_id, turn, list_transform(string_split(text, E'\n'),
     lambda l: array_to_string(list_filter(string_split(l, ' '), lambda c: c <> ''), ' | ')) AS l FROM conversations)
@@ -615,7 +620,7 @@ ORACLE["timed_transitions"] = f"""WITH states AS ({_view(ad.STATES.replace("even
       ts + CASE WHEN status = 'QUARANTINE' THEN INTERVAL 15 MINUTE WHEN pool = 'FAST_POOL' THEN INTERVAL 1 MINUTE ELSE INTERVAL 2 MINUTE END AS deadline
     FROM states)
 SELECT event_id, status AS old_status, CASE status WHEN 'HYDRATING' THEN 'PARTIAL_ENRICH' ELSE 'EXPIRED' END AS status, epoch_us(deadline) AS at_us
-FROM log WHERE status IN ('HYDRATING', 'QUARANTINE') AND deadline < coalesce(next_at, {_CLOSED})"""
+FROM log WHERE status IN ('HYDRATING', 'QUARANTINE') AND at <= {_CLOSED} AND deadline < least(coalesce(next_at, {_CLOSED}), {_CLOSED})"""
 ORACLE["stream_state_timeouts"] = ORACLE["timed_transitions"]
 ORACLE["stream_alerts"] = ORACLE["alert_cooldown"]
 

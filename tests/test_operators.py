@@ -226,11 +226,8 @@ def test_feed_has_one_row_per_event_and_a_table_of_all_anchors(spark):
     anchors = spark.createDataFrame(
         [(1 + n % 2, "PL", f"PL {n % 50}") for n in range(120)], "doc_id bigint, anchor_type string, anchor_value string"
     )
-    rows = feed.event_feed(events, event_docs, anchors, limit=2, nested=10).collect()
-    assert [r.event_id for r in rows] == [1, 3]
-    first = rows[0]
-    assert first.anchor_count == 50 and len(first.anchors) == 10 and rows[1].anchors == [] and rows[1].anchor_count == 0
-    assert [a.mentions for a in first.anchors] == sorted((a.mentions for a in first.anchors), reverse=True)
+    rows = feed.event_feed(events, event_docs, anchors, limit=2).collect()
+    assert [(r.event_id, r.anchor_count, r.mentions) for r in rows] == [(3, 0, 0), (1, 50, 120)]
     every = feed.feed_anchors(events, event_docs, anchors, limit=2).collect()
     assert len(every) == 50 and sum(r.mentions for r in every) == 120
     assert feed.event_feed(events, event_docs, anchors, status="NEW").select("event_id").collect()[0][0] == 2

@@ -151,7 +151,7 @@ def test_document_records(spark):
         "text string, body_hash string, seen_at timestamp",
     )
     first, second = fetches.document_records(df).orderBy("doc_id").collect()
-    assert (first.title, first.url, len(first.clean_text), first.version_no) == ("Sugestão de Pauta: x.org", "l", 10_000, 1)
+    assert (first.title, first.url, len(first.clean_text), first.version_no) == ("Sugestão de Pauta: x.org", "l", 10_050, 1)
     assert (second.title, second.url, second.clean_text) == ("T", "u", "t")
 
 
@@ -169,10 +169,10 @@ def test_documents_from_fetches(spark):
     got = [tuple(r) for r in documents_from_fetches(fetched, active).orderBy("doc_id").select("doc_id", "url", "title", "clean_text").collect()]
     default = "Sugestão de Pauta: x.org"
     assert got == [
-        (1_000_000, "https://x/1", "A & B", "<p>um</p>"),
-        (1_000_001, "https://x/2", default, "dois"),
-        (1_000_002, "https://x/latest", "C", ""),
-        (3_000_000, "https://y/latest", default, "texto"),
+        (2**24, "https://x/1", "A & B", "<p>um</p>"),
+        (2**24 + 1, "https://x/2", default, "dois"),
+        (2**24 + 2, "https://x/latest", "C", ""),
+        (3 * 2**24, "https://y/latest", default, "texto"),
     ]
     assert documents_from_fetches(fetched, active, skip_known=False).count() == 7
     history = spark.createDataFrame([(RSS,)], "body string").select(fetches.body_hash(F.col("body")).alias("snapshot_hash"))

@@ -53,6 +53,21 @@ def test_timeouts_over_several_batches(spark, sf_dir, split_events):
     assert got.count() > 100
 
 
+def test_a_state_of_the_last_hour_is_neither_judged_nor_does_it_end_another(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, "QUARANTINE", 0), (1, "HOT", 200), (2, "HYDRATING", 10), (3, "QUARANTINE", 130), (4, "QUARANTINE", 110), (4, "HOT", 121), (5, "HOT", 180), (6, "QUARANTINE", 100)]
+    log = spark.createDataFrame([(e, s, "FAST_POOL", t0 + dt.timedelta(minutes=m)) for e, s, m in rows], "event_id bigint, status string, pool string, at timestamp")
+    following = with_next(log, ["event_id"], "at", F.date_trunc("hour", "at"), F.struct("at"), "following").withColumn("next_at", F.col("following.at"))
+    columns = "event_id", "old_status", "status", "at"
+    # The newest row is of minute 200, so the horizon is minute 140.
+    want = collected(states.timed_transitions(following, F.lit(t0 + dt.timedelta(minutes=140))), *columns)
+    assert [(r[0], r[3]) for r in want] == [(1, t0 + dt.timedelta(minutes=15)), (2, t0 + dt.timedelta(minutes=11)), (6, t0 + dt.timedelta(minutes=115))]
+    folder = new_stage_path(spark, "late-states")
+    log.repartitionByRange(3, "at").write.parquet(folder)
+    live = runner.read_files(runner.stream_session(spark), folder, "*.parquet", files_per_batch=1)
+    assert collected(timers.state_timeouts(live, spark, new_stage_path(spark, "timeouts")), *columns) == want
+
+
 def test_alerts_over_several_batches(spark, sf_dir, split_events):
     got = timers.sent_alerts(stream(spark, split_events, ad.OBSERVATIONS), spark, new_stage_path(spark, "alerts"), 3600, late_by_s=0)
     candidates = stage(alerts.alert_transitions(ad.events_view(spark, sf_dir, ad.OBSERVATIONS)), "candidates")
