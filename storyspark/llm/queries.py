@@ -82,7 +82,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find_secrets(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return secrets.find_secrets(read(spark, sf_dir, "documents"))
 
 
 def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 A word can have several candidates: every value assigned to a secret's name and every published key format, of any length, and
 the word and its parts between separators, freed of an assignment and of marks, of at least 16 characters with a digit,
-a capital behind a small letter or twelve capitals in a row. A candidate's features are its length, transitions between character classes, coverage by dictionary words, shape as a
-path, and its neighbouring words. A random forest learns from labelled findings which candidates are secrets.
+a capital behind a small letter or twelve capitals in a row. A candidate's features are its length, transitions between character classes, coverage by words that
+are frequent in the documents, shape as a path, and its neighbouring words. A random forest learns from labelled findings which candidates are secrets.
 
-Where no reviewed findings exist, :func:`seed_labels` labels the certain ones by rule: published key formats and
-values assigned to a secret's name with a digit and a letter are secrets; other paths, addresses, plain numbers and words made of dictionary parts are none.
+Where no reviewed findings exist, :func:`seed_labels` labels the few kinds that are certain: published key formats and
+hexadecimal values behind a secret's name are secrets; addresses, plain numbers and dictionary words without such a name are none. All between, such as other
+values of a secret's name, bare codes and paths, has no label. The forest doesn't see whether a format matched, and learns from four documents in five,
+so that it can be held against the labels of the fifth (:func:`agreement`).
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyspark.llm.common import words
+from storyspark.llm.common import id_crc, words
 from storyspark.session import stage
 
 LEAST = 16
@@ -49,23 +51,29 @@ FEATURES = (
     "named_before",
     "assigned",
     "quoted",
-    "known_prefix",
     "word_before_length",
     "word_after_length",
 )
 
 
-def dictionary(texts: DataFrame, size: int = 400) -> list[str]:
-    """The ``size`` most frequent words of 4 to 12 letters of ``texts (text)``; the size bounds what the driver gets."""
-    found = texts.select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+")).alias("word"))
-    counted = found.filter(F.length("word").between(4, 12)).groupBy("word").count()
-    return [r.word for r in counted.orderBy(F.desc("count"), "word").limit(size).collect()]
+def dictionary(texts: DataFrame, least: int = 20) -> DataFrame:
+    """``part``: the words of 3 to 20 letters that occur at least ``least`` times in ``texts (text)``, small."""
+    found = texts.select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+")).alias("part"))
+    return found.filter(F.length("part").between(3, 20)).groupBy("part").agg(F.count("*").alias("times")).filter(F.col("times") >= least).select("part")
 
 
-def candidates(docs: DataFrame, known_words: list[str]) -> DataFrame:
-    """``doc_id, position, candidate`` and the columns of :data:`FEATURES`, one row per candidate of every whole text.
+def _covered(found: DataFrame, known: DataFrame) -> DataFrame:
+    """``candidate, covered``: how many characters of each candidate belong to parts, cut at marks, digits and changes of case, that the dictionary has."""
+    parts = F.transform(F.regexp_extract_all("candidate", F.lit(r"\p{Lu}?\p{Ll}{2,}|\p{Lu}{3,}"), 0), F.lower)
+    spread = found.select("candidate").distinct().select("candidate", F.explode(parts).alias("part"))
+    return spread.join(known, "part").groupBy("candidate").agg(F.sum(F.length("part")).alias("covered"))
 
-    ``position`` counts words from 0. Null and empty texts have no candidates; repeated rows have theirs each.
+
+def candidates(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """``doc_id, position, candidate``, the columns of :data:`FEATURES`, ``given`` and ``known_prefix``, one row per candidate of every whole text.
+
+    ``known`` is a :func:`dictionary`. ``position`` counts words from 0. Null and empty texts have no candidates; repeated rows have theirs each, also where their
+    ids are equal or null. Of ``docs`` only ``doc_id`` and ``text`` are used. A long text is one list of words, in proportion to its length.
     """
     listed = docs.select("doc_id", words(F.col("text")).alias("words"))
     spread = listed.select("doc_id", "words", F.posexplode("words").alias("position", "word"))
@@ -98,6 +106,7 @@ def candidates(docs: DataFrame, known_words: list[str]) -> DataFrame:
     found = spans.select("doc_id", "position", "word", "before", "two_before", "after", F.inline(pairs))
     # A staged table: filters on costly expressions would otherwise be made again for every feature.
     found = stage(found, "secret-candidates")
+    found = found.join(_covered(found, known), "candidate", "left")
     c = F.col("candidate")
     length = F.length(c)
     share = lambda kind: F.regexp_count(c, F.lit(kind)) / length
@@ -105,7 +114,6 @@ def candidates(docs: DataFrame, known_words: list[str]) -> DataFrame:
     runs = F.regexp_count(classes, F.lit("a+|B+|0+|-+"))
     prefix = F.when(trimmed(F.col("word")) == c, F.regexp_extract("word", _ASSIGN, 0)).otherwise("")
     behind = lambda *marks: F.greatest(*(F.contains("word", F.concat(F.lit(m), c)) for m in marks))
-    covered = F.length(F.regexp_replace(F.lower(c), "|".join(sorted(known_words, key=lambda w: (-len(w), w))) or r"\b\B", ""))
     features = {
         "length": F.least(length, F.lit(200)),
         "digit_share": share("[0-9]"),
@@ -114,7 +122,7 @@ def candidates(docs: DataFrame, known_words: list[str]) -> DataFrame:
         "transitions": (runs - 1) / length,
         "hex_share": share("[0-9a-fA-F]"),
         "distinct_share": F.size(F.array_distinct(F.split(c, ""))) / length,
-        "dictionary_share": 1 - covered / length,
+        "dictionary_share": F.coalesce("covered", F.lit(0)) / length,
         "slashes": F.regexp_count(c, F.lit("/")),
         "dots": F.regexp_count(c, F.lit("[.]")),
         "looks_like_path": c.rlike(r"^(?:https?:|www\.|[./~\\])|[/\\].*[/\\]|@").cast("int"),
@@ -123,22 +131,35 @@ def candidates(docs: DataFrame, known_words: list[str]) -> DataFrame:
         ).cast("int"),
         "assigned": (F.col("given") | (prefix != "") | lone | F.col("before").rlike("[=:]$") | behind("=", ":", '="', ':"', "='", ":'")).cast("int"),
         "quoted": (F.regexp_replace("word", _ASSIGN, "").rlike("^[\"']") | behind('"', "'")).cast("int"),
-        "known_prefix": c.rlike("^(?:" + "|".join(FORMATS) + ")").cast("int"),
         "word_before_length": F.least(F.length("before"), F.lit(40)),
         "word_after_length": F.least(F.length("after"), F.lit(40)),
     }
-    measured = found.select("doc_id", "position", "candidate", "given", *(F.coalesce(features[f].cast("double"), F.lit(0.0)).alias(f) for f in FEATURES))
+    known_prefix = c.rlike("^" + _FORMAT + "$").alias("known_prefix")
+    measured = found.select("doc_id", "position", "candidate", "given", known_prefix, *(F.coalesce(features[f].cast("double"), F.lit(0.0)).alias(f) for f in FEATURES))
     return stage(measured, "secret-features")
 
 
 def seed_labels(found: DataFrame) -> DataFrame:
-    """The candidates that a rule can label for certain, with ``label``: 1 secret, 0 none."""
+    """The candidates of certain kinds with ``label``: 1 secret, 0 none."""
     c = F.col("candidate")
-    address = c.rlike(r"^(?:https?:|www\.)")
-    secret = c.rlike("^" + _FORMAT + "$") | ((F.col("named_before") == 1) & c.rlike("^[0-9a-fA-F]{16,}$")) | (F.col("given") & ~address & c.rlike("[0-9]") & c.rlike("[A-Za-z]"))
-    none = (F.col("looks_like_path") == 1) | c.rlike("^[0-9.,:/-]+$") | (F.col("dictionary_share") >= 0.5) | (F.col("digit_share") == 0)
-    none = none & (~F.col("given") | address) & ((F.col("named_before") == 0) | (F.col("looks_like_path") == 1) | (F.col("digit_share") == 0) | c.rlike("^[0-9.,:/-]+$"))
-    return found.withColumn("label", F.when(secret, 1).when(none, 0)).filter("label is not null")
+    named = F.col("named_before") == 1
+    code = c.rlike("^[0-9a-fA-F]{16,}$") & c.rlike("[0-9]") & c.rlike("[a-fA-F]")
+    none = c.rlike(r"^(?:https?:|www\.)|@") | c.rlike("^[0-9.,:/-]+$") | (F.col("dictionary_share") >= 0.8)
+    return found.withColumn("label", F.when(F.col("known_prefix") | (named & code), 1).when(~named & none, 0)).filter("label is not null")
+
+
+def learns(doc_id: Column) -> Column:
+    """Whether seed labels of a document are learned from; those of one in five are held out."""
+    return id_crc(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 != 0
+
+
+def agreement(found: DataFrame, model: PipelineModel | None) -> DataFrame:
+    """``label, held_out, n, agrees`` per kind of seed label, none included: how many candidates, and for how many the forest says the same."""
+    labelled = seed_labels(found).select("doc_id", "position", "candidate", "label").distinct()
+    scored = (found.withColumn("score", F.lit(0.5)) if model is None else model.transform(found).withColumn("score", vector_to_array("probability")[1])).join(
+        labelled, ["doc_id", "position", "candidate"], "left"
+    )
+    return scored.groupBy("label", (~learns(F.col("doc_id"))).alias("held_out")).agg(F.count("*").alias("n"), F.count_if((F.col("score") >= 0.5).cast("int") == F.col("label")).alias("agrees"))
 
 
 def train(labelled: DataFrame, max_rows: int = 20_000, trees: int = 20, depth: int = 6, seed: int = 5) -> PipelineModel | None:
@@ -169,15 +190,15 @@ def judge(found: DataFrame, model: PipelineModel | None) -> DataFrame:
     )
 
 
-def find_secrets(docs: DataFrame, dictionary_texts: DataFrame, labelled: DataFrame | None = None, max_rows: int = 20_000) -> DataFrame:
+def find_secrets(docs: DataFrame, dictionary_texts: DataFrame | None = None, labelled: DataFrame | None = None, max_rows: int = 20_000) -> DataFrame:
     """Candidates of ``docs (doc_id, text)`` judged by a forest.
 
-    ``labelled`` has reviewed findings, ``(doc_id, position, label)``, with ``candidate_sha256`` where a word has several; without it the seed labels are used. An empty table
+    Dictionary words are counted over ``dictionary_texts (text)``, by default all of ``docs``. ``labelled`` has reviewed findings, ``(doc_id, position, label)``, with ``candidate_sha256`` where a word has several; without it the seed labels are used. An empty table
     gives no rows.
     """
-    found = candidates(docs, dictionary(dictionary_texts))
+    found = candidates(docs, dictionary(docs if dictionary_texts is None else dictionary_texts))
     if labelled is None:
-        known = seed_labels(found)
+        known = seed_labels(found).filter(learns(F.col("doc_id")))
     else:
         keys = ["doc_id", "position", *(k for k in ("candidate_sha256",) if k in labelled.columns)]
         reviewed = labelled.select(*keys, "label").filter("label is not null").groupBy(*keys).agg(F.max("label").alias("label"))

@@ -53,7 +53,7 @@ def test_reviewed_findings_decide(spark, docs_of):
     """Labels that call plain 16-digit numbers secrets and everything else none turn the result round."""
     rows, planted = texts(2)
     docs = docs_of(rows)
-    found = secrets.candidates(docs, []).select("doc_id", "position", "candidate", "digit_share").collect()
+    found = secrets.candidates(docs, secrets.dictionary(docs)).select("doc_id", "position", "candidate", "digit_share").collect()
     labels = spark.createDataFrame([(r.doc_id, r.position, int(r.digit_share == 1)) for r in found if r.doc_id < 80], "doc_id bigint, position int, label int")
     got = judged(docs, spark, labelled=labels)
     numbers = {(r.doc_id, r.position) for r in found if r.digit_share == 1}
@@ -73,6 +73,73 @@ def test_without_two_labels_all_candidates_stay(spark, docs_of):
     assert [(r.score, r.is_secret) for r in got] == [(0.5, 1)]
 
 
+def test_the_forest_judges_what_the_labels_leave_open_and_what_was_held_out(spark, docs_of):
+    """Values without a label: bare and named codes that are no hexadecimal numbers, and a named path; the forest decides by what it has learned."""
+    rows, planted = texts(5, 300)
+    rng = random.Random(7)
+    code = lambda k: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=k))
+    open_ones = [(1000 + k, f"some text token = {code(30)}9 more text") for k in range(20)]
+    docs = docs_of([*rows, *open_ones])
+    found = secrets.candidates(docs, secrets.dictionary(docs))
+    model = secrets.train(secrets.seed_labels(found).filter(secrets.learns(secrets.F.col("doc_id"))))
+    kinds = {(r.label, r.held_out): (r.n, r.agrees) for r in secrets.agreement(found, model).collect()}
+    assert sum(n for (label, _), (n, _) in kinds.items() if label is None) >= 20
+    assert kinds[1, True][0] > 10 and kinds[1, True][1] == kinds[1, True][0]
+    assert kinds[0, True][0] > 10 and kinds[0, True][1] == kinds[0, True][0]
+    secret = {r.doc_id for r in secrets.judge(found, model).collect() if r.is_secret}
+    assert len([i for i, _ in open_ones if i in secret]) >= 18
+
+
+def test_reviewed_look_alikes_overrule_the_rule(spark, docs_of):
+    """Reviewers call named build numbers no secrets; the forest learns it and overrules the seed rule on others of their kind."""
+    rng = random.Random(9)
+    hexed = lambda k: "".join(rng.choices("0123456789abcdef", k=k))
+    rows = [(k, f"text token = {hexed(40)} text") for k in range(60)] + [(100 + k, f"text token = {hexed(17)}a1 build number") for k in range(60)]
+    docs = docs_of(rows)
+    found = secrets.candidates(docs, secrets.dictionary(docs))
+    seeds = {r.doc_id: r.label for r in secrets.seed_labels(found).collect()}
+    assert all(seeds[k] == 1 for k in (0, 100))
+    reviewed = spark.createDataFrame([(r.doc_id, r.position, int(r.doc_id < 100)) for r in found.collect() if r.doc_id % 2], "doc_id bigint, position int, label int")
+    got = {r.doc_id: r.is_secret for r in secrets.find_secrets(docs, labelled=reviewed).collect()}
+    assert all(got[k] == 1 for k in range(0, 60, 2)) and all(got[100 + k] == 0 for k in range(0, 60, 2))
+
+
+def test_dictionary_counts_all_documents(spark, docs_of):
+    rows = [(k, "horse battery Étage " + "rare" * (k == 0)) for k in range(25)] + [(50, "see https://x.org/HorseBatteryRare1/étage/42")]
+    docs = docs_of(rows)
+    known = secrets.dictionary(docs)
+    assert sorted(r.part for r in known.collect()) == ["battery", "horse", "étage"]
+    shares = {r.candidate: r.dictionary_share for r in secrets.candidates(docs, known).collect()}
+    whole = max(shares, key=len)
+    assert abs(shares[whole] - len("horsebatteryétage") / len(whole)) < 1e-9
+
+
+def plain_candidates(text):
+    """Values of secret names and published formats of a text by a scanner of its own, for texts without quotes and separators."""
+    words = text.split()
+    out = []
+    for k, word in enumerate(words):
+        name, mark, value = word.partition("=")
+        if mark and value and name.lower().endswith(secrets.NAMES):
+            out.append((k, value))
+        elif k > 1 and words[k - 1] == "=" and words[k - 2].lower().endswith(secrets.NAMES):
+            out.append((k, word))
+        elif len(word) == 20 and word.startswith("AKIA"):
+            out.append((k, word))
+        elif len(word) >= secrets.LEAST and any(c.isdigit() for c in word):
+            out.append((k, word))
+    return out
+
+
+def test_candidates_equal_a_plain_scan(docs_of):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choices("abcdefg", k=rng.randint(2, 8)))
+    kinds = [word, lambda: f"password={word()}{rng.randint(0, 99)}", lambda: "AKIA" + "".join(rng.choices("ABCDEF234567", k=16)), lambda: "token = " + word() + "1", lambda: "".join(rng.choices("0123456789ab", k=rng.randint(10, 30))) + "7"]
+    rows = [(k, " ".join(rng.choices(kinds, [8, 1, 1, 1, 1])[0]() for _ in range(25))) for k in range(80)]
+    found = secrets.candidates(docs_of(rows), secrets.dictionary(docs_of(rows))).collect()
+    assert sorted((r.doc_id, r.position, r.candidate) for r in found) == sorted((i, k, c) for i, text in rows for k, c in plain_candidates(text))
+
+
 def test_no_secret_in_clear_and_no_python_in_the_plan(spark, docs_of):
     rows, _ = texts(3, 30)
     result = secrets.find_secrets(docs_of(rows), bench(spark))
