@@ -237,7 +237,7 @@ def _position_band(position: Column, n: Column) -> Column:
 
 
 def _reachable(n: Column, position: Column, rule: Rule) -> Column:
-    """The blocks that an entry cannot skip: by size band, and there by the position bands that leave enough overlap."""
+    """The blocks that an entry cannot skip: size bands, and in each the last position band that leaves enough overlap."""
     ratio = rule.percent / 100
     low = F.floor(F.log(n * ratio - 1e-9) * 8).cast("int")
     high = F.floor(F.log(n / ratio + 1e-9) * 8).cast("int")
@@ -248,10 +248,9 @@ def _reachable(n: Column, position: Column, rule: Rule) -> Column:
         least, most = F.greatest(F.exp(band / 8) - 1e-6, n * ratio), F.least(F.exp((band + 1) / 8) + 1e-6, n / ratio)
         own_do = (n - position) >= need * (n + least) - 1e-6
         last = F.greatest(F.floor(25 * (1 - need * (1 + n / most)) + 1e-6), F.lit(-1)).cast("int")
-        bands = F.filter(F.array(*map(F.lit, range(5))), lambda q: own_do & (q <= F.least(last, F.lit(4))))
-        return F.transform(bands, lambda q: F.struct(band.alias("size_band"), q.alias("position_band")))
+        return F.struct(band.alias("size_band"), F.when(own_do, F.least(last, F.lit(4))).otherwise(-1).alias("last_band"))
 
-    return F.flatten(F.transform(F.sequence(low, high), blocks))
+    return F.filter(F.transform(F.sequence(low, high), blocks), lambda block: block["last_band"] >= 0)
 
 
 def join_components(docs: DataFrame, rule: Rule | None = None, counters: int = COUNTERS, hot_list: int = HOT_LIST) -> DataFrame:
@@ -287,20 +286,12 @@ def _links(texts: DataFrame, scanned: DataFrame, rule: Rule) -> tuple[DataFrame,
     met = _shared_entries(scanned, rule).groupBy("set_id").agg(listed)
     known = scanned.filter("size(prefix) > 0").select("set_id", "n", "signature").dropDuplicates(["set_id"])
     shared = stage(met.join(known, "set_id").select("set_id", "n", "signature", "entries"), "ngram-shared")
-    items = F.transform("entries", lambda e: e["item"])
-    lists = shared.select("set_id", "n", "signature", "entries", F.posexplode(items).alias("k", "item")).select(
-        "set_id",
-        "n",
-        "signature",
-        "item",
-        F.get("entries", F.col("k"))["position"].alias("position"),
-        F.slice(items, F.lit(1), F.least(F.col("k"), F.lit(CARRIED))).alias("earlier"),
-    )
-    best = stage(_plausible(_best_hubs(lists.drop("earlier"), rule), "set_id", "hub", scanned, rule), "ngram-hubs")
+    lists = shared.select("set_id", "n", "signature", F.inline("entries"))
+    best = stage(_plausible(_best_hubs(lists, rule), "set_id", "hub", scanned, rule), "ngram-hubs")
     family = stage(_families(best, _whole_sets(texts, _rows_of(scanned, best, "set_id", "hub"), rule.n), rule), "ngram-families")
     close = family.select(F.col("set_id").alias("u"), F.col("hub").alias("v"))
     roots = connected_components(close).select(F.col("id").alias("set_id"), "root")
-    candidates = stage(_plausible(_candidates(lists, roots, rule), "a", "b", scanned, rule), "ngram-candidates")
+    candidates = stage(_plausible(_candidates(shared, roots, rule), "a", "b", scanned, rule), "ngram-candidates")
     oriented = stage(_oriented(candidates, family), "ngram-oriented")
     whole = stage(_whole_sets(texts, _rows_of(scanned, oriented, "base", "other"), rule.n), "ngram-sets")
     return roots, stage(_derived(oriented, whole, rule), "ngram-links")
@@ -377,11 +368,21 @@ def _families(best: DataFrame, whole: DataFrame, rule: Rule) -> DataFrame:
     return similar.select("set_id", "hub", F.array_except("items", "hub_items").alias("more"), F.array_except("hub_items", "items").alias("less"))
 
 
-def _candidates(entries: DataFrame, roots: DataFrame, rule: Rule) -> DataFrame:
+def _candidates(shared: DataFrame, roots: DataFrame, rule: Rule) -> DataFrame:
     """``a, b``: pairs of sets in different components that may be similar, each at least at its first shared element."""
-    placed = entries.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    by_root = placed.groupBy("item", "root").agg(F.count("*").alias("entries"))
+    rooted = shared.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    items = F.transform("entries", lambda e: e["item"])
+    by_root = rooted.select("root", F.explode(items).alias("item")).groupBy("item", "root").agg(F.count("*").alias("entries"))
     mixed = by_root.groupBy("item").agg(F.max(F.struct("entries", "root"))["root"].alias("main"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
+    placed = rooted.select("set_id", "n", "signature", "root", "entries", F.posexplode(items).alias("k", "item")).select(
+        "set_id",
+        "n",
+        "signature",
+        "root",
+        "item",
+        F.get("entries", F.col("k"))["position"].alias("position"),
+        F.slice(items, F.lit(1), F.least(F.col("k"), F.lit(CARRIED))).alias("earlier"),
+    )
     lists = placed.join(mixed, "item")
     probes = lists.filter("root <> main").select(
         "item", "set_id", "n", "signature", "position", "root", "earlier", F.inline(_reachable(F.col("n"), F.col("position"), rule))
@@ -392,7 +393,7 @@ def _candidates(entries: DataFrame, roots: DataFrame, rule: Rule) -> DataFrame:
         b,
         (F.col("a.item") == F.col("b.item"))
         & (F.col("a.size_band") == F.col("b.size_band"))
-        & (F.col("a.position_band") == F.col("b.position_band"))
+        & (F.col("b.position_band") <= F.col("a.last_band"))
         & (F.col("a.root") != F.col("b.root"))
         & ((F.col("b.root") == F.col("b.main")) | (F.col("a.set_id") < F.col("b.set_id")))
         & rule.may_link(*(F.struct(f"{x}.n", f"{x}.position", f"{x}.signature") for x in "ab"))

@@ -88,12 +88,16 @@ def _present(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
 def pair_members(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether each column of 0 and 1 belongs to a pair of which both together say more, or the contrary, than either member says alone."""
     share = y.mean()
-    n, positive = x.sum(0), x[y == 1].sum(0)
-    rate = (positive + share) / (n + 1)
+    n, positive = x.sum(0, dtype=np.float64), x[y == 1].sum(0, dtype=np.float64)
+    rate = ((positive + share) / (n + 1)).astype(np.float32)
     best = np.zeros(x.shape[1])
-    for start in range(0, x.shape[1], 512):
-        some = slice(start, start + 512)
-        both, both_positive = x[:, some].T @ x, x[y == 1][:, some].T @ x[y == 1]
+    for start in range(0, x.shape[1], 256):
+        some = slice(start, start + 256)
+        both, both_positive = np.zeros((2, len(rate[some]), x.shape[1]), np.float32)
+        for first in range(0, len(x), 1000):  # a bounded part of the matrix as numbers that can be multiplied fast
+            part, label = x[first : first + 1000].astype(np.float32), y[first : first + 1000] == 1
+            both += part[:, some].T @ part
+            both_positive += part[label][:, some].T @ part[label]
         high, low = np.maximum(rate[some, None], rate[None]), np.minimum(rate[some, None], rate[None])
         more = (both_positive - both * high) / np.sqrt(both * high * (1 - high) + 1)
         less = (both * low - both_positive) / np.sqrt(both * low * (1 - low) + 1)
@@ -105,7 +109,7 @@ def pair_members(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _matrix(terms: pa.ListArray, buckets: np.ndarray) -> np.ndarray:
     """One row per text and one column per bucket, 1 where the text holds it."""
-    x = np.zeros((len(terms), len(buckets)), np.float32)
+    x = np.zeros((len(terms), len(buckets)), np.uint8)
     held = np.repeat(np.arange(len(terms)), np.diff(terms.offsets.to_numpy()))
     every = terms.flatten().to_numpy()
     at = np.minimum(np.searchsorted(buckets, every), len(buckets) - 1)
@@ -115,7 +119,7 @@ def _matrix(terms: pa.ListArray, buckets: np.ndarray) -> np.ndarray:
 
 
 def fit(
-    labelled: DataFrame, max_terms: int = 2_000, max_pair_terms: int = 4_096, n_factors: int = 4, epochs: int = 30, seed: int = 7
+    labelled: DataFrame, max_terms: int = 2_000, max_pair_terms: int = 2_048, n_factors: int = 4, epochs: int = 30, seed: int = 7
 ) -> FactorizationMachine:
     """Fit on a bounded sample ``labelled (text, label)``, label 0 or 1; the caller states the bound.
 
@@ -148,7 +152,7 @@ def fit(
     buckets = np.union1d(alone, common)
     if not len(buckets):
         return nothing
-    return _descend(_matrix(terms, buckets), y, nothing.bias, buckets, n_factors, epochs, seed)
+    return _descend(_matrix(terms, buckets).astype(np.float32), y, nothing.bias, buckets, n_factors, epochs, seed)
 
 
 def _descend(x: np.ndarray, y: np.ndarray, bias: float, buckets: np.ndarray, n_factors: int, epochs: int, seed: int) -> FactorizationMachine:
