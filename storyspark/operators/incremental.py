@@ -1,8 +1,7 @@
 """Assigning a batch of new documents to events that are already stored.
 
-Stored state is one row per anchor value, ``anchor_value, first_doc, event_id``, cut to buckets by hash of the value, and the
-members and attributes of the events. A batch reads only the buckets that its values fall in and the members of the events that it
-touches; it never looks at other documents. Ids of later batches must be greater, as for taking documents one by one.
+Stored state is one row per anchor value, ``anchor_value, first_doc, event_id``, and the members and attributes of the events, each table cut to buckets by
+hash of the value or the event. A batch opens only the buckets that its values and the events that it touches fall in; it never reads others. Ids of later batches must be greater, as for taking documents one by one.
 """
 
 from __future__ import annotations
@@ -16,11 +15,20 @@ from storyspark.operators.assign import EVENT_COLUMNS, build_events
 from storyspark.operators.graph import resolve_roots
 from storyspark.operators.hotkeys import HOT_ROWS, attach_unique
 from storyspark.operators.scoring import score_events
+from storyspark.schemas import EVENTS
 from storyspark.session import stage
+from storyspark.sinks.bucketed import BucketTable
 
 INDEX = "anchor_value string, first_doc bigint, event_id bigint"
-BUCKETS = 256
 KEPT = (*EVENT_COLUMNS, "evidence_score")
+MEMBERS = (
+    "event_id bigint, doc_id bigint, source_id bigint, seen_at timestamp, title string, lane string, tier int, source_domain string, "
+    "evidence_score double, is_primary boolean"
+)
+SCORES = (
+    "event_id bigint, breaking_score double, gap_score double, reasons struct<breaking:array<string>,gap:array<string>>, velocity bigint, "
+    "source_count bigint, max_evidence double, has_tier1 boolean, computed_at timestamp"
+)
 
 
 def assign_batch(facts: DataFrame, anchors: DataFrame, index: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -50,68 +58,52 @@ def assign_batch(facts: DataFrame, anchors: DataFrame, index: DataFrame, hot_row
     return event_docs, rows.select("anchor_value", "first_doc", "event_id")
 
 
-def value_bucket(value: Column) -> Column:
-    return F.pmod(F.xxhash64(value), F.lit(BUCKETS)).cast("int")
-
-
 @dataclass
 class EventStore:
-    """Tables of events below a folder that a job of any later day can go on with.
+    """Tables of events below a folder that a job of any later day can go on with; see :class:`BucketTable`.
 
-    Every batch writes partitions of its own, named by its number; a batch that is repeated replaces exactly those and never sees
-    them, so a retry changes nothing.
+    A batch opens the buckets of the anchor values, and then of the events, that it touches; what lies in others is not read, whatever
+    their size. A batch that is repeated replaces exactly what it wrote, so a retry changes nothing.
     """
 
     spark: SparkSession
     folder: str
+    n_buckets: int = 64
 
-    def _before(self, name: str, schema: str, batch_id: int) -> DataFrame:
-        """Rows that batches before this one wrote."""
-        spark, path = self.spark, f"{self.folder}/{name}"
-        try:
-            rows = spark.read.schema(f"{schema}, batch_id bigint").option("basePath", path).parquet(path)
-        except Exception as error:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            rows = spark.createDataFrame([], f"{schema}, batch_id bigint")
-        return rows.filter(F.col("batch_id") < batch_id)
+    def __post_init__(self) -> None:
+        def table(name: str, schema: str, key: str) -> BucketTable:
+            return BucketTable(self.spark, f"{self.folder}/{name}", schema, key, self.n_buckets)
+
+        self.index = table("anchor_index", INDEX, "anchor_value")
+        self.members = table("event_docs", MEMBERS, "event_id")
+        self.event_rows = table("events", EVENTS, "event_id")
+        self.score_rows = table("event_scores", SCORES, "event_id")
 
     def add(self, facts: DataFrame, anchors: DataFrame, sources: DataFrame, batch_id: int, as_of: Column | None = None) -> DataFrame:
         """Store a batch of document facts and their anchors; returns the scores of the events that it touched.
 
         ``as_of`` defaults to the latest sighting of the batch.
         """
-        index = self._before("anchor_index", f"{INDEX}, bucket int", batch_id)
-        wanted = [r[0] for r in anchors.select(value_bucket(F.col("anchor_value"))).distinct().collect()]  # at most BUCKETS numbers
-        index = index.filter(F.col("bucket").isin(wanted)).select("anchor_value", "first_doc", "event_id")
+        index = self.index.read(self.index.buckets_of(anchors, "anchor_value"), batch_id)
         event_docs, rows = assign_batch(facts, anchors, index)
-        self._write(rows.withColumn("bucket", value_bucket(F.col("anchor_value"))), "anchor_index", batch_id, "bucket")
-        self._write(event_docs, "event_docs", batch_id)
         touched = stage(event_docs.select("event_id").distinct(), "batch-events")
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in event_docs.schema)
-        before = self._before("event_docs", schema, batch_id).drop("batch_id").join(touched, "event_id", "left_semi")
-        members = stage(before.unionByName(event_docs), "batch-members")
+        before = self.members.read(self.members.buckets_of(touched), batch_id).join(touched, "event_id", "left_semi")
+        members = stage(before.unionByName(event_docs.select(*before.columns)), "batch-members")
         events = stage(build_events(members), "batch-new-events")
         now = facts.agg(F.max("seen_at")).scalar() if as_of is None else as_of
-        scores = score_events(events, members, sources, now)
-        self._write(events, "events", batch_id)
-        self._write(scores, "event_scores", batch_id)
-        return self.spark.read.parquet(f"{self.folder}/event_scores/batch_id={batch_id}")
-
-    def _write(self, df: DataFrame, name: str, batch_id: int, *by: str) -> None:
-        df.write.mode("overwrite").partitionBy(*by).parquet(f"{self.folder}/{name}/batch_id={batch_id}")
+        scores = stage(score_events(events, members, sources, now), "batch-scores")
+        self.index.append(stage(rows, "batch-index"), batch_id)
+        self.members.append(event_docs, batch_id)
+        self.event_rows.upsert(events, batch_id)
+        self.score_rows.upsert(scores, batch_id)
+        return scores
 
     def event_docs(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/event_docs").drop("batch_id")
-
-    def _latest(self, name: str) -> DataFrame:
-        """The row that the last batch to touch an event wrote."""
-        rows = self.spark.read.parquet(f"{self.folder}/{name}")
-        last = rows.groupBy("event_id").agg(F.max("batch_id").alias("batch_id"))
-        return rows.join(last, ["event_id", "batch_id"], "left_semi").drop("batch_id")
+        return self.members.read()
 
     def events(self) -> DataFrame:
-        return self._latest("events")
+        """The row that the last batch to touch an event wrote."""
+        return self.event_rows.read()
 
     def scores(self) -> DataFrame:
-        return self._latest("event_scores")
+        return self.score_rows.read()

@@ -11,18 +11,25 @@ from storyspark.functions import anchors as anchor_columns
 from storyspark.functions import fixed_values as fixed
 from storyspark.functions import states as state_rules
 from storyspark.functions import taxonomy, text
+from storyspark.operators import minhash as minhashes
 from storyspark.operators import (
     alerts,
     assign,
+    calendars,
     changes,
+    deferred,
     evidence,
     feed,
     health,
     merge,
     neardup,
+    redirects,
     scoring,
+    search,
     similar,
     states,
+    suffixes,
+    velocity,
     versions,
 )
 from storyspark.operators.hotkeys import with_next, with_previous
@@ -32,8 +39,9 @@ from storyspark.plans.ingest import documents_from_fetches, story_documents
 from storyspark.plans.story import StoryTables, assign_facts, build_story, document_facts, with_lane
 from storyspark.session import new_stage_path, stage
 from storyspark.sinks import tables
+from storyspark.sinks.bucketed import BucketTable
 from storyspark.sources import feeds, fetches, html, profiles
-from storyspark.streaming import ingest, runner, timers, windows
+from storyspark.streaming import ingest, runner, sketches, timers, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -155,6 +163,20 @@ def media_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def media_group_table(spark: SparkSession) -> DataFrame:
+    """The media groups' host suffixes as a table, the form in which an operator of any number of hosts keeps them."""
+    rows = [(suffix, group) for group, listed in fixed.MEDIA_GROUP_HOST_SUFFIXES.items() for suffix in listed]
+    return spark.createDataFrame(rows, "suffix string, media_group string")
+
+
+@query
+def media_group_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``media_group`` with the suffixes as data."""
+    hosts = ad.hosts(spark, sf_dir).select("page_id", text.url_host(F.col("url")).alias("host"))
+    found = suffixes.longest_suffix(hosts, media_group_table(spark))
+    return found.withColumn("is_mainstream", taxonomy.is_mainstream(F.col("media_group")))
+
+
 @query
 def editorial_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_lane(story_docs(spark, sf_dir)).select("doc_id", "lane")
@@ -177,12 +199,16 @@ def assign_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_docs.select("event_id", "doc_id", "source_id", stamp("seen_at").alias("seen_at"), "is_primary")
 
 
+#: Buckets of the tables that the queries store events in, for the few gigabytes of a test; a lasting store takes more.
+STORE_BUCKETS = 8
+
+
 def event_store(spark: SparkSession, sf_dir: str, batches: int = 4) -> EventStore:
     """All documents stored in several batches by their id."""
     facts = document_facts(story_docs(spark, sf_dir))
     rows = stage(evidence.explode_anchors(facts), "anchors")
     first, last = facts.agg(F.min("doc_id"), F.max("doc_id")).first()
-    store = EventStore(spark, new_stage_path(spark, "event-store"))
+    store = EventStore(spark, new_stage_path(spark, "event-store"), n_buckets=STORE_BUCKETS)
     for k in range(batches):
         low, high = (first + (last + 1 - first) * i // batches for i in (k, k + 1))
         inside = F.col("doc_id").between(low, high - 1)
@@ -237,6 +263,13 @@ def event_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.event_velocity(event_docs, ad.latest(docs, "seen_at"))
 
 
+@query
+def velocity_at_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The velocity of its event when each document came."""
+    _, _, event_docs = assigned(spark, sf_dir)
+    return velocity.velocity_at_arrival(event_docs)
+
+
 @query
 def event_source_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, event_docs = assigned(spark, sf_dir)
@@ -420,6 +453,29 @@ def resolve_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.resolve_redirects(audit)
 
 
+@query
+def deferred_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merges of ``merge_audit``, found in four batches of documents and applied when the last ones are due."""
+    _, rows, event_docs = assigned(spark, sf_dir)
+    first, last = event_docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    store = deferred.MergeStore(spark, new_stage_path(spark, "merge-store"), n_buckets=STORE_BUCKETS)
+    for k in range(4):
+        low, high = (first + (last + 1 - first) * i // 4 for i in (k, k + 1))
+        inside = F.col("doc_id").between(low, high - 1)
+        store.add(event_docs.filter(inside), rows.filter(inside), k, F.timestamp_seconds(F.lit(k * 3600)))
+    return store.applied(F.timestamp_seconds(F.lit(3 * 3600 + deferred.TOLERANCE_S)))
+
+
+@query
+def redirects_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an event stood for when each view of it was logged, while merges send it to one target after the other."""
+    log = ad.table(spark, sf_dir, "events").withColumn("from_event_id", F.col("user_id") % 40)
+    target = F.floor(F.col("from_event_id") * (F.col("event_id") % 7) / 7).cast("bigint")
+    moves = log.filter("event_type = 'signup' AND from_event_id > 0").select("from_event_id", target.alias("to_event_id"), F.col("ts").alias("valid_from"))
+    readers = log.filter("event_type <> 'signup'").select(F.col("event_id").alias("reader_id"), (F.col("event_id") % 45).alias("event_id"), F.col("ts").alias("at"))
+    return redirects.redirects_as_of(readers, moves).select("reader_id", "event_id", "target_event_id")
+
+
 # --- sources, fetches and documents ---
 
 
@@ -631,6 +687,17 @@ def score_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def score_upsert_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``score_upsert`` into a stored table, of which the second batch rewrites the buckets that it touches."""
+    history, cut = score_history(spark, sf_dir), F.timestamp_seconds(F.lit(1705708800))
+    schema = ", ".join(f"{name} {kind}" for name, kind in history.dtypes)
+    stored = BucketTable(spark, new_stage_path(spark, "scores"), schema, "event_id", STORE_BUCKETS)
+    for batch_id, rows in enumerate((history.filter(F.col("computed_at") < cut), history.filter(F.col("computed_at") >= cut))):
+        stored.upsert(stage(tables.latest_scores(rows), "latest-scores"), batch_id)
+    return stored.read().select("event_id", "breaking_score", F.unix_micros("computed_at").alias("computed_at_us"))
+
+
 @query
 def score_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
     return story(spark, sf_dir).scored_events().select("event_id", "status", "breaking_score")
@@ -767,6 +834,18 @@ def minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", joined(F.transform("minhash", lambda m: m.cast("string"))).alias("minhash"))
 
 
+@query
+def minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhashes.minhash_groups(ad.docs(spark, sf_dir), threshold=0.8)
+
+
+@query
+def bm25_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    items = ad.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return search.bm25_join(ad.docs(spark, sf_dir), items, k=10)
+
+
 # --- deltas and states ---
 
 
@@ -872,6 +951,22 @@ def yield_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def yield_baseline_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baselines by office and early hours; the first of a month is a holiday, and a third of the sources have no calendar."""
+    rows = ad.events_view(spark, sf_dir, ad.FETCHES)
+    days = rows.select(F.to_date("attempted_at").alias("day")).distinct()
+    kinds = spark.createDataFrame([("office", 9, 18), ("early", 6, 12)], "calendar string, open_hour int, close_hour int")
+    holidays = days.filter(F.dayofmonth("day") == 1).withColumn("calendar", F.explode(F.array(F.lit("office"), F.lit("early"))))
+    periods = calendars.working_calendars(days, kinds, holidays)
+    kind = F.when(F.col("source_id") % 3 == 0, "office").when(F.col("source_id") % 3 == 1, "early")
+    sources = rows.select("source_id").distinct().withColumn("calendar", kind)
+    found = calendars.yield_baseline_calendar(rows, sources, periods)
+    return found.select(
+        "source_id", stamp("slot").alias("slot"), "period", "attempts", F.round("mean_yield", 6).alias("mean_yield"), F.round("baseline_yield", 6).alias("baseline_yield")
+    )
+
+
 @query
 def slo_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.latency_p95(ad.events_view(spark, sf_dir, ad.FETCHES))
@@ -987,6 +1082,14 @@ def split_events(spark: SparkSession, sf_dir: str, parts: int = 4) -> DataFrame:
     return runner.read_files(runner.stream_session(spark), folder, "*.parquet", files_per_batch=files)
 
 
+@query
+def stream_slo_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of the closed days of a stream from stored sketches; approximate, so there is no SQL to compare with."""
+    rows = stream_view(spark, sf_dir, ad.FETCHES)
+    stored = runner.run_available(sketches.latency_sketches(rows.select("pool", "attempted_at", "latency_ms")), spark, "latency-sketches")
+    return sketches.slo_of_sketches(stored)
+
+
 def split_view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     rows = split_events(spark, sf_dir)
     return rows.sparkSession.sql(sql.replace("{k}", "get_json_object(props, '$.k')"), events=rows)
@@ -1032,7 +1135,7 @@ def _ingested(spark: SparkSession, sf_dir: str) -> tuple[EventStore, str]:
         }
     )
     folder = new_stage_path(spark, "ingested")
-    return ingest.ingest_documents(docs, ad.sources(spark, sf_dir), spark, folder), folder
+    return ingest.ingest_documents(docs, ad.sources(spark, sf_dir), spark, folder, n_buckets=STORE_BUCKETS), folder
 
 
 @query

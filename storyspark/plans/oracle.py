@@ -199,6 +199,7 @@ ORACLE["host_matches"] = f"""WITH hosts AS (SELECT page_id, lower(trim(split_par
 SELECT page_id, host, EXISTS (SELECT 1 FROM suffixes WHERE host = suffix OR ends_with(host, '.' || suffix)) AS is_primary FROM hosts"""
 
 ORACLE["media_group"] = _media_group()
+ORACLE["media_group_by_table"] = _media_group()
 
 ORACLE["editorial_lane"] = f"WITH {STORY_DOCS}, {LANES} SELECT doc_id, lane FROM lanes"
 
@@ -616,11 +617,11 @@ FROM fetches WHERE date_trunc('day', attempted_at) + INTERVAL 1 DAY <= {_CLOSED}
 GROUP BY source_id, date_trunc('day', attempted_at) HAVING bool_and(status_code = 200) AND sum(yield_count) = 0"""
 ORACLE["stream_first_fetches"] = "SELECT DISTINCT sha256(text) AS snapshot_hash FROM documents"
 ORACLE["timed_transitions"] = f"""WITH states AS ({_view(ad.STATES.replace("event_id, ts", "event_id, user_id, ts"), events='events')}),
-  log AS (SELECT user_id % 20 AS event_id, status, ts AS at, lead(ts) OVER (PARTITION BY user_id % 20 ORDER BY ts) AS next_at,
+  log AS (SELECT user_id % 20 AS event_id, status, ts AS began, lead(ts) OVER (PARTITION BY user_id % 20 ORDER BY ts) AS next_at,
       ts + CASE WHEN status = 'QUARANTINE' THEN INTERVAL 15 MINUTE WHEN pool = 'FAST_POOL' THEN INTERVAL 1 MINUTE ELSE INTERVAL 2 MINUTE END AS deadline
     FROM states)
 SELECT event_id, status AS old_status, CASE status WHEN 'HYDRATING' THEN 'PARTIAL_ENRICH' ELSE 'EXPIRED' END AS status, epoch_us(deadline) AS at_us
-FROM log WHERE status IN ('HYDRATING', 'QUARANTINE') AND at <= {_CLOSED} AND deadline < least(coalesce(next_at, {_CLOSED}), {_CLOSED})"""
+FROM log WHERE status IN ('HYDRATING', 'QUARANTINE') AND began <= {_CLOSED} AND deadline < least(coalesce(next_at, {_CLOSED}), {_CLOSED})"""
 ORACLE["stream_state_timeouts"] = ORACLE["timed_transitions"]
 ORACLE["stream_alerts"] = ORACLE["alert_cooldown"]
 
@@ -652,3 +653,46 @@ _MINIMA = " || '|' || ".join(
 ORACLE["minhash"] = f"""WITH {DOCS}, words AS (SELECT doc_id, unnest({_tokens('clean_text')}) AS w FROM docs0),
   hashed AS (SELECT doc_id, ('0x' || substr(md5(w), 25, 8))::BIGINT AS h FROM words)
 SELECT doc_id, {_MINIMA} AS minhash FROM hashed GROUP BY doc_id"""
+
+ORACLE["yield_baseline_calendar"] = f"""WITH {FETCHES}, slots AS (SELECT source_id, date_trunc('hour', attempted_at) AS slot, count(*) AS n, sum(yield_count) AS y
+    FROM fetches GROUP BY ALL),
+  named AS (SELECT *, CASE WHEN source_id % 3 = 2 THEN 'none' WHEN day(slot) = 1 THEN 'holiday' WHEN isodow(slot) >= 6 THEN 'weekend'
+    WHEN source_id % 3 = 0 AND hour(slot) BETWEEN 9 AND 17 OR source_id % 3 = 1 AND hour(slot) BETWEEN 6 AND 11 THEN 'work' ELSE 'off' END AS period FROM slots)
+SELECT s.source_id, {_stamp('s.slot')} AS slot, any_value(s.period) AS period, any_value(s.n) AS attempts, round(any_value(s.y / s.n::DOUBLE), 6) AS mean_yield,
+  round(sum(p.y) / sum(p.n)::DOUBLE, 6) AS baseline_yield
+FROM named s LEFT JOIN named p ON p.source_id = s.source_id AND p.period = s.period AND p.slot < s.slot AND p.slot >= s.slot - INTERVAL 28 DAY
+GROUP BY s.source_id, s.slot"""
+
+ORACLE["velocity_at_arrival"] = f"""{ASSIGNED}
+SELECT a.event_id, a.doc_id, count(*) AS velocity FROM event_docs a JOIN event_docs b
+  ON a.event_id = b.event_id AND b.seen_at <= a.seen_at AND b.seen_at >= a.seen_at - INTERVAL 30 MINUTE GROUP BY ALL"""
+
+ORACLE["redirects_as_of"] = """WITH RECURSIVE moves AS (SELECT user_id % 40 AS f, ts, max(CAST(floor((user_id % 40) * (event_id % 7) / 7) AS BIGINT)) AS target
+    FROM events WHERE event_type = 'signup' AND user_id % 40 > 0 GROUP BY ALL),
+  periods AS (SELECT *, lead(ts) OVER (PARTITION BY f ORDER BY ts) AS ended FROM moves),
+  readers AS (SELECT event_id AS reader_id, event_id % 45 AS event_id, ts FROM events WHERE event_type <> 'signup'),
+  walk AS (SELECT reader_id, event_id AS at, ts FROM readers
+    UNION SELECT w.reader_id, p.target, w.ts FROM walk w JOIN periods p ON p.f = w.at AND p.ts <= w.ts AND (p.ended IS NULL OR p.ended > w.ts))
+SELECT reader_id, any_value(r.event_id) AS event_id, min(w.at) AS target_event_id FROM walk w JOIN readers r USING (reader_id) GROUP BY reader_id"""
+
+ORACLE["deferred_merges"] = f"""{COMPONENTS} SELECT from_event_id, to_event_id FROM audit"""
+ORACLE["score_upsert_by_bucket"] = ORACLE["score_upsert"]
+
+ORACLE["bm25_join"] = f"""WITH {DOCS}, sized AS (SELECT doc_id, {_tokens('clean_text')} AS tokens FROM docs0),
+  total AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM sized),
+  counted AS (SELECT doc_id, len(tokens) AS length, unnest(tokens) AS term FROM sized),
+  tfs AS (SELECT doc_id, length, term, count(*) AS tf FROM counted GROUP BY ALL),
+  weights AS (SELECT term, ln(1.0::DOUBLE + (n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM tfs CROSS JOIN total GROUP BY term, n),
+  asked AS (SELECT item_id AS query_id, unnest({_tokens('text')}) AS term FROM benchmark),
+  scored AS (SELECT query_id, doc_id, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS bm25
+    FROM asked JOIN tfs USING (term) JOIN weights USING (term) CROSS JOIN total GROUP BY ALL),
+  ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id)::INTEGER AS rank, doc_id, bm25 FROM scored WHERE bm25 > 0)
+SELECT * FROM ranked WHERE rank <= 10"""
+
+ORACLE["minhash_groups"] = f"""WITH RECURSIVE {DOCS}, sets AS (SELECT doc_id, list_distinct({_tokens('clean_text')}) AS s FROM docs0),
+  items AS (SELECT doc_id, len(s) AS n, unnest(s) AS token FROM sets),
+  shared AS (SELECT a.doc_id AS u, b.doc_id AS v, a.n + b.n AS total, count(*) AS common FROM items a JOIN items b ON a.token = b.token AND a.doc_id <> b.doc_id GROUP BY ALL),
+  links AS (SELECT u, v FROM shared WHERE common / (total - common)::DOUBLE >= 0.8),
+  reach AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v),
+  least_of AS (SELECT u, min(v) AS low FROM reach GROUP BY u)
+SELECT doc_id, least(doc_id, coalesce(low, doc_id)) AS group_id FROM sets LEFT JOIN least_of ON u = doc_id"""

@@ -12,14 +12,14 @@ from storyspark.sinks.tables import append_tables
 from storyspark.streaming.runner import for_each_batch
 
 
-def ingest_documents(docs: DataFrame, sources: DataFrame, spark: SparkSession, folder: str, every: str | None = None) -> EventStore:
+def ingest_documents(docs: DataFrame, sources: DataFrame, spark: SparkSession, folder: str, every: str | None = None, n_buckets: int = 64) -> EventStore:
     """Append documents, anchors, evidence features, events and scores of every micro-batch below ``folder``.
 
     ``docs`` has the columns that ``document_facts`` asks for. A replayed batch overwrites its own partition of each table, and the
     checkpoint lies in the folder, so a second start goes on with new batch numbers. Texts are written once, as the documents
     of the batch; all else is read from there. Later batches must have greater ids.
     """
-    store = EventStore(spark, folder)
+    store = EventStore(spark, folder, n_buckets)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         append_tables({"documents": batch}, folder, batch_id)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from storyspark.operators import assign, changes, incremental, merge
 from storyspark.plans.ingest import bodies_without_items, document_id
 from storyspark.session import new_stage_path, stage
+from storyspark.sinks import bucketed
+from storyspark.sinks.bucketed import BucketTable
 from storyspark.sources import feeds, html
 
 T0 = dt.datetime(2024, 1, 1, 10, 0)
@@ -123,3 +125,45 @@ def test_context_of_ten_thousand_matches(spark):
     text = " ".join(f"PL {k}/2024 e" for k in range(10_000))
     found = spark.createDataFrame([(text,)], "t string").select(F.size(A.anchor_array_with_context(F.col("t"))).alias("n")).first()
     assert found.n >= 10_000
+
+
+# --- bucketed tables ---
+
+
+def table(spark, n_buckets=16):
+    return BucketTable(spark, new_stage_path(spark, "buckets"), "k bigint, v string", "k", n_buckets)
+
+
+def rows_of(spark, rows):
+    return spark.createDataFrame(rows, "k int, v string, other int") if rows and len(rows[0]) == 3 else spark.createDataFrame([(*r, 0) for r in rows], "k int, v string, other int")
+
+
+def test_upsert_rewrites_the_buckets_it_touches_and_no_other(spark):
+    stored = table(spark)
+    stored.upsert(rows_of(spark, [(k, "old") for k in range(200)]), 0)
+    before = dict(stored.live())
+    touched = stored.upsert(rows_of(spark, [(3, "new"), (500, "first")]), 1)
+    after = dict(stored.live())
+    assert len(touched) <= 2 and {b for b in after if after[b] != before.get(b)} == set(touched)
+    got = {r.k: r.v for r in stored.read().collect()}
+    assert got == {**{k: "old" for k in range(200)}, 3: "new", 500: "first"}
+    # The batch again, and an empty one.
+    assert stored.upsert(rows_of(spark, [(3, "new"), (500, "first")]), 1) == touched
+    assert {r.k: r.v for r in stored.read().collect()} == got
+    assert stored.upsert(rows_of(spark, [(1, "x")]).filter("k > 9"), 2) == [] and stored.read().count() == 201
+    assert stored.read(before=1).filter("v = 'old'").count() == 200
+    assert stored.read([stored.buckets_of(rows_of(spark, [(3, "")]))[0]], 2).filter("k = 3").collect()[0].v == "new"
+    assert table(spark).read().count() == 0
+
+
+def test_bytes_read_follow_the_touched_buckets_over_thirty_batches(spark):
+    stored, opened = table(spark, 32), []
+    for batch in range(30):
+        stored.append(rows_of(spark, [(batch % 3, f"b{batch}"), (1000 + batch, "own")]), batch)
+        stored.read(stored.buckets_of(rows_of(spark, [(batch % 3, "")])))
+        opened.append(len(stored.opened))
+    assert max(opened) <= bucketed.FAN and sum(opened[-10:]) <= 10 * bucketed.FAN
+    whole = stored.read()
+    assert whole.count() == 60 and whole.filter("k < 3").count() == 30
+    # Folders of one bucket, not of the whole table, which has many times as many.
+    assert len(stored.opened) > 3 * max(opened)

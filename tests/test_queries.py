@@ -15,8 +15,12 @@ def db(sf_dir):
     return connect(sf_dir)
 
 
+#: Approximate results; tests of their own hold them against the exact ones.
+WITHOUT_SQL = {"stream_slo_p95"}
+
+
 def test_every_query_has_sql():
-    assert set(ORACLE) >= set(QUERIES)
+    assert set(QUERIES) - set(ORACLE) == WITHOUT_SQL
 
 
 def plan_of(df) -> str:
@@ -35,8 +39,11 @@ def test_query_equals_sql_and_its_jobs_stay_native_without_cross_join(spark, sf_
     result = QUERIES[name](spark, sf_dir)
     plans["result"] = plan_of(result)
     assert [(at, word) for at, plan in plans.items() for word in UNWANTED if word in plan] == []
-    ok, note = compare(result, db, ORACLE[name])
-    assert ok, note
+    if name in WITHOUT_SQL:
+        assert result.count() > 0
+    else:
+        ok, note = compare(result, db, ORACLE[name])
+        assert ok, note
 
 
 def test_entry(spark):
