@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -64,10 +65,21 @@ def kept_in_worker(name: str, key: object, make: Callable[[], object]) -> object
     found = getattr(holder, "kept", None)
     if found is None or found[0] != (name, key):
         holder.kept = found = None
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         holder.kept = found = ((name, key), make())
     return found[1]
 
 
+#: Bytes of one Arrow batch; Spark's own default is eight times as much, of which a task holds several on either side of a Python worker.
+BATCH_BYTES = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Ask for Arrow batches of moderate size in this session, so that long texts don't fill executors."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def slices(batch: pa.RecordBatch, text: str, rows: int = 500, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """A batch in parts of at most ``rows`` rows and, but for a longer text alone, ``size`` bytes of the column ``text``."""
     lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()

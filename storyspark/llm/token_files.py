@@ -34,7 +34,7 @@ from storyspark.llm.common import id_bounds, kept_in_worker, partitions
 from storyspark.llm.pieces import Answers, byte_letters, keys, literal
 
 #: Pieces whose ids a Python worker keeps, about 200 bytes each.
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 300_000
 #: Stands for a null document id in the files.
 NO_ID = -(2**63)
 _PARTS = "part bigint, n_docs bigint, n_tokens bigint, width int"

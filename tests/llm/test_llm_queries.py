@@ -60,3 +60,30 @@ def test_id_filter(spark):
     ids = spark.range(0, 5000).toPandas()["id"].to_numpy()
     passed = may_hold(held.value, ids)
     assert passed[ids % 5 == 0].all() and passed[ids % 5 != 0].sum() < 50
+
+
+def test_pipeline_stages_take_odd_rows(spark, sf_dir):
+    """Null ids and texts, empty and very long texts, repeated rows and columns with names that stages use."""
+    long = " ".join(f"word{k}" for k in range(40_000)) + "."
+    rows = [(10**6, None), (10**6 + 1, ""), (None, "a text without any id at all"), (10**6 + 2, long), (10**6 + 3, "twice the same row"), (10**6 + 3, "twice the same row"), (10**6 + 4, " \n\t")]
+    odd = spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars int")
+    documents = read(spark, sf_dir, "documents")
+    docs = documents.unionByName(odd.select(*(odd[c].cast(documents.schema[c].dataType) for c in documents.columns)))
+    for name in ("score", "terms", "n", "root", "words", "target", "size", "place", "position", "part"):
+        docs = docs.selectExpr("*", f"'x' AS {name}")
+    columns = docs.columns
+    for name, step in corpus_pipeline.STAGES[:3]:
+        docs = corpus_pipeline.stage(step(spark, docs, sf_dir), name)
+        assert docs.columns == columns
+    kept = {(r.doc_id, (r.text or "")[:20]): r for r in docs.filter(f"doc_id is null or doc_id >= {10**6}").collect()}
+    assert {i for i, _ in kept} == {None, *range(10**6, 10**6 + 5)} and len(kept) == 6
+    assert kept[10**6 + 2, long[:20]].text == long and kept[10**6, ""].text is None
+    mixed = corpus_pipeline.stage(corpus_pipeline.STAGES[3][1](spark, docs, sf_dir), "mixing")
+    assert mixed.columns == columns
+    tokens = corpus_pipeline.STAGES[4][1](spark, mixed, sf_dir).collect()
+    assert len(tokens) == mixed.count() and all(r.n_tokens >= 1 for r in tokens)
+    empty = documents.limit(0)
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        empty = corpus_pipeline.stage(step(spark, empty, sf_dir), name)
+        assert empty.columns == documents.columns and empty.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, sf_dir).count() == 0
