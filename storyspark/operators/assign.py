@@ -64,26 +64,43 @@ def _earliest_sharing(anchors: DataFrame, match_on: tuple[str, ...], hot_rows: i
     return linked.groupBy("doc_id").agg(F.min("first_doc").alias("first_doc"))
 
 
+#: Parts of a lookback: a hot value has a task for each of them. Whole seconds in microseconds are a multiple of it, so a window begins exactly so many parts earlier.
+LOOKBACK_PARTS = 16
+
+
 def _earliest_recent(
     docs: DataFrame, anchors: DataFrame, match_on: tuple[str, ...], lookback_seconds: int
 ) -> DataFrame:
     """Like :func:`_earliest_sharing`, over documents seen at most ``lookback_seconds`` earlier.
 
-    Time is cut in buckets of that length; a row also visits the next bucket, so a window never spans
-    more than two of them.
+    Time is cut in parts of the lookback. The least document of a window is that of its own part up to the row, of the whole parts before
+    it, known by one row each, and of the part in which the window begins, from there on. So no task sorts more than one part of a value.
     """
+    width = -(-lookback_seconds * 1_000_000 // LOOKBACK_PARTS)
     span = lookback_seconds * 1_000_000
     seen = anchors.select("doc_id", _key(match_on).alias("anchor_key")).join(
         docs.select("doc_id", F.unix_micros("seen_at").alias("t")), "doc_id"
     )
     points = seen.groupBy("anchor_key", "t").agg(F.min("doc_id").alias("d"))
-    own = F.floor(F.col("t") / span)
-    visits = points.select("anchor_key", "t", "d", F.explode(F.array(own, own + 1)).alias("bucket"))
-    recent = W.partitionBy("anchor_key", "bucket").orderBy("t").rangeBetween(-span, 0)
+    # Each time is a place in its own part, with its least document, and the place without one where its window begins.
+    places = F.array(
+        F.struct(F.col("t").alias("place"), F.col("d").alias("own"), F.lit(False).alias("begins")),
+        F.struct((F.col("t") - span).alias("place"), F.lit(None).cast("bigint").alias("own"), F.lit(True).alias("begins")),
+    )
+    marks = stage(points.select("anchor_key", "t", F.inline(places)).withColumn("part", F.floor(F.col("place") / width)), "lookback-marks")
+    inside = W.partitionBy("anchor_key", "part").orderBy("place")
+    edge = F.when(F.col("begins"), F.min("own").over(inside.rangeBetween(0, W.unboundedFollowing))).otherwise(
+        F.min("own").over(inside.rangeBetween(W.unboundedPreceding, 0))
+    )
+    edges = marks.withColumn("edge", edge)
+    minima = marks.groupBy("anchor_key", "part").agg(F.min("own").alias("least"))
+    before = W.partitionBy("anchor_key").orderBy("part")
+    whole = minima.select("anchor_key", "part", F.min("least").over(before.rangeBetween(1 - LOOKBACK_PARTS, -1)).alias("between"))
+    # Where a window begins its part is cut; the parts between that one and the row's are whole.
     firsts = (
-        visits.withColumn("first_doc", F.min("d").over(recent))
-        .filter(F.col("bucket") == own)
-        .select("anchor_key", "t", "first_doc")
+        edges.join(whole, ["anchor_key", "part"])
+        .groupBy("anchor_key", "t")
+        .agg(F.min(F.when(F.col("begins"), F.col("edge")).otherwise(F.least("edge", "between"))).alias("first_doc"))
     )
     return seen.join(firsts, ["anchor_key", "t"]).groupBy("doc_id").agg(F.min("first_doc").alias("first_doc"))
 
