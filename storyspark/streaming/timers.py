@@ -1,7 +1,8 @@
 """Timeouts, alerts and changes of streams: the batch operators, applied to rows in event-time order.
 
 Each takes the stream, a session, the folder of its output and state, and how late rows may be, and returns the output so far.
-What is kept between batches is at most a row or two per event, and for timeouts only while a state can still time out.
+What is kept between batches is at most a row or two per event, read and written for the events of a batch only, and for timeouts only the states that
+can still time out.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def sent_alerts(
         return new, last.unionByName(silent)
 
     schema = "event_id bigint, observation_id bigint, observed_at timestamp, status string, gate boolean, kind string"
-    return run_ordered(observations.select(*columns), spark, folder, "observed_at", late_by_s, schema, ALERT, step, every)
+    return run_ordered(observations.select(*columns), spark, folder, "observed_at", late_by_s, schema, ALERT, step, every, "event_id")
 
 
 def event_changes(events: DataFrame, spark: SparkSession, folder: str, late_by_s: int = LATE_S, every: str | None = None) -> DataFrame:
@@ -71,4 +72,4 @@ def event_changes(events: DataFrame, spark: SparkSession, folder: str, late_by_s
         last = known.unionByName(rows).groupBy("event_id").agg(F.max(row).alias("r"))
         return changes.change_log(rows, known), last.select("event_id", *[F.col("r")[c].alias(c) for c in columns[1:]])
 
-    return run_ordered(events.select(*columns), spark, folder, "updated_at", late_by_s, EVENT, CHANGE, step, every)
+    return run_ordered(events.select(*columns), spark, folder, "updated_at", late_by_s, EVENT, CHANGE, step, every, "event_id")

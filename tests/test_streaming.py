@@ -63,7 +63,9 @@ def test_a_state_of_the_last_hour_is_neither_judged_nor_does_it_end_another(spar
     want = collected(states.timed_transitions(following, F.lit(t0 + dt.timedelta(minutes=140))), *columns)
     assert [(r[0], r[3]) for r in want] == [(1, t0 + dt.timedelta(minutes=15)), (2, t0 + dt.timedelta(minutes=11)), (6, t0 + dt.timedelta(minutes=115))]
     folder = new_stage_path(spark, "late-states")
-    log.repartitionByRange(3, "at").write.parquet(folder)
+    minute = (F.unix_timestamp("at") - int(t0.replace(tzinfo=dt.timezone.utc).timestamp())) / 60
+    for low, high in ((0, 110), (110, 150), (150, 999)):  # one file after the other, in order of time
+        log.filter((minute >= low) & (minute < high)).coalesce(1).write.mode("append").parquet(folder)
     live = runner.read_files(runner.stream_session(spark), folder, "*.parquet", files_per_batch=1)
     assert collected(timers.state_timeouts(live, spark, new_stage_path(spark, "timeouts")), *columns) == want
 
