@@ -21,7 +21,9 @@ def working_calendars(days: DataFrame, calendars: DataFrame, holidays: DataFrame
     one of the highest priority holds. ``calendars`` is a handful of rows.
     """
     start = F.unix_timestamp(F.col("day").cast("timestamp"))
-    dated = days.select("day").distinct().withColumn("_one", F.lit(1)).join(calendars.withColumn("_one", F.lit(1)), "_one")
+    # The key is 0 in all rows but no constant, so this stays a join by equality whatever the sizes.
+    zero = lambda column: F.pmod(F.xxhash64(column), F.lit(1))
+    dated = days.select("day").distinct().withColumn("_zero", zero("day")).join(calendars.withColumn("_zero", zero("calendar")), "_zero")
     weekend = F.dayofweek("day").isin(1, 7)
 
     def period(name: str, priority: int, first, last):
