@@ -238,6 +238,15 @@ def test_feed_has_one_row_per_event_and_a_table_of_all_anchors(spark):
     assert cards[2].lane == "geral" and cards[2].tags == []
 
 
+def test_feed_lists_all_anchors_of_an_event_in_pages(spark):
+    events, event_docs = story(spark)
+    anchors = spark.createDataFrame([(1 + n % 2, "PL", f"PL {n % 1500}") for n in range(3000)] + [(1, "CPF", "x")], "doc_id bigint, anchor_type string, anchor_value string")
+    rows = [r for r in feed.event_feed(events, event_docs, anchors).collect() if r.event_id == 1]
+    assert {(r.anchor_count, r.mentions) for r in rows} == {(1501, 3001)} and [r.anchor_page for r in rows] == [0, 1]
+    listed = [(a.type, a.value, a.mentions) for r in rows for a in r.anchors]
+    assert sorted(listed) == sorted([("PL", f"PL {n}", 2) for n in range(1500)] + [("CPF", "x", 1)])
+
+
 def test_change_feed(spark):
     columns = "event_id bigint, canonical_event_id bigint, status string, summary string, lane string, breaking_score double"
     old = spark.createDataFrame([(1, None, "NEW", "a", "x", 1.0), (2, None, "NEW", "a", "x", 1.0), (3, None, "NEW", "a", None, 1.0), (4, None, "NEW", "a", "x", 1.0)], columns)
