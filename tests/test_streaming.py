@@ -9,6 +9,7 @@ from storyspark.operators import alerts, evidence, health, states
 from storyspark.operators.changes import change_log
 from storyspark.operators.hotkeys import with_next
 from storyspark.plans import adapters as ad
+from storyspark.plans import catalog
 from storyspark.plans.catalog import _state_log
 from storyspark.session import new_stage_path, stage
 from storyspark.sinks.tables import append_tables
@@ -188,3 +189,15 @@ def test_change_log_does_not_depend_on_batches(spark, sf_dir, split_events):
 
 def collected_any(df, columns):
     return [tuple(r) for r in df.select(*columns).collect()]
+
+
+@pytest.mark.parametrize("name", ["stream_first_fetches", "stream_ingest", "stream_events"])
+def test_table_of_several_files_streams_like_one_file(spark, tmp_path, name):
+    rows = [(k, f"texto {k % 7} sobre o processo", "pt", f"src{k % 3}", 25) for k in range(1, 41)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    (tmp_path / "folder").mkdir()
+    docs.repartition(3).write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    (tmp_path / "file").mkdir()
+    docs.toPandas().to_parquet(tmp_path / "file" / "documents.parquet")
+    found, wanted = (sorted(map(tuple, catalog.REGISTRY[name](spark, str(tmp_path / kind)).collect())) for kind in ("folder", "file"))
+    assert found == wanted and found
