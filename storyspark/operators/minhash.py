@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from storyspark.functions import text as X
 from storyspark.operators.graph import connected_components
-from storyspark.operators.similar import token_sets
+from storyspark.operators.similar import SIGNATURE, parity_signature, token_sets
 from storyspark.session import stage
 
 
@@ -18,35 +19,61 @@ def bands_for(threshold: float, recall: float, size: int) -> tuple[int, int]:
     return size // rows, rows
 
 
-def _signature(tokens: Column, size: int) -> Column:
-    """For each of ``size`` hash functions the least hash of a token."""
-    return F.transform(F.sequence(F.lit(1), F.lit(size)), lambda seed: F.array_min(F.transform(tokens, lambda t: F.xxhash64(seed, t))))
+#: Representatives of a bucket that a round compares with the bucket's sets: in the first round one, in every other this many times as many.
+HUB_GROWTH = 8
+
+
+def signatures(sets: DataFrame, size: int) -> DataFrame:
+    """``set_id, size, parity, minima`` of sets ``(set_id, tokens)``: for each of ``size`` hash functions the least hash of a token, and parity bits (see ``similar``).
+
+    Combined where a set is exploded, so one row per set travels.
+    """
+    words = sets.select("set_id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    names = [f"m{seed}" for seed in range(1, size + 1)]
+    minima = [F.min(F.xxhash64(F.lit(seed), "token")).alias(name) for seed, name in enumerate(names, 1)]
+    combined = words.groupBy("set_id", "size").agg(*minima, *parity_signature())
+    parity = F.array(*(F.coalesce(word, F.lit(0).cast("bigint")) for word in SIGNATURE))
+    return combined.select("set_id", "size", parity.alias("parity"), F.array(*names).alias("minima"))
 
 
 def minhash_links(sets: DataFrame, threshold: float, recall: float, size: int) -> DataFrame:
     """``u, v``: verified links between sets ``(set_id, tokens)`` and representatives of the buckets that they share.
 
-    In a bucket of one band every set is compared with the one of least id, its representative. Those that are not similar to it choose a
-    representative among themselves, and so on, until none is left: a bucket costs as many comparisons as it has sets, times
-    the number of kinds of texts in it, never all its pairs.
+    In a bucket of one band all sets are compared with the one of least id, its representative, then what is left with the next :data:`HUB_GROWTH`,
+    then with as many times more. A representative that is similar to none before it is settled, and so are the sets similar to it; all others stay
+    until none is left. So a bucket costs about as many comparisons as it has sets, times the number of kinds of texts in it, never all its
+    pairs, and the rounds grow with the logarithm of that number. Sizes and parity bits rule pairs out before tokens are fetched.
     """
     bands, rows = bands_for(threshold, recall, size)
-    signed = sets.select("set_id", _signature(F.col("tokens"), size).alias("minima"))
+    signed = stage(signatures(sets, size), "minhash-signatures")
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.slice("minima", i * rows + 1, rows)).alias("key")))
-    waiting = stage(signed.select("set_id", F.inline(keys)), "minhash-bands")
+    waiting = signed.select("set_id", "size", "parity", F.inline(keys))
     tokens = sets.select("set_id", "tokens")
-    links = None
+    links, n_hubs = None, 1
+    bucket = ["band", "key"]
+    both = F.col("size") + F.col("hub_size")
+    needed = F.lit(threshold / (1 + threshold)) * both - 1e-9
+    # Each differing bit is a differing token.
+    different = F.aggregate(F.zip_with("parity", "hub_parity", X.hamming), F.lit(0), lambda total, bits: total + bits)
+    possible = (F.least("size", "hub_size") >= needed) & ((both - different) / 2 >= needed)
+    place = F.row_number().over(W.partitionBy(*bucket).orderBy("set_id"))
     while True:
-        hubs = waiting.groupBy("band", "key").agg(F.min("set_id").alias("hub"), F.count("*").alias("sets")).filter("sets > 1").drop("sets")
-        met = stage(waiting.join(hubs, ["band", "key"]).filter("set_id <> hub"), "minhash-met")
-        if met.isEmpty():
+        crowded = waiting.groupBy(*bucket).agg(F.count("*").alias("sets")).filter("sets > 1").select(*bucket)
+        waiting = stage(waiting.join(crowded, bucket), "minhash-bands")
+        if waiting.isEmpty():
             break
-        pairs = met.select("set_id", "hub").distinct()
+        first = waiting.withColumn("place", place).filter(F.col("place") <= n_hubs)
+        hubs = stage(first.select(*bucket, F.col("set_id").alias("hub"), F.col("size").alias("hub_size"), F.col("parity").alias("hub_parity")), "minhash-hubs")
+        pairs = waiting.join(hubs, bucket).filter((F.col("set_id") > F.col("hub")) & possible).select("set_id", "hub").distinct()
         whole = pairs.join(tokens, "set_id").join(tokens.select(F.col("set_id").alias("hub"), F.col("tokens").alias("hub_tokens")), "hub")
         similar = stage(whole.filter(X.jaccard(F.col("tokens"), F.col("hub_tokens")) >= threshold).select("set_id", "hub"), "minhash-links")
         found = similar.select(F.col("set_id").alias("u"), F.col("hub").alias("v"))
         links = found if links is None else links.unionByName(found)
-        waiting = stage(met.join(similar, ["set_id", "hub"], "left_anti").select("set_id", "band", "key"), "minhash-bands")
+        met = stage(waiting.select(*bucket, "set_id").join(similar, "set_id").join(hubs.select(*bucket, "hub"), [*bucket, "hub"]), "minhash-met")
+        alone = hubs.select(*bucket, "hub").join(met.select(*bucket, F.col("set_id").alias("hub")), [*bucket, "hub"], "left_anti")
+        settled = met.join(alone, [*bucket, "hub"]).select(*bucket, "set_id").unionByName(alone.withColumnRenamed("hub", "set_id"))
+        waiting = waiting.join(settled, [*bucket, "set_id"], "left_anti")
+        n_hubs *= HUB_GROWTH
     return sets.sparkSession.createDataFrame([], "u bigint, v bigint") if links is None else links.distinct()
 
 

@@ -28,15 +28,15 @@ def token_sets(docs: DataFrame, text_column: str = "clean_text") -> DataFrame:
 
 # Words of a set signature: 16 x 64 parity bits.
 _SIGNATURE_WORDS = 16
-_SIGNATURE = [f"s{i}" for i in range(_SIGNATURE_WORDS)]
+SIGNATURE = [f"s{i}" for i in range(_SIGNATURE_WORDS)]
 
 
-def _signature() -> list[Column]:
+def parity_signature() -> list[Column]:
     """Aggregates over ``token``: every token flips one bit chosen by its hash."""
     place = F.pmod(F.xxhash64("token"), F.lit(64 * _SIGNATURE_WORDS))
     bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(token), 64) AS int))")
     word = F.floor(place / 64)
-    return [F.bit_xor(F.when(word == i, bit)).alias(name) for i, name in enumerate(_SIGNATURE)]
+    return [F.bit_xor(F.when(word == i, bit)).alias(name) for i, name in enumerate(SIGNATURE)]
 
 
 def similar_pairs(
@@ -52,7 +52,7 @@ def similar_pairs(
     sets = stage(token_sets(docs, text_column).withColumn("size", F.size("tokens")), "token-sets")
     words = sets.select("set_id", "size", F.explode("tokens").alias("token"))
     # Combined where the set is exploded: one row of sixteen words per set travels.
-    signatures = stage(words.groupBy("set_id", "size").agg(*_signature()), "signatures")
+    signatures = stage(words.groupBy("set_id", "size").agg(*parity_signature()), "signatures")
     frequency = words.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").withColumn("rows", F.col("df"))
     # The most common words are in nearly every text: they get their frequency by broadcast.
     ranked = (
@@ -87,10 +87,10 @@ def similar_pairs(
         .select("set_id_a", "set_id_b")
         .distinct()
     )
-    signed = "set_id", "size", *_SIGNATURE
+    signed = "set_id", "size", *SIGNATURE
     zero = F.lit(0).cast("bigint")
     different = sum(
-        (X.hamming(F.coalesce(f"{s}_a", zero), F.coalesce(f"{s}_b", zero)) for s in _SIGNATURE[1:]),
+        (X.hamming(F.coalesce(f"{s}_a", zero), F.coalesce(f"{s}_b", zero)) for s in SIGNATURE[1:]),
         X.hamming(F.coalesce("s0_a", zero), F.coalesce("s0_b", zero)),
     )
     likely = (

@@ -191,3 +191,17 @@ def test_percentiles_of_a_stream_lie_within_the_error_of_the_exact_ones(spark):
         assert r.attempts == len(values) == exact[r.pool].attempts
         rank = sum(v <= r.p95_ms for v in values) / len(values)
         assert abs(rank - 0.95) <= sketches.RANK_ERROR and r.is_breach == exact[r.pool].is_breach
+
+
+def test_minhash_buckets_of_many_kinds_take_few_rounds(spark, monkeypatch):
+    """200 sets of 50 kinds share one bucket; one representative a round took 50 rounds."""
+    rows = [(4 * kind + copy, ["least", *(f"k{kind}w{w}" for w in range(12)), f"c{copy}"]) for kind in range(50) for copy in range(4)]
+    sets = spark.createDataFrame([(i, sorted(t)) for i, t in rows], "set_id bigint, tokens array<string>")
+    monkeypatch.setattr(minhash, "bands_for", lambda *_: (1, 1))
+    monkeypatch.setattr(minhash, "signatures", lambda sets, size, f=minhash.signatures: f(sets, size).withColumn("minima", F.array(F.lit(1).cast("bigint"))))
+    rounds = []
+    monkeypatch.setattr(minhash, "stage", lambda df, name, f=minhash.stage: rounds.append(name) or f(df, name))
+    got = {(r.u, r.v) for r in minhash.minhash_links(sets, 0.8, 0.999, 4).collect()}
+    assert got >= {(4 * kind + copy, 4 * kind) for kind in range(50) for copy in (1, 2, 3)}
+    assert all(u // 4 == v // 4 for u, v in got)
+    assert rounds.count("minhash-links") <= 4
