@@ -248,3 +248,18 @@ def test_states(spark):
 def test_decay_is_e_folding(spark):
     (got,) = values(spark, [(NOW - dt.timedelta(hours=2),)], "t timestamp", S.decay(F.col("t"), F.lit(NOW)))
     assert got == pytest.approx(math.exp(-1))
+
+
+def test_pdf_links_are_found_from_the_start_of_a_run(spark):
+    """A run of 60,000 characters without a link took a search from each of them."""
+    rows = spark.createDataFrame([("veja a.pdf,b.PDF?c .pdf x.pdfx y.pdf.pdf\u00a0z.pdf",), ("." * 60_000,)], "t string")
+    found = [r[0] for r in rows.select(A.matches(F.col("t"), "PDF", True)).collect()]
+    assert found == [["a.pdf,b.PDF", "y.pdf.pdf", "z.pdf"], []]
+    assert A.patterns(True)["PDF"].startswith("(?<!")
+
+
+def test_lane_words_are_sought_among_distinct_words_and_phrases_in_the_text(spark):
+    texts = ["o ministerio publico", "publico ministerio", "ministerio xpublico", "supertribunais do tribunal", "a a a", ""]
+    counted = [sum(w in t for w in ("ministerio publico", "tribunal")) for t in texts]
+    lanes = values(spark, [(t,) for t in texts], "t string", T.keyword_lane(F.col("t")))
+    assert [lane == "justica" for lane in lanes] == [n > 0 for n in counted]
