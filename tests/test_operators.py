@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from storyspark import session
 from storyspark.operators import alerts, assign, changes, feed, graph, health, hotkeys, merge, neardup, scoring, similar, versions
 from storyspark.session import stage
 from storyspark.sinks import tables
@@ -164,6 +165,24 @@ def test_similar_pairs_equal_brute_force(spark, threshold):
     assert got == want
 
 
+def test_similar_pairs_of_sets_of_all_sizes_compare_few_tokens(spark, monkeypatch):
+    """Sets larger than the bits of a short signature, sharing rare tokens and common words: hardly a pair but the similar ones gets as far as its tokens."""
+    rng = random.Random(3)
+    texts, want = [], set()
+    for k in range(24):
+        size = (40, 700, 2300)[k % 3]
+        words = [f"w{w}" for w in rng.sample(range(20_000), size)] + [f"rare{k // 6}"]
+        texts += [" ".join(words), " ".join(words[: size * 9 // 10])]
+        want.add((2 * k, 2 * k + 1))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, clean_text string")
+    compared = []
+    monkeypatch.setattr(session, "on_stage", lambda name, df: compared.append(df.count()) if name == "likely-pairs" else None)
+    for levels in (similar.LEVELS, ((30, 16), (800, 16), (2**31 - 1, 64))):
+        found = similar.similar_pairs(docs, 0.6, levels=levels).collect()
+        assert {(r.doc_a, r.doc_b) for r in found} == want and len(found) == len(want)
+    assert compared[0] == len(want)
+
+
 def test_cooldown_equals_fold(spark):
     rng = random.Random(11)
     rows, number = [], 0
