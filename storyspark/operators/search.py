@@ -15,6 +15,8 @@ BLOCK_DOCS = 1024
 FIRST_BLOCKS = 2
 #: Bounds are sums of doubles in any order; scores are compared after rounding to six digits.
 _SLACK = 1e-5
+#: Terms of queries, and blocks chosen by queries, that are sent to where the postings lie; more of them meet postings by a shuffle.
+SENT_ROWS = 1_000_000
 
 
 def postings(docs: DataFrame, terms: DataFrame, n_blocks: int, text_column: str, k1: float, b: float) -> DataFrame:
@@ -41,18 +43,21 @@ def bm25_join(
     b: float = 0.75,
     text_column: str = "clean_text",
     block_docs: int = BLOCK_DOCS,
+    sent_rows: int = SENT_ROWS,
 ) -> DataFrame:
     """``query_id, rank, doc_id, bm25``: the best ``k`` documents of ``docs`` for each of ``queries (query_id, text)``, equal scores by ``doc_id``.
 
     Postings lie in blocks of documents, and of each term and block the greatest impact is known. Their sums bound what a query can reach
     in a block. A query scores its most promising blocks, takes its k-th best score there as the bar, and then only the blocks
-    whose bound reaches it. Terms meet postings by term and block, so a term of all documents has as many tasks as there are blocks.
+    whose bound reaches it. Postings are dealt by block, and scores are summed and ranked where they lie: a document with a score
+    is not shuffled unless it is among the best of its task. Above ``sent_rows`` terms of queries or chosen blocks, terms meet postings by term and block instead. Either way a term
+    of all documents has as many tasks as there are blocks.
     Documents that score nothing, and queries without a known term, have no rows. ``query_id`` names one query.
     """
     words = stage(
         queries.select("query_id", F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")), "search-queries"
     )
-    n_blocks = max(1, -(-docs.count() // block_docs))
+    n_words, n_blocks = words.count(), max(1, -(-docs.count() // block_docs))
     index = stage(postings(docs, words.select("term").distinct(), n_blocks, text_column, k1, b), "search-index")
     tops = index.groupBy("term", "block").agg(F.max("impact").alias("top"))
     bounds = stage(words.join(tops, "term").groupBy("query_id", "block").agg(F.sum(F.col("times") * F.col("top")).alias("bound")), "search-bounds")
@@ -60,8 +65,12 @@ def bm25_join(
     first = bounds.withColumn("place", promising).filter(F.col("place") <= FIRST_BLOCKS).drop("place")
 
     def scored(chosen: DataFrame) -> DataFrame:
-        wanted = words.join(chosen.select("query_id", "block"), "query_id")
-        found = wanted.join(index, ["term", "block"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * F.col("impact")).alias("bm25"))
+        chosen = stage(chosen.select("query_id", "block"), "search-chosen")
+        if max(n_words, chosen.count()) <= sent_rows:
+            asked = index.repartition("block").join(F.broadcast(words), "term").join(F.broadcast(chosen), ["query_id", "block"], "left_semi")
+        else:
+            asked = words.join(chosen, "query_id").join(index, ["term", "block"])
+        found = asked.groupBy("query_id", "block", "doc_id").agg(F.sum(F.col("times") * F.col("impact")).alias("bm25")).drop("block")
         return _best(found.withColumn("bm25", F.round("bm25", 6)).filter("bm25 > 0"), k)
 
     start = stage(scored(first), "search-first")

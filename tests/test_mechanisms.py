@@ -2,10 +2,12 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from storyspark import session
 from storyspark.operators import calendars, deferred, intervals, merge, minhash, redirects, search, suffixes, velocity
 from storyspark.operators.health import latency_p95
 from storyspark.session import new_stage_path, stage
@@ -119,6 +121,17 @@ def test_block_search_equals_scores_of_all_documents(spark, block_docs):
     assert sorted((r.query_id, r.rank, r.doc_id) for r in got.collect()) == sorted(want)
 
 
+def test_block_search_sums_scores_where_the_postings_lie(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(k, " ".join(rng.choices("abcdefgh", k=12))) for k in range(120)] + [(None, "a b")], "doc_id bigint, clean_text string")
+    queries = spark.createDataFrame([(k, " ".join(rng.choices("abcdefgh", k=3))) for k in range(6)] + [(None, "a")], "query_id bigint, text string")
+    plans = []
+    monkeypatch.setattr(session, "on_stage", lambda name, df: plans.append(df._jdf.queryExecution().toString()) if name == "search-first" else None)
+    here, shuffled = (sorted(search.bm25_join(docs, queries, k=4, block_docs=10, sent_rows=n).collect()) for n in (1_000_000, 0))
+    assert here == shuffled and len(here) == 24
+    assert [bool(re.search(r"hashpartitioning\(query_id#\w+, (block#\w+, )?doc_id", p)) for p in plans] == [False, True]
+
+
 def test_bands_follow_the_recall_asked_for():
     for threshold, recall in ((0.8, 0.999), (0.5, 0.9), (0.9, 0.99), (0.3, 0.95)):
         bands, rows = minhash.bands_for(threshold, recall, 64)
