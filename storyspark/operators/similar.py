@@ -203,16 +203,23 @@ def bm25_top(
     return ranked.orderBy(F.col("bm25").desc(), "doc_id").limit(limit).filter("bm25 > 0")
 
 
+#: Terms whose document frequencies are broadcast, at most.
+COMMON_TERMS = 100_000
+
+
 def tfidf_top_terms(
-    docs: DataFrame, k: int = 5, text_column: str = "clean_text", hot_rows: int = HOT_ROWS
+    docs: DataFrame, k: int = 5, text_column: str = "clean_text", hot_rows: int | None = None
 ) -> DataFrame:
     """The ``k`` terms of each document with the highest ``tf * ln((N + 1) / (df + 1))``.
 
-    A term is counted per document before anything is joined; a term of very many documents gets its document
-    frequency by broadcast (see :func:`attach_unique`).
+    Texts move once, to where their words are counted, so that a document's terms lie together. Terms of at least ``hot_rows`` documents get their document
+    frequency by broadcast (see :func:`attach_unique`); by default those that hold one in :data:`COMMON_TERMS` of all counts, of which there
+    are at most so many. They are most of the counts, and of these a document's best leave their task.
     """
-    words = docs.select("doc_id", F.explode(X.tokens(F.col(text_column))).alias("term"))
+    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = docs.select("doc_id", text_column).repartition(n_parts, "doc_id").select("doc_id", F.explode(X.tokens(F.col(text_column))).alias("term"))
     counts = stage(words.groupBy("doc_id", "term").agg(F.count("*").alias("tf")), "term-counts")
+    hot_rows = hot_rows or min(HOT_ROWS, counts.count() // COMMON_TERMS + 1)
     total = docs.agg(F.count("*")).scalar()
     frequency = counts.groupBy("term").agg(F.count("*").alias("df")).withColumn("rows", F.col("df"))
     weighed = attach_unique(counts, frequency, "term", "rows", hot_rows).withColumn(

@@ -340,6 +340,15 @@ def test_tfidf(spark, hot_rows):
     assert got == {(0, 1): ("b", 1, 1), (1, 1): ("c", 1, 1), (2, 1): ("d", 3, 1)}
 
 
+def test_tfidf_counts_terms_where_the_text_lies(spark, monkeypatch):
+    plans = {}
+    monkeypatch.setattr(session, "on_stage", lambda name, df: plans.setdefault(name, df._jdf.queryExecution().toString()))
+    rows = [(1, "a a b"), (1, "b c"), (2, "a"), (None, "a d"), (None, "d"), (3, None)]
+    got = similar.tfidf_top_terms(spark.createDataFrame(rows, "doc_id bigint, clean_text string"), 1).collect()
+    assert {(r.doc_id, r.term, r.tf, r.df) for r in got} == {(1, "b", 2, 1), (2, "a", 1, 3), (None, "d", 2, 1)}
+    assert "hashpartitioning(doc_id" in plans["term-counts"] and plans["term-counts"].count("Exchange") == 1
+
+
 def test_minhash_estimates_jaccard(spark):
     words = [f"w{i}" for i in range(400)]
     texts = [" ".join(words), " ".join(words[:360]), " ".join(reversed(words)) + " w1", "other words", ""]
