@@ -96,6 +96,15 @@ def test_redirects_as_of_follow_chains_that_change(spark):
         redirects.redirect_periods(spark.createDataFrame([(1, 2, at(0)), (2, 3, at(0)), (3, 1, at(0))], "from_event_id bigint, to_event_id bigint, valid_from timestamp"))
 
 
+def test_readers_of_redirects_move_once_however_many_lengths_periods_have(spark):
+    table = spark.createDataFrame([(100, k, at(2**k)) for k in range(20)] + [(100, None, at(2**20))], "from_event_id bigint, to_event_id bigint, valid_from timestamp")
+    asked = [(k, 100, at(s)) for k, s in enumerate(x + d for x in (2**k for k in range(21)) for d in (-0.5, 0, 0.5))] + [(99, 100, None), (98, None, at(3))]
+    got = redirects.redirects_as_of(spark.createDataFrame(asked, "reader bigint, event_id bigint, at timestamp"), table)
+    assert "Generate" not in got._jdf.queryExecution().toString()
+    want = {k: next((e for e in reversed(range(20)) if at(2**e) <= t < at(2**20)), 100) for k, _, t in asked[:63]}
+    assert {r.reader: r.target_event_id for r in got.collect()} == want | {99: 100, 98: None}
+
+
 @pytest.mark.parametrize("block_docs", [7, 1000])
 def test_block_search_equals_scores_of_all_documents(spark, block_docs):
     import math
