@@ -263,3 +263,10 @@ def test_lane_words_are_sought_among_distinct_words_and_phrases_in_the_text(spar
     counted = [sum(w in t for w in ("ministerio publico", "tribunal")) for t in texts]
     lanes = values(spark, [(t,) for t in texts], "t string", T.keyword_lane(F.col("t")))
     assert [lane == "justica" for lane in lanes] == [n > 0 for n in counted]
+
+
+def test_only_gaps_other_than_a_single_space_are_replaced(spark):
+    gaps = [" ", "  ", "\n", " \n", "\n ", "\t\t", "\u00a0", " \u2003 ", "\u3000", "\x85", "\u200b"]
+    rows = spark.createDataFrame([(k, f"{gap}A{gap}b c{gap}") for k, gap in enumerate(gaps)], "k int, t string")
+    got = {r.k: r.n for r in rows.select("k", X.normalize_text(F.col("t")).alias("n")).collect()}
+    assert got == {k: "a b c" if gap != "\u200b" else "\u200ba\u200bb c\u200b" for k, gap in enumerate(gaps)}
