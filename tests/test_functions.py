@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from storyspark.functions import anchors as A
 from storyspark.functions import deltas as D
+from storyspark.functions import fixed_values as fixed
 from storyspark.functions import scores as S
 from storyspark.functions import states as ST
 from storyspark.functions import taxonomy as T
@@ -270,3 +271,27 @@ def test_only_gaps_other_than_a_single_space_are_replaced(spark):
     rows = spark.createDataFrame([(k, f"{gap}A{gap}b c{gap}") for k, gap in enumerate(gaps)], "k int, t string")
     got = {r.k: r.n for r in rows.select("k", X.normalize_text(F.col("t")).alias("n")).collect()}
     assert got == {k: "a b c" if gap != "\u200b" else "\u200ba\u200bb c\u200b" for k, gap in enumerate(gaps)}
+
+
+KEYWORDS = [word for words in fixed.LANE_KEYWORDS.values() for word in words]
+
+
+def test_words_are_found_wherever_they_stand(spark):
+    texts = [*KEYWORDS, *(f"x{w}s" for w in KEYWORDS), *(w[:-1] for w in KEYWORDS), *(w[1:] for w in KEYWORDS), *map("".join, zip(KEYWORDS, KEYWORDS[1:]))]
+    texts += ["".join(KEYWORDS), " ".join(KEYWORDS), "", "violencia policial", "agronegocio", "\U0001f600ia\U0001f600copom", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = {r.k: r.w for r in rows.select("k", T.words_in(F.col("t"), KEYWORDS).alias("w")).collect()}
+    assert {k: set(w) for k, w in got.items()} == {k: {w for w in KEYWORDS if w in (t or "")} for k, t in enumerate(texts)}
+    lanes = {r.k: r.lane for r in rows.select("k", T.keyword_lane(F.col("t")).alias("lane")).collect()}
+
+    def lane_of(text):
+        ranked = [(sum(w in text for w in words), fixed.LANE_PRIORITIES.get(lane, fixed.OTHER_LANE_PRIORITY), -k, lane) for k, (lane, words) in enumerate(fixed.LANE_KEYWORDS.items())]
+        return max(ranked)[3] if max(ranked)[0] else None
+
+    assert lanes == {k: lane_of(t or "") for k, t in enumerate(texts)}
+
+
+def test_a_text_is_not_searched_once_for_each_keyword(spark):
+    rows = spark.createDataFrame([("x",)], "t string").select(T.keyword_lane(F.col("t")).alias("lane"))
+    assert "split(" not in rows._jdf.queryExecution().analyzed().toString()
+    assert sum(T._ending(word) is None for word in KEYWORDS) <= 15
