@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from storyspark.functions import text as X
 from storyspark.operators.graph import connected_components
-from storyspark.operators.similar import SIGNATURE, parity_signature, token_sets
+from storyspark.operators.similar import SIGNATURE, parity_signature, side, similarity_possible, token_sets
 from storyspark.session import stage
 
 
@@ -19,8 +19,12 @@ def bands_for(threshold: float, recall: float, size: int) -> tuple[int, int]:
     return size // rows, rows
 
 
-#: Representatives of a bucket that a round compares with the bucket's sets: in the first round one, in every other this many times as many.
-HUB_GROWTH = 8
+#: Of so many kinds that lie in a bucket, one set each is compared with all others of the bucket before all that is left is.
+KINDS = 32
+#: Sets of a bucket that meet under one key of the join; a larger bucket is dealt to blocks.
+BUCKET_SETS = 2_000
+#: Words of 64 bits of a map of ids, 2 MB whatever their number.
+MAP_WORDS = 2**18
 
 
 def signatures(sets: DataFrame, size: int) -> DataFrame:
@@ -36,45 +40,77 @@ def signatures(sets: DataFrame, size: int) -> DataFrame:
     return combined.select("set_id", "size", parity.alias("parity"), F.array(*names).alias("minima"))
 
 
+def _among(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``sets`` whose ``set_id`` is among ``ids (set_id)``, and a few others: found by a bit map, so that the others' tokens stay where they are."""
+    place = F.pmod(F.xxhash64("set_id"), F.lit(64 * MAP_WORDS))
+    word, bit = F.floor(place / 64).cast("int"), (place % 64).cast("int")
+    marked = ids.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    held = sets.select(*sets.columns, word.alias("_word"), bit.alias("_place")).join(F.broadcast(marked), "_word")
+    return held.filter(F.call_function("shiftright", F.col("_bits"), F.col("_place")).bitwiseAND(1) == 1).select(*sets.columns)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``u, v``, ``u`` the greater, of the ``pairs (set_id_a, set_id_b)`` whose tokens reach the threshold."""
+    some = _among(sets.select("set_id", "tokens"), pairs.select(F.explode(F.array("set_id_a", "set_id_b")).alias("set_id")))
+    whole = pairs.join(side(some, "b"), "set_id_b").join(side(some, "a"), "set_id_a")
+    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    return whole.filter(common / (F.size("tokens_a") + F.size("tokens_b") - common) >= threshold).select(F.col("set_id_b").alias("u"), F.col("set_id_a").alias("v"))
+
+
+def _kinds_met(mixed: DataFrame) -> DataFrame:
+    """Pairs of a bucket's sets and one set each of its first :data:`KINDS` kinds, others than the set's own."""
+    least = mixed.groupBy("bucket", "root").agg(F.min("set_id").alias("set_id"))
+    first = least.withColumn("place", F.row_number().over(W.partitionBy("bucket").orderBy("set_id"))).filter(F.col("place") <= KINDS)
+    return side(mixed.join(first.select("bucket", "set_id"), ["bucket", "set_id"]), "a", "bucket").join(side(mixed, "b", "bucket"), "bucket")
+
+
+def _all_met(mixed: DataFrame) -> DataFrame:
+    """Every two sets of a bucket, either way round: a large bucket block by block."""
+    blocks = F.ceil(F.col("sets") / BUCKET_SETS).cast("int")
+    own, every = F.pmod(F.xxhash64("set_id"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+    keys = ["bucket", "row", "column"]
+    return side(mixed.select("*", own.alias("row"), every.alias("column")), "a", *keys).join(side(mixed.select("*", own.alias("column"), every.alias("row")), "b", *keys), keys)
+
+
 def minhash_links(sets: DataFrame, threshold: float, recall: float, size: int) -> DataFrame:
-    """``u, v``: verified links between sets ``(set_id, tokens)`` and representatives of the buckets that they share.
+    """``u, v``: verified links between sets ``(set_id, tokens)`` that share a bucket. They connect whatever all similar pairs within buckets connect.
 
-    In a bucket of one band all sets are compared with the one of least id, its representative, then what is left with the next :data:`HUB_GROWTH`,
-    then with as many times more. A representative that is similar to none before it is settled, and so are the sets similar to it; all others stay
-    until none is left. So a bucket costs about as many comparisons as it has sets, times the number of kinds of texts in it, never all its
-    pairs, and the rounds grow with the logarithm of that number. Sizes and parity bits rule pairs out before tokens are fetched.
+    First each set is compared with the least set of its buckets that it shares most of them with. Sets that are connected by then are of one kind and
+    need no further link. In buckets that hold several kinds, sets meet a member of each of the first :data:`KINDS`, then all sets of other
+    kinds that are left, so no pair that meets the threshold goes unseen unless its sets are connected. A family costs as many comparisons as it has members; kinds
+    that share a bucket without being similar are compared pair by pair, by sizes and parity bits inside the join. Only of pairs that these
+    allow are tokens fetched, and each pair is fetched once.
     """
     bands, rows = bands_for(threshold, recall, size)
-    signed = stage(signatures(sets, size), "minhash-signatures")
-    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.slice("minima", i * rows + 1, rows)).alias("key")))
-    waiting = signed.select("set_id", "size", "parity", F.inline(keys))
-    tokens = sets.select("set_id", "tokens")
-    links, n_hubs = None, 1
-    bucket = ["band", "key"]
-    both = F.col("size") + F.col("hub_size")
-    needed = F.lit(threshold / (1 + threshold)) * both - 1e-9
-    # Each differing bit is a differing token.
-    different = F.aggregate(F.zip_with("parity", "hub_parity", X.hamming), F.lit(0), lambda total, bits: total + bits)
-    possible = (F.least("size", "hub_size") >= needed) & ((both - different) / 2 >= needed)
-    place = F.row_number().over(W.partitionBy(*bucket).orderBy("set_id"))
-    while True:
-        crowded = waiting.groupBy(*bucket).agg(F.count("*").alias("sets")).filter("sets > 1").select(*bucket)
-        waiting = stage(waiting.join(crowded, bucket), "minhash-bands")
-        if waiting.isEmpty():
+    buckets = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("minima", i * rows + 1, rows)))
+    parity = [F.get("parity", F.lit(i)).alias(name) for i, name in enumerate(SIGNATURE)]
+    signed = stage(signatures(sets, size).select("set_id", "size", *parity, buckets.alias("buckets")), "minhash-signatures")
+    marks = signed.drop("buckets")
+    placed = signed.select("set_id", F.explode("buckets").alias("bucket"))
+    crowded = placed.groupBy("bucket").agg(F.min("set_id").alias("hub"), F.count("*").alias("sets")).filter("sets > 1")
+    members = stage(placed.join(crowded, "bucket"), "minhash-bands")
+    needed, alike = similarity_possible(threshold, len(SIGNATURE))
+    possible = (F.least("size_a", "size_b") >= needed) & alike
+    shared = members.filter(F.col("set_id") > F.col("hub")).groupBy("set_id", "hub").agg(F.count("*").alias("times"))
+    best = shared.groupBy(F.col("set_id").alias("set_id_b")).agg(F.min(F.struct(-F.col("times"), "hub"))["hub"].alias("set_id_a"))
+    met = best.join(side(marks, "b"), "set_id_b").join(side(marks, "a"), "set_id_a").filter(possible)
+    tried = stage(met.select("set_id_a", "set_id_b"), "minhash-pairs")
+    links = stage(_verified(tried, sets, threshold), "minhash-links")
+    for meet in (_kinds_met, _all_met):
+        kinds = connected_components(links)
+        rooted = members.join(kinds, F.col("set_id") == F.col("id"), "left").select("bucket", "sets", "set_id", F.coalesce("root", "set_id").alias("root"))
+        several = rooted.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("bucket")
+        mixed = stage(rooted.join(several, "bucket").join(marks, "set_id"), "minhash-mixed")
+        if mixed.isEmpty():
             break
-        first = waiting.withColumn("place", place).filter(F.col("place") <= n_hubs)
-        hubs = stage(first.select(*bucket, F.col("set_id").alias("hub"), F.col("size").alias("hub_size"), F.col("parity").alias("hub_parity")), "minhash-hubs")
-        pairs = waiting.join(hubs, bucket).filter((F.col("set_id") > F.col("hub")) & possible).select("set_id", "hub").distinct()
-        whole = pairs.join(tokens, "set_id").join(tokens.select(F.col("set_id").alias("hub"), F.col("tokens").alias("hub_tokens")), "hub")
-        similar = stage(whole.filter(X.jaccard(F.col("tokens"), F.col("hub_tokens")) >= threshold).select("set_id", "hub"), "minhash-links")
-        found = similar.select(F.col("set_id").alias("u"), F.col("hub").alias("v"))
-        links = found if links is None else links.unionByName(found)
-        met = stage(waiting.select(*bucket, "set_id").join(similar, "set_id").join(hubs.select(*bucket, "hub"), [*bucket, "hub"]), "minhash-met")
-        alone = hubs.select(*bucket, "hub").join(met.select(*bucket, F.col("set_id").alias("hub")), [*bucket, "hub"], "left_anti")
-        settled = met.join(alone, [*bucket, "hub"]).select(*bucket, "set_id").unionByName(alone.withColumnRenamed("hub", "set_id"))
-        waiting = waiting.join(settled, [*bucket, "set_id"], "left_anti")
-        n_hubs *= HUB_GROWTH
-    return sets.sparkSession.createDataFrame([], "u bigint, v bigint") if links is None else links.distinct()
+        met = meet(mixed).filter((F.col("root_a") != F.col("root_b")) & possible)
+        if meet is _all_met:
+            met = met.filter(F.col("set_id_a") < F.col("set_id_b"))
+        pairs = met.select(F.least("set_id_a", "set_id_b").alias("set_id_a"), F.greatest("set_id_a", "set_id_b").alias("set_id_b")).distinct()
+        new = stage(pairs.join(tried, ["set_id_a", "set_id_b"], "left_anti"), "minhash-pairs")
+        links = links.unionByName(stage(_verified(new, sets, threshold), "minhash-links"))
+        tried = tried.unionByName(new)
+    return links.distinct()
 
 
 def minhash_groups(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, size: int = 64, text_column: str = "clean_text") -> DataFrame:

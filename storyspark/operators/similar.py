@@ -74,11 +74,11 @@ def _sum(terms: list[Column]) -> Column:
     return terms[0] if len(terms) == 1 else _sum(terms[:half]) + _sum(terms[half:])
 
 
-def _side(df: DataFrame, x: str, *keys: str) -> DataFrame:
+def side(df: DataFrame, x: str, *keys: str) -> DataFrame:
     return df.select(*keys, *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c not in keys])
 
 
-def _alike(threshold: float, n_words: int) -> tuple[Column, Column]:
+def similarity_possible(threshold: float, n_words: int) -> tuple[Column, Column]:
     """The overlap needed for the threshold, and whether signatures allow it: each differing bit is a differing token."""
     needed = F.lit(threshold / (1 + threshold)) * (F.col("size_a") + F.col("size_b")) - 1e-9
     different = _sum([X.hamming(F.col(f"{s}_a"), F.col(f"{s}_b")) for s in _signature_names(n_words)])
@@ -106,12 +106,12 @@ def _pairs_by_rare_tokens(sets: DataFrame, threshold: float, n_words: int, hot_r
         .select(F.xxhash64("t.token").alias("token"), "set_id", "size", (F.col("alone") + F.col("i")).alias("place"), *_signature_names(n_words)),
         "prefixes",
     )
-    needed, alike = _alike(threshold, n_words)
+    needed, alike = similarity_possible(threshold, n_words)
     # The most a pair can have in common that shares the token at these places.
     upto = F.least("place_a", "place_b") + 1
     after = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) - 1
     possible = (F.least("size_a", "size_b") >= needed) & (upto + after >= needed)
-    met = _side(keys, "a", "token").join(_side(keys, "b", "token"), "token")
+    met = side(keys, "a", "token").join(side(keys, "b", "token"), "token")
     return met.filter((F.col("set_id_a") < F.col("set_id_b")) & possible & alike).select("set_id_a", "set_id_b")
 
 
@@ -120,9 +120,9 @@ def _pairs_in_blocks(sets: DataFrame, threshold: float, above: int, n_words: int
     signed = stage(_signatures(sets.filter(F.col("size") >= F.lit(above + 1) * threshold - 1e-9), n_words), "signatures")
     n_blocks = max(BLOCKS, -(-signed.count() // BLOCK_SETS))
     block, others = F.pmod(F.xxhash64("set_id"), F.lit(n_blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    larger = _side(signed.filter(F.col("size") > above).select(block.alias("row"), others.alias("column"), "*"), "a", "row", "column")
-    smaller = _side(signed.select(others.alias("row"), block.alias("column"), "*"), "b", "row", "column")
-    needed, alike = _alike(threshold, n_words)
+    larger = side(signed.filter(F.col("size") > above).select(block.alias("row"), others.alias("column"), "*"), "a", "row", "column")
+    smaller = side(signed.select(others.alias("row"), block.alias("column"), "*"), "b", "row", "column")
+    needed, alike = similarity_possible(threshold, n_words)
     in_order = (F.col("size_a") > F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("set_id_a") < F.col("set_id_b")))
     met = larger.join(smaller, ["row", "column"]).filter(in_order & (F.col("size_b") >= needed) & alike & (F.col("set_id_a") != F.col("set_id_b")))
     return met.select(F.least("set_id_a", "set_id_b").alias("set_id_a"), F.greatest("set_id_a", "set_id_b").alias("set_id_b"))
@@ -151,8 +151,8 @@ def similar_pairs(
     whole = sets.select("set_id", "copies", "size", "tokens")
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
     return (
-        likely.join(_side(whole, "a"), "set_id_a")
-        .join(_side(whole, "b"), "set_id_b")
+        likely.join(side(whole, "a"), "set_id_a")
+        .join(side(whole, "b"), "set_id_b")
         .withColumn("common", common)
         .withColumn("jaccard", F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common")))
         .filter(F.col("jaccard") >= threshold)

@@ -227,3 +227,51 @@ def test_minhash_buckets_of_many_kinds_take_few_rounds(spark, monkeypatch):
     assert got >= {(4 * kind + copy, 4 * kind) for kind in range(50) for copy in (1, 2, 3)}
     assert all(u // 4 == v // 4 for u, v in got)
     assert rounds.count("minhash-links") <= 4
+
+
+def one_bucket(spark, monkeypatch, rows):
+    monkeypatch.setattr(minhash, "bands_for", lambda *_: (1, 1))
+    monkeypatch.setattr(minhash, "signatures", lambda sets, size, f=minhash.signatures: f(sets, size).withColumn("minima", F.array(F.lit(1).cast("bigint"))))
+    return spark.createDataFrame([(i, sorted(t)) for i, t in rows], "set_id bigint, tokens array<string>")
+
+
+@pytest.mark.parametrize("block", [2_000, 5])
+def test_minhash_links_connect_what_all_similar_pairs_of_a_bucket_connect(spark, monkeypatch, block):
+    """A set that is similar to a representative was compared with none of the others: the far end of a chain was left out."""
+    monkeypatch.setattr(minhash, "BUCKET_SETS", block)
+    monkeypatch.setattr(minhash, "KINDS", 3)
+    rng = random.Random(11)
+    rows = []
+    for chain in range(9):
+        words = [f"c{chain}w{k}" for k in range(140)]
+        rows += [set(words[10 * step : 10 * step + 100]) for step in range(5)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    got = {(r.u, r.v) for r in minhash.minhash_links(one_bucket(spark, monkeypatch, rows), 0.8, 0.999, 4).collect()}
+    like = lambda a, b: len(a & b) / len(a | b) >= 0.8
+    want = {(i, j) for i, a in rows for j, b in rows if i > j and like(a, b)}
+    assert len(want) == 36 and got <= want
+
+    def groups(pairs):
+        root = dict.fromkeys(range(len(rows)))
+        root = {i: i for i in root}
+        for _ in rows:
+            for u, v in pairs:
+                root[u] = root[v] = min(root[u], root[v])
+        return root
+
+    assert groups(got) == groups(want)
+
+
+def test_minhash_fetches_the_tokens_of_wanted_sets_only(spark, monkeypatch):
+    """Every round shuffled the tokens of all sets, twice."""
+    sets = spark.createDataFrame([(i, [f"w{i}"]) for i in range(-500, 500)], "set_id bigint, tokens array<string>")
+    ids = spark.createDataFrame([(i,) for i in range(-20, 20)], "set_id bigint")
+    got = minhash._among(sets, ids)
+    assert "Exchange hashpartitioning(set_id" not in got._jdf.queryExecution().toString()
+    assert set(range(-20, 20)) <= {r.set_id for r in got.collect()} and got.count() < 60
+    rows = [(k, {f"k{k}w{w}" for w in range(30)} | {"x"}) for k in range(40)] + [(40, {f"k0w{w}" for w in range(30)})]
+    seen = []
+    monkeypatch.setattr(minhash, "_verified", lambda pairs, *rest, f=minhash._verified: seen.append(pairs.count()) or f(pairs, *rest))
+    links = minhash.minhash_links(one_bucket(spark, monkeypatch, rows), 0.8, 0.999, 4).collect()
+    assert [tuple(r) for r in links] == [(40, 0)] and seen[0] == 1 and sum(seen) < 10
