@@ -2,49 +2,88 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from storyspark.session import stage
 
 _FIRST, _LAST = -(2**62), 2**62
-_MOST_ROUNDS = 64
+
+
+def _chunks(times: DataFrame) -> Callable[[Column], Column]:
+    """A number that grows with a time and cuts the column ``at`` of ``times`` in some chunks for each partition of a shuffle; what is before all is its own."""
+    first, last = times.filter(F.col("at") > _FIRST).agg(F.min("at"), F.max("at")).first()
+    chunks = 8 * int(times.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = 1 if first is None else (last - first) // chunks + 1
+    return lambda at: F.greatest(F.floor((at - F.lit(first or 0)) / F.lit(width)), F.lit(-1))
+
+
+def _numbered(marks: DataFrame, chunk: Callable[[Column], Column]) -> DataFrame:
+    """``id, at, until, rank, target`` of ``marks (id, at, target)``: when the next mark of the id comes, and its place among them.
+
+    A mark with the target of the one before in its chunk says nothing new and goes. No task sorts a whole id.
+    """
+    inside = W.partitionBy("id", "chunk").orderBy("at")
+    rows = marks.withColumn("chunk", chunk(F.col("at")))
+    rows = rows.withColumn("same", F.col("target").eqNullSafe(F.lag("target").over(inside)) & (F.row_number().over(inside) > 1)).filter("not same").drop("same")
+    rows = stage(rows.withColumns({"rank": F.row_number().over(inside), "until": F.lead("at").over(inside)}), "redirect-chunks")
+    over = W.partitionBy("id").orderBy("chunk")
+    edges = rows.groupBy("id", "chunk").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    edges = edges.select(
+        F.col("id").alias("_id"), F.col("chunk").alias("_chunk"), F.lead("first").over(over).alias("_next"), F.coalesce(F.sum("n").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base")
+    )
+    joined = rows.join(edges, rows["id"].eqNullSafe(edges["_id"]) & (rows["chunk"] == edges["_chunk"]))
+    return joined.select("id", "at", F.coalesce("until", "_next", F.lit(_LAST)).alias("until"), (F.col("rank") + F.col("_base")).alias("rank"), "target")
+
+
+def _onward(steps: DataFrame, chunk: Callable[[Column], Column]) -> DataFrame:
+    """``id, at, target, first, last`` of the ``steps`` that lead elsewhere: the ranks of the target's marks in force when the step begins and before it ends.
+
+    They are sought as in :func:`_in_force`; null where the target has no marks.
+    """
+    leading = steps.filter("target <> id")
+    ends = F.inline(F.array(F.struct(F.col("at").alias("when"), F.lit(True).alias("begins")), F.struct((F.col("until") - 1).alias("when"), F.lit(False).alias("begins"))))
+    asked = leading.select("target", "id", "at", ends).withColumn("rank", F.lit(None).cast("bigint"))
+    given = steps.select(F.col("id").alias("target"), F.lit(None).cast(steps.schema["id"].dataType).alias("id"), F.lit(None).cast("bigint").alias("at"), F.col("at").alias("when"), F.lit(None).cast("boolean").alias("begins"), "rank")
+    rows = asked.unionByName(given).withColumn("chunk", chunk(F.col("when")))
+    inside = W.partitionBy("target", "chunk").orderBy("when").rangeBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy("target").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    carried = rows.groupBy("target", "chunk").agg(F.max("rank").alias("rank")).select("target", "chunk", F.max("rank").over(before).alias("carried"))
+    sought = rows.withColumn("inside", F.max("rank").over(inside)).filter("begins is not null").join(carried, ["target", "chunk"])
+    found = sought.withColumn("rank", F.coalesce("inside", "carried"))
+    return found.groupBy("id", "at", "target").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
 
 
 def redirect_periods(redirects: DataFrame) -> DataFrame:
     """``id, target, valid_from, valid_to``: where each redirected event leads in each period, through any chain, in microseconds.
 
     ``redirects``: ``from_event_id, to_event_id, valid_from`` (timestamp); a later row of an event replaces the one before, of several at one
-    time the greatest target counts, and an event without target, or before its first row, stands for itself. Chains are
+    time the greatest target counts, and an event without target, or before its first row, stands for itself. A row without time never begins. Chains are
     doubled: each round puts together two steps wherever their periods overlap, so a chain of any length takes a logarithmic number of rounds.
-    A ring of redirects at one time is an error.
+    What a step overlaps are consecutive periods of its target, which it takes by their numbers, so a round costs as much as the periods that it makes.
+    Most periods that follow each other with one target are one. A ring of redirects at one time is an error.
     """
-    rows = redirects.select(F.col("from_event_id").alias("id"), F.coalesce("to_event_id", "from_event_id").alias("target"), F.unix_micros("valid_from").alias("valid_from"))
-    rows = rows.groupBy("id", "valid_from").agg(F.max("target").alias("target"))
-    following = F.lead("valid_from").over(W.partitionBy("id").orderBy("valid_from"))
-    rows = rows.withColumn("valid_to", F.coalesce(following, F.lit(_LAST)))
-    itself = rows.groupBy("id").agg(F.min("valid_from").alias("valid_to")).select("id", F.col("id").alias("target"), F.lit(_FIRST).alias("valid_from"), "valid_to")
-    steps = stage(rows.select("id", "target", "valid_from", "valid_to").unionByName(itself), "redirect-periods")
-    for _ in range(_MOST_ROUNDS):
-        onward = steps.select(F.col("id").alias("target"), F.col("target").alias("_next"), F.col("valid_from").alias("_from"), F.col("valid_to").alias("_to"))
-        # Events that are no redirect's start have no periods: they are ends of chains at all times.
-        overlap = (F.col("_from") < F.col("valid_to")) & (F.col("_to") > F.col("valid_from"))
-        joined = steps.join(onward.withColumnRenamed("target", "_target"), (F.col("target") == F.col("_target")) & (F.col("target") != F.col("id")) & overlap, "left")
-        moved = F.col("_next").isNotNull() & (F.col("_next") != F.col("target"))
-        doubled = stage(
-            joined.select(
-                "id",
-                F.coalesce("_next", "target").alias("target"),
-                F.greatest("valid_from", F.coalesce("_from", "valid_from")).alias("valid_from"),
-                F.least("valid_to", F.coalesce("_to", "valid_to")).alias("valid_to"),
-                moved.alias("moved"),
-            ),
-            "redirect-periods",
-        )
-        steps = doubled.drop("moved")
-        if doubled.filter("moved").isEmpty():
-            return steps
+    rows = redirects.select(F.col("from_event_id").alias("id"), F.coalesce("to_event_id", "from_event_id").alias("target"), F.unix_micros("valid_from").alias("at"))
+    rows = rows.filter("at is not null").groupBy("id", "at").agg(F.max("target").alias("target"))
+    itself = rows.select("id").distinct().select("id", F.lit(_FIRST).alias("at"), F.col("id").alias("target"))
+    marks = stage(rows.unionByName(itself), "redirect-marks")
+    chunk = _chunks(marks)
+    # No chain is longer than there are events, and each round doubles what a step covers; the last finds nothing to do.
+    for _ in range(itself.count().bit_length() + 2):
+        steps = stage(_numbered(marks, chunk), "redirect-periods")
+        spans = stage(_onward(steps, chunk).filter("first is not null"), "redirect-spans")
+        pieces = spans.select("id", "at", "target", F.explode(F.sequence("first", "last")).alias("rank"))
+        onward = steps.select(F.col("id").alias("_id"), F.col("rank").alias("_rank"), F.col("at").alias("_at"), F.col("target").alias("_next"))
+        led = pieces.join(onward, (F.col("target") == F.col("_id")) & (F.col("rank") == F.col("_rank")))
+        led = stage(led.select("id", F.greatest("at", "_at").alias("at"), F.col("_next").alias("target"), (F.col("_next") != F.col("target")).alias("moved")), "redirect-led")
+        if led.filter("moved").isEmpty():
+            return steps.select("id", "target", F.col("at").alias("valid_from"), F.col("until").alias("valid_to"))
+        known = spans.select(F.col("id").alias("_id"), F.col("at").alias("_at"))
+        kept = steps.join(known, steps["id"].eqNullSafe(known["_id"]) & (steps["at"] == known["_at"]), "left_anti")
+        marks = led.select("id", "at", "target").unionByName(kept.select("id", "at", "target"))
     raise ValueError("redirects form a ring")
 
 
@@ -54,12 +93,10 @@ def _in_force(points: DataFrame, periods: DataFrame) -> DataFrame:
     Each point takes the latest period that began by then. Time is cut in chunks: the latest is sought inside a chunk, and one row per id and chunk
     carries the last of the chunks before. So every row moves once, and no task sorts a whole hot id.
     """
-    first, last = points.agg(F.min("_at"), F.max("_at")).first()
-    chunks = 8 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    width = 1 if first is None else (last - first) // chunks + 1
+    chunk = _chunks(points.withColumnRenamed("_at", "at"))
     begun = periods.select("id", F.col("valid_from").alias("_at"), F.struct("target", "valid_to").alias("_own"))
     rows = points.select("id", "_at", F.lit(None).cast(begun.schema["_own"].dataType).alias("_own"), F.lit(True).alias("_asks"))
-    rows = rows.unionByName(begun.withColumn("_asks", F.lit(False))).withColumn("_chunk", F.floor(F.col("_at") / F.lit(width)))
+    rows = rows.unionByName(begun.withColumn("_asks", F.lit(False))).withColumn("_chunk", chunk(F.col("_at")))
     inside = W.partitionBy("id", "_chunk").orderBy("_at").rangeBetween(W.unboundedPreceding, 0)
     latest = F.max_by("_own", F.when(F.col("_own").isNotNull(), F.col("_at"))).alias("_latest")
     before = W.partitionBy("id").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)

@@ -275,3 +275,27 @@ def test_minhash_fetches_the_tokens_of_wanted_sets_only(spark, monkeypatch):
     monkeypatch.setattr(minhash, "_verified", lambda pairs, *rest, f=minhash._verified: seen.append(pairs.count()) or f(pairs, *rest))
     links = minhash.minhash_links(one_bucket(spark, monkeypatch, rows), 0.8, 0.999, 4).collect()
     assert [tuple(r) for r in links] == [(40, 0)] and seen[0] == 1 and sum(seen) < 10
+
+
+def test_redirects_that_change_often_cost_their_periods_not_their_pairs(spark, monkeypatch):
+    """Every step met all periods of its target, so events that change often met by the square of their changes."""
+    rng = random.Random(12)
+    moves = [(f, rng.randrange(f), at(rng.randrange(5000))) for f in range(1, 21) for _ in range(150)] + [(20, None, at(2500)), (None, 3, at(1)), (7, 3, None)]
+    asked = [(k, rng.randrange(22), at(rng.randrange(-5, 5100) + 0.5)) for k in range(400)]
+    by_event = {}
+    for f, to, t in moves:
+        if f is not None and t is not None:
+            by_event.setdefault(f, {})[t] = max(f if to is None else to, by_event.get(f, {}).get(t, -1))
+
+    def stands(event, when):
+        known = [t for t in by_event.get(event, ()) if t <= when]
+        to = by_event[event][max(known)] if known else event
+        return event if to == event else stands(to, when)
+
+    staged = []
+    monkeypatch.setattr(session, "on_stage", lambda name, df: staged.append(df._jdf.queryExecution().optimizedPlan().toString()))
+    table = spark.createDataFrame(moves, "from_event_id bigint, to_event_id bigint, valid_from timestamp")
+    got = redirects.redirects_as_of(spark.createDataFrame(asked, "reader bigint, event_id bigint, at timestamp"), table).collect()
+    assert {r.reader: r.target_event_id for r in got} == {k: stands(e, t) for k, e, t in asked}
+    joins = [line for plan in staged for line in plan.splitlines() if "Join" in line]
+    assert joins and not any(re.search(" [<>] ", line) for line in joins)
