@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from storyspark.operators.hotkeys import rows_among
 from storyspark.session import stage
 
 SHINGLE = 5
@@ -71,36 +72,36 @@ def _windows(docs: DataFrame, anchors: DataFrame, similarity: float) -> DataFram
     ``anchors (n_words, shingle, weight, least)`` has the shingles of the items by size, and the least weight of an item of that size.
     """
     slots = F.greatest(F.col("n_words") - SHINGLE, F.lit(0)) + 1  # shingles of a window
-    listed = docs.select(F.col("doc_id"), word_list(F.col("text")).alias("words"))
-    spread = listed.select("doc_id", "words", F.posexplode("words").alias("position", "_word"))
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("text_id", F.xxhash64("text"))
+    listed = texts.select("doc_id", "text_id", word_list(F.col("text")).alias("words"))
+    # With the outer form no filter on the number of words is made, which would split every text a second time.
+    spread = listed.select("doc_id", "text_id", "words", F.posexplode_outer("words").alias("position", "_word"))
     spread = spread.filter(F.col("position") <= F.greatest(F.size("words") - SHINGLE, F.lit(0)))
-    hits = spread.withColumn("shingle", _shingle(F.col("words"), F.col("position"))).join(anchors, "shingle")
-    hits = hits.select("*", slots.alias("slots"), F.size("words").alias("n_text"), F.xxhash64("words").alias("text_id"))
-    # A text is cut into blocks of as many places as a window has, so that the words around a passage are kept once, not for each hit.
-    hits = hits.withColumn("block", F.floor(F.col("position") / F.col("slots")).cast("int"))
-    around = F.slice("words", F.greatest((F.col("block") - 1) * F.col("slots"), F.lit(0)) + 1, 2 * F.col("slots") + F.col("n_words"))
-    text = ["doc_id", "text_id", "n_words", "slots"]
-    blocks = hits.groupBy(*text, "n_text", "least", "block").agg(F.first(around).alias("around"), F.collect_set(F.struct("position", "weight")).alias("hits"))
-    blocks = stage(blocks, "bench-blocks")
+    # Positions go on without the words of their text: a row is small however long the text is.
+    places = spread.select("doc_id", "text_id", F.size("words").alias("n_text"), "position", _shingle(F.col("words"), F.col("position")).alias("shingle"))
+    hits = places.join(anchors, "shingle").select("doc_id", "text_id", "n_text", "n_words", "position", "weight", "least").distinct()
+    hits = stage(hits, "bench-hits")
 
+    text = ["doc_id", "text_id", "n_words"]
     top = F.col("n_text") - F.col("n_words")
-    at = F.col("hit.position")
-    first, last = F.greatest(F.least(at - F.col("slots") + 1, top), F.lit(0)), F.greatest(F.least(at, top), F.lit(0))
-    steps = blocks.select(*text, "n_text", "least", F.explode("hits").alias("hit")).select(
+    first, last = F.greatest(F.least(F.col("position") - slots + 1, top), F.lit(0)), F.greatest(F.least(F.col("position"), top), F.lit(0))
+    steps = hits.select(
         *text,
         "least",
-        F.inline(F.array(F.struct(first.alias("start"), F.col("hit.weight").alias("step")), F.struct((last + 1).alias("start"), (-F.col("hit.weight")).alias("step")))),
+        F.inline(F.array(F.struct(first.alias("start"), F.col("weight").alias("step")), F.struct((last + 1).alias("start"), (-F.col("weight")).alias("step")))),
     )
     steps = steps.groupBy(*text, "least", "start").agg(F.sum("step").alias("step"))
     order = Window.partitionBy(*text).orderBy("start")
     sums = steps.select(*text, "least", "start", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("shared"), F.lead("start").over(order).alias("next"))
     able = sums.filter(F.col("next").isNotNull() & (F.col("shared") >= (similarity - SLACK) * F.col("least")))
-    starts = able.select(*text, F.explode(F.sequence("start", F.col("next") - 1)).alias("start"))
-    block = F.floor(F.col("start") / F.col("slots")).cast("int")
-    starts = starts.select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text"), F.col("n_words").alias("_n"), "start", F.explode(F.array(block, block + 1)).alias("_block"))
-    same = blocks["doc_id"].eqNullSafe(starts["_id"]) & (blocks["text_id"] == starts["_text"]) & (blocks["n_words"] == starts["_n"]) & (blocks["block"] == starts["_block"])
-    offset = F.col("start") - F.greatest((F.col("block") - 1) * F.col("slots"), F.lit(0))
-    return blocks.join(starts, same).select("doc_id", "n_words", F.slice("around", offset + 1, F.col("n_words")).alias("window"))
+    runs = able.groupBy(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text")).agg(F.collect_list(F.struct("n_words", "start", (F.col("next") - 1).alias("last"))).alias("runs"))
+    runs = stage(runs, "bench-runs")
+
+    # Only texts with such a run are read and split again, each once for all its windows.
+    again = rows_among(texts, "doc_id", runs.select(F.col("_id").alias("doc_id"))).join(runs, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_id") == F.col("_text")))
+    again = again.select("doc_id", word_list(F.col("text")).alias("words"), "runs").select("doc_id", "words", F.explode_outer("runs").alias("run"))
+    starts = again.select("doc_id", "words", F.col("run.n_words").alias("n_words"), F.explode_outer(F.sequence("run.start", "run.last")).alias("start"))
+    return starts.select("doc_id", "n_words", F.slice("words", F.col("start") + 1, F.col("n_words")).alias("window"))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from storyspark.functions import text as X
 from storyspark.operators.graph import connected_components
+from storyspark.operators.hotkeys import rows_among
 from storyspark.operators.similar import SIGNATURE, parity_signature, side, similarity_possible, token_sets
 from storyspark.session import stage
 
@@ -23,8 +24,6 @@ def bands_for(threshold: float, recall: float, size: int) -> tuple[int, int]:
 KINDS = 32
 #: Sets of a bucket that meet under one key of the join; a larger bucket is dealt to blocks.
 BUCKET_SETS = 2_000
-#: Words of 64 bits of a map of ids, 2 MB whatever their number.
-MAP_WORDS = 2**18
 
 
 def signatures(sets: DataFrame, size: int) -> DataFrame:
@@ -40,18 +39,9 @@ def signatures(sets: DataFrame, size: int) -> DataFrame:
     return combined.select("set_id", "size", parity.alias("parity"), F.array(*names).alias("minima"))
 
 
-def _among(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``sets`` whose ``set_id`` is among ``ids (set_id)``, and a few others: found by a bit map, so that the others' tokens stay where they are."""
-    place = F.pmod(F.xxhash64("set_id"), F.lit(64 * MAP_WORDS))
-    word, bit = F.floor(place / 64).cast("int"), (place % 64).cast("int")
-    marked = ids.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    held = sets.select(*sets.columns, word.alias("_word"), bit.alias("_place")).join(F.broadcast(marked), "_word")
-    return held.filter(F.call_function("shiftright", F.col("_bits"), F.col("_place")).bitwiseAND(1) == 1).select(*sets.columns)
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """``u, v``, ``u`` the greater, of the ``pairs (set_id_a, set_id_b)`` whose tokens reach the threshold."""
-    some = _among(sets.select("set_id", "tokens"), pairs.select(F.explode(F.array("set_id_a", "set_id_b")).alias("set_id")))
+    some = rows_among(sets.select("set_id", "tokens"), "set_id", pairs.select(F.explode(F.array("set_id_a", "set_id_b")).alias("set_id")))
     whole = pairs.join(side(some, "b"), "set_id_b").join(side(some, "a"), "set_id_a")
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
     return whole.filter(common / (F.size("tokens_a") + F.size("tokens_b") - common) >= threshold).select(F.col("set_id_b").alias("u"), F.col("set_id_a").alias("v"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from storyspark import session
-from storyspark.operators import calendars, deferred, intervals, merge, minhash, redirects, search, suffixes, velocity
+from storyspark.operators import calendars, deferred, hotkeys, intervals, merge, minhash, redirects, search, suffixes, velocity
 from storyspark.operators.health import latency_p95
 from storyspark.session import new_stage_path, stage
 from storyspark.streaming import runner, sketches
@@ -267,7 +267,7 @@ def test_minhash_fetches_the_tokens_of_wanted_sets_only(spark, monkeypatch):
     """Every round shuffled the tokens of all sets, twice."""
     sets = spark.createDataFrame([(i, [f"w{i}"]) for i in range(-500, 500)], "set_id bigint, tokens array<string>")
     ids = spark.createDataFrame([(i,) for i in range(-20, 20)], "set_id bigint")
-    got = minhash._among(sets, ids)
+    got = hotkeys.rows_among(sets, "set_id", ids)
     assert "Exchange hashpartitioning(set_id" not in got._jdf.queryExecution().toString()
     assert set(range(-20, 20)) <= {r.set_id for r in got.collect()} and got.count() < 60
     rows = [(k, {f"k{k}w{w}" for w in range(30)} | {"x"}) for k in range(40)] + [(40, {f"k0w{w}" for w in range(30)})]
