@@ -130,8 +130,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
     contents = places.groupBy("n_words", "window_id").agg(F.first("window").alias("window")).select("n_words", "window_id", _shingles(F.col("window")).alias("shingles"))
     contents = stage(contents, "bench-contents")
 
-    window_rows = contents.select("n_words", "window_id", F.explode("shingles").alias("shingle")).join(weights, "shingle", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-    window_rows = stage(window_rows, "bench-shingles")
+    # The rows of a window stay together, or are brought together, so that a task sums the 64 bits of a window once and not in many parts.
+    spread = contents.select("n_words", "window_id", F.explode("shingles").alias("shingle")).join(F.broadcast(weights) if small else weights, "shingle", "left")
+    window_rows = spread.withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    window_rows = stage(window_rows if small else window_rows.repartition("n_words", "window_id"), "bench-shingles")
     window_prints = _fingerprints(window_rows, ["n_words", "window_id"])
     item_prints = _fingerprints(item_rows, ["item_id", "n_words"])
     left = window_prints.select("n_words", "window_id", "fingerprint", F.inline(_blocks(F.col("fingerprint"), radius)))

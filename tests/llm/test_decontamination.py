@@ -1,6 +1,9 @@
 import random
 import re
 
+import pytest
+
+from storyspark import session
 from storyspark.llm import decontamination as dc
 
 
@@ -157,3 +160,23 @@ def test_best_window_of_every_planted_passage(spark, docs_of):
     docs, items = case(1)
     got, want = found(docs_of, spark, docs, items), brute(docs, items)
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+@pytest.mark.parametrize("limit", [dc.BROADCAST_ROWS, 0])
+def test_rows_stay_small_and_a_window_s_rows_lie_together(spark, docs_of, monkeypatch, limit):
+    """Every hit carried the words of its whole text, and windows lay scattered by shingle once weights were too many for Spark's own broadcast."""
+    monkeypatch.setattr(dc, "BROADCAST_ROWS", limit)
+    staged = {}
+    monkeypatch.setattr(session, "on_stage", lambda name, df: staged.setdefault(name, df._jdf.queryExecution().executedPlan().toString()))
+    docs, items = case(9, 20)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = found(docs_of, spark, docs, items)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert set(got) == set(brute(docs, items))
+    narrow = [line for line in staged["bench-hits"].splitlines() if "hashpartitioning" in line]
+    assert narrow and "bench-blocks" not in staged
+    joined = staged["bench-shingles"]
+    assert "SortMergeJoin" not in joined if limit else re.search(r"Exchange hashpartitioning\(n_words#\w+, window_id#\w+", joined)
